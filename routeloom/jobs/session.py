@@ -30,6 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
@@ -50,7 +55,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     are computed once however often they are used.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(spark, tag)
     with _setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
