@@ -4,18 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..jobs.session import load_table
+from ..jobs.session import load_table, shared_path
+from .pieces import encode_pieces
+from .quality import quality_scores
+from .sharding import shard_documents
+from .simhash import simhash_components
 from .suffix_dedup import suffix_array_dedup
+from .token_shards import read_token_shards, write_token_shards
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(load_table(spark, sf_dir, "documents"), 400, keep="none", texts=False)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(load_table(spark, sf_dir, "documents"), PIECES, digests=True)
+
+
+def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(load_table(spark, sf_dir, "documents"), words=3, radius=2).select("doc_id", "fingerprint", "component_id")
+
+
+def op8_likelihood_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-shards")
+    write_token_shards(load_table(spark, sf_dir, "documents"), path, WORDS, end_id=2)
+    return read_token_shards(spark, path, with_ids=False)
+
+
+def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(load_table(spark, sf_dir, "documents"), 8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_array_dedup": op1_suffix_array_dedup}
+    return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op6_simhash_bk_tree": op6_simhash_bk_tree,
+        "op8_likelihood_quality": op8_likelihood_quality,
+        "op9_token_shards": op9_token_shards,
+        "op10_minimax_shards": op10_minimax_shards,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
