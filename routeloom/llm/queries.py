@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..jobs.session import load_table, shared_path
+from .decontaminate import leaks
+from .licenses import scan_licenses
 from .pieces import encode_pieces
 from .quality import quality_scores
 from .sharding import shard_documents
 from .simhash import simhash_components
+from .substring_index import substring_dedup
 from .suffix_dedup import suffix_array_dedup
 from .token_shards import read_token_shards, write_token_shards
+from .urls import judge_urls
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -27,10 +31,26 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(load_table(spark, sf_dir, "documents"), PIECES, digests=True)
 
 
+def op3_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(load_table(spark, sf_dir, "pages"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(load_table(spark, sf_dir, "documents"))
+
+
+def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(load_table(spark, sf_dir, "documents"), window=20, texts=False)
+
+
 def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(load_table(spark, sf_dir, "documents"), words=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 def op8_likelihood_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -50,7 +70,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_url_regression": op3_url_regression,
+        "op4_license_scan": op4_license_scan,
+        "op5_substring_index": op5_substring_index,
         "op6_simhash_bk_tree": op6_simhash_bk_tree,
+        "op7_benchmark_leaks": op7_benchmark_leaks,
         "op8_likelihood_quality": op8_likelihood_quality,
         "op9_token_shards": op9_token_shards,
         "op10_minimax_shards": op10_minimax_shards,

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -325,3 +326,35 @@ def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, keep: str = "first
     hits = repeated_windows(rows, min_bytes, keep).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n")).alias("listed"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start: long, end: long>>" * texts
     return rows.join(hits, ["did", "rid"], "left").select("did", "text", "listed").mapInArrow(_result_rows(min_bytes, texts), schema)
+
+
+def _text_rows(window: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_cut_text(t, _spans(x, window)).decode("utf-8", "ignore") if x else None for t, x in zip(text_bytes(batch.column("_text")), batch.column("_listed").to_pylist())]
+            keep = [k for k, name in enumerate(batch.schema.names) if name not in ("_text", "_listed")]
+            cut = pa.array(texts, pa.string())
+            columns = [batch.column(k) for k in keep]
+            names = [batch.schema.names[k] for k in keep]
+            yield pa.record_batch([*columns, pa.compute.coalesce(cut, batch.column("_text"))], names=[*names, "_text"])
+
+    return rows
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = 400, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, the texts without their repeated strings (see :func:`suffix_array_dedup`).
+
+    A text of which nothing is left comes back empty, a null one as null.
+    """
+    hits = repeated_windows(keyed(docs, id_col, text_col), min_bytes, keep).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n")).alias("_listed"))
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(
+        *[F.col(f"`{c}`") for c in others],
+        F.col(text_col).cast("string").alias("_text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_did"),
+        F.xxhash64(F.col(text_col)).alias("_rid"),
+    )
+    hits = hits.withColumnsRenamed({"did": "_did", "rid": "_rid"})
+    joined = rows.join(hits, ["_did", "_rid"], "left").drop("_did", "_rid")
+    schema = joined.drop("_listed", "_text").schema.add("_text", "string")
+    return joined.mapInArrow(_text_rows(min_bytes), schema).withColumnRenamed("_text", text_col).select(*[F.col(f"`{c}`") for c in docs.columns])
