@@ -162,12 +162,3 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
     firsts = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = linked.join(firsts, "component").select("fp", "component_id")
     return rows.join(ids, "fp").select("doc_id", "rid", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def near_distinct(docs: DataFrame, words: int = 5, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row left of each component: the smallest id (then the smallest text hash)."""
-    found = simhash_components(docs, words, radius, id_col, text_col)
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select("x.doc_id", "x.rid")
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(F.col(text_col)).alias("_rid")]
-    stay = stay.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_did"), F.col("rid").alias("_rid")).distinct()
-    return docs.select("*", *key).join(stay, ["_did", "_rid"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
