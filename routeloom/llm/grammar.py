@@ -12,7 +12,17 @@ def _left_to_right(match: np.ndarray) -> np.ndarray:
     return match & ((at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int = 6, pairs: int = 2048, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slots(chosen: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each code the place of the only chosen pair that it can be; pairs that share a hash slot but the first go."""
+    table = np.full(1 << 17, -1, np.int32)
+    place = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)
+    at = place(chosen)
+    chosen = chosen[np.sort(np.unique(at, return_index=True)[1])]
+    table[place(chosen)] = np.arange(len(chosen))
+    return chosen, np.maximum(table[place(code)], 0)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int = 3, pairs: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replace frequent pairs by new symbols, round by round.
 
     ``ends``: True at the last id of each document; no pair reaches over it. Each round counts
@@ -38,7 +48,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int =
         chosen = np.sort(inner[edges[often]])
         if not len(chosen):
             break
-        slot = np.minimum(np.searchsorted(chosen, code), len(chosen) - 1)
+        chosen, slot = _slots(chosen, code)
         taken = _left_to_right((chosen[slot] == code) & ~ends[:-1])
         at = np.flatnonzero(taken)
         made = np.column_stack((chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF))).astype(np.uint32)

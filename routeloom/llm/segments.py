@@ -10,7 +10,7 @@ import numpy as np
 from .common import expand
 
 #: Segments and ids kept before the memory starts anew.
-MAX_SEGMENTS, MAX_IDS = 400_000, 3_000_000
+MAX_SEGMENTS, MAX_IDS = 800_000, 6_000_000
 
 
 class SegmentEncoder(dict):
@@ -34,6 +34,13 @@ class SegmentEncoder(dict):
         self[segment] = code = len(self)
         return code
 
+    def known(self, segment: str) -> list[int] | None:
+        """Ids of a segment that was encoded before."""
+        code = self.get(segment)
+        if code is None or code + 1 >= len(self._starts):
+            return None
+        return self._ids[self._starts[code] : self._starts[code + 1]].tolist()
+
     def ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each segment has."""
         if len(self) > MAX_SEGMENTS or len(self._ids) > MAX_IDS:

@@ -36,7 +36,22 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.memory = SegmentEncoder(lambda x: [e.ids for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)])
+        self.tails = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("", ".", ",")}
+        self.memory = SegmentEncoder(self._encode)
+
+    def _encode(self, segments: list[str]) -> list[list[int]]:
+        """Ids of new segments. ASCII case doesn't matter, and a full stop or comma after a letter is a token of its own."""
+        parts, bases = [], {}
+        for x in segments:
+            tail = x[-1:] if x[-1:] in (".", ",") and x[-2:-1].isalpha() else ""
+            base = x[: len(x) - len(tail)]
+            base = base.lower() if base.isascii() and "<" not in base else base
+            parts.append((base, tail))
+            if base not in bases:
+                bases[base] = self.memory.known(base)
+        new = [x for x, found in bases.items() if found is None]
+        bases |= {x: e.ids for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        return [[*bases[base], *self.tails[tail]] for base, tail in parts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         segments: list[str] = []
