@@ -7,7 +7,9 @@ document is read back by expanding only its shard, or only the symbols that it t
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,19 +38,42 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self._load_model(path)
         self.tails = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("", ".", ",")}
         self.memory = SegmentEncoder(self._encode)
 
+    def _load_model(self, path: str) -> None:
+        """The vocabulary's own model, for words that the normaliser and pre-tokenizer leave as they are."""
+        from tokenizers import models, pre_tokenizers
+
+        with open(path) as file:
+            spec = json.load(file)
+        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
+        self.model = None
+        if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and spec["model"]["type"] == "BPE":
+            merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in spec["model"]["merges"]]
+            self.model = models.BPE(vocab=spec["model"]["vocab"], merges=merges, end_of_word_suffix=spec["model"]["end_of_word_suffix"], cache_capacity=0)
+            alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+            own = [c for c in alphabet if ord(c) < 256]
+            rest = iter(c for c in alphabet if ord(c) >= 256)  # stand, in order, for the bytes that have no character
+            self.letters = {b: chr(b) if chr(b) in own else next(rest) for b in range(256)}
+
+    @staticmethod
+    def _one_word(x: str) -> bool:
+        return x.isalpha() and (x.isascii() or (x == x.lower() and unicodedata.is_normalized("NFC", x)))
+
     def _encode(self, segments: list[str]) -> list[list[int]]:
         """Ids of new segments. ASCII case doesn't matter, and a full stop or comma after a letter is a token of its own."""
         parts, bases = [], {}
         for x in segments:
-            tail = x[-1:] if x[-1:] in (".", ",") and x[-2:-1].isalpha() else ""
+            tail = x[-1:] if x[-1:] in (".", ",") and x[-2:-1].lower()[-1:].isalpha() else ""
             base = x[: len(x) - len(tail)]
             base = base.lower() if base.isascii() and "<" not in base else base
             parts.append((base, tail))
             if base not in bases:
                 bases[base] = self.memory.known(base)
+        if self.model:
+            bases |= {x: [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))] for x, found in bases.items() if found is None and self._one_word(x)}
         new = [x for x, found in bases.items() if found is None]
         bases |= {x: e.ids for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
         return [[*bases[base], *self.tails[tail]] for base, tail in parts]
