@@ -90,12 +90,111 @@ def mismatches(a: Column, b: Column) -> Column:
     return F.when(known == 0, F.lit(0)).otherwise((10 * F.size(a["vec"]) * wrong / known).cast("long")).cast("long")
 
 
+def _int32(v: Column) -> Column:
+    """A product of two 32-bit integers as 32-bit arithmetic leaves it."""
+    return (v + F.lit(2**31)).bitwiseAND(F.lit(2**32 - 1)) - F.lit(2**31)
+
+
+def dsjrand(maxdist: int, seed: int) -> Callable[[Column, Column], Column]:
+    """A pseudo-random length below ``maxdist`` from the codes in x: products of 32 bits of their common and joint bits."""
+    param = int((104 * seed + 1 + 2**31) % 2**32 - 2**31)
+
+    def length(a: Column, b: Column) -> Column:
+        p, q = a["x"].cast("long"), b["x"].cast("long")
+
+        def mixed(state: Column) -> Column:
+            x = _int32(state["x"] * state["z"])
+            y = _int32(state["y"] * x)
+            return F.struct(x.alias("x"), y.alias("y"), _int32(state["z"] * y).alias("z"))
+
+        def step(state: Column, turn: Column) -> Column:
+            flipped = F.struct(state["x"].alias("x"), state["y"].alias("y"), F.when(turn == 1, state["z"].bitwiseXOR(F.lit(param))).otherwise(state["z"]).alias("z"))
+            return mixed(flipped)
+
+        start = F.struct(p.bitwiseAND(q).alias("x"), p.bitwiseOR(q).alias("y"), F.lit(param).cast("long").alias("z"))
+        last = F.aggregate(F.array(F.lit(0), F.lit(1)), start, step)["z"]
+        return ((p + q).bitwiseXOR(last).bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(maxdist / 2147483648.0)).cast("long")
+
+    return length
+
+
+def _each(a: Column, b: Column, worth: Callable[[Column, Column], Column]) -> Column:
+    """Sum over the places of two vectors of 0, 1 and 2 (unknown)."""
+    return F.aggregate(F.zip_with(a["vec"], b["vec"], worth), F.lit(0.0), lambda s, v: s + v)
+
+
+def rh_weighted(d00: int, d01: int, d02: int, d12: int, d22: int) -> Callable[[Column, Column], Column]:
+    """Sum of a distance for each place, by the two symbols there; a null vector is at distance 0."""
+
+    def worth(p: Column, q: Column) -> Column:
+        known = F.when(p == q, F.lit(d00)).otherwise(F.lit(d01))
+        half = F.when(F.least(p, q) == 0, F.lit(d02)).otherwise(F.lit(d12))
+        return F.when((p == 2) & (q == 2), F.lit(d22)).when((p == 2) | (q == 2), half).otherwise(known).cast("double")
+
+    return lambda a, b: F.coalesce(_each(a, b, worth).cast("long"), F.lit(0).cast("long"))
+
+
+def rh_expected(p1: float) -> Callable[[Column, Column], Column]:
+    """A hundred times the expected mismatches if an unknown symbol is 1 with chance ``p1``."""
+
+    def worth(p: Column, q: Column) -> Column:
+        half = F.when(F.least(p, q) == 0, F.lit(p1)).otherwise(F.lit(1 - p1))
+        return F.when((p == 2) & (q == 2), F.lit(2 * p1 * (1 - p1))).when((p == 2) | (q == 2), half).otherwise((p != q).cast("double"))
+
+    return lambda a, b: F.coalesce(_trunc(_each(a, b, worth) * 100.0 + 0.5), F.lit(0).cast("long"))
+
+
+def rh_likelihood(p1: float, both_known: bool, cap: int = 1000) -> Callable[[Column, Column], Column]:
+    """Ten times the negative decimal log-likelihood of a pair of vectors, at most ``cap``.
+
+    Places count that are known in both vectors (``both_known``) or in one of them. Against a null
+    vector only the symbol frequencies count; two null vectors are at distance 0.
+    """
+    q1 = 1.0 - p1
+
+    def length(a: Column, b: Column) -> Column:
+        def count(test: Callable[[Column, Column], Column]) -> Column:
+            return _each(a, b, lambda p, q: test(p, q).cast("double"))
+
+        def single(v: Column) -> Column:
+            ones, zeros = (F.size(F.filter(v, lambda s: s == k)) for k in (1, 0))
+            return F.pow(F.lit(p1**0.5), ones.cast("double")) * F.pow(F.lit(q1**0.5), zeros.cast("double"))
+
+        n = count(lambda p, q: (p != 2) & (q != 2)) if both_known else count(lambda p, q: (p != 2) | (q != 2))
+        same1, same0 = count(lambda p, q: (p == 1) & (q == 1)), count(lambda p, q: (p == 0) & (q == 0))
+        apart = count(lambda p, q: ((p == 0) & (q == 1)) | ((p == 1) & (q == 0)))
+        whole = n - same1 * p1 - same0 * q1
+        term = 4.0 * n * p1 * q1 * apart
+        theta = (whole - F.sqrt(whole * whole - term)) / (2.0 * n * p1 * q1)
+        chance = F.pow(1.0 - theta * p1, same0) * F.pow(1.0 - theta * q1, same1) * F.pow(theta * (p1 * q1) ** 0.5, apart)
+        pair = F.when((n == 0) | (term >= whole * whole), F.lit(cap)).when(theta >= 1.0, F.lit(cap)).otherwise(_trunc(-10.0 * F.log10(chance)))
+        alone = _trunc(-10.0 * F.log10(single(F.coalesce(a["vec"], b["vec"]))))
+        return F.when(a["vec"].isNull() & b["vec"].isNull(), F.lit(0)).when(a["vec"].isNull() | b["vec"].isNull(), alone).otherwise(pair).cast("long")
+
+    return length
+
+
+def weighted(length: Column, wi: Column, wj: Column) -> Column:
+    """A length with both ends' weights."""
+    return length + wi + wj
+
+
+def with_depots(length: Column, i: Column, j: Column, cost_i: Column, cost_j: Column, first_depot: int) -> Column:
+    """Ids from ``first_depot`` on are depots: two of them are at length 0, one costs what its other end's depot costs."""
+    return F.when((i >= first_depot) & (j >= first_depot), F.lit(0)).when(i >= first_depot, cost_j).when(j >= first_depot, cost_i).otherwise(length).cast("long")
+
+
+#: Norms that need parameters.
+_MADE: dict[str, Callable[..., Callable[[Column, Column], Column]]] = {
+    "TOROIDAL": lambda grid: toroidal(float(grid)), "DSJRAND": dsjrand, "RH1": rh_weighted, "RH2": rh_expected, "RH3": lambda p1: rh_likelihood(p1, False), "RH4": lambda p1: rh_likelihood(p1, True),
+}
+
 NORMS: dict[str, Callable[[Column, Column], Column]] = {
     "MAX_2D": max_2d, "MAN_2D": man_2d, "EUC_2D": euc_2d, "CEIL_2D": ceil_2d, "EUC_3D": euc_3d, "ATT": att, "GEO": geo, "GEOM": geom, "CRYSTAL": crystal, "RH5": mismatches,
 }
 
 #: Smallest length of two points that are ``s`` apart in x or in y; only these norms prune by a grid.
-LOWER: dict[str, Callable[[float], float]] = {"MAX_2D": lambda s: int(s + 0.5), "MAN_2D": lambda s: int(s + 0.5), "EUC_2D": lambda s: int(s + 0.5), "CEIL_2D": lambda s: s, "ATT": lambda s: int(s / 10**0.5)}
+LOWER: dict[str, Callable[[float], float]] = {"MAX_2D": lambda s: int(s + 0.5), "MAN_2D": lambda s: int(s + 0.5), "EUC_2D": lambda s: int(s + 0.5), "EUC_3D": lambda s: int(s + 0.5), "CEIL_2D": lambda s: s, "ATT": lambda s: int(s / 10**0.5)}
 
 
 def register_norm(name: str, fn: Callable[[Column, Column], Column]) -> None:
@@ -104,9 +203,12 @@ def register_norm(name: str, fn: Callable[[Column, Column], Column]) -> None:
 
 
 def length_col(norm: str, a: Column, b: Column, **params) -> Column:
-    """The length between two point structs; ``TOROIDAL`` takes ``grid``."""
-    if norm == "TOROIDAL":
-        return toroidal(float(params["grid"]))(a, b)
+    """The length between two point structs.
+
+    ``TOROIDAL`` takes ``grid``; ``DSJRAND`` maxdist and seed; ``RH1`` d00, d01, d02, d12 and d22; ``RH2`` to ``RH4`` p1.
+    """
+    if norm in _MADE:
+        return _MADE[norm](**params)(a, b)
     if norm not in NORMS and norm not in _custom:
         raise ValueError(f"norm {norm!r} isn't supported")
     return (_custom.get(norm) or NORMS[norm])(a, b)

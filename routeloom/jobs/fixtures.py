@@ -18,6 +18,10 @@ SQL = {
     "cut_cliques": "SELECT CAST(n_regionkey AS BIGINT) AS cut_id, CAST(n_nationkey AS BIGINT) AS clique_id FROM nation",
     "cuts": "SELECT cut_id, CAST(2 * count(*) AS INT) AS rhs FROM cut_cliques GROUP BY cut_id",
     "cut_pi": "SELECT cut_id, cut_id - 1.5 AS pi FROM cuts",
+    "sets": "SELECT CAST(s_nationkey AS BIGINT) AS clique_id, CAST(s_suppkey AS BIGINT) AS node FROM supplier UNION ALL SELECT 100 + s_suppkey % 7, s_suppkey FROM supplier",
+    "set_cuts": "SELECT CAST(n_regionkey AS BIGINT) AS cut_id, CAST(n_nationkey AS BIGINT) AS clique_id FROM nation UNION ALL SELECT r_regionkey, 100 + r_regionkey FROM region",
+    "chain": "SELECT CAST(c_custkey AS BIGINT) AS i, CAST(c_custkey + 1 + c_nationkey % 5 AS BIGINT) AS j, CAST((1 + c_custkey % 4) / 4.0 AS DOUBLE) AS x FROM customer",
+    "space": "SELECT s_suppkey AS id, CAST(round(s_acctbal) AS DOUBLE) AS x, CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS y, CAST((s_suppkey * 104729) % 9973 AS DOUBLE) AS z FROM supplier",
     "node_pi": "SELECT id, CAST(id % 7 AS DOUBLE) AS pi FROM (SELECT i AS id FROM xedges UNION SELECT j FROM xedges)",
 }
 
@@ -46,6 +50,14 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return load("nation").select(F.col("n_regionkey").cast("long").alias("cut_id"), F.col("n_nationkey").cast("long").alias("clique_id"))
     if name == "cuts":
         return fixture(spark, sf_dir, "cut_cliques").groupBy("cut_id").agg((2 * F.count("*")).cast("int").alias("rhs"))
+    if name == "sets":
+        return fixture(spark, sf_dir, "members").unionByName(load("supplier").select((100 + F.col("s_suppkey") % 7).cast("long").alias("clique_id"), F.col("s_suppkey").cast("long").alias("node")))
+    if name == "set_cuts":
+        return fixture(spark, sf_dir, "cut_cliques").unionByName(load("region").select(F.col("r_regionkey").cast("long").alias("cut_id"), (100 + F.col("r_regionkey")).cast("long").alias("clique_id")))
+    if name == "chain":
+        return load("customer").select(F.col("c_custkey").cast("long").alias("i"), (F.col("c_custkey") + 1 + F.col("c_nationkey") % 5).cast("long").alias("j"), ((1 + F.col("c_custkey") % 4) / 4.0).cast("double").alias("x"))
+    if name == "space":
+        return fixture(spark, sf_dir, "suppliers").withColumn("z", ((F.col("id") * 104729) % 9973).cast("double"))
     if name == "cut_pi":
         return fixture(spark, sf_dir, "cuts").select("cut_id", (F.col("cut_id") - 1.5).cast("double").alias("pi"))
     if name == "node_pi":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..jobs.session import materialize
 from .components import component_labels
+from .ranking import ranked
 
 
 def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
@@ -66,3 +67,40 @@ def is_tour(edges: DataFrame, n: int) -> bool:
     if (count, *degrees) != (n, n, 2, 2):
         return False
     return component_labels(edges).select("component").distinct().count() == 1
+
+
+def spanning_tree_bound(tree: DataFrame, weights: DataFrame) -> DataFrame:
+    """len, bound: the tree's length, and that less twice the nodes' weights."""
+    total = tree.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
+    taken = weights.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
+    return total.join(taken).select("len", (F.col("len") - 2 * F.col("w")).alias("bound"))
+
+
+def curve_key(x, y, m: int, bits: int):
+    """Place of (x, y), integers from 0, on the Sierpinski curve of a triangle of side ``m``: ``bits`` binary digits.
+
+    The first digit tells the half of the square; then the triangle is halved time after time, with
+    the coordinates turned into the half that holds the point, and doubled after every second turn.
+    """
+    over = x > y
+    start = F.struct(over.cast("long").alias("h"), F.when(over, m - x).otherwise(x).alias("x"), F.when(over, m - y).otherwise(y).alias("y"))
+
+    def turn(s, k):
+        odd = k % 2 == 1
+        px, py = F.when(odd, s["x"]).otherwise(2 * s["x"]), F.when(odd, s["y"]).otherwise(2 * s["y"])
+        far = F.when(odd, px + py > m).otherwise(py > m)
+        nx = F.when(~far, px).when(odd, m - py).otherwise(py - m)
+        ny = F.when(~far, py).when(odd, px).otherwise(m - px)
+        return F.struct((2 * s["h"] + far.cast("long")).alias("h"), nx.alias("x"), ny.alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(bits - 1)), start, turn)["h"]
+
+
+def space_filling_tour(nodes: DataFrame) -> DataFrame:
+    """tour_id, pos, node: all nodes in the order of a space-filling curve, ties by id."""
+    n, x0, x1, y0, y1 = nodes.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    low = [min(0.0, v or 0.0) for v in (x0, y0)]
+    m = int(max(0.0, x1 or 0.0, y1 or 0.0) - low[0] - low[1] + 1.0)
+    bits = max(n - 1, 0).bit_length() + 2
+    keyed = nodes.select("id", curve_key((F.col("x") - low[0]).cast("long"), (F.col("y") - low[1]).cast("long"), m, bits).alias("key"))
+    return ranked(keyed, ["key", "id"], name="pos").select(F.lit(0).cast("long").alias("tour_id"), "pos", F.col("id").alias("node"))

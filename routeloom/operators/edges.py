@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.norms import length_col
+from .components import component_labels
 
 
 def oriented(edges: DataFrame) -> DataFrame:
@@ -89,3 +90,30 @@ def relabel(df: DataFrame, perm: DataFrame, cols: list[str]) -> DataFrame:
 def x_summary(edges: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """One row: how many edges, how many with x above the tolerance, and the sum of x."""
     return edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("x") > tolerance).alias("n_nonzero"), F.round(F.sum("x"), 6).alias("sum_x"))
+
+
+def default_length(edges: DataFrame, n: int) -> int:
+    """The length of pairs that a sparse graph lacks: (longest + 1) n, or 2^31 / 256 if 256 times that is too much for 32 bits."""
+    value = ((edges.agg(F.max("len")).first()[0] or 0) + 1) * n
+    return (2**31 - 1) // 256 if 256 * value > 2**31 - 1 else value
+
+
+def complete_graph(edges: DataFrame, n: int, default: int = 0) -> DataFrame:
+    """i, j, len of all pairs of 0..n-1: the given length (the shortest of repeats) or the default; n is the caller's bound."""
+    default = default if default > 0 else default_length(edges, n)
+    given = oriented(edges.select("i", "j", "len")).groupBy("i", "j").agg(F.min("len").alias("len"))
+    pairs = edges.sparkSession.range(0, max(n - 1, 0)).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("long"))).alias("j"))
+    return pairs.join(given, ["i", "j"], "left").select("i", "j", F.coalesce("len", F.lit(default)).cast("long").alias("len"))
+
+
+def contract_ones(xedges: DataFrame, eps: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """members(super, node) and xedges(i, j, x) after edges of x of 1 - eps or more are contracted.
+
+    A super-node is named by its smallest node; parallel edges are summed, loops go. Nodes that
+    aren't in ``members`` stand for themselves.
+    """
+    labels = component_labels(xedges.filter(F.col("x") >= 1 - eps))
+    moved = xedges.select("i", "j", "x")
+    for end in ("i", "j"):
+        moved = moved.join(labels.select(F.col("node").alias(end), F.col("component").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return labels.select(F.col("component").alias("super"), "node"), oriented(moved).groupBy("i", "j").agg(F.sum("x").alias("x"))

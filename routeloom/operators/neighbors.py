@@ -15,25 +15,27 @@ from ..jobs.session import materialize
 from .edges import oriented
 
 
-def _near_pairs(left: DataFrame, nodes: DataFrame, side: float) -> DataFrame:
+def _near_pairs(left: DataFrame, nodes: DataFrame, side: float, dims: str = "xy") -> DataFrame:
     """Pairs (a, b) of structs whose cells touch, without pairs of a node with itself."""
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in ("x", "y")]
-    a = left.select(F.struct("id", "x", "y").alias("a"), *cell).withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-    a = a.select("a", (F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y"))
-    b = nodes.select(F.struct("id", "x", "y").alias("b"), *cell)
-    return a.join(b, ["_x", "_y"]).select("a", "b").filter("a.id != b.id")
+    cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in dims]
+    a = left.select(F.struct(*left.columns).alias("a"), *cell)
+    for c in dims:
+        a = a.withColumn(f"_d{c}", F.explode(steps))
+    a = a.select("a", *[(F.col(f"_{c}") + F.col(f"_d{c}")).alias(f"_{c}") for c in dims])
+    b = nodes.select(F.struct(*nodes.columns).alias("b"), *cell)
+    return a.join(b, [f"_{c}" for c in dims]).select("a", "b").filter("a.id != b.id")
 
 
-def _extent(nodes: DataFrame) -> tuple[int, float]:
-    n, x0, x1, y0, y1 = nodes.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    return n, float(max((x1 or 0) - (x0 or 0), (y1 or 0) - (y0 or 0), 1e-9))
+def _extent(nodes: DataFrame, dims: str) -> tuple[int, float]:
+    n, *ends = nodes.agg(F.count("*"), *[f(c) for c in dims for f in (F.min, F.max)]).first()
+    return n, float(max(1e-9, *[(high or 0) - (low or 0) for low, high in zip(ends[::2], ends[1::2])]))
 
 
-def _searched(nodes: DataFrame, k: int, norm: str, pairs) -> DataFrame:
-    n, extent = _extent(nodes)
-    side = extent * max(k, 2) ** 0.5 / max(n, 1) ** 0.5
-    todo, found = nodes.select("id", "x", "y"), None
+def _searched(nodes: DataFrame, k: int, norm: str, pairs, dims: str = "xy") -> DataFrame:
+    n, extent = _extent(nodes, dims)
+    side = extent * (max(k, 2) / max(n, 1)) ** (1 / len(dims))
+    todo, found = nodes, None
     while True:
         last = side > extent
         ranked = materialize(pairs(todo, side), "ranked")
@@ -61,6 +63,50 @@ def knn(nodes: DataFrame, k: int, norm: str = "EUC_2D") -> DataFrame:
     return _searched(nodes, k, norm, pairs)
 
 
+def _nearest(nodes: DataFrame, targets: DataFrame, norm: str, allowed) -> DataFrame:
+    """id, nbr, len: the nearest target of every node among the pairs that ``allowed`` lets by."""
+
+    def pairs(todo: DataFrame, side: float) -> DataFrame:
+        rows = _near_pairs(todo, targets, side).filter(allowed(F.col("a"), F.col("b")))
+        best = rows.groupBy(F.col("a.id").alias("id")).agg(F.min(F.struct(length_col(norm, F.col("a"), F.col("b")).alias("len"), F.col("b.id").alias("nbr"))).alias("e"))
+        return best.select("id", "e.nbr", "e.len", F.lit(True).alias("full"), F.col("e.len").alias("far"))
+
+    return _searched(nodes, 2, norm, pairs)
+
+
+def nearest_unmarked(nodes: DataFrame, excluded: DataFrame, norm: str = "EUC_2D") -> DataFrame:
+    """id, nbr, len: the nearest other node that isn't in ``excluded(id)``, ties by the smaller id."""
+    point = nodes.select("id", "x", "y")
+    return _nearest(point, point.join(excluded.select("id"), "id", "left_anti"), norm, lambda a, b: F.lit(True))
+
+
+def nearest_outside_group(nodes: DataFrame, norm: str = "EUC_2D") -> DataFrame:
+    """id, nbr, len, cost of ``nodes(id, x, y, part_id)``: the nearest node of another part, and half the length, rounded down."""
+    point = nodes.select("id", "x", "y", "part_id")
+    return _nearest(point, point, norm, lambda a, b: a["part_id"] != b["part_id"]).withColumn("cost", F.floor(F.col("len") / 2))
+
+
+def octant_knn(nodes: DataFrame, k: int, norm: str = "EUC_3D") -> DataFrame:
+    """id, octant, nbr, len, rank: in three dimensions, the k nearest in each closed octant (bit 1: x from here down, 2: y, 4: z)."""
+
+    def pairs(todo: DataFrame, side: float) -> DataFrame:
+        flags = []
+        for octant in range(8):
+            test = F.lit(True)
+            for bit, c in enumerate("xyz"):
+                p, q = F.col(f"a.{c}"), F.col(f"b.{c}")
+                test = test & ((q <= p) if octant >> bit & 1 else (q >= p))
+            flags.append(F.when(test, F.lit(octant)))
+        rows = _near_pairs(todo, nodes, side, "xyz").select(
+            F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), length_col(norm, F.col("a"), F.col("b")).alias("len"), F.explode(F.array_compact(F.array(*flags))).alias("octant")
+        )
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id", "octant").orderBy("len", "nbr"))).filter(F.col("rank") <= k)
+        by = Window.partitionBy("id")
+        return ranked.withColumn("full", F.count("*").over(by) >= 8 * k).withColumn("far", F.max("len").over(by))
+
+    return _searched(nodes, k, norm, pairs, "xyz")
+
+
 def knn_graph(nodes: DataFrame, k: int, norm: str = "EUC_2D") -> DataFrame:
     """i, j, len: the undirected union of all k nearest."""
     return oriented(knn(nodes, k, norm).select(F.col("id").alias("i"), F.col("nbr").alias("j"), "len")).distinct()

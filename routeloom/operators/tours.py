@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.norms import length_col
+from ..jobs.session import materialize
 
 
 def _next(tour: DataFrame, nodes: DataFrame, norm: str, closed: bool) -> DataFrame:
@@ -62,3 +63,57 @@ def tour_segments(tour: DataFrame, bucket: int, first: int | None = None) -> Dat
     count = F.greatest(1 + F.floor(rest / bucket) + F.when(left > F.lit(bucket / 16), 1).otherwise(0), F.lit(1))
     seg = F.when(F.col("pos") < first, F.lit(0)).otherwise(1 + F.floor((F.col("pos") - first) / bucket))
     return tour.join(n.select("tour_id", (count - 1).alias("last")), "tour_id").select("tour_id", "pos", "node", F.least(seg, F.col("last")).cast("long").alias("seg_id"))
+
+
+def tour_positions(tour: DataFrame) -> DataFrame:
+    """tour_id, node, pos: where each node stands."""
+    return tour.select("tour_id", "node", "pos")
+
+
+def steps(tour: DataFrame) -> DataFrame:
+    """tour_id, pos, i, j: each position's edge to the next, the closing one too, without lengths."""
+    sizes = tour.groupBy("tour_id").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = tour.join(sizes, "tour_id")
+    after = rows.select("tour_id", F.pmod(F.col("pos") - 1, "n").alias("pos"), F.col("node").alias("j"))
+    return rows.select("tour_id", "pos", F.col("node").alias("i")).join(after, ["tour_id", "pos"])
+
+
+def uses_only_real_edges(tour: DataFrame, edges: DataFrame) -> DataFrame:
+    """tour_id, n_missing, ok: how many of the tour's edges the graph lacks."""
+    pairs = steps(tour).select("tour_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    known = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.lit(1).alias("known")).distinct()
+    found = pairs.join(known, ["i", "j"], "left").groupBy("tour_id").agg(F.count_if(F.col("known").isNull()).alias("n_missing"))
+    return found.select("tour_id", "n_missing", (F.col("n_missing") == 0).alias("ok"))
+
+
+def tour_file_length(edges: DataFrame, n: int) -> int:
+    """The sum of a tour's stored lengths; its n edges are checked."""
+    m, total = edges.agg(F.count("*"), F.sum("len")).first()
+    if m != n:
+        raise ValueError(f"{m} edges for {n} nodes")
+    return total
+
+
+def edges_to_tour(edges: DataFrame) -> DataFrame:
+    """tour_id, pos, node of tours given as edges (i, j, and tour_id if there are several).
+
+    A tour starts at its smallest node, towards the smaller neighbour. Each undirected edge is two
+    arcs; an arc's follower leaves the node it enters by the other edge. The arc that would return
+    to the start has none, and the distance to it is found by doubling the followers' reach, in
+    log2(n) joins. Where a tour's edges are several cycles, only the first node's cycle comes back.
+    """
+    e = edges if "tour_id" in edges.columns else edges.withColumn("tour_id", F.lit(0).cast("long"))
+    both = e.select("tour_id", F.col("i").alias("u"), F.col("j").alias("v")).unionByName(e.select("tour_id", F.col("j").alias("u"), F.col("i").alias("v"))).filter("u != v").distinct()
+    start = both.groupBy("tour_id").agg(F.min(F.struct("u", "v")).alias("s"))
+    on = both.select("tour_id", F.col("u").alias("v"), F.col("v").alias("w"))
+    arcs = both.join(on, ["tour_id", "v"]).filter("u != w").join(start, "tour_id")
+    ends = (F.col("v") == F.col("s.u")) & (F.col("w") == F.col("s.v"))
+    now = materialize(arcs.select("tour_id", "u", "v", F.when(~ends, F.struct(F.col("v").alias("u"), F.col("w").alias("v"))).alias("next"), F.when(ends, 0).otherwise(1).cast("long").alias("far")), "arcs")
+    longest = both.groupBy("tour_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(max(longest // 2, 1).bit_length()):
+        ahead = now.select("tour_id", F.struct("u", "v").alias("next"), F.col("next").alias("_next"), F.col("far").alias("_far"))
+        open_ = now.filter("next is not null").join(ahead, ["tour_id", "next"]).select("tour_id", "u", "v", F.col("_next").alias("next"), (F.col("far") + F.col("_far")).alias("far"))
+        now = materialize(now.filter("next is null").unionByName(open_), "arcs")
+    chain = now.filter("next is null")
+    last = chain.groupBy("tour_id").agg(F.max("far").alias("last"))
+    return chain.join(last, "tour_id").select("tour_id", (F.col("last") - F.col("far")).alias("pos"), F.col("u").alias("node"))
