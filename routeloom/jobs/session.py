@@ -59,3 +59,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     with _setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables from :func:`materialize` that no later step reads, to keep long jobs' disk use down.
+
+    Call it only once everything that was derived from them is written itself.
+    """
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else ""
+        if "/tables/" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(shared_dir(spark).split(":", 1)[-1].lstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
