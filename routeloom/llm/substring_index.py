@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..jobs.session import materialize, shared_path
+from ..jobs.session import materialize, release, shared_path
 from .anchors import runs
 from .common import expand, text_bytes
 from .suffix_dedup import keyed
 
-_RUN = "did long, rid long, lo long, n int, off int, key long, content long"
+_RUN = "did long, rid long, lo long, n int, key long, content long"
 _STEP_WORDS = 400_000
 
 
@@ -46,7 +46,7 @@ def _run_rows(window: int, gram: int):
         sizes = np.array([len(x[3]) for x in held], np.int64)
         ends = np.cumsum(sizes)
         symbols = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        lo, hi, anchor, key = runs(symbols, ends, window, gram)
+        lo, hi, _, key = runs(symbols, ends, window, gram)
         joined = b" ".join(words)
         stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], stops[:-1] + 1))
@@ -55,8 +55,8 @@ def _run_rows(window: int, gram: int):
         piece = np.searchsorted(ends, lo, side="right")
         shift = np.array([x[2] for x in held], np.int64)[piece] - (ends - sizes)[piece]
         did, rid = (np.array([x[k] for x in held], np.int64)[piece] for k in (0, 1))
-        columns = [did, rid, lo + shift, (hi - lo + 1).astype(np.int32), (anchor - lo).astype(np.int32), key, content.view(np.int64)]
-        return pa.record_batch(columns, names=["did", "rid", "lo", "n", "off", "key", "content"])
+        columns = [did, rid, lo + shift, (hi - lo + 1).astype(np.int32), key, content.view(np.int64)]
+        return pa.record_batch(columns, names=["did", "rid", "lo", "n", "key", "content"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -117,7 +117,7 @@ class SubstringIndex:
 
     def _write(self, rows: DataFrame, version: int) -> str:
         path = f"{self.path}/run-{version:08d}"
-        rows.select(*[x.split()[0] for x in _RUN.split(", ")]).repartition("key").sortWithinPartitions("key", "content").write.parquet(path)
+        rows.select(*[x.split()[0] for x in _RUN.split(", ")]).sortWithinPartitions("key", "content").write.parquet(path)
         return path
 
     def history(self) -> DataFrame:
@@ -127,7 +127,7 @@ class SubstringIndex:
 
     @staticmethod
     def _first(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key", "content").agg(F.min(F.struct("did", "rid", "lo", "n", "off")).alias("rep"))
+        return rows.groupBy("key", "content").agg(F.min(F.struct("did", "rid", "lo", "n")).alias("rep"))
 
     def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
         """Windows of ``batch`` (from :func:`keyed`) that stood earlier, as did, rid, lo, n.
@@ -150,9 +150,10 @@ class SubstringIndex:
         windows = materialize(texts.mapInArrow(_window_rows(self.window), "did long, rid long, lo long, a long, b long"), "batch-windows")
         firsts = windows.groupBy("a", "b").agg(F.min(F.struct("did", "rid", "lo")).alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m")
         later = windows.join(firsts, ["a", "b"]).filter("did != rep.did or rid != rep.rid or lo != rep.lo")
-        found = copies.unionByName(later.select("did", "rid", "lo", F.lit(1).alias("n")))
+        found = materialize(copies.unionByName(later.select("did", "rid", "lo", F.lit(1).alias("n"))), "hits")
         version = self._version()
         self._commit([*self.runs, self._write(self._first(members).select("key", "content", "rep.*"), version)], version)
+        release(members, mine, classes, windows)
         if len(self.runs) > self.max_runs:
             self.compact()
         return found
@@ -207,7 +208,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, index:
         part = rows if low is None else rows.filter(F.col("did") > low)
         part = part if high is None else part.filter(F.col("did") <= high)
         corpus = rows if high is None else rows.filter(F.col("did") <= high)
-        hits = materialize(index.add(part, corpus), "hits")
+        hits = index.add(part, corpus)
         found = hits if found is None else found.unionByName(hits)
     hits = found.groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n")).alias("listed"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
