@@ -5,8 +5,9 @@ is the hash of an anchor (see :mod:`.anchors`) of the windows that were seen, wi
 the words of its stretch of windows and where it stood first. A new batch is merge-joined with
 all runs by fingerprint. Equal stretches are settled at once; where stretches differ, their
 windows are taken from the texts and compared by digests of their words, so nothing is removed
-on a fingerprint alone. The batch then becomes a run of its own, and once there are many, runs
-are compacted to one.
+on a fingerprint alone. The batch itself is a run, sorted where it was read; it joins the index
+once it has been compared. Once there are many, runs are compacted to one, in which equal
+stretches are one row.
 """
 
 from __future__ import annotations
@@ -116,8 +117,9 @@ class SubstringIndex:
         return 1 + max([0, *(int(r.rsplit("-", 1)[1]) for r in self.runs)])
 
     def _write(self, rows: DataFrame, version: int) -> str:
+        # A version that isn't in the manifest is what a job that ended early left.
         path = f"{self.path}/run-{version:08d}"
-        rows.select(*[x.split()[0] for x in _RUN.split(", ")]).sortWithinPartitions("key", "content").write.parquet(path)
+        rows.select(*[x.split()[0] for x in _RUN.split(", ")]).sortWithinPartitions("key", "content").write.mode("overwrite").parquet(path)
         return path
 
     def history(self) -> DataFrame:
@@ -136,8 +138,9 @@ class SubstringIndex:
         A batch's documents come after those of earlier batches in (did, rid) order. The batch
         is a run of the index afterwards.
         """
-        members = materialize(batch.mapInArrow(_run_rows(self.window, self.gram), _RUN), "batch-runs")
-        history = self.history()
+        version, history = self._version(), self.history()
+        run = self._write(batch.mapInArrow(_run_rows(self.window, self.gram), _RUN), version)
+        members = self.spark.read.schema(_RUN).parquet(run)
         counts = members.select("key", F.lit(1).alias("new")).unionByName(history.select("key", F.lit(0).alias("new")))
         shared = counts.groupBy("key").agg(F.count("*").alias("m"), F.max("new").alias("new")).filter("m > 1 and new = 1").select("key")
         mine = materialize(members.join(shared, "key"), "batch-shared")
@@ -151,9 +154,8 @@ class SubstringIndex:
         firsts = windows.groupBy("a", "b").agg(F.min(F.struct("did", "rid", "lo")).alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m")
         later = windows.join(firsts, ["a", "b"]).filter("did != rep.did or rid != rep.rid or lo != rep.lo")
         found = materialize(copies.unionByName(later.select("did", "rid", "lo", F.lit(1).alias("n"))), "hits")
-        version = self._version()
-        self._commit([*self.runs, self._write(self._first(members).select("key", "content", "rep.*"), version)], version)
-        release(members, mine, classes, windows)
+        self._commit([*self.runs, run], version)
+        release(mine, classes, windows)
         if len(self.runs) > self.max_runs:
             self.compact()
         return found
