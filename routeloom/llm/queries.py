@@ -66,6 +66,16 @@ def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load_table(spark, sf_dir, "documents"), 8)
 
 
+#: All windows of all documents, each compared as a whole string.
+_SUBSTRINGS = r"""
+WITH listed AS (SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS word, generate_subscripts(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''), 1) AS p FROM documents),
+windows AS (SELECT doc_id, p, word, string_agg(word, ' ') OVER w AS s, count(*) OVER w AS n FROM listed WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+seen AS (SELECT doc_id, p, word, n = 20 AND row_number() OVER (PARTITION BY n, s ORDER BY doc_id, p) > 1 AS again FROM windows),
+covered AS (SELECT doc_id, p, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM seen),
+kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS words FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -82,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_index": _SUBSTRINGS}
