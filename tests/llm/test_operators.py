@@ -238,6 +238,39 @@ def test_near_distinct(spark, docs, empty):
     assert sorted(r["doc_id"] for r in twice.collect()) == left
 
 
+def test_near_links_of_large_shards(spark):
+    """Chains of copies in shards beyond a tree's size link as brute force does."""
+    from routeloom.llm.near_dedup import near_links
+
+    rng, words, texts = random.Random(4), [f"w{k}" for k in range(400)], []
+    for _ in range(3):
+        now = [rng.choice(words) for _ in range(90)]
+        for _ in range(25):
+            now = list(now)
+            for k in range(rng.randrange(1, 4)):
+                now[rng.randrange(len(now))] = rng.choice(words)
+            texts.append(" ".join(now))
+    texts = sorted(set(texts))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(86)} for t in texts]
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+    def components(links):
+        parent = list(range(len(texts)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(x) for x in range(len(texts))]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    for size in (1000, 5):
+        assert components([(r["i"], r["j"]) for r in near_links(df, 5, 0.8, 26, max_tree=size).collect()]) == components(want)
+
+
 def test_leaks(spark, docs, empty):
     from routeloom.llm.decontaminate import drop_leaks, leaks
 
@@ -329,3 +362,17 @@ def test_sharding(docs, empty):
 
     assert max(sizes.values()) == min(c for c in range(max(order), sum(order) + 1) if fits(c))
     assert shard_documents(empty, 3).count() == 0
+
+
+def test_sql_agrees(spark):
+    import duckdb
+
+    from routeloom.llm.queries import oracle_sql, queries
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    for name, text in oracle_sql().items():
+        df, found = queries()[name](spark, "/root/testdata/sf0.01"), c.sql(text)
+        columns = sorted(df.columns)
+        assert columns == sorted(found.columns)
+        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(found.select(*columns).fetchall())
