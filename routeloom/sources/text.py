@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,8 +10,12 @@ _LINE = T.StructType([T.StructField("value", T.StringType()), T.StructField("lin
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line: non-empty lines in file order (one counting pass)."""
-    lines = spark.read.text(path).filter("trim(value) != ''")
+    """value, line: non-empty lines in the order of file names and lines (one counting pass).
+
+    Spark may read larger files first, so the lines are put in order by file and block.
+    """
+    placed = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    lines = placed.filter("trim(value) != ''").orderBy("file_path", "file_block_start", "at").select("value")
     return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[0][0].strip(), x[1])), _LINE)
 
 
@@ -82,6 +86,94 @@ def read_tsplib(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return _counted(rows, int(header["DIMENSION"]), path), norm
 
 
+def _matrix_place(layout: str, k: Column, n: int) -> tuple[Column, Column]:
+    """Row and column of the k-th number of a matrix file."""
+    if layout == "FULL_MATRIX":
+        return F.floor(k / n), k % n
+    # Upper rows are the lower triangle's, read from the end.
+    rows = n - 1 if layout == "UPPER_ROW" else n
+    k = k if layout == "LOWER_DIAG_ROW" else F.lit(rows * (rows + 1) // 2 - 1) - k
+    guess = F.floor((F.sqrt(8 * k + 1) - 1) / 2)
+    row = F.when(guess * (guess + 1) / 2 > k, guess - 1).when((guess + 1) * (guess + 2) / 2 <= k, guess + 1).otherwise(guess)
+    column = k - F.floor(row * (row + 1) / 2)
+    return (row, column) if layout == "LOWER_DIAG_ROW" else (F.lit(rows - 1) - row, F.lit(n - 1) - column)
+
+
+#: Layouts of explicit matrices, and how many numbers one of n nodes has.
+MATRIX_LAYOUTS = {"LOWER_DIAG_ROW": lambda n: n * (n + 1) // 2, "UPPER_ROW": lambda n: n * (n - 1) // 2, "UPPER_DIAG_ROW": lambda n: n * (n + 1) // 2, "FULL_MATRIX": lambda n: n * n}
+
+
+def read_tsplib_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """i, j, len with i < j of an explicit matrix, of which the upper triangle counts; numbers may flow across lines."""
+    lines = numbered_lines(spark, path)
+    start = lines.filter(F.col("value").startswith("EDGE_WEIGHT_SECTION")).agg(F.min("line")).first()[0]
+    if start is None:
+        raise ValueError(f"{path}: no matrix")
+    header = dict(x.replace(" ", "").split(":", 1) for (x,) in lines.filter(F.col("line") < start).select("value").collect() if ":" in x)
+    layout, n = header.get("EDGE_WEIGHT_FORMAT", ""), int(header["DIMENSION"])
+    if layout not in MATRIX_LAYOUTS:
+        raise ValueError(f"{path}: layout {layout}")
+    stop = lines.filter((F.col("line") > start) & F.col("value").rlike("^[A-Z]")).agg(F.min("line")).first()[0]
+    body = lines.filter((F.col("line") > start) & (F.col("line") < (2**62 if stop is None else stop)))
+    tokens = body.select("line", F.posexplode(F.split("value", r"\s+")).alias("at", "t")).orderBy("line", "at")
+    stream = spark.createDataFrame(tokens.rdd.map(lambda r: r["t"]).zipWithIndex(), "t string, k long")
+    _counted(stream, MATRIX_LAYOUTS[layout](n), path)
+    row, column = (x.cast("long") for x in _matrix_place(layout, F.col("k"), n))
+    kept = row < column if layout == "FULL_MATRIX" else row != column
+    return stream.select(row.alias("r"), column.alias("c"), F.col("t").cast("double").cast("long").alias("len"), kept.alias("kept")).filter("kept").select(F.least("r", "c").alias("i"), F.greatest("r", "c").alias("j"), "len")
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """id, w of a file ``n``, then a weight per line; shifted so that none is negative."""
+    lines = numbered_lines(spark, path)
+    n = int(lines.filter("line = 0").first()["value"].split()[0])
+    return shift_nonnegative(_counted(_fields(lines, ["w"], ["double"], 1), n, path))
+
+
+def shift_nonnegative(weights: DataFrame) -> DataFrame:
+    """Weights less their minimum if that is negative."""
+    low = weights.agg(F.min("w")).first()[0]
+    return weights if low is None or low >= 0 else weights.withColumn("w", F.col("w") - F.lit(low))
+
+
+_REGION = {"part_id": "long", "x0": "double", "x1": "double", "y0": "double", "y1": "double", "cnt": "long", "bound": "double"}
+_SEGMENT = {"seg_id": "long", "cnt": "long", "start": "long", "origlen": "long", "newlen": "long"}
+
+
+def _read_index(spark: SparkSession, path: str, columns: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    lines = numbered_lines(spark, path)
+    head, count = (r["value"].split() for r in lines.filter("line < 2").orderBy("line").collect())
+    return _counted(_fields(lines, list(columns), list(columns.values()), 2).drop("id"), int(count[0]), path), head
+
+
+def _write_index(rows: DataFrame, columns: dict[str, str], head: str, path: str) -> None:
+    parts = [F.col(c).cast(t) for c, t in columns.items()]
+    body = rows.select(parts[0].alias("at"), F.concat_ws(" ", *parts).alias("value"))
+    count = rows.agg(F.count("*").cast("string").alias("value")).select(F.lit(-1).cast("long").alias("at"), "value")
+    top = rows.sparkSession.range(1).select(F.lit(-2).cast("long").alias("at"), F.lit(head).alias("value"))
+    top.unionByName(count).unionByName(body).orderBy("at").select("value").write.text(path)
+
+
+def read_region_index(spark: SparkSession, path: str) -> tuple[DataFrame, str, int]:
+    """Regions, label and number of nodes of a file ``label n``, count, then ``id x0 x1 y0 y1 cnt bound`` per line."""
+    rows, head = _read_index(spark, path, _REGION)
+    return rows, head[0], int(head[1])
+
+
+def write_region_index(regions: DataFrame, label: str, n: int, path: str) -> None:
+    _write_index(regions, _REGION, f"{label} {n}", path)
+
+
+def read_segment_index(spark: SparkSession, path: str) -> tuple[DataFrame, str, int, int]:
+    """Segments, label, number of nodes and tour length of a file ``label n tourlen``, count, then ``id cnt start origlen newlen`` per line."""
+    rows, head = _read_index(spark, path, _SEGMENT)
+    return rows, head[0], int(head[1]), int(head[2])
+
+
+def write_segment_index(segments: DataFrame, label: str, n: int, length: int, path: str) -> None:
+    _write_index(segments, _SEGMENT, f"{label} {n} {length}", path)
+
+
 def write_edges(edges: DataFrame, n: int, path: str) -> None:
     """``n m``, then ``i j len`` lines in (i, j) order."""
     head = edges.agg(F.concat_ws(" ", F.lit(n), F.count("*")).alias("value")).withColumns({"i": F.lit(-1), "j": F.lit(-1)})
