@@ -1,19 +1,13 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: an exact index of item parts, exact edit verification.
 
-Texts are sequences of words. The CGK random walk turns a sequence of n words into one of 3 n:
-step j writes the current word and moves on by a random bit that depends on j and the word, so
-sequences at a small edit distance mostly agree place by place. Bit sampling picks a few places
-of the walk; a window and an item that agree on all of them in any repetition are candidates,
-and the number of repetitions follows from the target recall. Candidates are verified by the
-exact edit distance between the item and the best substring there.
-
-Of all item-sized windows only those can lie within ``k`` edits of an item that hold one of
-``k + 1`` disjoint parts of it unchanged; the others aren't embedded, which loses nothing.
+Texts are sequences of words. A place of a text can only lie within ``k`` edits of an item if it
+holds one of ``k + 1`` disjoint parts of the item unchanged. Every place that an index of the
+parts proposes is verified: a bit-parallel pass gives the least edits between the item and any
+substring there, and an exact table the best place. No step is probabilistic, so none loses a leak.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -23,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand, mix, steps, text_bytes
+from .common import expand, steps, text_bytes
 
 #: ASCII characters other than letters and digits separate words.
 _TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -40,9 +34,9 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class ItemBlock:
-    """The items of one block with their parts and embeddings."""
+    """The items of one block with an index of their parts."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, sampled: int, recall: float, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str]], similarity: float):
         found = [(i, item_words(t)) for i, t in items]
         found = [(i, w) for i, w in found if w]
         self.ids = [i for i, _ in found]
@@ -51,6 +45,7 @@ class ItemBlock:
         self.items = [np.array([self.codes[w] for w in ws], np.int64) for _, ws in found]
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.edits = np.floor((1 - similarity) * self.sizes + 1e-9).astype(np.int64)
+        self._masks: dict[int, dict[int, int]] = {}
         parts: dict[int, list[tuple[int, int, int]]] = {}
         for k, (words, edits) in enumerate(zip(self.items, self.edits.tolist())):
             cuts = [len(words) * p // (edits + 1) for p in range(edits + 2)]
@@ -60,13 +55,6 @@ class ItemBlock:
         for size, rows in parts.items():
             rows.sort()
             self.parts[size] = tuple(np.array(x, np.uint64 if n == 0 else np.int64) for n, x in enumerate(zip(*rows)))
-        # A place of the walk agrees with probability 1 - 2 * edits / (3 * size) or so.
-        agree = (1 - 2 * (1 - similarity) / 3) ** sampled
-        self.repetitions = max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
-        self.seeds = mix(np.arange(1, self.repetitions + 1, dtype=np.uint64) * np.uint64(2 * seed + 1))
-        picked = mix((np.arange(self.repetitions * sampled, dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)).reshape(self.repetitions, sampled)
-        self.picks = [(picked % np.uint64(3 * n)).astype(np.int64) for n in range(1, int(self.sizes.max(initial=1)) + 1)]
-        self.embedded = self.embed(self.items) if self.items else np.zeros((0, self.repetitions), np.uint64)
 
     @staticmethod
     def _gram(words: np.ndarray) -> int:
@@ -75,29 +63,17 @@ class ItemBlock:
             total = (total * 0x100000001B3 + w) & 0xFFFFFFFFFFFFFFFF
         return total
 
-    def embed(self, windows: list[np.ndarray]) -> np.ndarray:
-        """One number for each window and repetition: the sampled places of its walk."""
-        sizes = np.array([len(x) for x in windows], np.int64)
-        width = int(sizes.max())
-        grid = np.zeros((len(windows), width + 1), np.uint64)
-        for k, x in enumerate(windows):
-            grid[k, : len(x)] = x
-        at = np.zeros((len(windows), self.repetitions), np.int64)
-        picks = np.stack([self.picks[n - 1] for n in sizes])  # window, repetition, place
-        out = np.zeros(at.shape, np.uint64)
-        rows = np.arange(len(windows))[:, None]
-        for step in range(3 * width):
-            word = grid[rows, np.minimum(at, width)]
-            hashed = mix(word * np.uint64(0x9E3779B97F4A7C15) + self.seeds + np.uint64(step * 0x51ED27))
-            for place in range(picks.shape[2]):
-                hit = picks[:, :, place] == step
-                out[hit] = mix(out[hit] + word[hit] + np.uint64(place + 1))
-            at += ((hashed >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-        return out
-
-
-    def candidates(self, codes: np.ndarray) -> np.ndarray:
-        """(item, window start) pairs for whose window a part stands unchanged, in one text stream."""
+    def masks(self, item: int) -> dict[int, int]:
+        """For each word of an item the bits of its places."""
+        found = self._masks.get(item)
+        if found is None:
+            found = self._masks[item] = {}
+            for n, word in enumerate(self.items[item].tolist()):
+                found[word] = found.get(word, 0) | 1 << n
+        return found
+
+    def candidates(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(document, item, window start) for whose window a part stands unchanged, in one text stream."""
         known = np.concatenate(([0], np.cumsum(codes > 0)))
         found = []
         for size, (hashes, items, offsets) in self.parts.items():
@@ -108,9 +84,32 @@ class ItemBlock:
             for k in range(size):
                 values = values * np.uint64(0x100000001B3) + codes[at + k].astype(np.uint64)
             low, high = np.searchsorted(hashes, values, "left"), np.searchsorted(hashes, values, "right")
-            rows = expand(low, high - low)
-            found.append(np.column_stack((items[rows], np.repeat(at, high - low) - offsets[rows])))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            rows, at = expand(low, high - low), np.repeat(at, high - low)
+            found.append(np.column_stack((np.searchsorted(ends, at, side="right"), items[rows], at - offsets[rows])))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+
+
+def least_edits(masks: dict[int, int], size: int, text: list[int]) -> tuple[int, int]:
+    """Least word edits between an item of ``size`` words and any substring of ``text``, and the first end of such a one.
+
+    Columns of the edit table are kept as the bits of their differences (Myers).
+    """
+    full, high = (1 << size) - 1, 1 << size - 1
+    up, down, now, best, end = full, 0, size, size, 0
+    for k, word in enumerate(text, 1):
+        same = masks.get(word, 0)
+        side = same | down
+        same = ((same & up) + up ^ up) | same
+        more, less = (down | ~(same | up)) & full, up & same
+        if more & high:
+            now += 1
+        elif less & high:
+            now -= 1
+            if now < best:
+                best, end = now, k
+        more, less = more << 1 & full, less << 1 & full
+        up, down = (less | ~(side | more)) & full, more & side
+    return best, end
 
 
 def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -132,19 +131,12 @@ def _leak_rows(block: ItemBlock):
             stream = np.concatenate([np.zeros(0, np.int64), *(np.append(np.fromiter(map(block.codes.get, w, repeat(0)), np.int64, len(w)), -1) for w in words)])
             ends = np.cumsum([len(w) + 1 for w in words])
             leaks: dict[tuple[int, int], tuple] = {}
-            for part in _blocks(block.candidates(stream), 4096):
-                item, start = part[:, 0], part[:, 1]
-                # The window, moved into the document that holds the part.
-                doc = np.searchsorted(ends, np.maximum(start, 0) + block.sizes[item] // 2, side="right")
-                for near in (-1, 0, 1):
-                    k = np.clip(doc + near, 0, len(ends) - 1)
-                    first, last = ends[k] - len_of(words, k) - 1, ends[k] - 1
-                    inside = (start + block.sizes[item] + block.edits[item] > first) & (start - block.edits[item] < last) & (k == doc + near)
-                    for hit in _similar(block, stream, item[inside], start[inside], first[inside], last[inside]):
-                        n, edits, a, b = hit
-                        d, i = int(k[inside][n]), int(item[inside][n])
-                        row = (edits, a - int(first[inside][n]), b - int(first[inside][n]))
-                        leaks[d, i] = min(leaks.get((d, i), row), row)
+            for d, i, low, high in _regions(block, stream, ends):
+                row = _verified(block, i, stream[low:high])
+                if row:
+                    first = int(ends[d]) - len(words[d]) - 1
+                    row = (row[0], low + row[1] - first, low + row[2] - first)
+                    leaks[d, i] = min(leaks.get((d, i), row), row)
             if leaks:
                 ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
                 keys = sorted(leaks)
@@ -163,36 +155,32 @@ def _leak_rows(block: ItemBlock):
     return rows
 
 
-def len_of(words: list, k: np.ndarray) -> np.ndarray:
-    return np.array([len(w) for w in words], np.int64)[k]
-
-
-def _blocks(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    for k in range(0, len(rows), size):
-        yield rows[k : k + size]
-
-
-def _similar(block: ItemBlock, stream: np.ndarray, item: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Windows that pass the LSH and the exact check: (row, edits, start, end) in the stream."""
-    if not len(item):
-        return
-    begin = np.clip(start, first, last)
-    stop = np.clip(start + block.sizes[item], begin, last)
-    rows = np.flatnonzero(stop > begin)
-    if not len(rows):
-        return
-    windows = [stream[a:b] for a, b in zip(begin[rows].tolist(), stop[rows].tolist())]
-    alike = [w if len(w) == block.sizes[i] else np.append(w, np.zeros(block.sizes[i] - len(w), np.int64)) for w, i in zip(windows, item[rows].tolist())]
-    agree = (block.embed(alike) == block.embedded[item[rows]]).any(axis=1)
-    for n in rows[agree].tolist():
-        i, slack = int(item[n]), int(block.edits[item[n]])
-        a, b = max(int(first[n]), int(start[n]) - slack), min(int(last[n]), int(start[n] + block.sizes[i]) + slack)
-        edits, x, y = best_place(block.items[i], stream[a:b])
-        if edits <= slack:
-            yield n, edits, a + x, a + y
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, sampled: int = 3, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _regions(block: ItemBlock, stream: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, low, high): all parts of the stream that may hold an item; those that overlap are one."""
+    doc, item, start = block.candidates(stream, ends).T
+    low = np.maximum(start - block.edits[item], np.concatenate(([0], ends))[doc])
+    high = np.minimum(start + block.sizes[item] + block.edits[item], ends[doc] - 1)
+    # Rows are in the order of document, item and start, so both borders rise inside an item.
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1 if len(first) else first
+    yield from zip(doc[first].tolist(), item[first].tolist(), low[first].tolist(), high[last].tolist())
+
+
+def _verified(block: ItemBlock, item: int, text: np.ndarray) -> tuple[int, int, int] | None:
+    """The best place of an item in ``text`` as (edits, start, end), if it is within the allowed edits."""
+    size = int(block.sizes[item])
+    edits, end = least_edits(block.masks(item), size, text.tolist())
+    if edits > block.edits[item]:
+        return None
+    # A place as good that starts no later ends at most 2 * edits words later.
+    low = max(0, end - size - edits)
+    edits, a, b = best_place(block.items[item], text[low : end + 2 * edits])
+    return edits, low + a, low + b
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where documents hold benchmark items, at most ``1 - similarity`` of an item's words being edited.
 
     Returns a row for each document and item that it holds: doc_id, rid (hash of the text),
@@ -206,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, sample
     held, found = [], None
 
     def matched() -> DataFrame:
-        part = rows.mapInArrow(_leak_rows(ItemBlock(held, similarity, sampled, recall)), _LEAK)
+        part = rows.mapInArrow(_leak_rows(ItemBlock(held, similarity)), _LEAK)
         return part if found is None else found.unionByName(part)
 
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():

@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -286,6 +287,58 @@ def test_leaks(spark, docs, empty):
     assert leaks(empty, benchmark).count() == 0 and leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_at_all_allowed_edits(spark):
+    """Items of each size are found with as many edits as are allowed, at the place that brute force finds."""
+    from routeloom.llm.decontaminate import ItemBlock, best_place, leaks, least_edits
+
+    rng, items, rows, want = random.Random(11), [], [], {}
+    names = [f"w{k}" for k in range(3000)]
+    for size in (15, 30, 60, 100, 140):
+        for kind in ("substitute", "delete", "insert") * 8:
+            item = [rng.choice(names) for _ in range(size)]
+            edited = list(item)
+            for n, k in enumerate(sorted(rng.sample(range(size), size // 5), reverse=True)):
+                if kind == "delete":
+                    del edited[k]
+                else:
+                    edited[k : k + (kind == "substitute")] = [f"x{n}"]
+            key = len(items)
+            items.append((key, " ".join(item)))
+            rows.append((key, " ".join([rng.choice(names) for _ in range(50)] + edited + [rng.choice(names) for _ in range(50)])))
+            edits, start, end = best_place(ItemBlock([(0, " ".join(item))], 0.8).items[0], _codes(item, rows[-1][1]))
+            assert edits <= size // 5
+            want[key, key] = (edits, start, end)
+    found = leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in found.collect()} == want
+    for _ in range(300):
+        item, text = [rng.randrange(1, 4) for _ in range(rng.randrange(1, 9))], [rng.randrange(5) for _ in range(rng.randrange(30))]
+        masks = {w: sum(1 << k for k, x in enumerate(item) if x == w) for w in item}
+        assert least_edits(masks, len(item), text)[0] == best_place(np.array(item), np.array(text))[0]
+
+
+def _codes(item, text):
+    codes = {w: k + 1 for k, w in enumerate(sorted({w.encode() for w in item}))}
+    return np.array([codes.get(w.encode(), 0) for w in text.split()])
+
+
+def test_leaks_in_small_texts(spark):
+    """Short items and texts of few words, next to each other, as brute force over all pairs."""
+    from routeloom.llm.decontaminate import ItemBlock, best_place, leaks
+
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 13)))) for k in range(25)]
+    rows = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 20)))) for k in range(120)]
+    want = {}
+    for i, item in items:
+        block = ItemBlock([(i, item)], 0.8)
+        for d, text in rows:
+            best = best_place(block.items[0], _codes(item.split(), text))
+            if best[0] <= block.edits[0]:
+                want[d, i] = best
+    found = leaks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in found.collect()} == want
+
+
 def test_quality(spark, docs, empty):
     from routeloom.llm.quality import keep_good, quality_scores
 
