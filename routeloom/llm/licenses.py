@@ -1,10 +1,12 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line) meets a template when it holds at least ``threshold`` of the template's
-distinct words. Words are ordered by how many documents hold them, rarest first. A block that
-misses all of a template's first ``size - needed + 1`` words can't meet it (prefix filter), nor
-can one with fewer words than needed (length filter), nor one whose first shared word stands so
-late in both orders that too few words follow (positional filter). What is left is counted.
+A block (any window of as many words as the template has, over line ends too) meets a template
+when it holds at least ``threshold`` of the template's distinct words, and all words that name the
+license and its version. Words are ordered by how many documents hold them, rarest first. A text
+that misses all of a template's first ``size - needed + 1`` words can't have such a block (prefix
+filter), nor can one with fewer words than needed (length filter), nor one whose first shared word
+stands so late in both orders that too few words follow (positional filter). In the texts that are
+left, each window's distinct words are counted as it moves on.
 """
 
 from __future__ import annotations
@@ -22,17 +24,17 @@ from .common import steps, text_bytes
 #: Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Public license notices and their labels.
+#: Public license notices: their labels, words and, where they name a license, the words that tell it from others.
 TEMPLATES = (
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
-    ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache 2 0"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache 2 0"),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under the creative commons attribution sharealike license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "licensed under the creative commons attribution sharealike license", "creative commons sharealike"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public 3"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "released under the mit license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "released under the mit license", "mit"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2 0"),
 )
 
 #: Lower-cases A-Z; what isn't a letter, a digit or beyond ASCII separates words.
@@ -47,10 +49,13 @@ class Templates:
     """Templates with their words in a global order, and an index of their prefixes."""
 
     def __init__(self, templates, counts: dict[bytes, int], threshold: float):
-        self.labels = [label for label, _ in templates]
-        vocabulary = sorted({w for _, t in templates for w in words_of(t.encode())}, key=lambda w: (counts.get(w, 0), w))
+        self.labels = [t[0] for t in templates]
+        words = [words_of(t[1].encode()) for t in templates]
+        vocabulary = sorted({w for ws in words for w in ws}, key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: k for k, w in enumerate(vocabulary)}
-        self.sets = [sorted({self.rank[w] for w in words_of(t.encode())}) for _, t in templates]
+        self.lengths = [len(ws) for ws in words]
+        self.sets = [sorted({self.rank[w] for w in ws}) for ws in words]
+        self.names = [frozenset(self.rank[w] for w in words_of("".join(t[2:]).encode())) for t in templates]
         self.needed = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, (ranks, needed) in enumerate(zip(self.sets, self.needed)):
@@ -58,9 +63,11 @@ class Templates:
                 self.prefix.setdefault(r, []).append((k, place))
         self.rare = frozenset(w for w, r in self.rank.items() if r in self.prefix)
 
-    def matches(self, block: list[bytes]) -> dict[int, float]:
-        """Containment of each template that the block meets."""
-        own = sorted({self.rank[w] for w in block if w in self.rank})
+    def matches(self, words: list[bytes]) -> dict[int, float]:
+        """The largest containment in a window of ``words`` of each template that a window meets."""
+        ranks = [self.rank.get(w, -1) for w in words]
+        held = frozenset(ranks)
+        own = sorted(held - {-1})
         found: dict[int, float] = {}
         seen: set[int] = set()
         for j, r in enumerate(own):
@@ -71,11 +78,31 @@ class Templates:
                 size, needed = len(self.sets[k]), self.needed[k]
                 if len(own) < needed or 1 + min(size - place - 1, len(own) - j - 1) < needed:
                     continue
-                shared = len(set(own).intersection(self.sets[k]))
-                if shared >= needed:
-                    found[k] = shared / size
+                if self.names[k] <= held and len(held.intersection(self.sets[k])) >= needed:
+                    shared = self._most(ranks, k)
+                    if shared >= needed:
+                        found[k] = shared / size
         return found
 
+    def _most(self, ranks: list[int], k: int) -> int:
+        """Most distinct words of template ``k`` in one window that has its names, 0 without such a window."""
+        template, names, length = frozenset(self.sets[k]), self.names[k], self.lengths[k]
+        places = [(at, r) for at, r in enumerate(ranks) if r in template]
+        inside: dict[int, int] = {}
+        best = first = 0
+        for at, r in places:
+            inside[r] = inside.get(r, 0) + 1
+            while places[first][0] <= at - length:
+                gone = places[first][1]
+                first += 1
+                if inside[gone] == 1:
+                    del inside[gone]
+                else:
+                    inside[gone] -= 1
+            if len(inside) > best and names <= inside.keys():
+                best = len(inside)
+        return best
+
 
 def _count_rows(vocabulary: frozenset[bytes]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +144,7 @@ def _scan_rows(templates: Templates, phrases):
                     continue
                 places = [(at, label) for p, label in split for at in _places(words, p)]
                 base = {label for _, label in places}
-                met: dict[int, float] = {}
-                for line in text.split(b"\n"):
-                    block = words_of(line)
-                    if not templates.rare.isdisjoint(block):
-                        for k, share in templates.matches(block).items():
-                            met[k] = max(met.get(k, 0.0), share)
+                met = {} if templates.rare.isdisjoint(words) else templates.matches(words)
                 labels = base | {templates.labels[k] for k in met}
                 starts = [at for at, _ in places]
                 out.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), max(met.values(), default=0.0)))
@@ -138,13 +160,14 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
 
     Returns doc_id, n_words, n_base (places of the phrases), first_word and last_word (smallest
     and largest of them, null if none), base_labels, labels (of phrases and templates; sorted,
-    comma-joined) and score (the largest containment of a template that a line meets, else 0).
+    comma-joined) and score (the largest containment of a template that a window meets, else 0).
+    ``templates``: label, words and, optionally, the words among them that a window has to hold.
     The number of documents that hold each template word is counted over all documents first;
     that table is as large as the templates' vocabulary. Null texts count as empty; null ids
     and repeated rows come back as they are; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary = frozenset(w for _, t in templates for w in words_of(t.encode()))
+    vocabulary = frozenset(w for t in templates for w in words_of(t[1].encode()))
     counted = rows.select("text").mapInArrow(_count_rows(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = {r["word"].encode(): r["n"] for r in counted.collect()}  # a row for each template word
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -150,6 +150,59 @@ def test_licenses(docs, empty):
     assert scan_licenses(empty).count() == 0
 
 
+def test_wrapped_licenses_and_near_misses(spark):
+    from routeloom.llm.licenses import TEMPLATES, scan_licenses
+
+    mit = """// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal"""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla
+Public License, v. 2.0. If a copy of the MPL was not distributed"""
+    gpl = "This work is licensed under the GNU General Public License version "
+    scattered = [w for _, t, *_ in TEMPLATES if "hereby" in t for w in t.split()]
+    cases = [
+        (mit, "mit"),
+        (bsd, "bsd-3"),
+        (mpl, "mpl-2"),
+        ("int x;\n" + mit + "\n\n" + bsd, "bsd-3,mit"),
+        ("Licensed under the Apache\nLicense, Version 2.0", "apache-2"),
+        ("Licensed under the Apache License, Version 1.1", ""),
+        ("Licensed under the Apache License, Version 1.0", ""),
+        ("Released under\nMIT license", "mit"),
+        ("released under the GPL license", ""),
+        ("licensed under CC BY-SA 4.0", ""),
+        ("licensed under CC BY-NC 4.0", "cc-by-nc"),
+        ("licensed under the creative commons attribution noncommercial license", ""),
+        (gpl + "3", "gpl-3"),
+        (gpl + "2", ""),
+        (mpl.replace("2.0", "1.1"), ""),
+        (" lorem ipsum dolor ".join(scattered), ""),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = by_id(scan_licenses(df))
+    assert [found[k]["labels"] for k in range(len(cases))] == [label for _, label in cases]
+
+
+def test_license_windows_by_brute_force():
+    from routeloom.llm.licenses import Templates, words_of
+
+    rng = random.Random(13)
+    for _ in range(400):
+        rows = [(str(k), " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7)))) for k in range(3)]
+        rows = [(k, t, *[rng.choice(t.split())][: rng.randrange(2)]) for k, t in rows]
+        words = [rng.choice("abcdefghij").encode() for _ in range(rng.randrange(0, 25))]
+        want = {}
+        for k, (_, t, *names) in enumerate(rows):
+            own, n = set(words_of(t.encode())), len(t.split())
+            windows = [set(words[a : a + n]) & own for a in range(len(words))]
+            best = max((len(w) for w in windows if {x.encode() for x in names} <= w), default=0)
+            if best >= 0.8 * len(own):
+                want[k] = best / len(own)
+        assert Templates(rows, {w: rng.randrange(9) for w in map(str.encode, "abcdefgh")}, 0.8).matches(words) == want
+
+
 def test_substring_index(spark, docs, empty, tmp_path):
     from routeloom.llm.substring_index import SubstringIndex, substring_dedup
     from routeloom.llm.suffix_dedup import keyed
