@@ -1,20 +1,22 @@
 """Quality rules: counts of each text, and a hashed n-gram log-likelihood ratio, natively in Spark.
 
 Word unigrams and bigrams are hashed into a fixed number of buckets. The corpus multinomial is
-counted over all documents, the target multinomial over trusted ones; a document's score is the
-mean over its n-grams of ``ln(p_target / p_corpus)``. Documents under a threshold go.
+counted over all documents, the target multinomial over half of all trusted ones; a document's
+score is the mean over its n-grams of ``ln(p_target / p_corpus)``. Documents under a threshold,
+which is taken from the scores of all of the other half, go.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs.session import materialize
+from ..operators.ranking import ranked
 
 BUCKETS = 1 << 16
-#: Labelled documents that the target multinomial and the threshold are taken from, at most.
-TRUSTED = 20_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORDS = f"array_remove(split(t, r'{_SPACE}'), '')"
@@ -60,39 +62,53 @@ def _grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("did", "rid", F.explode(F.expr(buckets)).alias("bucket"))
 
 
-def _trusted(labels: DataFrame, limit: int) -> DataFrame:
-    """did, part: up to ``limit`` documents labelled good, chosen by a hash; part 0 makes the target, part 1 the threshold."""
+def _trusted(labels: DataFrame) -> DataFrame:
+    """did, part: all documents labelled good, halved by a hash; part 0 makes the target, part 1 the threshold."""
     good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("did")).agg(F.min("quality").alias("q")).filter("q = 1")
-    return good.orderBy(F.xxhash64("did"), "did").limit(limit).select("did", F.pmod(F.xxhash64("did", F.lit(1)), F.lit(2)).cast("int").alias("part"))
+    return good.select("did", F.pmod(F.xxhash64("did", F.lit(1)), F.lit(2)).cast("int").alias("part"))
 
 
-def likelihood_ratios(docs: DataFrame, labels: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5) -> DataFrame:
+def likelihood_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 0.5) -> DataFrame:
     """bucket, ratio: smoothed ``ln(p_target / p_corpus)``; at most ``BUCKETS`` rows, which are written."""
-    target = trusted.filter("part = 0").select("did", F.lit(1).alias("target"))
-    grams = _grams(docs, id_col, text_col).join(F.broadcast(target), "did", "left")  # TRUSTED rows at most
-    counts = materialize(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("good")), "bucket-counts")
+    target = trusted.filter("part = 0").select("did").hint("shuffle_hash")
+    texts = docs.select(F.col(id_col).cast("long").alias("did"), F.col(text_col)).join(target, "did", "left_semi")
+    good = _grams(texts, "did", text_col).groupBy("bucket").agg(F.count("*").alias("good"))
+    raw = _grams(docs, id_col, text_col).groupBy("bucket").agg(F.count("*").alias("raw"))
+    counts = materialize(raw.join(good, "bucket", "left").select("bucket", "raw", F.coalesce("good", F.lit(0)).alias("good")), "bucket-counts")
     raw, good = counts.agg(F.sum("raw"), F.sum("good")).first()
     p_good = (F.col("good") + prior) / ((good or 0) + prior * BUCKETS)
     p_raw = (F.col("raw") + prior) / ((raw or 0) + prior * BUCKETS)
     return counts.select("bucket", (F.log(p_good / p_raw) if good else F.lit(0.0)).alias("ratio"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_limit: int = TRUSTED, below: float = 0.001, margin: float = 0.5) -> DataFrame:
+def _quantiles(rows: DataFrame, value: str, order: list[str], fractions: list[float]) -> list[float | None]:
+    """Exact quantiles of all rows, between two ranks in proportion; no task holds them all."""
+    rows = materialize(rows, "quantile-rows")
+    n = rows.count()
+    if not n:
+        return [None] * len(fractions)
+    at = [f * (n - 1) for f in fractions]
+    wanted = sorted({k for x in at for k in (math.floor(x), math.ceil(x))})
+    found = {r["rank"]: r[value] for r in ranked(rows, [value, *order]).filter(F.col("rank").isin(wanted)).collect()}  # two rows a fraction
+    return [found[math.floor(x)] if x == math.floor(x) else (math.ceil(x) - x) * found[math.floor(x)] + (x - math.floor(x)) * found[math.ceil(x)] for x in at]
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", below: float = 0.001, margin: float = 0.5) -> DataFrame:
     """Counts, score and verdict for each row of ``docs``.
 
     ``labels`` (doc_id, quality): documents with quality 1 (in all their rows) are trusted.
-    The threshold is the ``below`` quantile of the scores of trusted documents that didn't make
-    the target multinomial, less ``margin`` times the distance from there to their median.
+    The threshold is the ``below`` quantile of the scores of all trusted documents that didn't
+    make the target multinomial, less ``margin`` times the distance from there to their median.
     Returns doc_id, rid, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score,
     base_failed and kept. Null texts count as empty and fail; without trusted documents the
     score is 0 and the base rules decide. Repeated rows get equal verdicts.
     """
-    trusted = materialize(_trusted(labels, trusted_limit), "trusted")
-    ratios = likelihood_ratios(docs, labels, trusted, id_col, text_col)
+    trusted = materialize(_trusted(labels), "trusted")
+    ratios = likelihood_ratios(docs, trusted, id_col, text_col)
     grams = _grams(docs, id_col, text_col).join(F.broadcast(ratios), "bucket")  # BUCKETS rows at most
     scores = materialize(grams.groupBy("did", "rid").agg((F.sum("ratio") / F.count("*")).alias("score")), "scores")
-    held_out = scores.join(F.broadcast(trusted.filter("part = 1")), "did")
-    low, mid = held_out.agg(F.percentile("score", F.lit(below)), F.percentile("score", F.lit(0.5))).first()
+    held_out = scores.join(trusted.filter("part = 1").select("did"), "did", "left_semi")
+    low, mid = _quantiles(held_out, "score", ["did", "rid"], [below, 0.5])
     threshold = float("-inf") if low is None else low - margin * (mid - low)
     counts = text_counts(docs, id_col, text_col).withColumn("did", F.coalesce("doc_id", F.lit(-(2**63))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

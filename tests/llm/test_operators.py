@@ -408,6 +408,50 @@ def test_quality(spark, docs, empty):
     assert quality_scores(empty, labels).count() == 0 and keep_good(docs, labels.limit(0)).count() > 0
 
 
+def test_quality_uses_all_trusted_documents(spark):
+    """Scores and threshold as by hand from all of 24,000 trusted documents; one of them is in a language of its own."""
+    import math
+
+    from routeloom.llm.quality import BUCKETS, quality_scores
+
+    rng = random.Random(14)
+    names = [f"w{k}" for k in range(500)]
+    rows = [(k, " ".join(rng.choice(names[: 20 + k % 481]) + rng.choice("ab") for _ in range(12))) for k in range(24_500)]
+    rows += [(k, " ".join(f"z{k % 7}{j}" for j in range(12))) for k in range(24_500, 24_520)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 50 != 0)) for k, _ in rows], "doc_id long, quality int")
+    part = {r[0]: r[1] for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id, 1), 2)").collect()}
+
+    def grams(text):
+        words = text.encode().split()
+        one = [xxhash.xxh64_intdigest(w, 42) for w in words]
+        return [h % BUCKETS for h in one + [xxhash.xxh64_intdigest(w, h) for w, h in zip(words[1:], one)]]
+
+    held = {k: grams(t) for k, t in rows}
+    raw = Counter(b for g in held.values() for b in g)
+    good = Counter(b for k, g in held.items() if k % 50 and part[k] == 0 for b in g)
+    n_raw, n_good = sum(raw.values()) + BUCKETS / 2, sum(good.values()) + BUCKETS / 2
+    ratio = {b: math.log((good[b] + 0.5) / n_good / ((raw[b] + 0.5) / n_raw)) for b in raw}
+    score = {k: sum(ratio[b] for b in g) / len(g) for k, g in held.items()}
+    kept_out = np.array([score[k] for k in score if k % 50 and part[k] == 1])
+    low, mid = np.quantile(kept_out, [0.001, 0.5])
+    threshold = low - 0.5 * (mid - low)
+    found = by_id(quality_scores(df, labels))
+    assert all(abs(found[k]["score"] - x) < 1e-9 for k, x in score.items())
+    assert all(found[k]["kept"] == (x >= threshold and not found[k]["base_failed"]) for k, x in score.items() if abs(x - threshold) > 1e-9)
+
+
+def test_exact_quantiles(spark):
+    from routeloom.llm.quality import _quantiles
+
+    rng = random.Random(15)
+    values = [float(rng.randrange(300)) / 7 for _ in range(999)]
+    df = spark.createDataFrame(list(enumerate(values)), "did long, score double")
+    fractions = [0.0, 0.001, 0.37, 0.5, 1.0]
+    assert _quantiles(df, "score", ["did"], fractions) == pytest.approx(list(np.quantile(values, fractions)))
+    assert _quantiles(df.limit(0), "score", ["did"], [0.5]) == [None]
+
+
 def test_token_shards(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
