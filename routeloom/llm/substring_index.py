@@ -5,9 +5,9 @@ is the hash of an anchor (see :mod:`.anchors`) of the windows that were seen, wi
 the words of its stretch of windows and where it stood first. A new batch is merge-joined with
 all runs by fingerprint. Equal stretches are settled at once; where stretches differ, their
 windows are taken from the texts and compared by digests of their words, so nothing is removed
-on a fingerprint alone. The batch itself is a run, sorted where it was read; it joins the index
-once it has been compared. Once there are many, runs are compacted to one, in which equal
-stretches are one row.
+on a fingerprint alone. An index that outlives a job keeps the texts of its batches beside its runs
+for that. The batch itself is a run, sorted where it was read; it joins the index once it has been
+compared. Once there are many, runs are compacted to one, in which equal stretches are one row.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import expand, text_bytes
 from .suffix_dedup import keyed
 
 _RUN = "did long, rid long, lo long, n int, key long, content long"
+_TEXT = "did long, rid long, text string"
+_MANIFEST = "version long, runs array<string>, texts array<string>"
 _STEP_WORDS = 400_000
 
 
@@ -77,12 +79,16 @@ def _run_rows(window: int, gram: int):
 
 
 def _window_rows(window: int):
-    """Digests of the windows of the stretches listed for each document."""
+    """Digests of the windows of the stretches listed for each document; place -1 for one without a text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for did, rid, text, listed in zip(batch.column("did").to_pylist(), batch.column("rid").to_pylist(), text_bytes(batch.column("text")), batch.column("listed").to_pylist()):
+            absent = batch.column("text").is_null().to_pylist()
+            for did, rid, text, listed, gone in zip(batch.column("did").to_pylist(), batch.column("rid").to_pylist(), text_bytes(batch.column("text")), batch.column("listed").to_pylist(), absent):
+                if gone:
+                    yield pa.record_batch([pa.array([x], pa.int64()) for x in (did, rid, -1, 0, 0)], names=["did", "rid", "lo", "a", "b"])
+                    continue
                 words = text.split()
                 joined = b" ".join(words)
                 stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -100,18 +106,19 @@ class SubstringIndex:
     def __init__(self, spark: SparkSession, path: str, window: int = 20, gram: int = 4, max_runs: int = 8):
         self.spark, self.path, self.window, self.gram, self.max_runs = spark, path, window, min(gram, window), max_runs
         self.runs: list[str] = []
+        self.texts: list[str] = []
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> SubstringIndex:
         """The index that earlier jobs left at ``path``."""
         index = cls(spark, path, **options)
-        last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
-        index.runs = list(last["runs"])
+        last = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        index.runs, index.texts = list(last["runs"]), list(last["texts"] or [])
         return index
 
-    def _commit(self, runs_: list[str], version: int) -> None:
-        self.spark.createDataFrame([(version, runs_)], "version long, runs array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        self.runs = runs_
+    def _commit(self, runs_: list[str], texts: list[str], version: int) -> None:
+        self.spark.createDataFrame([(version, runs_, texts)], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.runs, self.texts = runs_, texts
 
     def _version(self) -> int:
         return 1 + max([0, *(int(r.rsplit("-", 1)[1]) for r in self.runs)])
@@ -131,14 +138,26 @@ class SubstringIndex:
     def _first(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key", "content").agg(F.min(F.struct("did", "rid", "lo", "n")).alias("rep"))
 
-    def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
+    def _kept(self, batch: DataFrame, version: int) -> tuple[str, DataFrame]:
+        """Write the batch's texts; its path, and the texts of all batches that were kept."""
+        path = f"{self.path}/text-{version:08d}"
+        batch.select("did", "rid", "text").write.mode("overwrite").parquet(path)
+        return path, self.spark.read.schema(_TEXT).parquet(*self.texts, path)
+
+    def add(self, batch: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
         """Windows of ``batch`` (from :func:`keyed`) that stood earlier, as did, rid, lo, n.
 
         ``corpus``: the texts behind the index and the batch, from which windows are verified.
+        Without it the index keeps the batch's texts and verifies windows from all that it kept.
+        If a document of the index has to be compared whose text is in neither, ``ValueError``
+        is raised and the index stays as it was.
         A batch's documents come after those of earlier batches in (did, rid) order. The batch
         is a run of the index afterwards.
         """
-        version, history = self._version(), self.history()
+        version, history, kept = self._version(), self.history(), self.texts
+        if corpus is None:
+            path, corpus = self._kept(batch, version)
+            kept = [*kept, path]
         run = self._write(batch.mapInArrow(_run_rows(self.window, self.gram), _RUN), version)
         members = self.spark.read.schema(_RUN).parquet(run)
         counts = members.select("key", F.lit(1).alias("new")).unionByName(history.select("key", F.lit(0).alias("new")))
@@ -149,12 +168,15 @@ class SubstringIndex:
         copies = mine.join(classes, ["key", "content"]).filter("did != rep.did or rid != rep.rid or lo != rep.lo").select("did", "rid", "lo", "n")
         mixed = classes.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
         listed = classes.join(mixed, "key").select("rep.*").groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n")).alias("listed"))
-        texts = corpus.join(listed, ["did", "rid"])
+        texts = listed.join(corpus, ["did", "rid"], "left")
         windows = materialize(texts.mapInArrow(_window_rows(self.window), "did long, rid long, lo long, a long, b long"), "batch-windows")
+        missing = windows.filter("lo < 0").count() if self.runs else 0
+        if missing:
+            raise ValueError(f"the texts of {missing} documents of the index are needed and neither kept nor in corpus")
         firsts = windows.groupBy("a", "b").agg(F.min(F.struct("did", "rid", "lo")).alias("rep"), F.count("*").alias("m")).filter("m > 1").drop("m")
         later = windows.join(firsts, ["a", "b"]).filter("did != rep.did or rid != rep.rid or lo != rep.lo")
         found = materialize(copies.unionByName(later.select("did", "rid", "lo", F.lit(1).alias("n"))), "hits")
-        self._commit([*self.runs, run], version)
+        self._commit([*self.runs, run], kept, version)
         release(mine, classes, windows)
         if len(self.runs) > self.max_runs:
             self.compact()
@@ -163,7 +185,7 @@ class SubstringIndex:
     def compact(self) -> None:
         """Merge all runs to one; each fingerprint and stretch keeps its first place."""
         version = self._version()
-        self._commit([self._write(self._first(self.history()).select("key", "content", "rep.*"), version)], version)
+        self._commit([self._write(self._first(self.history()).select("key", "content", "rep.*"), version)], self.texts, version)
 
 
 def _result_rows(window: int, texts_out: bool):
@@ -195,14 +217,18 @@ def _result_rows(window: int, texts_out: bool):
 def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, index: SubstringIndex | None = None, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """Remove each word of a window of ``window`` words that also starts earlier.
 
-    Documents are added to an index (a new one by default) in ``batches`` ranges of ids. Returns
+    Documents are added to an index in ``batches`` ranges of ids. By default that is a new one;
+    an ``index`` of earlier calls, whose documents come first, keeps the texts that it is given, so
+    calls with parts of a table give what one call with all of it does. Returns
     doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space) and, with
     ``texts``, ``kept``. Null texts have no words, null ids come first; rows that repeat an id
     are ordered by a hash of their texts, and those with the same text too are one document.
     No rows in, no rows out; other columns are ignored.
     """
-    rows = keyed(docs, id_col, text_col)
-    index = index or SubstringIndex(docs.sparkSession, shared_path(docs.sparkSession, "substring-index"), window)
+    rows, lasting = keyed(docs, id_col, text_col), index is not None
+    index = index or SubstringIndex(docs.sparkSession, shared_path(docs.sparkSession, "substring-index"), window, max_runs=1)
+    if index.window != window:
+        raise ValueError(f"the index has windows of {index.window} words")
     edges = rows.select(F.percentile_approx("did", [k / batches for k in range(1, batches)]).alias("e")).first()["e"] if batches > 1 else []
     edges = sorted(set(edges or []))
     found = None
@@ -210,7 +236,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, index:
         part = rows if low is None else rows.filter(F.col("did") > low)
         part = part if high is None else part.filter(F.col("did") <= high)
         corpus = rows if high is None else rows.filter(F.col("did") <= high)
-        hits = index.add(part, corpus)
+        hits = index.add(part, None if lasting else corpus)
         found = hits if found is None else found.unionByName(hits)
     hits = found.groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n")).alias("listed"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts

@@ -228,6 +228,33 @@ def test_substring_index(spark, docs, empty, tmp_path):
     assert substring_dedup(empty).count() == 0
 
 
+def test_substring_index_of_earlier_calls(spark, tmp_path):
+    """Calls with parts of the documents, by indexes opened anew, remove what one call with all removes."""
+    from routeloom.llm.substring_index import SubstringIndex, substring_dedup
+    from routeloom.llm.suffix_dedup import keyed
+
+    rng = random.Random(16)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared, short = fresh(90), fresh(23)
+    rows = [(k, " ".join((fresh(40), shared if k % 2 else short, fresh(30), short if k % 3 else shared[: 300 + k], fresh(10)))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {i: (r["n_removed"], r["kept_sha256"]) for i, r in by_id(substring_dedup(df)).items()}
+    assert sum(n > 0 for n, _ in whole.values()) >= 10
+    path, found = str(tmp_path / "index"), {}
+    for k, (low, high) in enumerate(((0, 3), (4, 7), (8, 11))):
+        index = SubstringIndex.open(spark, path, max_runs=1) if k else SubstringIndex(spark, path, max_runs=1)
+        part = by_id(substring_dedup(df.filter(f"doc_id between {low} and {high}"), batches=1 + k % 2, index=index))
+        found |= {i: (r["n_removed"], r["kept_sha256"]) for i, r in part.items()}
+        assert len(index.runs) == 1
+    assert found == whole
+    # An index without texts says so where it needs one.
+    bare, all_rows = SubstringIndex(spark, str(tmp_path / "bare")), keyed(df, "doc_id", "text")
+    bare.add(all_rows.filter("did < 4"), all_rows.filter("did < 4"))
+    with pytest.raises(ValueError):
+        bare.add(all_rows.filter("did >= 4"), all_rows.filter("did >= 4"))
+    assert len(bare.runs) == 1
+
+
 def test_simhash(docs, empty):
     from routeloom.llm.simhash import fingerprint, simhash_components, tree_links
 
