@@ -319,6 +319,18 @@ def test_near_distinct(spark, docs, empty):
     assert sorted(r["doc_id"] for r in twice.collect()) == left
 
 
+def test_near_distinct_of_texts_that_repeat_different_parts(spark):
+    """Nearly the same shingles (similarity over 0.9), of which other parts are repeated."""
+    from routeloom.llm.near_dedup import near_distinct
+
+    rng, rows = random.Random(17), []
+    for k in range(0, 20, 2):
+        p, q = ([f"w{rng.randrange(10**6)}" for _ in range(61)] for _ in range(2))
+        rows += [(k, " ".join(p + q * 20)), (k + 1, " ".join(p * 20 + q))]
+    left = near_distinct(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 20, 2))
+
+
 def test_near_links_of_large_shards(spark):
     """Chains of copies in shards beyond a tree's size link as brute force does."""
     from routeloom.llm.near_dedup import near_links
