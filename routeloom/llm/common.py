@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; longer texts are a step of their own.
 STEP_BYTES = 1 << 21
@@ -55,3 +57,14 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out[at[0]] = starts[0]
     out[at[1:]] = starts[1:] - (starts[:-1] + counts[:-1] - 1)
     return np.cumsum(out)
+
+
+def signed_id(column: Column) -> Column:
+    """An id column as a long."""
+    return column.cast("long")
+
+
+def named(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ... and which of them stands for each name, so that a name can't clash with a helper's."""
+    back = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    return docs.toDF(*back.values()), back
