@@ -24,7 +24,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array_dedup(load_table(spark, sf_dir, "documents"), 400, keep="none", texts=False)
+    return suffix_array_dedup(load_table(spark, sf_dir, "documents"), 400, keep="none", report=200, texts=False)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

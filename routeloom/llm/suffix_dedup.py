@@ -1,37 +1,39 @@
 """Suffix-array deduplication of repeated byte strings.
 
-Every place where a string of ``min_bytes`` bytes occurs more than once is found exactly:
+For each place of each text the longest factor that also starts elsewhere is found, up to a
+depth, as far as it is at least as long as the shortest string asked for:
 
 1. Each text gives its anchor runs (:mod:`.anchors`); only anchors whose hash repeats go on.
-2. Runs with equal bytes are one class: its members repeat each other, whatever their number,
-   and only the first of a class goes on. Copies therefore cost one row each.
-3. Classes that share an anchor are brought together with their bytes. A task builds the suffix
-   array of the bytes it holds and reads the longest-previous-factor test from it: suffixes stand
-   in the order of their first ``min_bytes`` bytes, and of their place in the corpus where those
-   are equal, so the previous smaller position with a common prefix of that length is the slot
-   before, and the next smaller one can't have it.
+2. Runs with equal bytes (by 128-bit digest) are one class: its members repeat each other,
+   whatever their number, and only the first of a class goes on. Copies cost one row each.
+3. Classes that share an anchor are brought together with their bytes. A task sorts the suffixes
+   that it holds (by prefix doubling, up to the depth) and reads from the suffix array, for each
+   place, the longest previous factor: of the suffixes that start earlier in the corpus the
+   longest common prefix is with the previous or the next smaller position in suffix order. The
+   longest factor that stands anywhere else is a neighbour's in suffix order.
 4. An anchor with more classes than ``max_group`` isn't given to one task. Its windows are
    compared by 128-bit digest in ordinary aggregations, which Spark spreads.
 
-``keep="first"`` removes what has an earlier copy and leaves the first; ``keep="none"`` removes
-all copies.
+A *wish* is a length and which copies to find: ``first`` leaves the first (previous factors),
+``none`` leaves no copy.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs.session import materialize
 from .anchors import runs
-from .common import STEP_BYTES, mix, text_bytes
+from .common import STEP_BYTES, mix, named, text_bytes
 
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: A longer text is looked at in pieces that overlap by one window.
@@ -39,40 +41,39 @@ _PIECE = 1 << 22
 #: Bytes for one suffix array; a group of classes larger than this has an array of its own.
 _ARRAY_BYTES = 1 << 20
 
-_RUN = "did long, rid long, lo long, n int, off int, key long, content long"
-_HIT = "did long, rid long, lo long, n int"
+_RUN = "did long, rid long, lo long, n int, size int, key long, content long, content2 long"
+_HIT = "did long, rid long, lo long, n int, wish int"
 
+Wish = tuple[int, str]
 
-def _pieces(text: bytes, window: int) -> Iterator[tuple[int, bytes]]:
+
+def _pieces(text: bytes, window: int, depth: int) -> Iterator[tuple[int, bytes]]:
+    """Parts of a text in which other windows start, each with the ``depth`` bytes from its last window's start on."""
     if len(text) <= _PIECE:
         yield 0, text
         return
     for base in range(0, len(text) - window + 1, _PIECE):
-        yield base, text[base : base + _PIECE + window - 1]
+        yield base, text[base : base + _PIECE + depth - 1]
 
 
-def _run_rows(window: int, gram: int):
+def _run_rows(window: int, depth: int, gram: int):
     def flush(held: list) -> pa.RecordBatch:
         joined = b"".join(x[3] for x in held)
         sizes = np.array([len(x[3]) for x in held], np.int64)
         ends = np.cumsum(sizes)
-        lo, hi, anchor, key = runs(_SYMBOL[np.frombuffer(joined, np.uint8)], ends, window, gram)
-        view, digest = memoryview(joined), xxhash.xxh3_64_intdigest
-        content = np.array([digest(view[a:b]) for a, b in zip(lo.tolist(), (hi + window).tolist())], np.uint64)
+        lo, hi, _, key = runs(_SYMBOL[np.frombuffer(joined, np.uint8)], ends, window, gram)
         piece = np.searchsorted(ends, lo, side="right")
+        # Of a part of a longer text, only windows that start in it are its own.
+        mine = lo - (ends - sizes)[piece] < _PIECE
+        lo, hi, key, piece = lo[mine], hi[mine], key[mine], piece[mine]
+        hi = np.minimum(hi, (ends - sizes)[piece] + _PIECE - 1)
+        stop = np.minimum(hi + depth, ends[piece])
+        view, digest = memoryview(joined), xxhash.xxh3_128_digest
+        content = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(lo.tolist(), stop.tolist())]), np.int64)
         shift = np.array([x[2] for x in held], np.int64)[piece] - (ends - sizes)[piece]
-        return pa.record_batch(
-            [
-                np.array([x[0] for x in held], np.int64)[piece],
-                np.array([x[1] for x in held], np.int64)[piece],
-                lo + shift,
-                (hi - lo + 1).astype(np.int32),
-                (anchor - lo).astype(np.int32),
-                key,
-                content.view(np.int64),
-            ],
-            names=["did", "rid", "lo", "n", "off", "key", "content"],
-        )
+        did, rid = (np.array([x[k] for x in held], np.int64)[piece] for k in (0, 1))
+        columns = [did, rid, lo + shift, (hi - lo + 1).astype(np.int32), (stop - lo).astype(np.int32), key, content[::2].copy(), content[1::2].copy()]
+        return pa.record_batch(columns, names=[x.split()[0] for x in _RUN.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -81,7 +82,7 @@ def _run_rows(window: int, gram: int):
             for did, rid, text in zip(ids, rids, text_bytes(batch.column("text"))):
                 if len(text) < window:
                     continue
-                for base, piece in _pieces(text, window):
+                for base, piece in _pieces(text, window, depth):
                     held.append((did, rid, base, piece))
                     size += len(piece)
                     if size >= STEP_BYTES:
@@ -93,115 +94,187 @@ def _run_rows(window: int, gram: int):
     return rows
 
 
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """``did`` (null ids as the smallest long) and ``rid``, a hash of the text."""
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.col(f"`{text_col}`")).alias("rid")]
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The documents with a row key: ``did`` (null ids as the smallest long) and ``rid``, a hash of the text."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"),
-        F.xxhash64(F.col(text_col)).alias("rid"),
-        F.col(text_col).cast("string").alias("text"),
-    )
+    """The documents' row keys and texts."""
+    return docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def _cut_runs(window: int):
+def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the runs listed for each document."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list = []
-            size = 0
-            for did, rid, text, listed in zip(batch.column("did").to_pylist(), batch.column("rid").to_pylist(), text_bytes(batch.column("text")), batch.column("listed").to_pylist()):
-                for r in listed:
-                    piece = text[r["lo"] : r["lo"] + r["n"] + window - 1]
-                    out.append((r["key"], r["size"], did, rid, r["lo"], r["n"], r["off"], piece))
-                    size += len(piece)
-                if size > STEP_BYTES:
-                    yield _piece_batch(out)
-                    out, size = [], 0
-            if out:
+    for batch in batches:
+        out: list = []
+        size = 0
+        for did, rid, text, listed in zip(batch.column("did").to_pylist(), batch.column("rid").to_pylist(), text_bytes(batch.column("text")), batch.column("listed").to_pylist()):
+            for r in listed:
+                piece = text[r["lo"] : r["lo"] + r["size"]]
+                out.append((r["key"], r["classes"], did, rid, r["lo"], r["n"], piece))
+                size += len(piece)
+            if size > STEP_BYTES:
                 yield _piece_batch(out)
-
-    return rows
+                out, size = [], 0
+        if out:
+            yield _piece_batch(out)
 
 
-_PIECE_ROW = "key long, size long, did long, rid long, lo long, n int, off int, piece binary"
+_PIECE_ROW = "key long, classes long, did long, rid long, lo long, n int, piece binary"
 
 
 def _piece_batch(rows: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     names = [x.split()[0] for x in _PIECE_ROW.split(", ")]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def prefix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """For each suffix of ``text`` the rank of its first ``depth`` bytes (prefix doubling).
+def _order(high: np.ndarray, low: np.ndarray | None, top: int) -> np.ndarray:
+    """The order of (high, low) pairs below ``top``; where key and place fit 64 bits they are sorted as one number."""
+    n, bits = len(high), max(1, (len(high) - 1).bit_length())
+    key = high.astype(np.uint64)
+    if low is not None:
+        width = max(1, (top - 1).bit_length())
+        key = (key << np.uint64(width)) | low.astype(np.uint64)
+        top = 1 << 2 * width
+    if (top - 1).bit_length() + bits > 64:
+        return np.argsort(key, kind="stable")
+    key = np.sort((key << np.uint64(bits)) | np.arange(n, dtype=np.uint64))
+    return (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    Equal prefixes have equal ranks, and ranks are in lexicographic order. Past the end, zero
-    bytes follow, so callers leave ``depth`` bytes after the last suffix they ask about.
+
+def prefix_ranks(symbols: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(length, ranks) at growing lengths up to ``depth``: the rank of each suffix's first symbols (prefix doubling).
+
+    Equal prefixes have equal ranks, and ranks are in lexicographic order. Symbols are 0 to 256;
+    past the end zeros follow.
     """
-    n, have = len(text), min(4, depth)
-    rank = np.zeros(n, np.uint32)
-    padded = np.concatenate((text, np.zeros(have, np.uint8))).astype(np.uint32)
+    n, have = len(symbols), min(5, depth)
+    first = np.zeros(n, np.uint64)
+    padded = np.concatenate((symbols, np.zeros(have, symbols.dtype))).astype(np.uint64)
     for k in range(have):
-        rank = (rank << np.uint32(8)) | padded[k : k + n]
-    while have < depth:
-        step = min(have, depth - have)
-        pair = rank.astype(np.uint64) << np.uint64(32)
-        pair[: n - step] |= rank[step:]
-        order = np.argsort(pair)
-        pair = pair[order]
-        fresh = np.concatenate(([0], pair[1:] != pair[:-1])).cumsum(dtype=np.uint32)
+        first = first * np.uint64(257) + padded[k : k + n]
+    levels: list[tuple[int, np.ndarray]] = []
+    high, low, top = first, None, 257**have
+    while True:
+        order = _order(high, low, top)
+        fresh = high[order][1:] != high[order][:-1]
+        if low is not None:
+            fresh |= low[order][1:] != low[order][:-1]
         rank = np.empty(n, np.uint32)
-        rank[order] = fresh
+        rank[order] = np.concatenate(([0], np.cumsum(fresh, dtype=np.uint32)))
+        levels.append((have, rank))
+        if have >= depth:
+            return levels
+        step = min(have, depth - have)
+        high, low, top = rank, np.concatenate((rank[step:], np.zeros(min(step, n), np.uint32)))[:n], n
         have += step
-    return rank
-
 
-def repeated_starts(pieces: list[bytes], counts: np.ndarray, places: np.ndarray, window: int, first: bool) -> np.ndarray:
-    """Which of the windows that start in the first ``counts[i]`` bytes of each piece repeat.
 
-    ``places``: the order of the pieces in the corpus. Returns a flag for each window, all
-    windows of the first piece before those of the next.
+def common_prefixes(levels: list[tuple[int, np.ndarray]], symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes ``a[i]`` and ``b[i]``, up to the last level's length."""
+    n, depth = len(symbols), levels[-1][0]
+    out = np.where(levels[-1][1][a] == levels[-1][1][b], depth, 0)
+    open_ = np.flatnonzero(out == 0)
+    p, q, length = a[open_], b[open_], np.zeros(len(open_), np.int64)
+    for size, rank in levels[-2::-1]:
+        ok = (p + length < n) & (q + length < n)
+        ok[ok] = rank[(p + length)[ok]] == rank[(q + length)[ok]]
+        length += np.where(ok, size, 0)
+    for _ in range(min(5, depth)):  # what is left is shorter than the first level
+        ok = (p + length < n) & (q + length < n)
+        ok[ok] = symbols[(p + length)[ok]] == symbols[(q + length)[ok]]
+        length += np.where(ok, 1, 0)
+        p, q, length, open_ = _closed(out, ok, p, q, length, open_)
+    out[open_] = length
+    return np.minimum(out, depth)
+
+
+def _closed(out: np.ndarray, ok: np.ndarray, p: np.ndarray, q: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    out[at[~ok]] = length[~ok]
+    return p[ok], q[ok], length[ok], at[ok]
+
+
+def nearest_smaller(places: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each slot of a suffix array the common prefix with the previous slot of a smaller place, 0 if there is none.
+
+    ``places``: corpus positions in suffix order; ``common[k]``: common prefix of slots k - 1 and
+    k. All slots between a slot and its pointer are larger, so a pointer may take over the one
+    of the slot it points to; the stretch behind it doubles each time.
     """
-    sizes = np.array([len(x) for x in pieces], np.int64)
+    to, least = np.arange(len(places)) - 1, common.copy()
+    open_ = np.flatnonzero((to >= 0) & (places[np.maximum(to, 0)] > places))
+    while len(open_):
+        at = to[open_]
+        least[open_] = np.minimum(least[open_], least[at])
+        to[open_] = to[at]
+        open_ = open_[to[open_] >= 0]
+        open_ = open_[places[to[open_]] > places[open_]]
+    return np.where(to >= 0, least, 0)
+
+
+def longest_factors(pieces: list[bytes], counts: np.ndarray, corpus_order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the first ``counts[i]`` places of each piece: the longest previous factor, and the longest factor elsewhere.
+
+    ``corpus_order``: the order of the pieces in the corpus; they don't overlap in places.
+    Lengths are cut at ``depth`` and at a piece's end. All places of the first piece come before
+    those of the next.
+    """
+    # A separator, 0, between the pieces: no text symbol equals it.
+    sizes = np.array([len(x) + 1 for x in pieces], np.int64)
     begin = np.cumsum(sizes) - sizes
-    rank = prefix_ranks(np.frombuffer(b"".join(pieces), np.uint8), window)
+    symbols = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint16) + 1
+    symbols[begin + sizes - 1] = 0
+    levels = prefix_ranks(symbols, depth)
     piece = np.repeat(np.arange(len(pieces)), counts)
     inner = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-    of = rank[begin[piece] + inner]
-    order = np.lexsort((inner, places[piece], of))  # the suffix array of the window starts
-    same = of[order][1:] == of[order][:-1]
-    hit = np.zeros(len(of), bool)
-    hit[order[1:][same]] = True  # LPF >= window: the previous smaller position is the slot before
-    if not first:
-        hit[order[:-1][same]] = True
-    return hit
-
-
-def _suffix_rows(window: int, first: bool):
-    def solve(held: list) -> pa.RecordBatch | None:
+    start = begin[piece] + inner
+    # Corpus positions, and the suffix array of the places (ties in the order of the corpus).
+    rank_in_corpus = np.empty(len(piece), np.int64)
+    rank_in_corpus[np.lexsort((inner, corpus_order[piece]))] = np.arange(len(piece))
+    n = len(piece)
+    order = _order(levels[-1][1][start], rank_in_corpus, max(n, len(symbols)))
+    suffix, places = start[order], rank_in_corpus[order]
+    common = np.zeros(n + 1, np.int64)
+    common[1:n] = common_prefixes(levels, symbols, suffix[:-1], suffix[1:])
+    rest = (sizes[piece] - 1 - inner)[order]
+    before = nearest_smaller(places, common[:n])
+    after = nearest_smaller(places[::-1], np.concatenate(([0], common[1:n][::-1])))[::-1] if n else before
+    previous, elsewhere = np.empty(n, np.int64), np.empty(n, np.int64)
+    previous[order] = np.minimum(np.maximum(before, after), rest)
+    elsewhere[order] = np.minimum(np.maximum(common[:n], common[1:]), rest)
+    return previous, elsewhere
+
+
+def _stretches(hit: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """piece, first place and length of each stretch of flags; one that goes on in the next piece is cut there."""
+    inside = hit.copy()
+    inside[1:] &= hit[:-1]
+    inside[:1] = False
+    cuts = bounds[:-1]
+    inside[cuts[cuts < len(hit)]] = False
+    first = np.flatnonzero(hit & ~inside)
+    last = np.flatnonzero(hit & ~np.append(inside[1:], False))
+    piece = np.searchsorted(bounds, first, side="right")
+    return piece, first, last - first + 1
+
+
+def _suffix_rows(wishes: list[Wish]):
+    depth = max(n for n, _ in wishes)
+
+    def solve(held: list) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(held)), key=lambda k: held[k][1:4])
-        places = np.empty(len(held), np.int64)
-        places[order] = np.arange(len(held))
+        corpus_order = np.empty(len(held), np.int64)
+        corpus_order[order] = np.arange(len(held))
         counts = np.array([x[4] for x in held], np.int64)
-        hit = repeated_starts([x[5] for x in held], counts, places, window, first)
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-        begin, end = edge[::2], edge[1::2]
-        # a stretch of flags that goes on in the next piece is cut there
+        previous, elsewhere = longest_factors([x[5] for x in held], counts, corpus_order, depth)
         bounds = np.cumsum(counts)
-        at = np.unique(np.concatenate((begin, bounds[:-1][hit[np.minimum(bounds[:-1], len(hit) - 1)]] if len(bounds) > 1 else begin[:0])))
-        stop = np.minimum(end[np.searchsorted(end, at, side="right")], bounds[np.searchsorted(bounds, at, side="right")]) if len(at) else at
-        piece = np.searchsorted(bounds, at, side="right")
-        if not len(at):
-            return None
-        return pa.record_batch(
-            [
-                np.array([x[1] for x in held], np.int64)[piece],
-                np.array([x[2] for x in held], np.int64)[piece],
-                np.array([x[3] for x in held], np.int64)[piece] + at - (bounds - counts)[piece],
-                (stop - at).astype(np.int32),
-            ],
-            names=["did", "rid", "lo", "n"],
-        )
+        for wish, (length, keep) in enumerate(wishes):
+            piece, at, n = _stretches((previous if keep == "first" else elsewhere) >= length, bounds)
+            columns = [np.array([x[k] for x in held], np.int64)[piece] for k in (1, 2, 3)]
+            columns[2] = columns[2] + at - (bounds - counts)[piece]
+            yield pa.record_batch([*columns, n.astype(np.int32), np.full(len(n), wish, np.int32)], names=["did", "rid", "lo", "n", "wish"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, key = [], 0, None
@@ -209,68 +282,78 @@ def _suffix_rows(window: int, first: bool):
             names = ("key", "did", "rid", "lo", "n", "piece")
             for row in zip(*(batch.column(x).to_pylist() for x in names)):
                 if row[0] != key and size >= _ARRAY_BYTES:
-                    if (found := solve(held)) is not None:
-                        yield found
+                    yield from solve(held)
                     held, size = [], 0
                 key = row[0]
-                if first and held and held[-1][:4] == row[:4]:
-                    continue  # a repeated row of the same document
+                if held and held[-1][:4] == row[:4]:
+                    continue  # a repeated row of the same document, which was settled by its class
                 held.append(row)
                 size += len(row[5])
-        if held and (found := solve(held)) is not None:
-            yield found
+        if held:
+            yield from solve(held)
 
     return rows
 
 
-def _window_rows(window: int):
-    """A row with the digest of each window, for anchors with very many classes."""
+def _window_rows(wishes: list[Wish]):
+    """Rows with the digest of each window of each wish, for anchors with very many classes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             for did, rid, lo, n, piece in zip(*(batch.column(x).to_pylist() for x in ("did", "rid", "lo", "n", "piece"))):
                 view = memoryview(piece)
-                halves = np.frombuffer(b"".join([digest(view[k : k + window]) for k in range(n)]), np.int64)
-                yield pa.record_batch([np.full(n, did), np.full(n, rid), lo + np.arange(n), halves[::2].copy(), halves[1::2].copy()], names=["did", "rid", "lo", "a", "b"])
+                for wish, (length, _) in enumerate(wishes):
+                    m = min(n, len(piece) - length + 1)
+                    if m > 0:
+                        halves = np.frombuffer(b"".join([digest(view[k : k + length]) for k in range(m)]), np.int64)
+                        columns = [np.full(m, did), np.full(m, rid), lo + np.arange(m), np.full(m, wish, np.int32), halves[::2].copy(), halves[1::2].copy()]
+                        yield pa.record_batch(columns, names=["did", "rid", "lo", "wish", "a", "b"])
 
     return rows
 
 
-def repeated_windows(docs: DataFrame, min_bytes: int = 400, keep: str = "first", gram: int = 64, max_group: int = 8000) -> DataFrame:
-    """Stretches ``lo .. lo + n - 1`` of window starts to remove, for ``docs`` from :func:`keyed`."""
-    window, first = min_bytes, keep == "first"
-    if keep not in ("first", "none"):
-        raise ValueError(f"keep: first or none, not {keep!r}")
-    members = materialize(docs.select("did", "rid", "text").mapInArrow(_run_rows(window, min(gram, window)), _RUN), "runs")
-    shared = members.groupBy("key").agg(F.count("*").alias("m"), (F.min("content") != F.max("content")).alias("mixed")).filter("m > 1").drop("m")
+def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_group: int = 8000) -> DataFrame:
+    """Stretches ``lo .. lo + n - 1`` of starts of repeated strings, for ``docs`` from :func:`keyed`; ``wish``: of which wish."""
+    if not wishes or any(keep not in ("first", "none") or n < 1 for n, keep in wishes):
+        raise ValueError(f"wishes are lengths from 1 on with first or none, not {wishes!r}")
+    window, depth = min(n for n, _ in wishes), max(n for n, _ in wishes)
+    # Rows that repeat an id and a text give the same runs; they are copies only if none is to be kept.
+    rows = docs.select("did", "rid", "text")
+    members = materialize(rows.mapInArrow(_run_rows(window, depth, min(gram, window)), _RUN), "runs")
+    content = ["content", "content2"]
+    shared = members.groupBy("key").agg(F.count("*").alias("m"), *[(F.min(c) != F.max(c)).alias(f"by_{c}") for c in content]).filter("m > 1")
+    # Written first, so that the join's two sides are plain shuffles, whose hot keys Spark splits.
+    shared = materialize(shared.select("key", (F.col("by_content") | F.col("by_content2")).alias("mixed")), "shared-anchors")
     members = materialize(members.join(shared, "key"), "shared-runs")
     classes = materialize(
-        members.groupBy("key", "content").agg(F.min(F.struct("did", "rid", "lo", "n", "off")).alias("rep"), F.count("*").alias("m"), F.first("mixed").alias("mixed")), "classes"
+        members.groupBy("key", *content).agg(F.min(F.struct("did", "rid", "lo", "n", "size")).alias("rep"), F.count("*").alias("m"), F.first("mixed").alias("mixed")), "classes"
     )
-    copies = members.join(classes.filter("m > 1").select("key", "content", "rep"), ["key", "content"])
-    if first:
-        copies = copies.filter("did != rep.did or rid != rep.rid or lo != rep.lo")
-    copies = copies.select("did", "rid", "lo", "n")
-
-    sizes = classes.filter("mixed").groupBy("key").agg(F.count("*").alias("size"))
+    again = materialize(classes.filter("m > 1").select("key", *content, "rep"), "repeated-runs")
+    copies = members.join(again, ["key", *content])
+    later = F.expr("did != rep.did or rid != rep.rid or lo != rep.lo")
+    parts = [
+        (copies.filter(later) if keep == "first" else copies).select("did", "rid", "lo", F.least("n", F.col("size") - (length - 1)).alias("n"), F.lit(wish).alias("wish")).filter("n > 0")
+        for wish, (length, keep) in enumerate(wishes)
+    ]
+
+    sizes = materialize(classes.filter("mixed").groupBy("key").agg(F.count("*").alias("classes")), "class-counts")
     listed = (
         classes.filter("mixed")
         .join(sizes, "key")
-        .select("key", "size", "rep.*")
+        .select("key", "classes", "rep.*")
         .groupBy("did", "rid")
-        .agg(F.collect_list(F.struct("key", "size", "lo", "n", "off")).alias("listed"))
+        .agg(F.collect_list(F.struct("key", "classes", "lo", "n", "size")).alias("listed"))
     )
-    texts = docs.select("did", "rid", "text")
-    pieces = materialize(texts.join(listed, ["did", "rid"]).mapInArrow(_cut_runs(window), _PIECE_ROW), "pieces")
-    sorted_pieces = pieces.filter(F.col("size") <= max_group).repartition("key").sortWithinPartitions("key", "did", "rid", "lo")
-    found = materialize(sorted_pieces.mapInArrow(_suffix_rows(window, first), _HIT), "factors")
-    windows = pieces.filter(F.col("size") > max_group).mapInArrow(_window_rows(window), "did long, rid long, lo long, a long, b long")
-    groups = windows.groupBy("a", "b").agg(F.min(F.struct("did", "rid", "lo")).alias("rep"), F.count("*").alias("m")).filter("m > 1")
-    common = windows.join(groups, ["a", "b"])
-    if first:
-        common = common.filter("did != rep.did or rid != rep.rid or lo != rep.lo")
-    return copies.unionByName(found).unionByName(common.select("did", "rid", "lo", F.lit(1).alias("n")))
+    pieces = materialize(rows.join(listed, ["did", "rid"]).mapInArrow(_cut_runs, _PIECE_ROW), "pieces")
+    dealt = pieces.filter(F.col("classes") <= max_group).repartition("key").sortWithinPartitions("key", "did", "rid", "lo")
+    parts.append(materialize(dealt.mapInArrow(_suffix_rows(wishes), _HIT), "factors"))
+    windows = pieces.filter(F.col("classes") > max_group).mapInArrow(_window_rows(wishes), "did long, rid long, lo long, wish int, a long, b long")
+    groups = windows.groupBy("a", "b", "wish").agg(F.min(F.struct("did", "rid", "lo")).alias("rep"), F.count("*").alias("m")).filter("m > 1")
+    firsts = [w for w, (_, keep) in enumerate(wishes) if keep == "first"]
+    common = windows.join(groups, ["a", "b", "wish"]).filter(later | ~F.col("wish").isin(firsts))
+    parts.append(common.select("did", "rid", "lo", F.lit(1).alias("n"), "wish"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _spans(listed: list, window: int) -> list[tuple[int, int]]:
@@ -291,11 +374,11 @@ def _cut_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _result_rows(window: int, texts_out: bool):
+def _result_rows(window: int, report: int, texts_out: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, lists = batch.column("did").to_pylist(), text_bytes(batch.column("text")), batch.column("listed").to_pylist()
-            spans = [_spans(x, window) for x in lists]
+            spans = [_spans([r for r in x or () if not r["wish"]], window) for x in lists]
             kept = [_cut_text(t, s) if s else t for t, s in zip(texts, spans)]
             out = {
                 "doc_id": pa.array([None if x == -(2**63) else x for x in ids], pa.int64()),
@@ -304,6 +387,8 @@ def _result_rows(window: int, texts_out: bool):
                 "n_spans": pa.array([len(s) for s in spans], pa.int64()),
                 "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
             }
+            if report:
+                out["n_repeated"] = pa.array([sum(b - a for a, b in _spans([r for r in x or () if r["wish"]], report)) for x in lists], pa.int64())
             if texts_out:
                 out["kept"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
                 out["spans"] = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -312,31 +397,32 @@ def _result_rows(window: int, texts_out: bool):
     return rows
 
 
-def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, keep: str = "first", id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, min_bytes: int = 400, keep: str = "first", report: int = 0, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """Remove each byte of a string of ``min_bytes`` bytes that also starts elsewhere.
 
-    Returns per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with
-    ``texts``, ``kept`` (what is left; a character cut in half at a span's end is dropped) and
-    ``spans``. Null texts count as empty; texts shorter than ``min_bytes`` stay whole; other
-    columns of ``docs`` are ignored. A null id comes back as null. Rows that repeat an id with
-    the same text are separate copies under ``keep="none"`` and one document under
-    ``keep="first"``. No rows in, no rows out.
+    ``keep``: ``first`` leaves the first copy (in the order of ids), ``none`` leaves none.
+    Returns per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with
+    ``report`` also n_repeated, the bytes covered by strings of ``report`` bytes that start
+    earlier, too (the longest previous factors at a second length); with ``texts`` ``kept`` (what
+    is left; a character cut in half at a span's end is dropped) and ``spans``. Null texts count
+    as empty; texts shorter than ``min_bytes`` stay whole; other columns of ``docs`` are ignored.
+    A null id comes back as null. Rows that repeat an id with the same text are separate copies
+    under ``none`` and one document under ``first``. No rows in, no rows out.
     """
     rows = keyed(docs, id_col, text_col)
-    hits = repeated_windows(rows, min_bytes, keep).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n")).alias("listed"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start: long, end: long>>" * texts
-    return rows.join(hits, ["did", "rid"], "left").select("did", "text", "listed").mapInArrow(_result_rows(min_bytes, texts), schema)
+    wishes = [(min_bytes, keep), *[(report, "first")] * bool(report)]
+    hits = repeated_windows(rows, wishes).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n", "wish")).alias("listed"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated long" * bool(report) + ", kept string, spans array<struct<start: long, end: long>>" * texts
+    return rows.join(hits, ["did", "rid"], "left").select("did", "text", "listed").mapInArrow(_result_rows(min_bytes, report, texts), schema)
 
 
-def _text_rows(window: int):
+def _text_rows(window: int, text: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_cut_text(t, _spans(x, window)).decode("utf-8", "ignore") if x else None for t, x in zip(text_bytes(batch.column("_text")), batch.column("_listed").to_pylist())]
-            keep = [k for k, name in enumerate(batch.schema.names) if name not in ("_text", "_listed")]
-            cut = pa.array(texts, pa.string())
-            columns = [batch.column(k) for k in keep]
-            names = [batch.schema.names[k] for k in keep]
-            yield pa.record_batch([*columns, pa.compute.coalesce(cut, batch.column("_text"))], names=[*names, "_text"])
+            texts = [_cut_text(t, _spans(x, window)).decode("utf-8", "ignore") if x else None for t, x in zip(text_bytes(batch.column(text)), batch.column("listed").to_pylist())]
+            cut = pa.compute.coalesce(pa.array(texts, pa.string()), batch.column(text))
+            names = [c for c in batch.schema.names if c != "listed"]
+            yield pa.record_batch([cut if c == text else batch.column(c) for c in names], names=names)
 
     return rows
 
@@ -344,17 +430,13 @@ def _text_rows(window: int):
 def remove_repeats(docs: DataFrame, min_bytes: int = 400, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, the texts without their repeated strings (see :func:`suffix_array_dedup`).
 
-    A text of which nothing is left comes back empty, a null one as null.
+    A text of which nothing is left comes back empty, a null one as null. Columns may have any names.
     """
-    hits = repeated_windows(keyed(docs, id_col, text_col), min_bytes, keep).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n")).alias("_listed"))
-    others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in others],
-        F.col(text_col).cast("string").alias("_text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_did"),
-        F.xxhash64(F.col(text_col)).alias("_rid"),
-    )
-    hits = hits.withColumnsRenamed({"did": "_did", "rid": "_rid"})
-    joined = rows.join(hits, ["_did", "_rid"], "left").drop("_did", "_rid")
-    schema = joined.drop("_listed", "_text").schema.add("_text", "string")
-    return joined.mapInArrow(_text_rows(min_bytes), schema).withColumnRenamed("_text", text_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    hits = repeated_windows(keyed(docs, id_col, text_col), [(min_bytes, keep)]).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "n")).alias("listed"))
+    source, back = named(docs)
+    text = back[text_col]
+    rows = source.withColumn(text, F.col(text).cast("string"))
+    rows = rows.select("*", *row_key(back[id_col], text))
+    joined = rows.join(hits, ["did", "rid"], "left").select(*back.values(), "listed")
+    out = joined.mapInArrow(_text_rows(min_bytes, text), rows.select(*back.values()).schema)
+    return out.select(*[F.col(c).alias(name) for name, c in back.items()])

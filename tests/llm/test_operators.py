@@ -78,8 +78,42 @@ def test_suffix_array_dedup(docs, empty):
     # Anchors with more classes than a task takes are settled by digests, with the same result.
     from routeloom.llm.suffix_dedup import keyed
 
-    ways = [sorted({(r["did"], p) for r in repeated_windows(keyed(docs, "doc_id", "text"), 400, "none", max_group=m).collect() for p in range(r["lo"], r["lo"] + r["n"])}) for m in (8000, 1)]
+    wishes = [(400, "none"), (150, "first")]
+    ways = [sorted({(r["wish"], r["did"], p) for r in repeated_windows(keyed(docs, "doc_id", "text"), wishes, max_group=m).collect() for p in range(r["lo"], r["lo"] + r["n"])}) for m in (8000, 1)]
     assert ways[0] == ways[1]
+    seen, want = set(), {}
+    for i in sorted(texts, key=lambda i: -1 if i is None else i):
+        covered = set()
+        for k in range(len(texts[i]) - 149):
+            w = texts[i][k : k + 150]
+            covered |= set(range(k, k + 150)) if w in seen else set()
+            seen.add(w)
+        want[i] = len(covered)
+    reported = by_id(suffix_array_dedup(docs, 400, keep="none", report=150))
+    assert {i: r["n_repeated"] for i, r in reported.items()} == want
+    assert all(reported[i]["kept_sha256"] == found[i]["kept_sha256"] for i in texts)
+
+
+def test_longest_factors():
+    """Previous and overall longest factors against all pairs, with pieces that end inside a match."""
+    from routeloom.llm.suffix_dedup import longest_factors
+
+    rng = random.Random(21)
+    for turn in range(150):
+        depth = rng.choice((1, 3, 5, 8, 13, 40))
+        pieces = [bytes(rng.choice((0, 97, 98, 255)[: rng.randrange(1, 5)]) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 6))]
+        counts = np.array([rng.randrange(1, len(p) + 1) for p in pieces])
+        corpus = np.array(rng.sample(range(len(pieces)), len(pieces)))
+        got = longest_factors(pieces, counts, corpus, depth)
+        places = [(p, k) for p in range(len(pieces)) for k in range(counts[p])]
+
+        def common(x, y):
+            a, b = (pieces[p][k : k + depth] for p, k in (x, y))
+            return next((n for n, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+
+        at = {x: (corpus[x[0]], x[1]) for x in places}
+        assert got[0].tolist() == [max([0, *(common(x, y) for y in places if at[y] < at[x])]) for x in places]
+        assert got[1].tolist() == [max([0, *(common(x, y) for y in places if y != x)]) for x in places]
 
 
 def test_pieces(docs, empty):
@@ -331,9 +365,9 @@ def test_near_distinct_of_texts_that_repeat_different_parts(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 20, 2))
 
 
-def test_near_links_of_large_shards(spark):
+def test_near_components_of_large_shards(spark):
     """Chains of copies in shards beyond a tree's size link as brute force does."""
-    from routeloom.llm.near_dedup import near_links
+    from routeloom.llm.near_dedup import near_components
 
     rng, words, texts = random.Random(4), [f"w{k}" for k in range(400)], []
     for _ in range(3):
@@ -345,23 +379,42 @@ def test_near_links_of_large_shards(spark):
             texts.append(" ".join(now))
     texts = sorted(set(texts))
     sets = [{tuple(t.split()[k : k + 5]) for k in range(86)} for t in texts]
-    want = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-
-    def components(links):
-        parent = list(range(len(texts)))
+    parent = list(range(len(texts)))
 
-        def root(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in links:
-            parent[max(root(a), root(b))] = min(root(a), root(b))
-        return [root(x) for x in range(len(texts))]
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
 
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = [root(x) for x in range(len(texts))]
     df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
-    for size in (1000, 5):
-        assert components([(r["i"], r["j"]) for r in near_links(df, 5, 0.8, 26, max_tree=size).collect()]) == components(want)
+    for size, most in ((1000, 1 << 25), (5, 1 << 25), (1000, 4000)):
+        found = {r["rid"]: r["component"] for r in near_components(df, 5, 0.8, 32, max_tree=size, max_bytes=most).collect()}
+        assert [found.get(x, x) for x in range(len(texts))] == want
+
+
+def test_near_duplicates_of_given_documents(spark):
+    """All pairs of the given documents at a similarity of 0.8 are linked: recall against brute force, and no more."""
+    from routeloom.llm.near_dedup import near_components
+
+    rows = [(k, t) for k, t in enumerate(sorted({r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]}))]
+    sets = []
+    for _, t in rows:
+        w = SPACE.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets.append({hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))})
+    holders = defaultdict(set)
+    for k, own in enumerate(sets):
+        for x in own:
+            holders[x].add(k)
+    pairs = {(a, b) for a, own in enumerate(sets) for b, n in Counter(k for x in own for k in holders[x] if k < a).items() if n >= 0.8 * (len(own) + len(sets[b]) - n)}
+    found = {r["rid"]: r["component"] for r in near_components(spark.createDataFrame(rows, "rid long, text string"), 5, 0.8, 32).collect()}
+    assert len(pairs) >= 5 and all(found[a] == found[b] for a, b in pairs)
+    linked = {x for p in pairs for x in p}
+    assert {k for k, c in found.items() if sum(v == c for v in found.values()) > 1} == linked
 
 
 def test_leaks(spark, docs, empty):
