@@ -12,57 +12,77 @@ def _left_to_right(match: np.ndarray) -> np.ndarray:
     return match & ((at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0)
 
 
-def _slots(chosen: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each code the place of the only chosen pair that it can be; pairs that share a hash slot but the first go."""
-    table = np.full(1 << 17, -1, np.int32)
-    place = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)
-    at = place(chosen)
-    chosen = chosen[np.sort(np.unique(at, return_index=True)[1])]
-    table[place(chosen)] = np.arange(len(chosen))
-    return chosen, np.maximum(table[place(code)], 0)
+#: Buckets in which pairs are counted before any is looked at closely.
+_BITS = 18
+#: A grammar's symbols fit 16 bits, unless the ids themselves don't.
+NARROW = 1 << 16
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, rounds: int = 3, pairs: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(code: np.ndarray, free: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of about the ``pairs`` most frequent pairs, in the order of the pairs, and where each pair's places begin.
+
+    No pair occurs more often than its bucket is hit, so all pairs that occur as often as the
+    fullest ``pairs`` buckets are among these buckets' places, and only those are sorted.
+    """
+    bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
+    hits = np.bincount(bucket[free], minlength=1 << _BITS)
+    often = int(np.partition(hits, -pairs)[-pairs])
+    while True:
+        often = max(often, least)
+        at = np.flatnonzero(free & (hits >= often)[bucket])
+        at = at[np.argsort(code[at], kind="stable")]
+        edges = np.flatnonzero(np.concatenate(([True], code[at][1:] != code[at][:-1]))) if len(at) else at
+        counts = np.diff(np.append(edges, len(at)))
+        if (counts >= often).any() or often == least:
+            keep = counts >= often
+            return at[np.repeat(keep, counts)], np.cumsum(counts[keep]) - counts[keep]
+        often //= 2
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, pairs: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replace frequent pairs by new symbols, round by round.
 
-    ``ends``: True at the last id of each document; no pair reaches over it. Each round counts
-    all adjacent pairs and gives the ``pairs`` most frequent ones (at least ``least`` times) a
-    symbol. Returns the sequence, the rules (left, right; rule k makes symbol
-    ``first_symbol + k``) and how many ids each rule expands to.
+    ``ends``: True at the last id of each document; no pair reaches over it. Each round gives
+    the most frequent adjacent pairs (at least ``least`` times) a symbol, about as many as half of
+    the symbols that are left, or ``pairs``; a pair of which overlapping pairs leave fewer than
+    half of ``least`` waits. Rounds go on until no pair is
+    replaced or the 16-bit symbols are used up (where ``first_symbol`` leaves any, else 2^31).
+    Returns the sequence, the rules (left, right; rule k makes symbol ``first_symbol + k``) and
+    how many ids each rule expands to.
     """
     seq, ends = ids.astype(np.uint32), ends.copy()
     rules: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    symbol = first_symbol
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
+    sizes = np.ones(first_symbol, np.int64)
+    limit = NARROW if first_symbol < NARROW else 1 << 31
+    while len(seq) > 1:
         code = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inner = np.sort(code[~ends[:-1]])
-        if not len(inner):
+        left = limit - len(sizes)
+        at, begins = _frequent(code, ~ends[:-1], min(max(pairs, left // 2), 1 << _BITS), least)
+        if not len(at) or not left:
             break
-        edges = np.concatenate(([0], np.flatnonzero(inner[1:] != inner[:-1]) + 1, [len(inner)]))
-        counts = np.diff(edges)
-        often = np.flatnonzero(counts >= least)
-        often = often[np.lexsort((inner[edges[often]], -counts[often]))[:pairs]]
-        chosen = np.sort(inner[edges[often]])
+        counts = np.diff(np.append(begins, len(at)))
+        pair = np.full(len(code), -1, np.int32)
+        pair[at] = np.repeat(np.arange(len(begins)), counts)
+        taken = _left_to_right(pair >= 0)
+        uses = np.bincount(pair[taken], minlength=len(begins))
+        chosen = np.flatnonzero(2 * uses >= least)
+        chosen = np.sort(chosen[np.argsort(-uses[chosen], kind="stable")[:left]])
         if not len(chosen):
             break
-        chosen, slot = _slots(chosen, code)
-        taken = _left_to_right((chosen[slot] == code) & ~ends[:-1])
-        at = np.flatnonzero(taken)
-        made = np.column_stack((chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF))).astype(np.uint32)
-        known = np.concatenate([np.ones(0, np.int64), *sizes])
-        length = lambda x: np.where(x < first_symbol, 1, known[np.maximum(x.astype(np.int64) - first_symbol, 0)] if len(known) else 1)
-        sizes.append(length(made[:, 0]) + length(made[:, 1]))
+        place = np.full(len(begins), -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        where = np.flatnonzero(taken)
+        where = where[place[pair[where]] >= 0]
+        made = code[at[begins[chosen]]]
+        made = np.column_stack((made >> np.uint64(32), made & np.uint64(0xFFFFFFFF))).astype(np.uint32)
         rules.append(made)
-        seq[at] = symbol + slot[at]
-        ends[at] = ends[at + 1]
-        symbol += len(chosen)
+        seq[where] = len(sizes) + place[pair[where]]
+        sizes = np.concatenate((sizes, sizes[made].sum(axis=1)))
+        ends[where] = ends[where + 1]
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
+        stay[where + 1] = False
         seq, ends = seq[stay], ends[stay]
-    return seq, np.concatenate([np.zeros((0, 2), np.uint32), *rules]), np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.uint32)
+    return seq, np.concatenate([np.zeros((0, 2), np.uint32), *rules]), sizes[first_symbol:].astype(np.uint32)
 
 
 def decompress(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,10 @@ from .segments import SegmentEncoder
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 
-SHARD = "first_did long, first_rid long, n_docs long, n_tokens long, first_symbol int, wide boolean, dids binary, sizes binary, rules binary, rule_sizes binary, seq binary"
+#: Text bytes in a range of documents that one task encodes, and most ranges.
+RANGE_BYTES, MAX_RANGES = 1 << 24, 50_000
+
+SHARD = "part int, no int, first_did long, first_rid long, n_docs long, n_tokens long, first_symbol int, wide boolean, dids binary, sizes binary, rules binary, rule_sizes binary, seq binary"
 
 
 class WordTokenizer:
@@ -38,30 +42,37 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._load_model(path)
+        self._load_rules(path)
         self.tails = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("", ".", ",")}
         self.memory = SegmentEncoder(self._encode)
 
-    def _load_model(self, path: str) -> None:
-        """The vocabulary's own model, for words that the normaliser and pre-tokenizer leave as they are."""
-        from tokenizers import models, pre_tokenizers
-
+    def _load_rules(self, path: str) -> None:
+        """Which ids end a word, if words of letters are encoded apart from their neighbours."""
         with open(path) as file:
             spec = json.load(file)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
-        self.model = None
-        if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and spec["model"]["type"] == "BPE":
-            merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in spec["model"]["merges"]]
-            self.model = models.BPE(vocab=spec["model"]["vocab"], merges=merges, end_of_word_suffix=spec["model"]["end_of_word_suffix"], cache_capacity=0)
-            alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
-            own = [c for c in alphabet if ord(c) < 256]
-            rest = iter(c for c in alphabet if ord(c) >= 256)  # stand, in order, for the bytes that have no character
-            self.letters = {b: chr(b) if chr(b) in own else next(rest) for b in range(256)}
+        self.ends_word = None
+        if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and spec["model"]["type"] == "BPE" and (suffix := spec["model"]["end_of_word_suffix"]):
+            self.ends_word = np.zeros(self.size, bool)
+            self.ends_word[[k for token, k in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
 
     @staticmethod
     def _one_word(x: str) -> bool:
         return x.isalpha() and (x.isascii() or (x == x.lower() and unicodedata.is_normalized("NFC", x)))
 
+    def _apart(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of letters, many in one call; each word's last id is one that ends a word."""
+        out: list[list[int]] = []
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = self._apart([" ".join(part)])[0]
+            cuts = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(part) + 1 and cuts[-1] == len(ids) else self._apart(part)
+        return out
+
     def _encode(self, segments: list[str]) -> list[list[int]]:
         """Ids of new segments. ASCII case doesn't matter, and a full stop or comma after a letter is a token of its own."""
         parts, bases = [], {}
@@ -72,10 +83,11 @@ class WordTokenizer:
             parts.append((base, tail))
             if base not in bases:
                 bases[base] = self.memory.known(base)
-        if self.model:
-            bases |= {x: [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))] for x, found in bases.items() if found is None and self._one_word(x)}
         new = [x for x, found in bases.items() if found is None]
-        bases |= {x: e.ids for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        plain = [x for x in new if self._one_word(x)] if self.ends_word is not None else []
+        bases |= zip(plain, self._words(plain))
+        rest = [x for x in new if bases[x] is None]
+        bases |= zip(rest, self._apart(rest))
         return [[*bases[base], *self.tails[tail]] for base, tail in parts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -94,13 +106,15 @@ def load_tokenizer(path: str) -> WordTokenizer:
 
 
 def _shard_rows(path: str, end_id: int, shard_ids: int):
-    def shard(held: list, first_symbol: int) -> pa.RecordBatch:
+    def shard(held: list, first_symbol: int, no: int) -> pa.RecordBatch:
         sizes = np.array([len(x[2]) for x in held], np.int64)
         ends = np.zeros(int(sizes.sum()), bool)
         ends[np.cumsum(sizes) - 1] = True
         seq, rules, rule_sizes = compress(np.concatenate([x[2] for x in held]), ends, first_symbol)
         wide = first_symbol + len(rules) > 1 << 16
         row = {
+            "part": pa.array([TaskContext.get().partitionId()], pa.int32()),
+            "no": pa.array([no], pa.int32()),
             "first_did": pa.array([held[0][0]], pa.int64()),
             "first_rid": pa.array([held[0][1]], pa.int64()),
             "n_docs": pa.array([len(held)], pa.int64()),
@@ -118,17 +132,17 @@ def _shard_rows(path: str, end_id: int, shard_ids: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
         first_symbol = max(tokenizer.size, end_id + 1)
-        held, size = [], 0
+        held, size, no = [], 0, 0
         for batch in steps(batches, limit=STEP_BYTES // 2):
             texts = [x.decode() for x in text_bytes(batch.column("text"))]
             for did, rid, ids in zip(batch.column("did").to_pylist(), batch.column("rid").to_pylist(), tokenizer.encode(texts)):
                 if held and size + len(ids) >= shard_ids:
-                    yield shard(held, first_symbol)
-                    held, size = [], 0
+                    yield shard(held, first_symbol, no)
+                    held, size, no = [], 0, no + 1
                 held.append((did, rid, np.append(ids, np.int32(end_id))))
                 size += len(ids) + 1
         if held:
-            yield shard(held, first_symbol)
+            yield shard(held, first_symbol, no)
 
     return rows
 
@@ -136,6 +150,9 @@ def _shard_rows(path: str, end_id: int, shard_ids: int):
 def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """The shards of all documents in ascending id order (see ``SHARD``), ready to be written.
 
+    ``part`` is the range of ids that a shard is from, ``no`` its place in that; together they
+    give the order of all shards.
+
     A null text counts as empty and gives the end id alone. Null ids come first. Rows that
     share an id are ordered by a hash of their texts; each is a document. Other columns are
     ignored. No rows in, no shards out.
@@ -143,7 +160,8 @@ def token_shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.col(text_col)).alias("rid"), F.col(text_col).cast("string").alias("text")
     )
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, -(-total // RANGE_BYTES)))
     ordered = rows.repartitionByRange(n, "did", "rid").sortWithinPartitions("did", "rid")
     return ordered.mapInArrow(_shard_rows(tokenizer_path, end_id, shard_ids), SHARD)
 
@@ -185,16 +203,18 @@ def _document_rows(with_ids: bool):
 def read_token_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Documents of written shards: doc_id, start (ids before it), n_tokens, ids_crc32 and ids."""
     shards = spark.read.schema(SHARD).parquet(path)
-    # One small row for each million ids: their running sum gives where each shard starts.
-    order = Window.orderBy("first_did", "first_rid", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("first_did", "first_rid", "n_tokens").withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    keys = ["first_did", "first_rid", "n_tokens"]
-    return shards.join(starts, keys).mapInArrow(_document_rows(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    sizes = shards.select("part", "no", "n_tokens")
+    # As many rows as there were ranges; the shards of a range are summed up apart from the others.
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    bases = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.join(bases, "part").select("part", "no", (F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))
+    return shards.join(starts, ["part", "no"]).mapInArrow(_document_rows(with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_id: int) -> list[int]:
     """The ids of one document; of its shard only the symbols that it touches are expanded."""
-    shards = spark.read.schema(SHARD).parquet(path).filter(F.col("first_did") <= doc_id).orderBy(F.desc("first_did"), F.desc("first_rid")).limit(1)
+    shards = spark.read.schema(SHARD).parquet(path).filter(F.col("first_did") <= doc_id).orderBy(F.desc("part"), F.desc("no")).limit(1)
     for row in (r.asDict() for r in shards.collect()):
         dids = np.frombuffer(row["dids"], "<i8")
         at = int(np.searchsorted(dids, doc_id))
