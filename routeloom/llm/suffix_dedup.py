@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs.session import materialize
 from .anchors import runs
-from .common import STEP_BYTES, mix, named, text_bytes
+from .common import STEP_BYTES, mix, named, row_key, text_bytes
 
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: A longer text is looked at in pieces that overlap by one window.
@@ -94,11 +94,6 @@ def _run_rows(window: int, depth: int, gram: int):
     return rows
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    """``did`` (null ids as the smallest long) and ``rid``, a hash of the text."""
-    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(F.col(f"`{text_col}`")).alias("rid")]
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The documents' row keys and texts."""
     return docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))

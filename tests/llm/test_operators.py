@@ -461,6 +461,28 @@ def test_leaks_at_all_allowed_edits(spark):
         assert least_edits(masks, len(item), text)[0] == best_place(np.array(item), np.array(text))[0]
 
 
+def test_leak_index_recall():
+    """Share of items that the index proposes at their place, at all allowed edits, by size; each kind of edit, and mixed."""
+    from routeloom.llm.decontaminate import ItemBlock
+
+    rng = random.Random(31)
+    names = [f"w{k}" for k in range(4000)]
+    for size, trials in ((10, 300), (25, 200), (60, 120), (150, 60), (400, 24)):
+        for kinds in ("s", "d", "i", "sdi"):
+            items = [[rng.choice(names) for _ in range(size)] for _ in range(trials)]
+            block, found = ItemBlock([(k, " ".join(x)) for k, x in enumerate(items)], 0.8), 0
+            for n, item in enumerate(items):
+                edited = list(item)
+                for k in sorted(rng.sample(range(size), size // 5), reverse=True):
+                    kind = rng.choice(kinds)
+                    edited[k : k + (kind != "i")] = [] if kind == "d" else [rng.choice(names)]
+                text = [rng.choice(names) for _ in range(20)] + edited + [rng.choice(names) for _ in range(20)]
+                codes = np.array([block.codes.get(w.encode(), 0) for w in text] + [-1])
+                hits = block.candidates(codes, np.array([len(codes)]))
+                found += any(i == n and abs(start - 20) <= size // 5 for _, i, start in hits.tolist())
+            assert found >= 0.99 * trials, (size, kinds, found, trials)
+
+
 def _codes(item, text):
     codes = {w: k + 1 for k, w in enumerate(sorted({w.encode() for w in item}))}
     return np.array([codes.get(w.encode(), 0) for w in text.split()])
