@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pi of the DDD.MM norm, the sphere's radii, the crystal norm's turn.
@@ -61,11 +61,30 @@ def geo(a: Column, b: Column) -> Column:
 
 
 def geom(a: Column, b: Column) -> Column:
-    lat1, lat2, turn = F.radians(a["x"]), F.radians(b["x"]), F.radians(a["y"]) - F.radians(b["y"])
-    side = F.cos(lat2) * F.sin(turn)
-    rise = F.sin((lat2 - lat1)) + 2.0 * F.sin(lat1) * F.cos(lat2) * F.pow(F.sin(turn / 2.0), 2)
-    level = F.cos(lat1 - lat2) - 2.0 * F.cos(lat1) * F.cos(lat2) * F.pow(F.sin(turn / 2.0), 2)
-    return _trunc(GEOM_RADIUS * F.atan2(F.sqrt(side * side + rise * rise), level) + 1.0)
+    """Great-circle metres between decimal degrees, by the arc tangent form that is exact for near and for opposite points."""
+    lat1, lat2, half = F.radians(a["x"].cast("double")), F.radians(b["x"].cast("double")), F.radians(_d(a, b, "y")) / 2.0
+    east = F.cos(lat2) * F.sin(2.0 * half)
+    north = F.sin(lat1 + lat2) * F.sin(half) * F.sin(half) - F.sin(lat1 - lat2) * F.cos(half) * F.cos(half)
+    toward = F.cos(lat1 - lat2) * F.cos(half) * F.cos(half) - F.cos(lat1 + lat2) * F.sin(half) * F.sin(half)
+    return _trunc(GEOM_RADIUS * F.atan2(F.sqrt(east * east + north * north), toward) + 1.0)
+
+
+#: Fixed values of the board norm: inches to machine units, and for each of seven stretches of 0.05 its slope and where it begins.
+BOARD_UNIT, BOARD_FIRST, BOARD_LAST, BOARD_STEP = 25400.0, 0.01, 0.30, 0.05
+BOARD_X = (15500.0, ((1062.5, 155.0, 0.01), (300.0, 197.5, 0.05), (300.0, 212.5, 0.10), (250.0, 227.5, 0.15), (300.0, 240.5, 0.20), (1000.0, 255.0, 0.25), (154.6, 305.0, 0.30)))
+BOARD_Y = (15000.0, ((1062.5, 150.0, 0.01), (450.0, 192.5, 0.05), (350.0, 215.0, 0.10), (250.0, 232.5, 0.15), (300.0, 245.5, 0.20), (900.0, 250.0, 0.25), (157.7, 295.0, 0.30)))
+
+
+def board(a: Column, b: Column) -> Column:
+    """Drill times: the larger of two piecewise linear functions of the distances in x and in y."""
+
+    def time(c: str, first: float, pieces: tuple) -> Column:
+        d = F.abs(_d(a, b, c)) / BOARD_UNIT
+        *inner, last = [(slope, begin - at * slope) for slope, begin, at in pieces]
+        slope, base = (F.element_at(F.array(*[F.lit(p[k]) for p in (*inner, last)]), F.least((d / BOARD_STEP).cast("int"), F.lit(6)) + 1) for k in (0, 1))
+        return F.when(d <= BOARD_FIRST, d * first).when(d >= BOARD_LAST, d * last[0] + last[1]).otherwise(d * slope + base)
+
+    return _trunc(F.greatest(time("x", *BOARD_X), time("y", *BOARD_Y)))
 
 
 def toroidal(grid: float) -> Callable[[Column, Column], Column]:
@@ -190,7 +209,7 @@ _MADE: dict[str, Callable[..., Callable[[Column, Column], Column]]] = {
 }
 
 NORMS: dict[str, Callable[[Column, Column], Column]] = {
-    "MAX_2D": max_2d, "MAN_2D": man_2d, "EUC_2D": euc_2d, "CEIL_2D": ceil_2d, "EUC_3D": euc_3d, "ATT": att, "GEO": geo, "GEOM": geom, "CRYSTAL": crystal, "RH5": mismatches,
+    "MAX_2D": max_2d, "MAN_2D": man_2d, "EUC_2D": euc_2d, "CEIL_2D": ceil_2d, "EUC_3D": euc_3d, "ATT": att, "GEO": geo, "GEOM": geom, "CRYSTAL": crystal, "RH5": mismatches, "BOARD": board,
 }
 
 #: Smallest length of two points that are ``s`` apart in x or in y; only these norms prune by a grid.
@@ -212,3 +231,10 @@ def length_col(norm: str, a: Column, b: Column, **params) -> Column:
     if norm not in NORMS and norm not in _custom:
         raise ValueError(f"norm {norm!r} isn't supported")
     return (_custom.get(norm) or NORMS[norm])(a, b)
+
+
+def lookup_lengths(pairs: DataFrame, edges: DataFrame, default: int = 100_000) -> DataFrame:
+    """i, j, len of ``pairs(i, j)`` from a matrix or sparse graph ``edges(i, j, len)``; pairs that it lacks cost ``default``, loops 0."""
+    known = edges.select(F.least("i", "j").alias("_i"), F.greatest("i", "j").alias("_j"), "len").groupBy("_i", "_j").agg(F.min("len").alias("len"))
+    found = pairs.select("i", "j", F.least("i", "j").alias("_i"), F.greatest("i", "j").alias("_j")).join(known, ["_i", "_j"], "left")
+    return found.select("i", "j", F.when(F.col("i") == F.col("j"), 0).otherwise(F.coalesce("len", F.lit(default))).cast("long").alias("len"))

@@ -17,13 +17,22 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def save_table(df: DataFrame, folder: str, name: str, mode: str = "errorifexists") -> None:
+    """Write ``<folder>/<name>.parquet``."""
+    df.write.mode(mode).parquet(f"{folder}/{name}.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (unit tests on one machine) a temporary one is set.
+    Only where the session names none and runs on one machine (unit tests) a temporary one is
+    set; on a cluster that would be another folder on each machine, so ``ValueError`` is raised.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
         named = tempfile.mkdtemp(prefix="routeloom-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.edges import oriented
+from ..operators.edges import edge_lengths, oriented
+from ..jobs.session import materialize
 from ..operators.ranking import ranked
+from ..operators.tours import tour_length
 
 
 def _below(limit: int, *parts) -> Column:
@@ -52,6 +54,12 @@ def random_edges(spark: SparkSession, n: int, m: int, maxlen: int, seed: int) ->
     return ranked(rows, ["key", "i", "j"], name="rank").filter(F.col("rank") < m).select("i", "j", _below(maxlen, F.col("i"), F.col("j"), seed, 2).alias("len"))
 
 
+def random_edges_of(nodes: DataFrame, m: int, norm: str, seed: int) -> DataFrame:
+    """i, j, len: m different edges between ``nodes`` (ids 0 to n - 1), lengths by the norm."""
+    drawn = random_edges(nodes.sparkSession, nodes.count(), m, 1, seed)
+    return edge_lengths(drawn, nodes, norm)
+
+
 def random_weights(spark: SparkSession, n: int, limit: int, seed: int) -> DataFrame:
     """id, w in [0, limit)."""
     return spark.range(n).select("id", _below(limit, F.col("id"), seed).cast("double").alias("w"))
@@ -61,3 +69,9 @@ def random_tour(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """tour_id, pos, node: the nodes in the order of a hash."""
     rows = spark.range(n).select(F.col("id").alias("node"), F.xxhash64("id", F.lit(seed)).alias("key"))
     return ranked(rows, ["key", "node"], name="pos").select(F.lit(0).cast("long").alias("tour_id"), "pos", "node")
+
+
+def random_tour_of(nodes: DataFrame, norm: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """A tour of ``nodes`` (ids 0 to n - 1) in the order of a hash, and its length (tour_id, len)."""
+    tour = materialize(random_tour(nodes.sparkSession, nodes.count(), seed), "random-tour")
+    return tour, tour_length(tour, nodes, norm)

@@ -1,22 +1,39 @@
-"""Text files of points, edges and tours; a line's place in the file is its id."""
+"""Text files of points, edges, tours, vectors and cuts; a line's place in the file is its id."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_LINE = T.StructType([T.StructField("value", T.StringType()), T.StructField("line", T.LongType())])
+from ..jobs.session import materialize
+from ..operators.ranking import ranked
+from ..operators.tours import edges_to_tour, tour_edges
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line: non-empty lines in the order of file names and lines (one counting pass).
+    """value, line: non-empty lines in the order of file names and lines, written once.
 
-    Spark may read larger files first, so the lines are put in order by file and block.
+    Spark may read larger files first, so the lines are ranked by file, block and place.
     """
-    placed = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-    lines = placed.filter("trim(value) != ''").orderBy("file_path", "file_block_start", "at").select("value")
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[0][0].strip(), x[1])), _LINE)
+    placed = spark.read.text(path).select(F.btrim("value", F.lit(" \t\r")).alias("value"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    order = ["file_path", "file_block_start", "at"]
+    return materialize(ranked(placed.filter("value != ''"), order, name="line").select("value", "line"), "lines")
+
+
+def numbered_tokens(lines: DataFrame) -> DataFrame:
+    """t, k: the words of ``lines`` (value, line) in their order."""
+    words = lines.select("line", F.posexplode(F.split("value", r"\s+")).alias("at", "t"))
+    return ranked(words, ["line", "at"], name="k").select("t", "k")
+
+
+def _header(lines: DataFrame, start: int) -> dict[str, str]:
+    """``KEY : value`` lines before line ``start``; only these reach the driver."""
+    found = lines.filter(F.col("line") < start).select("value").collect()
+    return {k.strip(): v.strip() for k, v in (x.split(":", 1) for (x,) in found if ":" in x)}
 
 
 def _fields(lines: DataFrame, names: list[str], kinds: list[str], skip: int) -> DataFrame:
@@ -57,13 +74,34 @@ def read_xvector(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tour(spark: SparkSession, path: str, tour_id: int = 0) -> DataFrame:
     """tour_id, pos, node of a file ``n`` then nodes, any number of them per line."""
+    tokens = materialize(numbered_tokens(numbered_lines(spark, path)).select((F.col("k") - 1).alias("pos"), F.col("t").cast("long").alias("node")), "tour")
+    n = tokens.filter("pos = -1").first()["node"]
+    return _counted(tokens.filter("pos >= 0").select(F.lit(tour_id).cast("long").alias("tour_id"), "pos", "node"), n, path)
+
+
+def read_tour_tsplib(spark: SparkSession, path: str, n: int | None = None, tour_id: int = 0) -> DataFrame:
+    """tour_id, pos, node of a file with a header and a TOUR_SECTION of numbers from 1, ended by -1.
+
+    ``n``: the number of nodes that DIMENSION has to be.
+    """
     lines = numbered_lines(spark, path)
-    tokens = lines.select("line", F.posexplode(F.split("value", r"\s+")).alias("k", "t"))
-    ordered = spark.createDataFrame(
-        tokens.orderBy("line", "k").rdd.map(lambda r: int(r["t"])).zipWithIndex().map(lambda x: (x[1] - 1, x[0])), "pos long, node long"
-    )
-    n = ordered.filter("pos = -1").first()["node"]
-    return _counted(ordered.filter("pos >= 0").select(F.lit(tour_id).cast("long").alias("tour_id"), "pos", "node"), n, path)
+    start = lines.filter(F.col("value").startswith("TOUR_SECTION")).agg(F.min("line")).first()[0]
+    header = _header(lines, -1 if start is None else start)
+    if start is None or header.get("TYPE") != "TOUR" or n not in (None, int(header.get("DIMENSION", -1))):
+        raise ValueError(f"{path}: no tour of {n if n is not None else 'any number of'} nodes: type {header.get('TYPE')}, dimension {header.get('DIMENSION')}")
+    tokens = numbered_tokens(lines.filter((F.col("line") > start) & ~F.col("value").startswith("EOF")))
+    rows = tokens.select(F.lit(tour_id).cast("long").alias("tour_id"), F.col("k").alias("pos"), (F.col("t").cast("long") - 1).alias("node"))
+    return _counted(materialize(rows.filter("node >= 0"), "tour"), int(header["DIMENSION"]), path)
+
+
+def read_tour_edges(spark: SparkSession, path: str) -> DataFrame:
+    """tour_id, pos, node of a tour given as an edge file, which has as many edges as nodes."""
+    edges = materialize(read_edges(spark, path), "tour-edges")
+    ends = edges.select(F.explode(F.array("i", "j")).alias("node")).distinct().count()
+    tour = materialize(edges_to_tour(edges), "tour")
+    if edges.count() != ends or tour.count() != ends:
+        raise ValueError(f"{path}: the edges aren't one tour")
+    return tour
 
 
 #: Names of edge weight types in instance files, and the norms that they stand for.
@@ -76,7 +114,7 @@ def read_tsplib(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     start = lines.filter(F.col("value").startswith("NODE_COORD_SECTION")).agg(F.min("line")).first()[0]
     if start is None or lines.filter(F.col("value").startswith("FIXED_EDGES_SECTION")).take(1):
         raise ValueError(f"{path}: not an instance with coordinates and free edges")
-    header = dict(x.replace(" ", "").split(":", 1) for (x,) in lines.filter(F.col("line") < start).select("value").collect() if ":" in x)
+    header = _header(lines, start)
     norm = WEIGHT_TYPES.get(header.get("EDGE_WEIGHT_TYPE", ""))
     if header.get("TYPE") != "TSP" or norm is None:
         raise ValueError(f"{path}: type {header.get('TYPE')}, weights {header.get('EDGE_WEIGHT_TYPE')}")
@@ -109,14 +147,13 @@ def read_tsplib_matrix(spark: SparkSession, path: str) -> DataFrame:
     start = lines.filter(F.col("value").startswith("EDGE_WEIGHT_SECTION")).agg(F.min("line")).first()[0]
     if start is None:
         raise ValueError(f"{path}: no matrix")
-    header = dict(x.replace(" ", "").split(":", 1) for (x,) in lines.filter(F.col("line") < start).select("value").collect() if ":" in x)
+    header = _header(lines, start)
     layout, n = header.get("EDGE_WEIGHT_FORMAT", ""), int(header["DIMENSION"])
     if layout not in MATRIX_LAYOUTS:
         raise ValueError(f"{path}: layout {layout}")
     stop = lines.filter((F.col("line") > start) & F.col("value").rlike("^[A-Z]")).agg(F.min("line")).first()[0]
     body = lines.filter((F.col("line") > start) & (F.col("line") < (2**62 if stop is None else stop)))
-    tokens = body.select("line", F.posexplode(F.split("value", r"\s+")).alias("at", "t")).orderBy("line", "at")
-    stream = spark.createDataFrame(tokens.rdd.map(lambda r: r["t"]).zipWithIndex(), "t string, k long")
+    stream = materialize(numbered_tokens(body), "matrix")
     _counted(stream, MATRIX_LAYOUTS[layout](n), path)
     row, column = (x.cast("long") for x in _matrix_place(layout, F.col("k"), n))
     kept = row < column if layout == "FULL_MATRIX" else row != column
@@ -146,12 +183,18 @@ def _read_index(spark: SparkSession, path: str, columns: dict[str, str]) -> tupl
     return _counted(_fields(lines, list(columns), list(columns.values()), 2).drop("id"), int(count[0]), path), head
 
 
+def _write_lines(spark: SparkSession, path: str, head: list[str], *parts: DataFrame) -> None:
+    """``head`` and then the lines of each part (value, and the columns after it in whose order they stand)."""
+    rows = [spark.createDataFrame([(-1, k, v) for k, v in enumerate(head)], "part int, a long, value string").withColumn("b", F.lit(0).cast("long"))]
+    for n, part in enumerate(parts):
+        _, a, *b = part.columns
+        rows.append(part.select(F.lit(n).alias("part"), F.col(a).cast("long").alias("a"), "value", (F.col(b[0]) if b else F.lit(0)).cast("long").alias("b")))
+    reduce(DataFrame.unionByName, rows).orderBy("part", "a", "b").select("value").write.text(path)
+
+
 def _write_index(rows: DataFrame, columns: dict[str, str], head: str, path: str) -> None:
     parts = [F.col(c).cast(t) for c, t in columns.items()]
-    body = rows.select(parts[0].alias("at"), F.concat_ws(" ", *parts).alias("value"))
-    count = rows.agg(F.count("*").cast("string").alias("value")).select(F.lit(-1).cast("long").alias("at"), "value")
-    top = rows.sparkSession.range(1).select(F.lit(-2).cast("long").alias("at"), F.lit(head).alias("value"))
-    top.unionByName(count).unionByName(body).orderBy("at").select("value").write.text(path)
+    _write_lines(rows.sparkSession, path, [head, str(rows.count())], rows.select(F.concat_ws(" ", *parts).alias("value"), next(iter(columns))))
 
 
 def read_region_index(spark: SparkSession, path: str) -> tuple[DataFrame, str, int]:
@@ -174,8 +217,131 @@ def write_segment_index(segments: DataFrame, label: str, n: int, length: int, pa
     _write_index(segments, _SEGMENT, f"{label} {n} {length}", path)
 
 
-def write_edges(edges: DataFrame, n: int, path: str) -> None:
-    """``n m``, then ``i j len`` lines in (i, j) order."""
-    head = edges.agg(F.concat_ws(" ", F.lit(n), F.count("*")).alias("value")).withColumns({"i": F.lit(-1), "j": F.lit(-1)})
-    body = edges.select(F.concat_ws(" ", "i", "j", "len").alias("value"), "i", "j")
-    head.select("value", "i", "j").unionByName(body).orderBy("i", "j").select("value").write.text(path)
+def write_edges(edges: DataFrame, n: int, path: str, third: str = "len") -> None:
+    """``n m``, then ``i j len`` lines in (i, j) order; ``third`` may be x instead."""
+    body = edges.select(F.concat_ws(" ", "i", "j", F.col(third).cast("string")).alias("value"), "i", "j")
+    _write_lines(edges.sparkSession, path, [f"{n} {edges.count()}"], body)
+
+
+def _numbers(nodes: DataFrame) -> Column:
+    dims = [c for c in ("x", "y", "z") if c in nodes.columns]
+    return F.format_string(" ".join(["%.6f"] * len(dims)), *[F.col(c).cast("double") for c in dims])
+
+
+def write_points(nodes: DataFrame, path: str) -> None:
+    """``n``, then ``x y`` (and z) with six decimals per line, in the order of ids."""
+    _write_lines(nodes.sparkSession, path, [str(nodes.count())], nodes.select(_numbers(nodes).alias("value"), "id"))
+
+
+def write_tsplib(nodes: DataFrame, norm: str, path: str, name: str = "nodes") -> None:
+    """An instance with coordinates; numbers are from 1."""
+    if norm not in WEIGHT_TYPES.values():
+        raise ValueError(f"norm {norm!r} has no name in such files")
+    head = [f"NAME: {name}", "TYPE: TSP", f"DIMENSION: {nodes.count()}", f"EDGE_WEIGHT_TYPE: {norm}", "NODE_COORD_SECTION"]
+    body = nodes.select(F.concat_ws(" ", (F.col("id") + 1).cast("string"), _numbers(nodes)).alias("value"), "id")
+    _write_lines(nodes.sparkSession, path, head, body, nodes.sparkSession.range(1).select(F.lit("EOF").alias("value"), "id"))
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    """``n``, then a weight per line, in the order of ids."""
+    _write_lines(weights.sparkSession, path, [str(weights.count())], weights.select(F.col("w").cast("string").alias("value"), "id"))
+
+
+def write_tour(tour: DataFrame, path: str, fmt: str = "nodes", nodes: DataFrame | None = None, norm: str = "EUC_2D") -> None:
+    """One tour as ``nodes`` (n, then ten nodes per line), ``tsplib`` (numbers from 1, ended by -1) or ``edges`` (with lengths by ``norm``).
+
+    The closing edge stands last, from the first node to the last.
+    """
+    spark, n = tour.sparkSession, tour.count()
+    if fmt == "nodes":
+        rows = tour.groupBy(F.floor(F.col("pos") / 10).alias("row")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"].cast("string")), " ").alias("value"))
+        _write_lines(spark, path, [str(n)], rows.select("value", "row"))
+    elif fmt == "tsplib":
+        head = ["NAME: tour", "TYPE: TOUR", f"DIMENSION: {n}", "TOUR_SECTION"]
+        end = spark.createDataFrame([("-1", 0), ("EOF", 1)], "value string, at long")
+        _write_lines(spark, path, head, tour.select((F.col("node") + 1).cast("string").alias("value"), "pos"), end)
+    elif fmt == "edges":
+        e = tour_edges(tour, nodes, norm)
+        closing = F.col("pos") == n - 1
+        value = F.concat_ws(" ", F.when(closing, F.col("j")).otherwise(F.col("i")), F.when(closing, F.col("i")).otherwise(F.col("j")), "len")
+        _write_lines(spark, path, [f"{n} {n}"], e.select(value.alias("value"), "pos"))
+    else:
+        raise ValueError(f"format {fmt!r}: nodes, tsplib or edges")
+
+
+def read_rhvectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
+    """Vectors (id, vec of 0, 1 and 2) and parameters d00, d01, d02, d12, d22 and p1 of a vector file.
+
+    The first line is ``count length d00 d01 d02 d12 d22``, each further one ``number label symbols``.
+    A null vector is added as id 0. ``p1``: the share of ones among known symbols, 0 if there are none.
+    """
+    lines = numbered_lines(spark, path)
+    n, size, *costs = (int(x) for x in lines.filter("line = 0").first()["value"].split())
+    symbols = F.element_at(F.split("value", r"\s+"), -1)
+    rows = lines.filter("line > 0").select(F.col("line").alias("id"), symbols.alias("s"))
+    if rows.filter((F.length("s") != size) | ~F.col("s").rlike("^[012]*$")).take(1):
+        raise ValueError(f"{path}: vectors are {size} symbols 0, 1 or 2")
+    count = lambda c: F.sum(F.length("s") - F.length(F.replace("s", F.lit(c))))
+    zeros, ones = _counted(rows, n, path).agg(count("0"), count("1")).first()
+    vectors = rows.select("id", F.transform(F.split("s", ""), lambda x: x.cast("tinyint")).alias("vec"))
+    null = spark.range(1).select("id", F.lit(None).cast(vectors.schema["vec"].dataType).alias("vec"))
+    known = (zeros or 0) + (ones or 0)
+    return null.unionByName(vectors), dict(zip(("d00", "d01", "d02", "d12", "d22"), costs)) | {"p1": (ones or 0) / known if known else 0.0}
+
+
+def write_rhvectors(vectors: DataFrame, costs: dict[str, int], path: str) -> None:
+    """A vector file of the vectors that aren't null, in the order of ids."""
+    rows = vectors.filter("vec is not null")
+    n, size = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+    head = " ".join(str(x) for x in (n, size or 0, *(costs[c] for c in ("d00", "d01", "d02", "d12", "d22"))))
+    value = F.concat(F.col("id").cast("string"), F.lit(" v"), F.col("id").cast("string"), F.lit(" "), F.array_join(F.transform("vec", lambda x: x.cast("string")), ""))
+    _write_lines(vectors.sparkSession, path, [head], rows.select(value.alias("value"), "id"))
+
+
+def _cut_records(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each file's cuts as rows (file, cut, rhs, clique, node); a record's place is known only from those before it."""
+    names = ["file", "cut", "rhs", "clique", "node"]
+    for part in files:
+        for file, text in zip(part["file"], part["value"]):
+            tokens, out, cut = iter(map(int, text.split())), [], 0
+            for n_cliques in tokens:
+                cliques = [[next(tokens) for _ in range(next(tokens))] for _ in range(n_cliques)]
+                rhs = next(tokens)
+                out += [(file, cut, rhs, k, node) for k, nodes in enumerate(cliques) for node in nodes]
+                cut += 1
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+
+def read_cuts(spark: SparkSession, path: str, tour: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """cuts(cut_id, sense, rhs), cut_cliques(cut_id, clique_id) and members(clique_id, node) of cut files.
+
+    For each cut a file has the number of its cliques, for each clique its size and nodes, then the
+    right-hand side; the sense is G. With a ``tour`` nodes are replaced by their positions in it. A
+    file is read in one task, as records have no marks; many files are read side by side.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = materialize(files.mapInPandas(_cut_records, "file string, cut long, rhs int, clique long, node long"), "cut-records")
+    numbered = materialize(ranked(rows.select("file", "cut", "rhs").distinct(), ["file", "cut"], name="cut_id"), "cuts")
+    links = materialize(ranked(rows.select("file", "cut", "clique").distinct().join(numbered.select("file", "cut", "cut_id"), ["file", "cut"]), ["cut_id", "clique"], name="clique_id"), "cut-cliques")
+    members = rows.join(links, ["file", "cut", "clique"]).select("clique_id", "node")
+    if tour is not None:
+        members = members.join(tour.select("node", "pos"), "node").select("clique_id", F.col("pos").alias("node"))
+    return numbered.select("cut_id", F.lit("G").alias("sense"), "rhs"), links.select("cut_id", "clique_id"), members
+
+
+def write_cuts(cuts: DataFrame, cut_cliques: DataFrame, members: DataFrame, path: str, tour: DataFrame | None = None) -> None:
+    """A cut file in the order of cut ids; branching cuts (``branch`` other than 0) are left out, nodes are the tour's at their positions."""
+    if "branch" in cuts.columns:
+        cuts = cuts.filter("branch = 0")
+    if tour is not None:
+        members = members.join(tour.select(F.col("pos").alias("node"), F.col("node").alias("_to")), "node").select("clique_id", F.col("_to").alias("node"))
+    cliques = members.groupBy("clique_id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    inside = cut_cliques.join(cuts.select("cut_id", "rhs"), "cut_id").join(cliques, "clique_id")
+    value = F.concat_ws(" ", F.size("nodes").cast("string"), F.transform("nodes", lambda x: x.cast("string")))
+    placed = inside.select("cut_id", "rhs", value.alias("value"), F.row_number().over(Window.partitionBy("cut_id").orderBy("clique_id")).alias("at"))
+    ends = placed.groupBy("cut_id", "rhs").agg(F.count("*").alias("n"))
+    lines = placed.select("value", "cut_id", "at").unionByName(ends.select(F.col("n").cast("string").alias("value"), "cut_id", F.lit(0).alias("at"))).unionByName(ends.select(F.col("rhs").cast("string").alias("value"), "cut_id", (F.col("n") + 1).cast("int").alias("at")))
+    _write_lines(cuts.sparkSession, path, [], lines)
