@@ -212,8 +212,6 @@ NORMS: dict[str, Callable[[Column, Column], Column]] = {
     "MAX_2D": max_2d, "MAN_2D": man_2d, "EUC_2D": euc_2d, "CEIL_2D": ceil_2d, "EUC_3D": euc_3d, "ATT": att, "GEO": geo, "GEOM": geom, "CRYSTAL": crystal, "RH5": mismatches, "BOARD": board,
 }
 
-#: Smallest length of two points that are ``s`` apart in x or in y; only these norms prune by a grid.
-LOWER: dict[str, Callable[[float], float]] = {"MAX_2D": lambda s: int(s + 0.5), "MAN_2D": lambda s: int(s + 0.5), "EUC_2D": lambda s: int(s + 0.5), "EUC_3D": lambda s: int(s + 0.5), "CEIL_2D": lambda s: s, "ATT": lambda s: int(s / 10**0.5)}
 
 
 def register_norm(name: str, fn: Callable[[Column, Column], Column]) -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Frees the shuffle files of a finished write; its rows are in the written table by then.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to a Python worker at once: whole texts are long, and workers share an executor's memory.
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +67,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    with _setting(spark, _CLEANUP, "true"):
+    with _setting(spark, _CLEANUP, "true"), _setting(spark, _BATCH, _BATCH_ROWS):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,138 +1,246 @@
-"""Neighbour graphs of ``nodes(id, x, y)`` by grid joins.
-
-Candidates come from the nine grid cells around a node. Anything further away differs by at
-least one cell side in x or in y, so a node is done once its k-th length is below the smallest
-length at that distance; only the others go on with cells of twice the side.
+"""Neighbour graphs of ``nodes(id, x, y)`` by grid joins whose cells fit the local density.
+
+Each node searches on a level of its own, whose cells are half as wide as those of the level
+before: cells with many points are split until they hold few. Candidates come from the cells
+around a node. Anything further away differs by at least one cell side in some coordinate, so a
+node is done once its k-th length is below the smallest length at that distance, or the cells
+cover all there is in the direction asked for; the others go on one level up. Of points at one
+place only as many are candidates as can be among the k nearest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.norms import LOWER, length_col
+from ..functions.norms import GEO_PI, GEO_RADIUS, GEOM_RADIUS, length_col
 from ..jobs.session import materialize
 from .edges import oriented
 
-
-def _near_pairs(left: DataFrame, nodes: DataFrame, side: float, dims: str = "xy") -> DataFrame:
-    """Pairs (a, b) of structs whose cells touch, without pairs of a node with itself."""
-    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in dims]
-    a = left.select(F.struct(*left.columns).alias("a"), *cell)
-    for c in dims:
-        a = a.withColumn(f"_d{c}", F.explode(steps))
-    a = a.select("a", *[(F.col(f"_{c}") + F.col(f"_d{c}")).alias(f"_{c}") for c in dims])
-    b = nodes.select(F.struct(*nodes.columns).alias("b"), *cell)
-    return a.join(b, [f"_{c}" for c in dims]).select("a", "b").filter("a.id != b.id")
-
-
-def _extent(nodes: DataFrame, dims: str) -> tuple[int, float]:
-    n, *ends = nodes.agg(F.count("*"), *[f(c) for c in dims for f in (F.min, F.max)]).first()
-    return n, float(max(1e-9, *[(high or 0) - (low or 0) for low, high in zip(ends[::2], ends[1::2])]))
-
-
-def _searched(nodes: DataFrame, k: int, norm: str, pairs, dims: str = "xy") -> DataFrame:
-    n, extent = _extent(nodes, dims)
-    side = extent * (max(k, 2) / max(n, 1)) ** (1 / len(dims))
-    todo, found = nodes, None
-    while True:
-        last = side > extent
-        ranked = materialize(pairs(todo, side), "ranked")
-        bound = float("inf") if last else LOWER[norm](side)
-        done = ranked.groupBy("id").agg(F.min("full").alias("full"), F.max("far").alias("far")).filter(F.col("full") & (F.col("far") < bound)).select("id")
-        part = ranked if last else ranked.join(done, "id")
+#: Smallest length of two points that are ``s`` apart in one of the cells' coordinates; only these norms have cells.
+_LOWER: dict[str, Callable[[Column], Column]] = {
+    **{n: lambda s: F.floor(s + 0.5) for n in ("MAX_2D", "MAN_2D", "EUC_2D", "EUC_3D", "TOROIDAL")},
+    "CEIL_2D": lambda s: s,
+    "ATT": lambda s: F.floor(s / math.sqrt(10)),
+    "GEO": lambda s: F.floor(GEO_RADIUS * GEO_PI / 180.0 * s + 1.0),
+    "GEOM": lambda s: F.floor(GEOM_RADIUS * math.pi / 180.0 * s + 1.0),
+}
+#: Deepest level of cells.
+_DEEPEST = 40
+
+
+class _Cells:
+    """The cells of a set of points under a norm: latitude bands on a sphere, else squares or cubes."""
+
+    def __init__(self, nodes: DataFrame, norm: str, params: dict, dims: str):
+        if norm not in _LOWER:
+            raise ValueError(f"norm {norm!r} has no cells to search in; use knn_all_pairs")
+        self.norm, self.wraps = norm, norm == "TOROIDAL"
+        self.dims = ["_lat"] if norm in ("GEO", "GEOM") else list(dims)
+        if self.wraps:
+            self.n, self.low, self.extent = nodes.count(), dict.fromkeys(self.dims, 0.0), float(params["grid"])
+        else:
+            self.n, *ends = self.placed(nodes).agg(F.count("*"), *[f(c) for c in self.dims for f in (F.min, F.max)]).first()
+            self.low = {c: float(v or 0) for c, v in zip(self.dims, ends[::2])}
+            self.high = {c: float(v or 0) for c, v in zip(self.dims, ends[1::2])}
+            self.extent = max(1e-9, *[self.high[c] - self.low[c] for c in self.dims])
+
+    def placed(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` with the coordinate of the latitude bands, where these are used."""
+        if self.dims != ["_lat"]:
+            return nodes
+        x = F.col("x").cast("double")
+        whole = x.cast("long")
+        return nodes.withColumn("_lat", whole + 5.0 * (x - whole) / 3.0 if self.norm == "GEO" else x)
+
+    def cell(self, c: str, level: Column) -> Column:
+        return F.floor((F.col(c) - self.low[c]) * F.pow(F.lit(2.0), level) / self.extent)
+
+    def bound(self, level: Column) -> Column:
+        return _LOWER[self.norm](self.extent / F.pow(F.lit(2.0), level) * (1 - 1e-9))
+
+    def around(self, c: str, cell: Column, level: Column, ways: Column) -> Column:
+        """The cells in the ``ways`` (-1, 0, 1) from ``cell``, each once."""
+        count = F.pow(F.lit(2.0), level).cast("long")
+        return F.array_distinct(F.transform(ways, lambda w: F.pmod(cell + w, count) if self.wraps else cell + w))
+
+    def covered(self, c: str, level: Column, way: Column) -> Column:
+        """Do the cells around reach the end of all points, downwards (-1), upwards (1) or both (0)?"""
+        if self.wraps:
+            return level <= 1
+        last = F.floor((self.high[c] - self.low[c]) * F.pow(F.lit(2.0), level) / self.extent)
+        down, up = self.cell(c, level) <= 1, self.cell(c, level) + 1 >= last
+        return F.when(way < 0, down).when(way > 0, up).otherwise(down & up)
+
+    def levels(self, nodes: DataFrame, k: int) -> DataFrame:
+        """``nodes`` with ``lv``: the first level on which a node's cell holds few points."""
+        few = 3 * k + 5
+        at = max(0, int(math.log2(max(self.n, 1) / few) / len(self.dims))) if self.n > few else 0
+        open_, done = nodes.withColumn("lv", F.lit(at)), None
+        while True:
+            tried = open_.withColumn("try", F.explode(F.sequence("lv", F.col("lv") + 3)))
+            cells = [self.cell(c, F.col("try")).alias(f"_{c}") for c in self.dims]
+            counts = tried.groupBy("try", *cells).agg(F.count("*").alias("n")).filter(F.col("n") <= few)
+            first = tried.select("id", "try", *cells).join(counts, ["try", *[f"_{c}" for c in self.dims]]).groupBy("id").agg(F.min("try").alias("found"))
+            now = materialize(open_.join(first, "id", "left"), "levels")
+            part = now.filter("found is not null").select(*nodes.columns, F.col("found").alias("lv"))
+            done = part if done is None else done.unionByName(part)
+            open_ = now.filter("found is null").select(*nodes.columns, (F.col("lv") + 4).alias("lv"))
+            at += 4
+            if at >= _DEEPEST or not open_.take(1):
+                return done.unionByName(open_)
+
+
+#: Directions of the closed quadrants (x, y) and octants (x, y, z), by number; bit 1 of an octant is x from here down, 2 y, 4 z.
+_QUADRANTS = ((1, 1), (-1, 1), (-1, -1), (1, -1))
+_OCTANTS = tuple(tuple(-1 if n >> bit & 1 else 1 for bit in range(3)) for n in range(8))
+
+
+def _few_at_a_place(targets: DataFrame, cells: list[str], k: int, order: list[str]) -> DataFrame:
+    """Of the targets at each place the first ``k``; a place with very many is cut down in parts first."""
+    part = F.pmod(F.xxhash64("id"), F.lit(64))
+    some = targets.withColumn("_n", F.row_number().over(Window.partitionBy(*cells, part).orderBy(*order))).filter(F.col("_n") <= k)
+    return some.withColumn("_n", F.row_number().over(Window.partitionBy(*cells).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+
+
+def _search(nodes: DataFrame, targets: DataFrame, k: int, norm: str, params: dict | None = None, dims: str = "xy", ways: tuple = (), group: str | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """id, unit, nbr, len, rank: the k nearest targets of each node, in each of the ``ways`` if there are any, ties by id."""
+    params, places = params or {}, [c for c in ("x", "y", "z") if c in targets.columns]
+    if weights is not None:
+        if (least := weights.agg(F.min("w")).first()[0] or 0.0) < -1e-8:
+            raise ValueError(f"a weight is negative: {least}")
+        nodes, targets = (t.join(weights.select("id", "w"), "id") for t in (nodes, targets))
+    else:
+        least, nodes, targets = 0.0, nodes.withColumn("w", F.lit(0.0)), targets.withColumn("w", F.lit(0.0))
+    cells = _Cells(nodes, norm, params, dims)
+    same = [*places, *[group] * bool(group)]
+    targets = materialize(cells.placed(_few_at_a_place(targets, same, k + 1, ["w", "id"])), "targets")
+    units = F.array(*[F.lit(u) for u in range(max(1, len(ways)))])
+    todo = materialize(cells.levels(cells.placed(nodes), k).withColumn("units", units), "levels")
+    columns, found = [c for c in todo.columns if c not in ("lv", "units")], None
+
+    def way(d: int) -> Column:
+        return F.element_at(F.array(*[F.lit(w[d]) for w in ways]), F.col("unit") + 1) if ways else F.lit(0)
+
+    while todo.take(1):
+        own = todo.withColumn("unit", F.explode("units")).drop("units")
+        both = F.array(F.lit(-1), F.lit(0), F.lit(1))
+        for d, c in enumerate(cells.dims):
+            toward = F.array(F.lit(0), way(d)) if ways else both
+            own_ = own if not d else left
+            left = own_.withColumn(f"_{c}", F.explode(cells.around(c, cells.cell(c, F.col("lv")), F.col("lv"), toward)))
+        # Plain columns up to the join; structs of them are made after it.
+        left = left.select(*[F.col(c).alias(f"a_{c}") for c in columns], "unit", "lv", *[f"_{c}" for c in cells.dims])
+        used = sorted(r[0] for r in todo.select("lv").distinct().collect())  # levels in use, _DEEPEST at most
+        right = targets.withColumn("lv", F.explode(F.array(*[F.lit(v) for v in used])))
+        right = right.select(*[F.col(c).alias(f"b_{c}") for c in columns], "lv", *[cells.cell(c, F.col("lv")).alias(f"_{c}") for c in cells.dims])
+        pairs = left.join(right, ["lv", *[f"_{c}" for c in cells.dims]]).filter("a_id != b_id")
+        for d, c in enumerate(dims if ways else ""):
+            pairs = pairs.filter((F.col(f"b_{c}") - F.col(f"a_{c}")) * way(d) >= 0)
+        if group:
+            pairs = pairs.filter(F.col(f"a_{group}") != F.col(f"b_{group}"))
+        pairs = pairs.select("unit", *[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in columns]).alias(s) for s in ("a", "b")])
+        length = length_col(norm, F.col("a"), F.col("b"), **params)
+        if weights is not None:
+            length = length + F.col("a.w") + F.col("b.w")
+        rows = pairs.select(F.col("a.id").alias("id"), "unit", F.col("b.id").alias("nbr"), length.alias("len"))
+        by = Window.partitionBy("id", "unit")
+        ranked = materialize(rows.withColumn("rank", F.row_number().over(by.orderBy("len", "nbr"))).filter(F.col("rank") <= k), "ranked")
+        reach = ranked.groupBy("id", "unit").agg(F.count("*").alias("n"), F.max("len").alias("far"))
+        covered = F.lit(True)
+        for d, c in enumerate(cells.dims):
+            covered = covered & cells.covered(c, F.col("lv"), way(d))
+        near = (F.col("n") >= k) & (F.col("far") < cells.bound(F.col("lv")) + F.col("w") + least)
+        judged = materialize(own.join(reach, ["id", "unit"], "left").withColumn("done", covered | F.coalesce(near, F.lit(False))), "judged")
+        part = ranked.join(judged.filter("done").select("id", "unit"), ["id", "unit"])
         found = part if found is None else found.unionByName(part)
-        if last:
-            return found.drop("full", "far")
-        todo = materialize(todo.join(done, "id", "left_anti"), "open")
-        if not todo.take(1):
-            return found.drop("full", "far")
-        side *= 2
-
-
-def knn(nodes: DataFrame, k: int, norm: str = "EUC_2D") -> DataFrame:
-    """id, nbr, len, rank: the k nearest of every node, ties by the smaller id."""
-
-    def pairs(todo: DataFrame, side: float) -> DataFrame:
-        rows = _near_pairs(todo, nodes, side).select(F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), length_col(norm, F.col("a"), F.col("b")).alias("len"))
-        by = Window.partitionBy("id")
-        ranked = rows.withColumn("rank", F.row_number().over(by.orderBy("len", "nbr"))).filter(F.col("rank") <= k)
-        return ranked.withColumn("full", F.count("*").over(by) >= k).withColumn("far", F.max("len").over(by))
-
-    return _searched(nodes, k, norm, pairs)
-
-
-def _nearest(nodes: DataFrame, targets: DataFrame, norm: str, allowed) -> DataFrame:
-    """id, nbr, len: the nearest target of every node among the pairs that ``allowed`` lets by."""
-
-    def pairs(todo: DataFrame, side: float) -> DataFrame:
-        rows = _near_pairs(todo, targets, side).filter(allowed(F.col("a"), F.col("b")))
-        best = rows.groupBy(F.col("a.id").alias("id")).agg(F.min(F.struct(length_col(norm, F.col("a"), F.col("b")).alias("len"), F.col("b.id").alias("nbr"))).alias("e"))
-        return best.select("id", "e.nbr", "e.len", F.lit(True).alias("full"), F.col("e.len").alias("far"))
-
-    return _searched(nodes, 2, norm, pairs)
-
-
-def nearest_unmarked(nodes: DataFrame, excluded: DataFrame, norm: str = "EUC_2D") -> DataFrame:
+        again = judged.filter("not done").groupBy(*[c for c in todo.columns if c != "units"]).agg(F.collect_list("unit").alias("units"))
+        todo = materialize(again.withColumn("lv", F.col("lv") - 1), "open")
+    none = nodes.sparkSession.createDataFrame([], "id long, unit int, nbr long, len long, rank int")
+    return none if found is None else found.select("id", "unit", "nbr", "len", "rank")
+
+
+def knn(nodes: DataFrame, k: int, norm: str = "EUC_2D", weights: DataFrame | None = None, **params) -> DataFrame:
+    """id, nbr, len, rank: the k nearest of every node, ties by the smaller id.
+
+    ``weights`` (id, w, none negative): both ends' weights are added to a length. With k or fewer
+    nodes there are too few neighbours, which is an error.
+    """
+    n = nodes.count()
+    if n and n <= k:
+        raise ValueError(f"{n} nodes don't have {k} neighbours each")
+    return _search(nodes, nodes, k, norm, params, dims="xyz" if norm == "EUC_3D" else "xy", weights=weights).drop("unit")
+
+
+def knn_all_pairs(points: DataFrame, k: int, norm: str, most: int = 50_000, block: int = 2000, **params) -> DataFrame:
+    """id, nbr, len, rank under a norm without geometry (vectors, codes), from all pairs of at most ``most`` points, block by block."""
+    n = points.count()
+    if n > most or n and n <= k:
+        raise ValueError(f"{n} points: more than {k} and at most {most} are compared")
+    blocks = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    a = points.select(F.struct(*points.columns).alias("a"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    b = points.select(F.struct(*points.columns).alias("b"), own.alias("block"))
+    rows = a.join(b, "block").filter("a.id != b.id").select("block", F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), length_col(norm, F.col("a"), F.col("b"), **params).alias("len"))
+    part = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id", "block").orderBy("len", "nbr"))).filter(F.col("rank") <= k)
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("len", "nbr"))).filter(F.col("rank") <= k).select("id", "nbr", "len", "rank")
+
+
+def nearest_unmarked(nodes: DataFrame, excluded: DataFrame, norm: str = "EUC_2D", **params) -> DataFrame:
     """id, nbr, len: the nearest other node that isn't in ``excluded(id)``, ties by the smaller id."""
     point = nodes.select("id", "x", "y")
-    return _nearest(point, point.join(excluded.select("id"), "id", "left_anti"), norm, lambda a, b: F.lit(True))
+    return _search(point, point.join(excluded.select("id"), "id", "left_anti"), 1, norm, params).select("id", "nbr", "len")
 
 
-def nearest_outside_group(nodes: DataFrame, norm: str = "EUC_2D") -> DataFrame:
+def nearest_outside_group(nodes: DataFrame, norm: str = "EUC_2D", **params) -> DataFrame:
     """id, nbr, len, cost of ``nodes(id, x, y, part_id)``: the nearest node of another part, and half the length, rounded down."""
     point = nodes.select("id", "x", "y", "part_id")
-    return _nearest(point, point, norm, lambda a, b: a["part_id"] != b["part_id"]).withColumn("cost", F.floor(F.col("len") / 2))
+    return _search(point, point, 1, norm, params, group="part_id").select("id", "nbr", "len", F.floor(F.col("len") / 2).alias("cost"))
+
+
+def border_distance(nodes: DataFrame, regions: DataFrame) -> DataFrame:
+    """id, part_id, cost of ``nodes(id, x, y, part_id)``: metres (GEOM) to the nearest of the four sides of the part's box."""
+    rows = nodes.join(regions.select("part_id", "x0", "x1", "y0", "y1"), "part_id")
+    here = F.struct("x", "y")
+    sides = [F.struct(F.col(c).alias("x"), F.col("y").alias("y")) for c in ("x0", "x1")] + [F.struct(F.col("x").alias("x"), F.col(c).alias("y")) for c in ("y0", "y1")]
+    return rows.select("id", "part_id", F.least(*[length_col("GEOM", here, s) for s in sides]).alias("cost"))
 
 
 def octant_knn(nodes: DataFrame, k: int, norm: str = "EUC_3D") -> DataFrame:
     """id, octant, nbr, len, rank: in three dimensions, the k nearest in each closed octant (bit 1: x from here down, 2: y, 4: z)."""
+    return _search(nodes, nodes, k, norm, dims="xyz", ways=_OCTANTS).select("id", F.col("unit").alias("octant"), "nbr", "len", "rank")
 
-    def pairs(todo: DataFrame, side: float) -> DataFrame:
-        flags = []
-        for octant in range(8):
-            test = F.lit(True)
-            for bit, c in enumerate("xyz"):
-                p, q = F.col(f"a.{c}"), F.col(f"b.{c}")
-                test = test & ((q <= p) if octant >> bit & 1 else (q >= p))
-            flags.append(F.when(test, F.lit(octant)))
-        rows = _near_pairs(todo, nodes, side, "xyz").select(
-            F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), length_col(norm, F.col("a"), F.col("b")).alias("len"), F.explode(F.array_compact(F.array(*flags))).alias("octant")
-        )
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id", "octant").orderBy("len", "nbr"))).filter(F.col("rank") <= k)
-        by = Window.partitionBy("id")
-        return ranked.withColumn("full", F.count("*").over(by) >= 8 * k).withColumn("far", F.max("len").over(by))
-
-    return _searched(nodes, k, norm, pairs, "xyz")
-
-
-def knn_graph(nodes: DataFrame, k: int, norm: str = "EUC_2D") -> DataFrame:
+
+def knn_graph(nodes: DataFrame, k: int, norm: str = "EUC_2D", weights: DataFrame | None = None, **params) -> DataFrame:
     """i, j, len: the undirected union of all k nearest."""
-    return oriented(knn(nodes, k, norm).select(F.col("id").alias("i"), F.col("nbr").alias("j"), "len")).distinct()
+    return oriented(knn(nodes, k, norm, weights, **params).select(F.col("id").alias("i"), F.col("nbr").alias("j"), "len")).distinct()
 
 
 def quadrant_knn(nodes: DataFrame, k: int, norm: str = "EUC_2D") -> DataFrame:
     """id, quadrant, nbr, len, rank: the k nearest in each closed quadrant; a point on an axis is in both."""
-
-    def pairs(todo: DataFrame, side: float) -> DataFrame:
-        east, north = F.col("b.x") >= F.col("a.x"), F.col("b.y") >= F.col("a.y")
-        west, south = F.col("b.x") <= F.col("a.x"), F.col("b.y") <= F.col("a.y")
-        inside = F.array(*[F.when(c, F.lit(q)) for q, c in enumerate((east & north, west & north, west & south, east & south))])
-        rows = _near_pairs(todo, nodes, side).select(
-            F.col("a.id").alias("id"), F.col("b.id").alias("nbr"), length_col(norm, F.col("a"), F.col("b")).alias("len"), F.explode(F.array_compact(inside)).alias("quadrant")
-        )
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id", "quadrant").orderBy("len", "nbr"))).filter(F.col("rank") <= k)
-        by = Window.partitionBy("id")
-        return ranked.withColumn("full", F.count("*").over(by) >= 4 * k).withColumn("far", F.max("len").over(by))
-
-    return _searched(nodes, k, norm, pairs)
+    if norm in ("GEO", "GEOM", "TOROIDAL"):
+        raise ValueError(f"norm {norm!r} has no quadrants here")
+    return _search(nodes, nodes, k, norm, ways=_QUADRANTS).select("id", F.col("unit").alias("quadrant"), "nbr", "len", "rank")
 
 
-def fixed_radius(nodes: DataFrame, r: float, norm: str = "EUC_2D") -> DataFrame:
-    """i, j, len of all pairs with a length strictly below ``r``."""
-    if norm not in LOWER:
+def fixed_radius(nodes: DataFrame, r: float, norm: str = "EUC_2D", weights: DataFrame | None = None) -> DataFrame:
+    """i, j, len of all pairs with a length, both ends' ``weights`` (none negative) added, strictly below ``r``."""
+    if norm not in _LOWER or norm in ("GEO", "GEOM", "TOROIDAL"):
         raise ValueError(f"{norm} has no grid bound")
     side = (r + 1) * (10**0.5 if norm == "ATT" else 1)
-    rows = _near_pairs(nodes, nodes, side).filter("a.id < b.id")
-    return rows.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), length_col(norm, F.col("a"), F.col("b")).alias("len")).filter(F.col("len") < r)
+    weighted = nodes.withColumn("w", F.lit(0.0)) if weights is None else nodes.join(weights.select("id", "w"), "id")
+    if weights is not None and (weights.agg(F.min("w")).first()[0] or 0.0) < -1e-8:
+        raise ValueError("a weight is negative")
+    dims = "xyz" if norm == "EUC_3D" else "xy"
+    cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in dims]
+    a, b = weighted.select(F.struct(*weighted.columns).alias("a"), *cell), weighted.select(F.struct(*weighted.columns).alias("b"), *cell)
+    for c in dims:
+        a = a.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + k for k in (-1, 0, 1)])))
+    rows = a.join(b, [f"_{c}" for c in dims]).filter("a.id < b.id")
+    length = length_col(norm, F.col("a"), F.col("b"))
+    if weights is not None:
+        length = length + F.col("a.w") + F.col("b.w")
+    return rows.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), length.alias("len")).filter(F.col("len") < r)
