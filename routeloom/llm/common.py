@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; longer texts are a step of their own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -45,6 +46,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, remembered while there are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+#: Shared by the tasks of a Python worker, one after the other.
+WORD_HASHES = WordHashes()
+
+
 def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated ranges ``start .. start + count - 1``."""
     total = int(counts.sum())

@@ -24,31 +24,21 @@ from pyspark.sql import functions as F
 
 from ..jobs.session import materialize, release, shared_path
 from .anchors import runs
-from .common import expand, text_bytes
+from .common import WORD_HASHES, expand, text_bytes
 from .suffix_dedup import keyed
 
 _RUN = "did long, rid long, lo long, n int, key long, content long"
 _TEXT = "did long, rid long, text string"
 _MANIFEST = "version long, runs array<string>, texts array<string>"
-_STEP_WORDS = 400_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+_STEP_WORDS = 200_000
 
 
 def _run_rows(window: int, gram: int):
-    hashes = _WordHashes()
-
     def flush(held: list) -> pa.RecordBatch:
         words = [w for x in held for w in x[3]]
         sizes = np.array([len(x[3]) for x in held], np.int64)
         ends = np.cumsum(sizes)
-        symbols = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        symbols = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
         lo, hi, _, key = runs(symbols, ends, window, gram)
         joined = b" ".join(words)
         stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1

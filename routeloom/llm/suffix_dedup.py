@@ -11,7 +11,7 @@ depth, as far as it is at least as long as the shortest string asked for:
    place, the longest previous factor: of the suffixes that start earlier in the corpus the
    longest common prefix is with the previous or the next smaller position in suffix order. The
    longest factor that stands anywhere else is a neighbour's in suffix order.
-4. An anchor with more classes than ``max_group`` isn't given to one task. Its windows are
+4. An anchor whose classes have more bytes than ``max_group`` isn't given to one task. Its windows are
    compared by 128-bit digest in ordinary aggregations, which Spark spreads.
 
 A *wish* is a length and which copies to find: ``first`` leaves the first (previous factors),
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..jobs.session import materialize
+from ..jobs.session import materialize, release
 from .anchors import runs
 from .common import STEP_BYTES, mix, named, row_key, text_bytes
 
@@ -39,7 +39,7 @@ _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: A longer text is looked at in pieces that overlap by one window.
 _PIECE = 1 << 22
 #: Bytes for one suffix array; a group of classes larger than this has an array of its own.
-_ARRAY_BYTES = 1 << 20
+_ARRAY_BYTES = 1 << 19
 
 _RUN = "did long, rid long, lo long, n int, size int, key long, content long, content2 long"
 _HIT = "did long, rid long, lo long, n int, wish int"
@@ -308,7 +308,7 @@ def _window_rows(wishes: list[Wish]):
     return rows
 
 
-def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_group: int = 8000) -> DataFrame:
+def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_group: int = 1 << 20) -> DataFrame:
     """Stretches ``lo .. lo + n - 1`` of starts of repeated strings, for ``docs`` from :func:`keyed`; ``wish``: of which wish."""
     if not wishes or any(keep not in ("first", "none") or n < 1 for n, keep in wishes):
         raise ValueError(f"wishes are lengths from 1 on with first or none, not {wishes!r}")
@@ -320,7 +320,8 @@ def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_gr
     shared = members.groupBy("key").agg(F.count("*").alias("m"), *[(F.min(c) != F.max(c)).alias(f"by_{c}") for c in content]).filter("m > 1")
     # Written first, so that the join's two sides are plain shuffles, whose hot keys Spark splits.
     shared = materialize(shared.select("key", (F.col("by_content") | F.col("by_content2")).alias("mixed")), "shared-anchors")
-    members = materialize(members.join(shared, "key"), "shared-runs")
+    found, members = members, materialize(members.join(shared, "key"), "shared-runs")
+    release(found, shared)
     classes = materialize(
         members.groupBy("key", *content).agg(F.min(F.struct("did", "rid", "lo", "n", "size")).alias("rep"), F.count("*").alias("m"), F.first("mixed").alias("mixed")), "classes"
     )
@@ -332,14 +333,14 @@ def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_gr
         for wish, (length, keep) in enumerate(wishes)
     ]
 
-    sizes = materialize(classes.filter("mixed").groupBy("key").agg(F.count("*").alias("classes")), "class-counts")
+    sizes = materialize(classes.filter("mixed").groupBy("key").agg(F.sum("rep.size").alias("classes")), "class-sizes")
     listed = (
         classes.filter("mixed")
         .join(sizes, "key")
         .select("key", "classes", "rep.*")
         .groupBy("did", "rid")
         .agg(F.collect_list(F.struct("key", "classes", "lo", "n", "size")).alias("listed"))
-    )
+    )  # classes: the bytes of all classes of an anchor
     pieces = materialize(rows.join(listed, ["did", "rid"]).mapInArrow(_cut_runs, _PIECE_ROW), "pieces")
     dealt = pieces.filter(F.col("classes") <= max_group).repartition("key").sortWithinPartitions("key", "did", "rid", "lo")
     parts.append(materialize(dealt.mapInArrow(_suffix_rows(wishes), _HIT), "factors"))
@@ -348,7 +349,9 @@ def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_gr
     firsts = [w for w, (_, keep) in enumerate(wishes) if keep == "first"]
     common = windows.join(groups, ["a", "b", "wish"]).filter(later | ~F.col("wish").isin(firsts))
     parts.append(common.select("did", "rid", "lo", F.lit(1).alias("n"), "wish"))
-    return reduce(DataFrame.unionByName, parts)
+    hits = materialize(reduce(DataFrame.unionByName, parts), "repeated-windows")
+    release(members, classes, again, sizes, pieces)
+    return hits
 
 
 def _spans(listed: list, window: int) -> list[tuple[int, int]]:
