@@ -16,7 +16,7 @@ the item and any substring there, and an exact table the best place.
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,9 +34,13 @@ _TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 BLOCK_ITEMS = 20_000
 
 #: Independent walks, their steps, and the places that are sampled from each; one key each.
-WALKS, STEPS, SAMPLES = 6, 7, ((0, 2, 5), (0, 3, 6))
-#: Items of fewer words are indexed by their parts.
-SHORT = 10
+WALKS, STEPS, SAMPLES = 16, 8, ((0, 2, 4, 7), (0, 3, 5, 7))
+#: A key has to hold this many changes of the word.
+LEAST_MOVES = 3
+#: Windows start at this share of an item's words, the rarest ones.
+STARTS = 0.6
+#: Items of fewer words, and those of which fewer than this share of all keys can be used (they repeat few words), are indexed by their parts.
+SHORT, LEAST_KEYS = 12, 0.4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
@@ -64,10 +68,13 @@ class ItemBlock:
         # Bits of each walk, step and word; one is the place of unknown words, zero that of a text's end.
         words = np.arange(len(names) + 2, dtype=np.uint64)
         self.moves = [[(mix(words * _GOLDEN + np.uint64(w * STEPS + t + 1)) >> np.uint64(63)).astype(np.int32) for t in range(STEPS)] for w in range(WALKS)]
-        self._index_windows()
+        # Windows start at the words of an item that are rarest among all items.
+        counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *self.items]), minlength=len(names) + 1)
+        self.starts = [np.sort(np.argsort(counts[x], kind="stable")[: math.ceil(STARTS * len(x))]) for x in self.items]
+        by_parts = self._index_windows()
         parts: dict[int, list[tuple[int, int, int]]] = {}
         for k, (words, edits) in enumerate(zip(self.items, self.edits.tolist())):
-            if len(words) < SHORT:
+            if k in by_parts:
                 cuts = [len(words) * p // (edits + 1) for p in range(edits + 2)]
                 for a, b in zip(cuts, cuts[1:]):
                     parts.setdefault(b - a, []).append((self._gram(words[a:b]), k, a))
@@ -89,25 +96,39 @@ class ItemBlock:
                 # A walk stays at a text's end.
                 at = at + np.where(word > 0, moves[t][word], 0)
             for r, places in enumerate(SAMPLES):
-                key, whole = np.full(len(starts), w * len(SAMPLES) + r + 1, np.uint64), np.ones(len(starts), bool)
-                for t in places:
+                key, whole, moved = np.full(len(starts), w * len(SAMPLES) + r + 1, np.uint64), np.ones(len(starts), bool), np.zeros(len(starts), np.int8)
+                for last, t in zip((None, *places), places):
                     key = (key + seen[t].astype(np.uint64)) * _GOLDEN
                     key ^= key >> np.uint64(29)
                     whole &= seen[t] > 1
-                yield key, whole
+                    if last is not None:
+                        moved += seen[t] != seen[last]
+                yield key, whole & (moved >= LEAST_MOVES)
 
-    def _index_windows(self) -> None:
+    def _index_windows(self) -> set[int]:
+        """Make the index of windows; the items that have too few keys for it."""
         long_ = [k for k in range(len(self.items)) if self.sizes[k] >= SHORT]
         stream = np.concatenate([np.zeros(0, np.int64), *(np.append(self.items[k], -1) for k in long_)])
-        sizes = self.sizes[long_]
-        starts = np.flatnonzero(stream > 0)
-        item, offset = np.repeat(np.array(long_, np.int64), sizes), np.arange(len(starts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        begin = np.cumsum([0, *(self.sizes[k] + 1 for k in long_)])
+        starts = np.concatenate([np.zeros(0, np.int64), *(b + self.starts[k] for b, k in zip(begin.tolist(), long_))])
+        item = np.repeat(np.array(long_, np.int64), [len(self.starts[k]) for k in long_])
+        offset = np.concatenate([np.zeros(0, np.int64), *(self.starts[k] for k in long_)])
         rows = [(key[whole], item[whole], offset[whole]) for key, whole in self._keys(stream, starts)]
         keys, items, offsets = (np.concatenate(x) for x in zip(*rows))
+        # Windows that reach over their item's end have no key; the rest should have one in each repetition.
+        counts = np.bincount(items, minlength=len(self.items))
+        wanted = np.bincount(item, minlength=len(self.items)) * len(rows) * LEAST_KEYS
+        enough = (counts >= wanted) & (self.sizes >= SHORT)
+        own = enough[items]
+        keys, items, offsets = keys[own], items[own], offsets[own]
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_items, self.key_offsets = keys[order], items[order], offsets[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[keys >> np.uint64(64 - _FILTER_BITS)] = True
+        # Words that windows start at; the last place stands for a text's end.
+        self.opens = np.zeros(len(self.codes) + 2, bool)
+        self.opens[stream[starts[enough[item]]]] = True
+        return set(np.flatnonzero(~enough).tolist())
 
     @staticmethod
     def _gram(words: np.ndarray) -> int:
@@ -136,7 +157,7 @@ class ItemBlock:
             found.append(np.column_stack((np.searchsorted(ends, at, side="right"), items[rows], at - offsets[rows])))
 
         if len(self.keys):
-            starts = np.flatnonzero(codes > 0)
+            starts = np.flatnonzero(self.opens[codes])  # -1, a text's end, is the last place
             for key, whole in self._keys(codes, starts):
                 near = np.flatnonzero(whole & self.filter[key >> np.uint64(64 - _FILTER_BITS)])
                 hit(self.keys, self.key_items, self.key_offsets, key[near], starts[near])
