@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +215,16 @@ NORMS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 
+#: The same lengths of arrays of coordinate differences, for the small groups that one task works on.
+ARRAY_NORMS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "MAX_2D": lambda dx, dy: np.trunc(np.maximum(np.abs(dx), np.abs(dy)) + 0.5),
+    "MAN_2D": lambda dx, dy: np.trunc(np.abs(dx) + np.abs(dy) + 0.5),
+    "EUC_2D": lambda dx, dy: np.trunc(np.sqrt(dx * dx + dy * dy) + 0.5),
+    "CEIL_2D": lambda dx, dy: np.ceil(np.sqrt(dx * dx + dy * dy)),
+    "ATT": lambda dx, dy: np.ceil(np.sqrt((dx * dx + dy * dy) / 10.0)),
+}
+
+
 def register_norm(name: str, fn: Callable[[Column, Column], Column]) -> None:
     """Make a norm of the user's known by name."""
     _custom[name] = fn

@@ -21,6 +21,7 @@ SQL = {
     "sets": "SELECT CAST(s_nationkey AS BIGINT) AS clique_id, CAST(s_suppkey AS BIGINT) AS node FROM supplier UNION ALL SELECT 100 + s_suppkey % 7, s_suppkey FROM supplier",
     "set_cuts": "SELECT CAST(n_regionkey AS BIGINT) AS cut_id, CAST(n_nationkey AS BIGINT) AS clique_id FROM nation UNION ALL SELECT r_regionkey, 100 + r_regionkey FROM region",
     "chain": "SELECT CAST(c_custkey AS BIGINT) AS i, CAST(c_custkey + 1 + c_nationkey % 5 AS BIGINT) AS j, CAST((1 + c_custkey % 4) / 4.0 AS DOUBLE) AS x FROM customer",
+    "ladder": "SELECT CAST(c_custkey AS BIGINT) AS i, CAST(c_custkey + k AS BIGINT) AS j, CASE WHEN c_custkey % 10 + k < 10 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS x FROM customer, (SELECT unnest([1, 2, 3]) AS k) WHERE c_custkey % 10 + k < 10 OR k = 1",
     "space": "SELECT s_suppkey AS id, CAST(round(s_acctbal) AS DOUBLE) AS x, CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS y, CAST((s_suppkey * 104729) % 9973 AS DOUBLE) AS z FROM supplier",
     "node_pi": "SELECT id, CAST(id % 7 AS DOUBLE) AS pi FROM (SELECT i AS id FROM xedges UNION SELECT j FROM xedges)",
 }
@@ -56,6 +57,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return fixture(spark, sf_dir, "cut_cliques").unionByName(load("region").select(F.col("r_regionkey").cast("long").alias("cut_id"), (100 + F.col("r_regionkey")).cast("long").alias("clique_id")))
     if name == "chain":
         return load("customer").select(F.col("c_custkey").cast("long").alias("i"), (F.col("c_custkey") + 1 + F.col("c_nationkey") % 5).cast("long").alias("j"), ((1 + F.col("c_custkey") % 4) / 4.0).cast("double").alias("x"))
+    if name == "ladder":
+        inside = F.col("c_custkey") % 10 + F.col("k") < 10
+        rows = load("customer").select("c_custkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).filter(inside | (F.col("k") == 1))
+        return rows.select(F.col("c_custkey").cast("long").alias("i"), (F.col("c_custkey") + F.col("k")).cast("long").alias("j"), F.when(inside, 0.6).otherwise(0.9).alias("x"))
     if name == "space":
         return fixture(spark, sf_dir, "suppliers").withColumn("z", ((F.col("id") * 104729) % 9973).cast("double"))
     if name == "cut_pi":

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.norms import length_col
@@ -12,30 +9,10 @@ from ..operators import construct, cuts, edges, neighbors, partition, pool, pric
 from ..operators.components import component_labels
 from ..operators.ranking import ranked
 from .fixtures import fixture, sql
+from .registry import ALL, KNN as _KNN, Query, euc as _euc, pair_sql as _pair_sql, query as _query
 from .session import load_table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_ALL: dict[str, tuple[Query, str | None]] = {}
-
-
-def _query(name: str, oracle: str | None):
-    def add(fn: Query) -> Query:
-        _ALL[name] = (fn, oracle)
-        return fn
-
-    return add
-
-
-def _euc(a: str, b: str) -> str:
-    return f"CAST(trunc(sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y)) + 0.5) AS BIGINT)"
-
-
-def _pair_sql(table: str, length: str) -> str:
-    return f"pairs AS (SELECT a.id AS id, b.id AS nbr, {length} AS len, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM {table} a JOIN {table} b ON a.id <> b.id)"
-
-
 _MAX = "CAST(trunc(greatest(abs(a.x - b.x) + 0.5, abs(a.y - b.y) + 0.5)) AS BIGINT)"
-_KNN = "SELECT id, nbr, len, r AS rank FROM (SELECT id, nbr, len, CAST(row_number() OVER (PARTITION BY id ORDER BY len, nbr) AS INT) AS r FROM pairs) WHERE r <= {k}"
 
 
 @_query("knn_graph_supplier", f"{sql('suppliers')}, {_pair_sql('suppliers', _euc('a', 'b'))}, k AS ({_KNN.format(k=5)}) SELECT DISTINCT least(id, nbr) AS i, greatest(id, nbr) AS j, len FROM k")
@@ -208,12 +185,26 @@ def components_knn1(spark, d):
     return component_labels(neighbors.knn_graph(fixture(spark, d, "suppliers"), 1))
 
 
-@_query("minimum_spanning_tree", None)
+_TREE = f"WITH RECURSIVE {sql('suppliers')[5:]}, {_pair_sql('suppliers', _euc('a', 'b'))}, k AS ({_KNN.format(k=8)}), e AS (SELECT *, row_number() OVER (ORDER BY len, i, j) AS r FROM (SELECT DISTINCT least(id, nbr) AS i, greatest(id, nbr) AS j, len FROM k)), two AS (SELECT i AS a, j AS b, r FROM e UNION ALL SELECT j, i, r FROM e), reach AS (SELECT r, i AS node FROM e UNION SELECT reach.r, two.b FROM reach JOIN two ON two.a = reach.node AND two.r < reach.r), tree AS (SELECT i, j, len FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.r = e.r AND reach.node = e.j))"
+
+
+#: An edge is in the tree if smaller edges don't connect its ends.
+@_query("minimum_spanning_tree", f"{_TREE} SELECT * FROM tree")
 def minimum_spanning_tree(spark, d):
     return construct.minimum_spanning_tree(neighbors.knn_graph(fixture(spark, d, "suppliers"), 8))
 
 
-@_query("greedy_fragments", None)
+@_query("spanning_tree_bound", f"{_TREE} SELECT CAST((SELECT sum(len) FROM tree) AS BIGINT) AS len, CAST((SELECT sum(len) FROM tree) - 2 * (SELECT sum(id % 5) FROM suppliers) AS DOUBLE) AS bound")
+def spanning_tree_bound(spark, d):
+    weights = fixture(spark, d, "suppliers").select("id", (F.col("id") % 5).cast("double").alias("w"))
+    return construct.spanning_tree_bound(minimum_spanning_tree(spark, d), weights)
+
+
+#: The scan, an edge a step, with the nodes' fragments and degrees in lists.
+_SCAN = "scan AS (SELECT CAST(0 AS BIGINT) AS r, (SELECT list(id ORDER BY id) FROM suppliers) AS f, (SELECT list(0 ORDER BY id) FROM suppliers) AS d, false AS took UNION ALL SELECT s.r + 1, CASE WHEN t THEN list_transform(f, lambda v: CASE WHEN v = f[j + 1] THEN f[i + 1] ELSE v END) ELSE f END, CASE WHEN t THEN list_transform(d, lambda v, k: v + CASE WHEN k IN (i + 1, j + 1) THEN 1 ELSE 0 END) ELSE d END, t FROM (SELECT s.*, e.i, e.j, d[e.i + 1] < 2 AND d[e.j + 1] < 2 AND f[e.i + 1] <> f[e.j + 1] AS t FROM scan s JOIN e ON e.r = s.r + 1) s)"
+
+
+@_query("greedy_fragments", f"WITH RECURSIVE {sql('suppliers')[5:]}, {_pair_sql('suppliers', _euc('a', 'b'))}, k AS ({_KNN.format(k=5)}), e AS (SELECT *, row_number() OVER (ORDER BY len, i, j) AS r FROM (SELECT DISTINCT least(id, nbr) AS i, greatest(id, nbr) AS j, len FROM k)), {_SCAN} SELECT i, j, len FROM e JOIN scan USING (r) WHERE took")
 def greedy_fragments(spark, d):
     return construct.greedy_fragments(neighbors.knn_graph(fixture(spark, d, "suppliers"), 5))
 
@@ -348,9 +339,12 @@ def segment_cuts(spark, d):
     return pool.segment_cuts(fixture(spark, d, "chain"), 8)
 
 
+from . import queries_files, queries_graphs  # noqa: E402, F401  (they register their queries)
+
+
 def queries() -> dict[str, Query]:
-    return {name: fn for name, (fn, _) in _ALL.items()}
+    return {name: fn for name, (fn, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in _ALL.items() if text}
+    return {name: text for name, (_, text) in ALL.items() if text}

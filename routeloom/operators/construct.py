@@ -1,56 +1,231 @@
-"""Trees and tours grown on edge tables in rounds, each a few joins whatever the table's size."""
+"""Trees and tours grown on edge tables in rounds, each a few joins whatever the table's size.
+
+Rounds shrink what is open; once that is at most ``LOCAL_EDGES`` edges or ``LOCAL_ENDS`` nodes, one
+task finishes by the sequential rule, which has the same result in fewer steps.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.norms import ARRAY_NORMS, length_col
 from ..jobs.session import materialize
 from .components import component_labels
+from .neighbors import nearest_outside_group
 from .ranking import ranked
+from .tours import edges_to_tour
+
+#: What one task finishes: open edges, and nodes that links may start from.
+LOCAL_EDGES, LOCAL_ENDS = 50_000, 2_000
+
+
+class _Roots(dict):
+    """Union-find over any labels."""
+
+    def find(self, x):
+        self.setdefault(x, x)
+        while self[x] != x:
+            self[x] = x = self[self[x]]
+        return x
 
+    def join(self, a, b) -> bool:
+        a, b = self.find(a), self.find(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
 
-def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
+
+def _tree_tail(rows: pd.DataFrame) -> pd.DataFrame:
+    roots = _Roots()
+    kept = [roots.join(a, b) for a, b in zip(rows["ci"], rows["cj"])]
+    return rows.loc[kept, ["i", "j", "len"]]
+
+
+def minimum_spanning_tree(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """i, j, len of the minimum spanning forest under the order (len, i, j); Boruvka rounds.
 
     Each round every component takes its smallest outgoing edge; components at least halve.
     """
-    todo = materialize(edges.select("i", "j", "len", F.col("i").alias("ci"), F.col("j").alias("cj")).filter("i != j"), "open")
-    tree = None
-    while todo.take(1):
+    todo = materialize(edges.select("i", "j", F.col("len").cast("long").alias("len"), F.col("i").alias("ci"), F.col("j").alias("cj")).filter("i != j"), "open")
+    tree = edges.select("i", "j", F.col("len").cast("long").alias("len")).limit(0)
+    while n := todo.count():
+        if n <= local:
+            tail = lambda rows: _tree_tail(rows.sort_values(["len", "i", "j"], kind="stable"))
+            return tree.unionByName(materialize(todo.groupBy(F.lit("all")).applyInPandas(tail, tree.schema), "tree"))
         least = F.struct("len", "i", "j")
         picks = todo.select(F.explode(F.array("ci", "cj")).alias("c"), least.alias("e")).groupBy("c").agg(F.min("e").alias("e")).select("e.i", "e.j", "e.len").distinct()
         picks = materialize(picks.join(todo.select("i", "j", "len", "ci", "cj"), ["i", "j", "len"]).distinct(), "picks")
-        tree = picks.select("i", "j", "len") if tree is None else tree.unionByName(picks.select("i", "j", "len"))
+        tree = tree.unionByName(picks.select("i", "j", "len"))
         labels = component_labels(picks, "ci", "cj")
         for end in ("ci", "cj"):
             moved = labels.select(F.col("node").alias(end), F.col("component").alias("_to"))
             todo = todo.join(moved, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
         todo = materialize(todo.filter("ci != cj").select("i", "j", "len", "ci", "cj"), "open")
-    return edges.select("i", "j", "len").limit(0) if tree is None else tree
+    return tree
+
 
+def _fragment_tail(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["key", "i", "j"], kind="stable")
+    roots, degree = _Roots(), {}
+    kept = []
+    for i, j, fi, fj, di, dj in zip(rows["i"], rows["j"], rows["fi"], rows["fj"], rows["di"], rows["dj"]):
+        free = degree.setdefault(i, di) < 2 and degree.setdefault(j, dj) < 2
+        take = free and roots.join(fi, fj)
+        if take:
+            degree[i], degree[j] = degree[i] + 1, degree[j] + 1
+        kept.append(take)
+    return rows.loc[kept, ["i", "j", "len"]]
 
-def greedy_fragments(edges: DataFrame) -> DataFrame:
+
+def _fragments(taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, degree and node, component of the edges taken so far."""
+    degrees = taken.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").cast("int").alias("degree"))
+    return degrees, component_labels(taken)
+
+
+def greedy_fragments(edges: DataFrame, key: Column | None = None, taken: DataFrame | None = None, local: int = LOCAL_EDGES) -> DataFrame:
     """i, j, len taken by the scan in (len, i, j) order that keeps degrees below three and makes no cycle.
 
-    An edge that is the smallest open one at both of its ends is taken in the same round as the
-    scan would take it; edges at nodes of degree two or inside one fragment close.
+    ``key``: what to scan by in place of the length. ``taken``: edges (i, j, len) that are already
+    in; they aren't returned. An edge that is the smallest open one at both of its ends is taken
+    in the same round as the scan would take it; edges at nodes of degree two or inside one
+    fragment close.
     """
-    todo = materialize(edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "len").filter("i != j").distinct(), "open")
-    taken = None
-    while todo.take(1):
-        ends = todo.select(F.explode(F.array("i", "j")).alias("node"), F.struct("len", "i", "j").alias("e")).groupBy("node").agg(F.min("e").alias("e"))
-        both = ends.groupBy("e").agg(F.count("*").alias("n")).filter("n = 2").select("e.i", "e.j", "e.len")
-        both = materialize(both, "taken")
-        taken = both if taken is None else materialize(taken.unionByName(both), "fragments")
-        full = taken.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").alias("d")).filter("d >= 2").select("node")
-        labels = component_labels(taken)
-        todo = todo.join(both.select("i", "j"), ["i", "j"], "left_anti")
+    key = F.col("len") if key is None else key
+    todo = materialize(edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("len").cast("long").alias("len"), key.alias("key")).filter("i != j").distinct(), "open")
+    new = todo.select("i", "j", "len").limit(0)
+    all_ = new if taken is None else taken.select("i", "j", F.col("len").cast("long").alias("len"))
+    while True:
+        degrees, labels = _fragments(all_)
         for end in ("i", "j"):
-            todo = todo.join(full.withColumnRenamed("node", end), end, "left_anti")
-            todo = todo.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
-        todo = materialize(todo.filter("_i is null or _j is null or _i != _j").select("i", "j", "len"), "open")
-    return edges.select("i", "j", "len").limit(0) if taken is None else taken
+            todo = todo.join(degrees.select(F.col("node").alias(end), F.col("degree").alias(f"d{end}")), end, "left")
+            todo = todo.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"f{end}")), end, "left")
+        todo = todo.select("i", "j", "len", "key", *[F.coalesce(f"d{e}", F.lit(0)).alias(f"d{e}") for e in "ij"], *[F.coalesce(f"f{e}", e).alias(f"f{e}") for e in "ij"])
+        todo = materialize(todo.filter("di < 2 and dj < 2 and fi != fj"), "open")
+        if (n := todo.count()) <= local:
+            return new.unionByName(materialize(todo.groupBy(F.lit("all")).applyInPandas(_fragment_tail, new.schema), "fragments")) if n else new
+        ends = todo.select(F.explode(F.array("i", "j")).alias("node"), F.struct("key", "i", "j", "len").alias("e")).groupBy("node").agg(F.min("e").alias("e"))
+        both = materialize(ends.groupBy("e").agg(F.count("*").alias("n")).filter("n = 2").select("e.i", "e.j", "e.len"), "taken")
+        new, all_ = new.unionByName(both), all_.unionByName(both)
+        todo = todo.select("i", "j", "len", "key").join(both.select("i", "j"), ["i", "j"], "left_anti")
+
+
+def _free(nodes: DataFrame, taken: DataFrame) -> DataFrame:
+    """id, x, y, degree, part_id (its fragment) of the nodes that take another edge."""
+    degrees, labels = _fragments(taken)
+    rows = nodes.select("id", "x", "y").join(degrees.withColumnRenamed("node", "id"), "id", "left").join(labels.withColumnsRenamed({"node": "id", "component": "part_id"}), "id", "left")
+    return materialize(rows.select("id", "x", "y", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("part_id", "id").alias("part_id")).filter("degree < 2"), "free")
+
+
+def _link_tail(norm: str, rule: str):
+    """Links between the free ends of fragments, and the closing edge."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        ids, x, y = (rows[c].to_numpy() for c in ("id", "x", "y"))
+        degree, n = rows["degree"].to_numpy().copy(), len(rows)
+        tail = np.arange(n)  # the other end of a node's fragment
+        for _, group in rows[rows["degree"] == 1].groupby("part_id"):
+            a, b = group.index
+            tail[a], tail[b] = b, a
+        out: list[tuple[int, int]] = []
+
+        def lengths(k: int) -> np.ndarray:
+            return ARRAY_NORMS[norm](x - x[k], y - y[k])
+
+        def legal(k: int) -> np.ndarray:
+            ok = degree < 2
+            ok[[k, tail[k]]] = False
+            return ok
+
+        def link(a: int, b: int) -> int:
+            out.append((min(a, b), max(a, b)))
+            degree[a] += 1
+            degree[b] += 1
+            ends = tail[a], tail[b]
+            tail[ends[0]], tail[ends[1]] = ends[1], ends[0]
+            return ends[1]
+
+        def fragments() -> int:
+            return int(((degree < 2) & (tail >= np.arange(n))).sum())
+
+        now = 0
+        while fragments() > 1:
+            if rule == "rounds":
+                open_ = np.flatnonzero(degree < 2)
+                proposals = set()
+                for k in open_.tolist():
+                    d = np.where(legal(k), lengths(k), np.inf)
+                    to = int(d.argmin())
+                    proposals.add((d[to], min(k, to), max(k, to)))
+                for _, a, b in sorted(proposals):
+                    if degree[a] < 2 and degree[b] < 2 and tail[a] != b:
+                        link(a, b)
+                continue
+            if rule == "lowest":
+                now = int(np.flatnonzero(degree < 2)[0])
+                link(now, int(np.flatnonzero(legal(now))[0]))
+                continue
+            if degree[now] > 1:
+                now = int(np.flatnonzero(degree < 2)[0])
+            now = link(now, int(np.where(legal(now), lengths(now), np.inf).argmin()))
+        ends = np.flatnonzero(degree < 2).tolist()
+        if len(ends) == 2:
+            out.append((ends[0], ends[1]))
+        a, b = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
+        return pd.DataFrame({"i": ids[a], "j": ids[b], "len": ARRAY_NORMS[norm](x[a] - x[b], y[a] - y[b]).astype(np.int64)})
+
+    return links
+
+
+def link_fragments(nodes: DataFrame, taken: DataFrame, norm: str, rule: str = "nearest", local: int = LOCAL_ENDS) -> DataFrame:
+    """i, j, len of the edges that make one tour of all ``nodes(id, x, y)`` from the paths ``taken(i, j, len)``.
+
+    Rounds: every free end proposes its nearest node of another path, and the proposals are taken
+    greedily. The last ``local`` ends are linked by the ``rule``: ``nearest`` goes from the lowest
+    free end to the nearest one and on from the far end of that path; ``lowest`` links the lowest
+    end to the next one that it may be linked to; ``rounds`` goes on with rounds.
+    """
+    if norm not in ARRAY_NORMS:
+        raise ValueError(f"norm {norm!r} isn't one of {sorted(ARRAY_NORMS)}")
+    new = taken.select("i", "j", F.col("len").cast("long").alias("len")).limit(0)
+    while True:
+        free = _free(nodes, taken.select("i", "j").unionByName(new.select("i", "j")))
+        n = free.count()
+        if n <= max(local, 2):
+            if n < 2:
+                return new
+            return new.unionByName(materialize(free.groupBy(F.lit("all")).applyInPandas(_link_tail(norm, rule), new.schema), "links"))
+        near = nearest_outside_group(free, norm).select(F.col("id").alias("i"), F.col("nbr").alias("j"), "len")
+        new = new.unionByName(greedy_fragments(near, taken=taken.select("i", "j", "len").unionByName(new)))
+
+
+def _closed(nodes: DataFrame, taken: DataFrame, norm: str, rule: str) -> DataFrame:
+    taken = materialize(taken, "fragments")
+    return edges_to_tour(materialize(taken.unionByName(link_fragments(nodes, taken, norm, rule)), "tour-edges"))
+
+
+def greedy_tour(nodes: DataFrame, edges: DataFrame, norm: str) -> DataFrame:
+    """tour_id, pos, node: the greedy fragments of candidate ``edges(i, j, len)``, linked to a tour."""
+    return _closed(nodes, greedy_fragments(edges), norm, "nearest")
+
+
+def x_greedy_tour(nodes: DataFrame, xedges: DataFrame, norm: str) -> DataFrame:
+    """tour_id, pos, node: fragments by falling x, then the lowest links that are legal."""
+    point = F.struct("x", "y")
+    rows = xedges.select("i", "j", F.col("x").alias("value"))
+    for end in ("i", "j"):
+        rows = rows.join(nodes.select(F.col("id").alias(end), point.alias(f"p{end}")), end)
+    rows = rows.select("i", "j", length_col(norm, F.col("pi"), F.col("pj")).alias("len"), "value")
+    return _closed(nodes, greedy_fragments(rows, -F.col("value")), norm, "lowest")
+
+
+def boruvka_tour(nodes: DataFrame, norm: str) -> DataFrame:
+    """tour_id, pos, node: each round every node with an edge to give proposes its nearest legal node; proposals are taken in the order of lengths."""
+    none = nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0).cast("long").alias("len")).limit(0)
+    return _closed(nodes, none, norm, "rounds")
 
 
 def component_cuts(xedges: DataFrame, x_eps: float = 1e-10) -> DataFrame:

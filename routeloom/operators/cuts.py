@@ -58,11 +58,16 @@ def clique_sizes(members: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(members: DataFrame) -> DataFrame:
-    """a, b, shared: cliques that meet while neither of them holds the other."""
+    """a, b, shared: cliques that meet while neither of them holds the other.
+
+    Nodes in the same cliques are first put together with their number, so a pair of cliques gets
+    one row for each such kind of node, not for each node.
+    """
     m = members.distinct()
-    a, b = m.withColumnRenamed("clique_id", "a"), m.withColumnRenamed("clique_id", "b")
     sizes = clique_sizes(m)
-    met = a.join(b, "node").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    kinds = m.groupBy("node").agg(F.sort_array(F.collect_set("clique_id")).alias("of")).filter(F.size("of") > 1).groupBy("of").agg(F.count("*").alias("n"))
+    pairs = kinds.select("n", "of", F.explode("of").alias("a")).select("a", "n", F.explode("of").alias("b")).filter("a < b")
+    met = pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
     met = met.join(sizes.withColumnsRenamed({"clique_id": "a", "size": "sa"}), "a").join(sizes.withColumnsRenamed({"clique_id": "b", "size": "sb"}), "b")
     return met.filter("shared < least(sa, sb)").select("a", "b", "shared")
 

@@ -117,3 +117,25 @@ def contract_ones(xedges: DataFrame, eps: float = 1e-6) -> tuple[DataFrame, Data
     for end in ("i", "j"):
         moved = moved.join(labels.select(F.col("node").alias(end), F.col("component").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     return labels.select(F.col("component").alias("super"), "node"), oriented(moved).groupBy("i", "j").agg(F.sum("x").alias("x"))
+
+
+def x_nonzero(edges: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """The rows of an x-vector with x above the tolerance."""
+    return edges.filter(F.col("x") > tolerance)
+
+
+def best_tour_among(edges: DataFrame, n: int) -> DataFrame:
+    """set_id, n_edges, is_tour, len of ``edges(set_id, i, j, len)``, and ``best``: which tour is the shortest (ties by set).
+
+    A set is a tour if it has n edges, n nodes of degree two and one component.
+    """
+    e = edges.filter("i != j")
+    node = lambda c: F.struct("set_id", F.col(c).cast("long").alias("node"))
+    degrees = e.select("set_id", F.explode(F.array("i", "j")).alias("node")).groupBy("set_id", "node").agg(F.count("*").alias("d"))
+    shape = degrees.groupBy("set_id").agg(F.count("*").alias("nodes"), F.min("d").alias("low"), F.max("d").alias("high"))
+    parts = component_labels(e.select(node("i").alias("i"), node("j").alias("j"))).select("component").distinct().groupBy(F.col("component.set_id").alias("set_id")).agg(F.count("*").alias("parts"))
+    sums = edges.groupBy("set_id").agg(F.count("*").alias("n_edges"), F.sum("len").alias("len"))
+    ok = (F.col("n_edges") == n) & (F.col("nodes") == n) & (F.col("low") == 2) & (F.col("high") == 2) & (F.col("parts") == 1)
+    rows = sums.join(shape, "set_id", "left").join(parts, "set_id", "left").select("set_id", "n_edges", F.coalesce(ok, F.lit(False)).alias("is_tour"), "len")
+    best = rows.filter("is_tour").agg(F.min(F.struct("len", "set_id"))["set_id"].alias("best_id"))  # one row
+    return rows.join(F.broadcast(best)).select("set_id", "n_edges", "is_tour", "len", F.coalesce(F.col("set_id") == F.col("best_id"), F.lit(False)).alias("best"))

@@ -57,7 +57,8 @@ class _Cells:
         return nodes.withColumn("_lat", whole + 5.0 * (x - whole) / 3.0 if self.norm == "GEO" else x)
 
     def cell(self, c: str, level: Column) -> Column:
-        return F.floor((F.col(c) - self.low[c]) * F.pow(F.lit(2.0), level) / self.extent)
+        at = F.floor((F.col(c) - self.low[c]) * F.pow(F.lit(2.0), level) / self.extent)
+        return F.pmod(at, F.pow(F.lit(2.0), level).cast("long")) if self.wraps else at
 
     def bound(self, level: Column) -> Column:
         return _LOWER[self.norm](self.extent / F.pow(F.lit(2.0), level) * (1 - 1e-9))
@@ -106,8 +107,8 @@ def _few_at_a_place(targets: DataFrame, cells: list[str], k: int, order: list[st
     return some.withColumn("_n", F.row_number().over(Window.partitionBy(*cells).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
 
 
-def _search(nodes: DataFrame, targets: DataFrame, k: int, norm: str, params: dict | None = None, dims: str = "xy", ways: tuple = (), group: str | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """id, unit, nbr, len, rank: the k nearest targets of each node, in each of the ``ways`` if there are any, ties by id."""
+def _search(nodes: DataFrame, targets: DataFrame, k: int, norm: str, params: dict | None = None, dims: str = "xy", ways: tuple = (), group: str | None = None, same: str | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """id, unit, nbr, len, rank: the k nearest targets of each node, in each of the ``ways`` if there are any, ties by id; of another ``group``, or of the ``same`` one."""
     params, places = params or {}, [c for c in ("x", "y", "z") if c in targets.columns]
     if weights is not None:
         if (least := weights.agg(F.min("w")).first()[0] or 0.0) < -1e-8:
@@ -116,8 +117,8 @@ def _search(nodes: DataFrame, targets: DataFrame, k: int, norm: str, params: dic
     else:
         least, nodes, targets = 0.0, nodes.withColumn("w", F.lit(0.0)), targets.withColumn("w", F.lit(0.0))
     cells = _Cells(nodes, norm, params, dims)
-    same = [*places, *[group] * bool(group)]
-    targets = materialize(cells.placed(_few_at_a_place(targets, same, k + 1, ["w", "id"])), "targets")
+    kinds = [c for c in (group, same) if c]
+    targets = materialize(cells.placed(_few_at_a_place(targets, [*places, *kinds], k + 1, ["w", "id"])), "targets")
     units = F.array(*[F.lit(u) for u in range(max(1, len(ways)))])
     todo = materialize(cells.levels(cells.placed(nodes), k).withColumn("units", units), "levels")
     columns, found = [c for c in todo.columns if c not in ("lv", "units")], None
@@ -140,8 +141,8 @@ def _search(nodes: DataFrame, targets: DataFrame, k: int, norm: str, params: dic
         pairs = left.join(right, ["lv", *[f"_{c}" for c in cells.dims]]).filter("a_id != b_id")
         for d, c in enumerate(dims if ways else ""):
             pairs = pairs.filter((F.col(f"b_{c}") - F.col(f"a_{c}")) * way(d) >= 0)
-        if group:
-            pairs = pairs.filter(F.col(f"a_{group}") != F.col(f"b_{group}"))
+        for c in kinds:
+            pairs = pairs.filter((F.col(f"a_{c}") != F.col(f"b_{c}")) if c == group else (F.col(f"a_{c}") == F.col(f"b_{c}")))
         pairs = pairs.select("unit", *[F.struct(*[F.col(f"{s}_{c}").alias(c) for c in columns]).alias(s) for s in ("a", "b")])
         length = length_col(norm, F.col("a"), F.col("b"), **params)
         if weights is not None:
@@ -159,8 +160,9 @@ def _search(nodes: DataFrame, targets: DataFrame, k: int, norm: str, params: dic
         found = part if found is None else found.unionByName(part)
         again = judged.filter("not done").groupBy(*[c for c in todo.columns if c != "units"]).agg(F.collect_list("unit").alias("units"))
         todo = materialize(again.withColumn("lv", F.col("lv") - 1), "open")
-    none = nodes.sparkSession.createDataFrame([], "id long, unit int, nbr long, len long, rank int")
-    return none if found is None else found.select("id", "unit", "nbr", "len", "rank")
+    if found is None:
+        found = nodes.select("id", F.lit(0).alias("unit"), F.col("id").alias("nbr"), F.lit(0).cast("long").alias("len"), F.lit(0).alias("rank")).limit(0)
+    return found.select("id", "unit", "nbr", "len", "rank")
 
 
 def knn(nodes: DataFrame, k: int, norm: str = "EUC_2D", weights: DataFrame | None = None, **params) -> DataFrame:
@@ -201,6 +203,12 @@ def nearest_outside_group(nodes: DataFrame, norm: str = "EUC_2D", **params) -> D
     return _search(point, point, 1, norm, params, group="part_id").select("id", "nbr", "len", F.floor(F.col("len") / 2).alias("cost"))
 
 
+def nearest_of_group(nodes: DataFrame, targets: DataFrame, norm: str = "EUC_2D", **params) -> DataFrame:
+    """id, nbr, len: for each of ``nodes(id, x, y, part_id)`` the nearest of the ``targets`` with the same part_id, ties by the smaller id."""
+    columns = ["id", "x", "y", "part_id"]
+    return _search(nodes.select(*columns), targets.select(*columns), 1, norm, params, same="part_id").select("id", "nbr", "len")
+
+
 def border_distance(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     """id, part_id, cost of ``nodes(id, x, y, part_id)``: metres (GEOM) to the nearest of the four sides of the part's box."""
     rows = nodes.join(regions.select("part_id", "x0", "x1", "y0", "y1"), "part_id")

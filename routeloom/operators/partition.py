@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.norms import length_col
+from ..functions.norms import ARRAY_NORMS, length_col
 from ..jobs.session import materialize
+from .neighbors import nearest_of_group
 from .ranking import ranked
-from .tours import path_length, tour_segments
+from .tours import edges_to_tour, path_length, steps, tour_segments
 
 
-def karp_partition(nodes: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+def _polar_caps(nodes: DataFrame, n: int, bucket: int, box: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Nodes with codes 2 (the cap of low x), 6 (between) and 7 (the cap of high x), and these regions."""
+    parts = 2
+    while n // (parts + 2) > bucket:
+        parts *= 2
+    cap = n // (parts + 2)
+    placed = materialize(ranked(nodes.select("id", "x", "y"), ["x", "id"], name="r"), "caps")
+    code = F.when(F.col("r") <= cap, 2).when(F.col("r") <= n - 1 - cap, 6).otherwise(7).cast("long")
+    low, high = (placed.filter(F.col("r") == k).first()["x"] for k in (cap, n - 1 - cap))
+    whole = nodes.sparkSession.range(1).select(*box)
+    sides = [(2, 1, "x0", low), (6, 2, low, high), (7, 2, high, "x1")]
+    edge = lambda v: F.col(v) if isinstance(v, str) else F.lit(float(v))
+    regions = [whole.select(F.lit(c).cast("long").alias("code"), F.lit(d).alias("depth"), edge(a).alias("x0"), edge(b).alias("x1"), "y0", "y1") for c, d, a, b in sides]
+    return placed.select("id", "x", "y", code.alias("code")), regions[0].unionByName(regions[1]).unionByName(regions[2])
+
+
+def karp_partition(nodes: DataFrame, bucket: int, polar: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes with their part_id, and regions(part_id, x0, x1, y0, y1, cnt).
 
     Each part with over ``bucket`` nodes is halved at the median of its wider side (x if both are
     equal, ties by id); the lower half has the odd node. Parts are numbered from the lower halves
-    up. A level costs one range sort of the open parts, so a part of any size is spread.
+    up. A level costs one range sort of the open parts, so a part of any size is spread. With
+    ``polar`` (x is a latitude) a cap at each pole is cut off first: as many nodes as one of ``p + 2``
+    parts, for the smallest power of two ``p`` at which these fit ``bucket``, and one more in the low cap.
     """
     total = nodes.agg(F.count("*"), *[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
     if total[0] < 2 * bucket:
@@ -24,7 +45,9 @@ def karp_partition(nodes: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]
     box = [F.lit(float(v)).alias(c) for v, c in zip(total[1:], ("x0", "x1", "y0", "y1"))]
     open_ = nodes.select("id", "x", "y", F.lit(1).cast("long").alias("code"))
     regions = nodes.sparkSession.range(1).select(F.lit(1).cast("long").alias("code"), F.lit(0).alias("depth"), *box)
-    parts, boxes, depth = None, None, 0
+    parts, boxes = None, None
+    if polar:
+        open_, regions = _polar_caps(nodes, total[0], bucket, box)
     while True:
         stats = open_.groupBy("code").agg(F.count("*").alias("n"), (F.max("x") - F.min("x") >= F.max("y") - F.min("y")).alias("by_x"))
         sized = materialize(regions.join(stats, "code"), "regions")
@@ -40,10 +63,10 @@ def karp_partition(nodes: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]
         sides = []
         for high in (0, 1):
             edge = {c: F.when(on & F.lit(bool(high) == (c[1] == "0")), F.col("cut")).otherwise(F.col(c)) for c, on in (("x0", F.col("by_x")), ("x1", F.col("by_x")), ("y0", ~F.col("by_x")), ("y1", ~F.col("by_x")))}
-            sides.append(split.select((F.col("code") * 2 + high).alias("code"), F.lit(depth + 1).alias("depth"), *[v.alias(c) for c, v in edge.items()]))
+            sides.append(split.select((F.col("code") * 2 + high).alias("code"), (F.col("depth") + 1).alias("depth"), *[v.alias(c) for c, v in edge.items()]))
         regions = sides[0].unionByName(sides[1])
         open_ = placed.select("id", "x", "y", (F.col("code") * 2 + F.when(F.col("r") <= F.col("last"), 0).otherwise(1)).alias("code"))
-        depth += 1
+    depth = boxes.agg(F.max("depth")).first()[0]
     numbered = materialize(ranked(boxes.withColumn("place", F.col("code") * F.pow(F.lit(2.0), depth - F.col("depth"))), ["place"], name="part_id"), "parts")
     out = numbered.select("part_id", "x0", "x1", "y0", "y1", F.col("n").alias("cnt"))
     return parts.join(numbered.select("code", "part_id"), "code").select("id", "x", "y", "part_id"), out
@@ -79,16 +102,43 @@ def check_partition(nodes: DataFrame, parts: DataFrame, regions: DataFrame) -> D
     return lost.unionByName(placed.filter(~F.coalesce(inside, F.lit(False))).select("id", F.when(F.col("x0").isNull(), "unknown part").otherwise("outside").alias("problem")))
 
 
-def region_adjacency(regions: DataFrame) -> DataFrame:
-    """a, b, side (a < b): regions that share a side's coordinate with ranges that meet; equi-joins on that coordinate."""
+def region_adjacency(regions: DataFrame, mode: str = "plane") -> DataFrame:
+    """a, b, side (a < b) of regions that touch; equi-joins on the coordinate that they share.
+
+    ``plane``: they share a side's coordinate with ranges that meet. ``dateline``: one ends at the
+    largest y of all, the other begins at the smallest, and their x ranges meet (side ``dateline``).
+    ``poles``: both reach the largest x (side ``north``) or the smallest (``south``), north first.
+    """
     s = regions.select(F.col("part_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "x1", "y0", "y1")])
     t = regions.select(F.col("part_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "x1", "y0", "y1")])
-    found = []
-    for along, across in (("x", "y"), ("y", "x")):
-        meets = (F.col(f"a_{across}0") <= F.col(f"b_{across}1")) & (F.col(f"b_{across}0") <= F.col(f"a_{across}1"))
-        pairs = s.join(t, F.col(f"a_{along}1") == F.col(f"b_{along}0")).filter(meets & (F.col("a") != F.col("b")))
-        found.append(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(along).alias("side")))
-    return found[0].unionByName(found[1]).groupBy("a", "b").agg(F.min("side").alias("side"))
+    other = F.col("a") != F.col("b")
+    meets = lambda c: (F.col(f"a_{c}0") <= F.col(f"b_{c}1")) & (F.col(f"b_{c}0") <= F.col(f"a_{c}1"))
+    if mode == "plane":
+        found = [(s.join(t, F.col(f"a_{along}1") == F.col(f"b_{along}0")).filter(meets(across) & other), along) for along, across in (("x", "y"), ("y", "x"))]
+    else:
+        x0, x1, y0, y1 = regions.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+        if mode == "dateline":
+            found = [(s.filter(F.col("a_y1") == F.lit(y1)).join(t.filter(F.col("b_y0") == F.lit(y0)), meets("x") & other), "dateline")]
+        elif mode == "poles":
+            found = [(s.filter(F.col(f"a_{c}") == F.lit(v)).join(t.filter(F.col(f"b_{c}") == F.lit(v)), other), name) for c, v, name in (("x1", x1, "north"), ("x0", x0, "south"))]
+        else:
+            raise ValueError(f"mode {mode!r}: plane, dateline or poles")
+    rows = [p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(side).alias("side")) for p, side in found]
+    union = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+    return union.groupBy("a", "b").agg(F.min("side").alias("side"))
+
+
+def region_pairs(regions: DataFrame, mode: str = "plane") -> DataFrame:
+    """i, j, len of all pairs of regions: 0 if they touch, else 1. As many rows as there are pairs: a table of parts, not of nodes."""
+    ids = regions.select("part_id")
+    pairs = ids.select(F.col("part_id").alias("i")).join(ids.select(F.col("part_id").alias("j")), F.col("i") < F.col("j"))
+    touching = region_adjacency(regions, mode).select(F.col("a").alias("i"), F.col("b").alias("j"), F.lit(0).alias("len"))
+    return pairs.join(touching, ["i", "j"], "left").select("i", "j", F.coalesce("len", F.lit(1)).alias("len"))
+
+
+def export_parts(parts: DataFrame, path: str) -> None:
+    """Each part's points in a folder of its own (``part_id=...``), with the nodes' own names in ``id``."""
+    parts.select("part_id", "id", "x", "y").repartition("part_id").sortWithinPartitions("part_id", "id").write.partitionBy("part_id").parquet(path)
 
 
 def border_points(parts: DataFrame, regions: DataFrame, pairs: DataFrame, m: int = 4000) -> DataFrame:
@@ -111,12 +161,91 @@ def border_points(parts: DataFrame, regions: DataFrame, pairs: DataFrame, m: int
 
 
 def closest_border_pairs(borders: DataFrame, norm: str) -> DataFrame:
-    """a, b, i, j, len: the closest nodes across each border (ties by i, then j), from :func:`border_points`, whose ``m`` bounds each pair's work."""
-    point = F.struct("id", "x", "y")
-    p = borders.filter("part_id = a").select("a", "b", point.alias("p"))
-    q = borders.filter("part_id = b").select("a", "b", point.alias("q"))
-    rows = p.join(q, ["a", "b"]).select("a", "b", F.struct(length_col(norm, F.col("p"), F.col("q")).alias("len"), F.col("p.id").alias("i"), F.col("q.id").alias("j")).alias("e"))
-    return rows.groupBy("a", "b").agg(F.min("e").alias("e")).select("a", "b", "e.i", "e.j", "e.len")
+    """a, b, i, j, len: the closest nodes across each border (ties by i, then j), from :func:`border_points`, by a neighbour search."""
+    rows = borders.select(F.struct("a", "b", "id").alias("id"), "x", "y", F.struct("a", "b").cast("string").alias("border"), "a", "b", "part_id")
+    side = lambda c: rows.filter(F.col("part_id") == F.col(c)).select("id", "x", "y", F.col("border").alias("part_id"))
+    near = nearest_of_group(side("a"), side("b"), norm)
+    best = near.groupBy("id.a", "id.b").agg(F.min(F.struct("len", F.col("id.id").alias("i"), F.col("nbr.id").alias("j"))).alias("e"))
+    return best.select("a", "b", "e.i", "e.j", "e.len")
+
+
+def stitch_tours(tours: DataFrame, order: DataFrame, nodes: DataFrame, norm: str) -> DataFrame:
+    """tour_id, pos, node: one tour from ``tours(part_id, pos, node)``, spliced part by part in ``order(rank, part_id)``.
+
+    Two parts that follow each other are joined at their closest nodes p and q (ties by p, then
+    q): p's and q's edges to their next nodes go, and the cheaper of the two ways to reconnect the
+    four ends is taken. All splices are found at once; where the edge of p went to the splice before,
+    its edge from the node before it goes instead. Each part needs three nodes or more.
+    """
+    small = tours.groupBy("part_id").agg(F.count("*").alias("n")).filter("n < 3").take(1)
+    if small:
+        raise ValueError(f"part {small[0]['part_id']} has fewer than three nodes")
+    placed = materialize(tours.join(order, "part_id").join(nodes.select(F.col("id").alias("node"), "x", "y"), "node").select("rank", "pos", "node", "x", "y"), "placed")
+    own = placed.select(F.col("node").alias("id"), "x", "y", F.col("rank").alias("part_id"))
+    near = nearest_of_group(own, own.withColumn("part_id", F.col("part_id") - 1), norm)
+    pairs = near.join(own.select("id", F.col("part_id").alias("rank")), "id").groupBy("rank").agg(F.min(F.struct("len", F.col("id").alias("p"), F.col("nbr").alias("q"))).alias("e"))
+    pairs = materialize(pairs.select("rank", "e.p", "e.q"), "closest")
+    used = pairs.select((F.col("rank") + 1).alias("rank"), F.col("q").alias("entered"))
+    cycles = steps(placed.select(F.col("rank").alias("tour_id"), "pos", "node"))
+    after = cycles.select(F.col("i").alias("node"), F.col("j").alias("next"))
+    before = cycles.select(F.col("j").alias("node"), F.col("i").alias("previous"))
+    point = lambda c: nodes.select(F.col("id").alias(c), F.struct("x", "y").alias(f"at_{c}"))
+    rows = pairs.join(used, "rank", "left").join(after.withColumnsRenamed({"node": "p", "next": "p_next"}), "p").join(before.withColumnsRenamed({"node": "p", "previous": "p_before"}), "p").join(after.withColumnsRenamed({"node": "q", "next": "q1"}), "q")
+    rows = rows.withColumn("p1", F.when(F.col("p") == F.col("entered"), F.col("p_before")).otherwise(F.col("p_next")))
+    for c in ("p", "q", "p1", "q1"):
+        rows = rows.join(point(c), c)
+    cost = lambda a, b: length_col(norm, F.col(f"at_{a}"), F.col(f"at_{b}"))
+    straight = cost("p", "q") + cost("p1", "q1") <= cost("p", "q1") + cost("p1", "q")
+    splices = materialize(rows.select("p", "p1", "q", "q1", straight.alias("straight")), "splices")
+    edge = lambda a, b: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
+    gone = splices.select(F.explode(F.array(edge("p", "p1"), edge("q", "q1"))).alias("e")).select("e.*")
+    made = splices.select(F.explode(F.when(F.col("straight"), F.array(edge("p", "q"), edge("p1", "q1"))).otherwise(F.array(edge("p", "q1"), edge("p1", "q")))).alias("e")).select("e.*")
+    kept = cycles.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(gone, ["i", "j"], "left_anti")
+    return edges_to_tour(materialize(kept.unionByName(made), "stitched"))
+
+
+def _two_opt(norm: str):
+    """A segment's nodes in a better order, the first and the last fixed."""
+
+    def improved(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos").reset_index(drop=True)
+        n = len(rows)
+        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
+        d = ARRAY_NORMS[norm](x[:, None] - x[None, :], y[:, None] - y[None, :])
+        at = np.arange(n)
+        better = n > 3
+        while better:
+            better = False
+            for i in range(1, n - 2):
+                j = np.arange(i + 1, n - 1)  # reverse at[i..j]
+                gain = d[at[i - 1], at[i]] + d[at[j], at[j + 1]] - d[at[i - 1], at[j]] - d[at[i], at[j + 1]]
+                if len(j) and gain.max() > 0:
+                    k = int(j[gain.argmax()])
+                    at[i : k + 1] = at[i : k + 1][::-1].copy()
+                    better = True
+            for i in range(1, n - 1):  # move one node to another place
+                rest = np.delete(at, i)
+                away = d[at[i - 1], at[i]] + d[at[i], at[i + 1]] - d[at[i - 1], at[i + 1]]
+                into = d[rest[:-1], at[i]] + d[at[i], rest[1:]] - d[rest[:-1], rest[1:]]
+                if away - into.min() > 0:
+                    at = np.insert(rest, int(into.argmin()) + 1, at[i])
+                    better = True
+        rows["node"] = rows["node"].to_numpy()[at]
+        return rows[["tour_id", "seg_id", "pos", "node"]]
+
+    return improved
+
+
+def improve_segments(tour: DataFrame, nodes: DataFrame, norm: str, bucket: int = 1000, first: int | None = None) -> DataFrame:
+    """tour_id, seg_id, pos, node: each segment of ``bucket`` nodes improved by 2-opt moves and moves of single nodes, both ends fixed.
+
+    A segment is never longer than before; :func:`concat_segments` joins them again.
+    """
+    if norm not in ARRAY_NORMS:
+        raise ValueError(f"norm {norm!r} isn't one of {sorted(ARRAY_NORMS)}")
+    rows = tour_segments(tour, bucket, first).join(nodes.select(F.col("id").alias("node"), "x", "y"), "node")
+    rows = rows.select("tour_id", "seg_id", F.col("pos").cast("long").alias("pos"), F.col("node").cast("long").alias("node"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return rows.groupBy("tour_id", "seg_id").applyInPandas(_two_opt(norm), rows.select("tour_id", "seg_id", "pos", "node").schema)
 
 
 def segment_index(tour: DataFrame, nodes: DataFrame, norm: str, bucket: int, first: int | None = None) -> DataFrame:

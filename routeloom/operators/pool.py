@@ -7,11 +7,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..jobs.session import materialize
+from .components import component_labels
 from .cuts import clique_sizes
 
+#: x values that count as zero and as one, and a violation that counts.
+ZERO, ONE, MARGIN = 1e-6, 0.999999, 0.01
+
 
 def clique_key(members: DataFrame) -> DataFrame:
     """clique_id, key: equal for cliques of the same nodes (size and two 64-bit sums of node hashes), gathered map-side."""
@@ -115,10 +121,15 @@ def cut_atoms(cut_cliques: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
 
 def _meetings(cut_cliques: DataFrame, members: DataFrame) -> DataFrame:
-    """cut_id, a, b, shared of each pair of the cut's cliques that meet."""
-    rows = cut_cliques.join(members.distinct(), "clique_id")
-    a, b = rows.withColumnRenamed("clique_id", "a"), rows.withColumnRenamed("clique_id", "b")
-    return a.join(b, ["cut_id", "node"]).filter("a < b").groupBy("cut_id", "a", "b").agg(F.count("*").alias("shared"))
+    """cut_id, a, b, shared of each pair of the cut's cliques that meet.
+
+    The nodes of a cut that lie in the same cliques count as one row with their number, so a node
+    row meets only the few other cliques that hold it.
+    """
+    held = cut_cliques.join(members.distinct(), "clique_id").groupBy("cut_id", "node").agg(F.sort_array(F.collect_set("clique_id")).alias("of"))
+    kinds = held.filter(F.size("of") > 1).groupBy("cut_id", "of").agg(F.count("*").alias("n"))
+    a = kinds.select("cut_id", "n", "of", F.explode("of").alias("a"))
+    return a.select("cut_id", "a", "n", F.explode("of").alias("b")).filter("a < b").groupBy("cut_id", "a", "b").agg(F.sum("n").alias("shared"))
 
 
 def teeth_disjoint(teeth: DataFrame, members: DataFrame) -> DataFrame:
@@ -178,3 +189,164 @@ def segment_cuts(xedges: DataFrame, length: int, below: float = 2 - 1e-4, one: f
 def comb_sizes(cut_cliques: DataFrame, members: DataFrame) -> DataFrame:
     """cut_id, n_cliques, smallest, largest: the sizes of each cut's cliques."""
     return cut_cliques.join(clique_sizes(members), "clique_id").groupBy("cut_id").agg(F.count("*").alias("n_cliques"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
+
+
+def _cleaned(handles: DataFrame, teeth: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cuts, roles and members of the blossoms with ``handles(cut_id, node)`` and ``teeth(cut_id, inner, outer)``.
+
+    A node inside that two teeth share leaves the handle, one outside joins it; teeth that don't
+    cross the handle any more go. A blossom stays with three handle nodes or more and an odd number of teeth.
+    """
+    shared = lambda end: teeth.groupBy("cut_id", F.col(end).alias("node")).agg(F.count("*").alias("n")).filter("n > 1").select("cut_id", "node")
+    handle = materialize(handles.join(shared("inner"), ["cut_id", "node"], "left_anti").unionByName(shared("outer")).distinct(), "handles")
+    for end in ("inner", "outer"):
+        teeth = teeth.join(handle.select("cut_id", F.col("node").alias(end), F.lit(1).alias(f"in_{end}")), ["cut_id", end], "left")
+    crossing = materialize(teeth.filter(F.coalesce("in_inner", F.lit(0)) != F.coalesce("in_outer", F.lit(0))).select("cut_id", "inner", "outer"), "teeth")
+    sizes = handle.groupBy("cut_id").agg(F.count("*").alias("h")).join(crossing.groupBy("cut_id").agg(F.count("*").alias("t")), "cut_id")
+    kept = materialize(sizes.filter("h >= 3 and t % 2 = 1"), "blossoms")
+    cuts = kept.select("cut_id", F.lit("G").alias("sense"), (3 * (F.col("t") + 1) - 2).cast("int").alias("rhs"))
+    handle, crossing = (df.join(kept.select("cut_id"), "cut_id") for df in (handle, crossing))
+    of_handle = F.concat(F.col("cut_id").cast("string"), F.lit(":h"))
+    of_tooth = F.concat_ws(":", F.col("cut_id").cast("string"), F.col("inner").cast("string"), F.col("outer").cast("string"))
+    roles = cuts.select("cut_id", of_handle.alias("clique_id"), F.lit(True).alias("handle")).unionByName(crossing.select("cut_id", of_tooth.alias("clique_id"), F.lit(False).alias("handle")))
+    members = handle.select(of_handle.alias("clique_id"), "node").unionByName(crossing.select(of_tooth.alias("clique_id"), F.explode(F.array("inner", "outer")).alias("node")))
+    return cuts, roles, members
+
+
+def _handles(xedges: DataFrame, below: float) -> tuple[DataFrame, DataFrame]:
+    """Components (cut_id, node) of three nodes or more of the edges with ZERO < x < below, and the edges with both ends' components."""
+    labels = materialize(component_labels(xedges.filter((F.col("x") > ZERO) & (F.col("x") < below))), "handles")
+    large = labels.groupBy("component").agg(F.count("*").alias("n")).filter("n >= 3").select("component")
+    handles = materialize(labels.join(large, "component").select(F.col("component").alias("cut_id"), "node"), "handles")
+    rows = xedges.select("i", "j", "x")
+    for end in ("i", "j"):
+        rows = rows.join(handles.select(F.col("node").alias(end), F.col("cut_id").alias(f"c{end}")), end, "left")
+    return handles, rows
+
+
+def _boundary(rows: DataFrame, least: float) -> DataFrame:
+    """cut_id, inner, outer, x of the edges with x >= least that leave a handle; one between two handles leaves both."""
+    ends = F.explode(F.array(F.struct(F.col("ci").alias("cut_id"), F.col("i").alias("inner"), F.col("j").alias("outer")), F.struct(F.col("cj").alias("cut_id"), F.col("j").alias("inner"), F.col("i").alias("outer"))))
+    apart = F.coalesce(F.col("ci") != F.col("cj"), F.lit(True))
+    return rows.filter((F.col("x") >= least) & apart).select(ends.alias("e"), "x").filter("e.cut_id is not null").select("e.*", "x")
+
+
+def fast_blossoms(xedges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """cuts(cut_id, sense, rhs), roles(cut_id, clique_id, handle) and members(clique_id, node) of blossoms.
+
+    Handles are the components of the fractional edges, teeth the edges of x one at them; those
+    with an odd number of teeth are cleaned up. ``cut_id`` is the handle's smallest node.
+    """
+    handles, rows = _handles(xedges, ONE)
+    teeth = materialize(_boundary(rows, ONE), "teeth")
+    odd = teeth.groupBy("cut_id").agg(F.count("*").alias("t")).filter("t % 2 = 1").select("cut_id")
+    return _cleaned(handles.join(odd, "cut_id"), teeth.join(odd, "cut_id").select("cut_id", "inner", "outer"))
+
+
+def gh_blossoms(xedges: DataFrame, least: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`fast_blossoms`, with handles from edges below ``least`` and teeth from it on.
+
+    Of a handle's teeth, by falling x (ties by the edge), the smallest odd number is taken at which
+    the x inside the handle and of the teeth exceeds the handle's size and half of the teeth but one.
+    """
+    handles, rows = _handles(xedges, least)
+    inside = rows.filter((F.col("x") > ZERO) & (F.col("ci") == F.col("cj"))).groupBy(F.col("ci").alias("cut_id")).agg(F.sum("x").alias("inside"))
+    sizes = handles.groupBy("cut_id").agg(F.count("*").alias("h")).join(inside, "cut_id", "left")
+    order = Window.partitionBy("cut_id").orderBy(F.desc("x"), F.least("inner", "outer"), F.greatest("inner", "outer"))
+    teeth = _boundary(rows, least).withColumn("t", F.row_number().over(order)).withColumn("z", F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    teeth = materialize(teeth.join(sizes, "cut_id"), "teeth")
+    enough = F.round(F.coalesce("inside", F.lit(0.0)) + F.col("z"), 9) > F.col("h") + (F.col("t") - 1) / 2 + MARGIN
+    first = materialize(teeth.filter((F.col("t") % 2 == 1) & enough).groupBy("cut_id").agg(F.min("t").alias("first")), "taken")
+    return _cleaned(handles.join(first.select("cut_id"), "cut_id"), teeth.join(first, "cut_id").filter("t <= first").select("cut_id", "inner", "outer"))
+
+
+def classify_cuts(cuts: DataFrame, cut_cliques: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """cut_id, kind (subtour, comb or other) of ``cuts(cut_id, sense, rhs)`` over nodes 0..n-1.
+
+    A subtour cut has one clique, two atoms and right-hand side 2. A comb has an even number c >= 4
+    of cliques, right-hand side 3c - 2 and 2c - 2 to 2c atoms, one clique of the handle's number of
+    atoms, and teeth of two atoms (or of all but two, which are then turned inside out): one in
+    just the tooth, one in just the tooth and the handle.
+    """
+    links = cut_cliques.select("cut_id", "clique_id").distinct()
+    held = links.join(members.distinct(), "clique_id").groupBy("cut_id", "node").agg(F.sort_array(F.collect_set("clique_id")).alias("of"))
+    atoms = held.groupBy("cut_id", "of").agg(F.count("*").alias("size"))
+    outside = atoms.groupBy("cut_id").agg(F.sum("size").alias("held")).filter(F.col("held") < n)
+    atoms = materialize(atoms.select("cut_id", "of").unionByName(outside.join(atoms, "cut_id").select("cut_id", F.array_except("of", "of").alias("of")).distinct()), "atoms")
+    n_atoms = atoms.groupBy("cut_id").agg(F.count("*").alias("atoms"))
+    of_clique = atoms.select("cut_id", F.explode("of").alias("clique_id")).groupBy("cut_id", "clique_id").agg(F.count("*").alias("k"))
+    counts = links.groupBy("cut_id").agg(F.count("*").alias("c"))
+    shape = cuts.join(counts, "cut_id").join(n_atoms, "cut_id")
+    low = F.when(F.col("atoms") == 2 * F.col("c"), F.col("c")).otherwise(F.col("c") - 1)
+    high = F.when(F.col("atoms") == 2 * F.col("c") - 2, F.col("c") - 1).otherwise(F.col("c"))
+    right = (F.col("c") % 2 == 0) & (F.col("c") >= 4) & (F.col("rhs") == 3 * F.col("c") - 2) & (F.col("sense") == "G") & F.col("atoms").between(2 * F.col("c") - 2, 2 * F.col("c"))
+    role = F.when(F.col("k").between(low, high), "handle").when(F.col("k") == 2, "tooth").when(F.col("k") == F.col("atoms") - 2, "inverted").otherwise("wrong")
+    roles = materialize(shape.filter(right).join(of_clique, "cut_id").select("cut_id", "c", "clique_id", role.alias("role")), "roles")
+    combs = roles.groupBy("cut_id").agg(
+        F.first("c").alias("c"), F.count_if(F.col("role") == "handle").alias("handles"), F.count_if(F.col("role") == "wrong").alias("wrong"),
+        F.min(F.when(F.col("role") == "handle", F.col("clique_id"))).alias("handle"), F.collect_list(F.when(F.col("role") == "inverted", F.col("clique_id"))).alias("inverted"),
+    ).filter("handles = 1 and wrong = 0")
+    turned = atoms.join(combs, "cut_id").select("cut_id", "c", "handle", F.concat(F.array_except("of", "inverted"), F.array_except("inverted", "of")).alias("of"))
+    teeth = turned.select("cut_id", "c", "handle", "of", F.explode("of").alias("tooth")).filter("tooth != handle")
+    single = F.count_if(F.size("of") == 1)
+    double = F.count_if((F.size("of") == 2) & F.array_contains("of", F.col("handle")))
+    good = teeth.groupBy("cut_id", "c", "tooth").agg(F.count("*").alias("k"), single.alias("s"), double.alias("d")).filter("k = 2 and s = 1 and d = 1")
+    comb = good.groupBy("cut_id", "c").agg(F.count("*").alias("teeth")).filter("teeth = c - 1").select("cut_id", F.lit(True).alias("comb"))
+    subtour = (F.col("c") == 1) & (F.col("atoms") == 2) & (F.col("rhs") == 2) & (F.col("sense") == "G")
+    return shape.join(comb, "cut_id", "left").select("cut_id", F.when(subtour, "subtour").when(F.col("comb"), "comb").otherwise("other").alias("kind"))
+
+
+def _block_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Blocks of one component's edges by low points, without recursion."""
+    near: dict[int, list[tuple[int, int]]] = {}
+    for e, (i, j) in enumerate(zip(rows["i"], rows["j"])):
+        near.setdefault(i, []).append((j, e))
+        near.setdefault(j, []).append((i, e))
+    place, low, out, open_edges, blocks = {}, {}, [], [], 0
+    for start in sorted(near):
+        if start in place:
+            continue
+        place[start] = low[start] = len(place)
+        todo = [(start, -1, iter(near[start]))]
+        while todo:
+            node, via, rest = todo[-1]
+            for other, e in rest:
+                if e == via:
+                    continue
+                if other not in place:
+                    open_edges.append((node, other, e))
+                    place[other] = low[other] = len(place)
+                    todo.append((other, e, iter(near[other])))
+                    break
+                if place[other] < place[node]:
+                    open_edges.append((node, other, e))
+                    low[node] = min(low[node], place[other])
+            else:
+                todo.pop()
+                if todo:
+                    above = todo[-1][0]
+                    low[above] = min(low[above], low[node])
+                    if low[node] >= place[above]:  # what was opened since the edge to this node is a block
+                        cut = next(k for k in range(len(open_edges) - 1, -1, -1) if open_edges[k][2] == via)
+                        own = open_edges[cut:]
+                        del open_edges[cut:]
+                        first = min(min(a, b) for a, b, _ in own)
+                        out += [(first, blocks, min(a, b), max(a, b)) for a, b, _ in own]
+                        blocks += 1
+    found = pd.DataFrame(out, columns=["low", "block", "i", "j"])
+    found["component"] = rows["component"].iloc[0]
+    return found[["component", "block", "i", "j"]]
+
+
+def blocks(xedges: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """The two-connected components of the edges with 0 < x < 1: (component, block, i, j), and cut nodes (node, n_blocks).
+
+    Components come from Spark; one task then works on each, which may have ``most`` edges.
+    """
+    edges = xedges.filter((F.col("x") > ZERO) & (F.col("x") < ONE) & (F.col("i") != F.col("j"))).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    rows = materialize(edges.join(component_labels(edges).withColumnRenamed("node", "i"), "i").select("component", "i", "j"), "fractional")
+    if large := rows.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most).take(1):
+        raise ValueError(f"the component of node {large[0]['component']} has {large[0]['n']} edges, over {most}")
+    found = materialize(rows.groupBy("component").applyInPandas(_block_rows, "component long, block long, i long, j long"), "blocks")
+    nodes = found.select("component", "block", F.explode(F.array("i", "j")).alias("node")).distinct()
+    return found, nodes.groupBy("node").agg(F.count("*").alias("n_blocks")).filter("n_blocks > 1")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..jobs.session import materialize
+from .components import component_labels
+from .neighbors import fixed_radius
+
 
 def clique_duals(cut_pi: DataFrame, cut_cliques: DataFrame) -> DataFrame:
     """clique_id, pi: the duals of the cuts that use the clique, each time they do."""
@@ -39,23 +43,78 @@ def penalty(priced: DataFrame) -> DataFrame:
     return priced.agg(F.sum(F.least("rc", F.lit(0.0))).alias("penalty"))
 
 
-def dual_bound(node_pi: DataFrame, cut_pi: DataFrame, cuts: DataFrame, priced: DataFrame) -> DataFrame:
-    """bound: ``2 sum pi + sum cut_pi rhs + sum min(0, rc)``, summed exactly as 2^32-scaled integers."""
-    scale = lambda c: F.round(c * 2.0**32).cast("decimal(38,0)")
-    parts = (
-        node_pi.select(scale(2 * F.col("pi")).alias("v"))
-        .unionByName(cut_pi.join(cuts, "cut_id").select(scale(F.col("pi") * F.col("rhs")).alias("v")))
-        .unionByName(priced.filter("rc < 0").select(scale(F.col("rc")).alias("v")))
-    )
-    return parts.agg((F.sum("v").cast("double") / 2.0**32).alias("bound"))
+def pricing_candidates(edges: DataFrame, duals: DataFrame, eps: float = 1e-4) -> DataFrame:
+    """The edges (i, j, len) whose length less both ends' estimates (``duals``: id, est) is below ``eps``."""
+    a, b = (duals.select(F.col("id").alias(c), F.col("est").alias(f"e{c}")) for c in ("i", "j"))
+    return edges.join(a, "i").join(b, "j").filter(F.col("len") - F.col("ei") - F.col("ej") < eps).select(*edges.columns)
+
+
+def pricing_candidates_complete(nodes: DataFrame, duals: DataFrame, norm: str, eps: float = 1e-4) -> DataFrame:
+    """As :func:`pricing_candidates` over all pairs of ``nodes(id, x, y)``, from a grid: no candidate is longer than twice the largest estimate."""
+    reach = 2 * (duals.agg(F.max("est")).first()[0] or 0.0) + eps
+    return pricing_candidates(fixed_radius(nodes, max(reach, 0.0), norm), duals, eps)
+
 
+def _scaled(c: Column) -> Column:
+    """A value as an integer of 2^-32, so that sums are exact."""
+    return F.round(c * 2.0**32).cast("decimal(38,0)")
 
-def eliminate_edges(priced: DataFrame, upper: float, lower: float) -> DataFrame:
-    """i, j, len, rc, fate: edges that stay, with ``fixed`` for those that every better solution has."""
+
+def dual_bound(node_pi: DataFrame, cut_pi: DataFrame, cuts: DataFrame, priced: DataFrame, fixed: DataFrame | None = None, branched: DataFrame | None = None, upper: float | None = None) -> DataFrame:
+    """bound: ``2 sum pi + sum cut_pi rhs + sum min(0, rc)``, summed exactly; with ``upper`` also prunable and infeasible.
+
+    ``fixed(i, j)`` and ``branched(i, j, rhs)`` edges with rhs 1 add their reduced cost where it is
+    positive; branched ones with rhs 0 give a negative one back. A bound over ``upper - 1`` prunes;
+    a positive bound while all lengths are 0 shows that there is no solution.
+    """
+    parts = (
+        node_pi.select(_scaled(2 * F.col("pi")).alias("v"))
+        .unionByName(cut_pi.join(cuts, "cut_id").select(_scaled(F.col("pi") * F.col("rhs")).alias("v")))
+        .unionByName(priced.filter("rc < 0").select(_scaled(F.col("rc")).alias("v")))
+    )
+    cost = priced.select("i", "j", "rc")
+    if fixed is not None:
+        parts = parts.unionByName(cost.join(fixed.select("i", "j").distinct(), ["i", "j"]).filter("rc > 0").select(_scaled(F.col("rc")).alias("v")))
+    if branched is not None:
+        rows = cost.join(branched.select("i", "j", "rhs").distinct(), ["i", "j"])
+        parts = parts.unionByName(rows.filter("rhs = 1 and rc > 0").select(_scaled(F.col("rc")).alias("v")))
+        parts = parts.unionByName(rows.filter("rhs = 0 and rc < 0").select(_scaled(-F.col("rc")).alias("v")))
+    out = parts.agg((F.sum("v").cast("double") / 2.0**32).alias("bound"))
+    if upper is None:
+        return out
+    longest = priced.agg(F.max(F.abs("len")).alias("longest"))  # one row each
+    return out.join(F.broadcast(longest)).select("bound", (F.col("bound") > upper - 1).alias("prunable"), ((F.col("longest") == 0) & (F.col("bound") > 0)).alias("infeasible"))
+
+
+def eliminate_edges(priced: DataFrame, upper: float, lower: float, current: DataFrame | None = None, fixed: DataFrame | None = None, branched: DataFrame | None = None) -> DataFrame:
+    """i, j, len, rc, fate of the edges that stay: those with a reduced cost up to ``upper - lower - 1``, and all that were ``fixed`` or ``branched`` before.
+
+    fate: ``held`` for the latter, ``fixed`` for other edges of the ``current`` graph (all, if none
+    is given) that every better solution has, else ``kept``.
+    """
     gap = upper - lower - 1
     if gap < 0:
         raise ValueError("the bounds leave nothing to eliminate")
-    return priced.filter(F.col("rc") <= gap).withColumn("fate", F.when(F.col("rc") < -gap, "fixed").otherwise("kept"))
+    rows = priced
+    for name, given in (("f", fixed), ("b", branched), ("c", current)):
+        mark = F.lit(True).alias(name)
+        rows = rows.withColumn(name, F.lit(None).cast("boolean")) if given is None else rows.join(given.select("i", "j", mark).distinct(), ["i", "j"], "left")
+    held = F.coalesce("f", "b", F.lit(False))
+    mine = F.lit(True) if current is None else F.coalesce("c", F.lit(False))
+    fate = F.when(held, "held").when((F.col("rc") < -gap) & mine, "fixed").otherwise("kept")
+    return rows.filter(held | (F.col("rc") <= gap)).select(*priced.columns, fate.alias("fate"))
+
+
+def check_integral(xedges: DataFrame, edges: DataFrame, n: int, eps: float = 1e-4) -> DataFrame:
+    """One row: integral (every x is within ``eps`` of 0 or 1), connected, is_tour (over n nodes) and value (the lengths of the edges of x one)."""
+    off = xedges.filter(F.least(F.abs("x"), F.abs(1 - F.col("x"))) > eps).take(1)
+    support = materialize(xedges.filter(F.col("x") > eps).select("i", "j").join(edges.select("i", "j", "len"), ["i", "j"], "left"), "support")
+    labels = component_labels(support)
+    reached, parts = labels.agg(F.count("*"), F.count_distinct("component")).first()
+    connected = reached == n and parts == 1
+    degrees = support.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").alias("d")).agg(F.min("d"), F.max("d")).first()
+    is_tour = not off and connected and tuple(degrees) == (2, 2)
+    return support.agg(F.lit(not off).alias("integral"), F.lit(connected).alias("connected"), F.lit(is_tour).alias("is_tour"), F.sum("len").alias("value"))
 
 
 def reduced_cost_nearest(priced: DataFrame, k: int) -> DataFrame:
@@ -68,11 +127,19 @@ def fractional_edges(xedges: DataFrame, eps: float = 1e-4) -> DataFrame:
     return xedges.filter((F.col("x") > eps) & (F.col("x") < 1 - eps))
 
 
-def most_fractional_edge(xedges: DataFrame) -> DataFrame:
-    """The edge with x closest to one half, ties by (i, j)."""
-    return fractional_edges(xedges).orderBy(F.abs(F.col("x") - 0.5), "i", "j").limit(1)
+def most_fractional_edge(xedges: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The edge with x closest to one half, ties by (i, j); not one of the ``held`` (fixed or branched) ones."""
+    rows = fractional_edges(xedges)
+    if held is not None:
+        rows = rows.join(held.select("i", "j"), ["i", "j"], "left_anti")
+    return rows.orderBy(F.abs(F.col("x") - 0.5), "i", "j").limit(1)
 
 
 def subdivision_bound(regions: DataFrame) -> DataFrame:
     """Sum of the regions' bounds; a negative one is a failure and doesn't count."""
     return regions.filter("bound >= 0").agg(F.sum("bound").alias("bound"), F.count("*").alias("n"))
+
+
+def reduced_cost_nearest_graph(priced: DataFrame, k: int) -> DataFrame:
+    """i, j, len, rc: the undirected union of :func:`reduced_cost_nearest`."""
+    return reduced_cost_nearest(priced, k).select(F.least("id", "nbr").alias("i"), F.greatest("id", "nbr").alias("j"), "len", "rc").distinct()

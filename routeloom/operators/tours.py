@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,22 +95,41 @@ def tour_file_length(edges: DataFrame, n: int) -> int:
     return total
 
 
+#: Edges of a tour that one task walks along; longer tours take rounds of joins.
+LOCAL_TOUR = 50_000
+
+
+def _walked(rows: pd.DataFrame) -> pd.DataFrame:
+    near: dict[int, list[int]] = {}
+    for u, v in zip(rows["u"].tolist(), rows["v"].tolist()):
+        near.setdefault(u, []).append(v)
+    start = min(near)
+    path, last, now = [start], start, min(near[start])
+    while now != start:
+        path.append(now)
+        last, now = now, next((v for v in near[now] if v != last), start)
+    return pd.DataFrame({"tour_id": rows["tour_id"].iloc[0], "pos": range(len(path)), "node": path})
+
+
 def edges_to_tour(edges: DataFrame) -> DataFrame:
     """tour_id, pos, node of tours given as edges (i, j, and tour_id if there are several).
 
     A tour starts at its smallest node, towards the smaller neighbour. Each undirected edge is two
     arcs; an arc's follower leaves the node it enters by the other edge. The arc that would return
     to the start has none, and the distance to it is found by doubling the followers' reach, in
-    log2(n) joins. Where a tour's edges are several cycles, only the first node's cycle comes back.
+    log2(n) joins; tours of up to ``LOCAL_TOUR`` edges are walked, each in one task. Where a tour's edges are several cycles, only the first node's cycle comes back.
     """
     e = edges if "tour_id" in edges.columns else edges.withColumn("tour_id", F.lit(0).cast("long"))
     both = e.select("tour_id", F.col("i").alias("u"), F.col("j").alias("v")).unionByName(e.select("tour_id", F.col("j").alias("u"), F.col("i").alias("v"))).filter("u != v").distinct()
+    both = materialize(both.select(F.col("tour_id").cast("long").alias("tour_id"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "ends")
+    longest = both.groupBy("tour_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= 2 * LOCAL_TOUR:
+        return both.groupBy("tour_id").applyInPandas(_walked, "tour_id long, pos long, node long")
     start = both.groupBy("tour_id").agg(F.min(F.struct("u", "v")).alias("s"))
     on = both.select("tour_id", F.col("u").alias("v"), F.col("v").alias("w"))
     arcs = both.join(on, ["tour_id", "v"]).filter("u != w").join(start, "tour_id")
     ends = (F.col("v") == F.col("s.u")) & (F.col("w") == F.col("s.v"))
     now = materialize(arcs.select("tour_id", "u", "v", F.when(~ends, F.struct(F.col("v").alias("u"), F.col("w").alias("v"))).alias("next"), F.when(ends, 0).otherwise(1).cast("long").alias("far")), "arcs")
-    longest = both.groupBy("tour_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(max(longest // 2, 1).bit_length()):
         ahead = now.select("tour_id", F.struct("u", "v").alias("next"), F.col("next").alias("_next"), F.col("far").alias("_far"))
         open_ = now.filter("next is not null").join(ahead, ["tour_id", "next"]).select("tour_id", "u", "v", F.col("_next").alias("next"), (F.col("far") + F.col("_far")).alias("far"))

@@ -344,4 +344,5 @@ def write_cuts(cuts: DataFrame, cut_cliques: DataFrame, members: DataFrame, path
     placed = inside.select("cut_id", "rhs", value.alias("value"), F.row_number().over(Window.partitionBy("cut_id").orderBy("clique_id")).alias("at"))
     ends = placed.groupBy("cut_id", "rhs").agg(F.count("*").alias("n"))
     lines = placed.select("value", "cut_id", "at").unionByName(ends.select(F.col("n").cast("string").alias("value"), "cut_id", F.lit(0).alias("at"))).unionByName(ends.select(F.col("rhs").cast("string").alias("value"), "cut_id", (F.col("n") + 1).cast("int").alias("at")))
-    _write_lines(cuts.sparkSession, path, [], lines)
+    # A cut's lines stay in one file, so that no record is torn.
+    lines.repartitionByRange("cut_id").sortWithinPartitions("cut_id", "at").select("value").write.text(path)

@@ -1,31 +1,87 @@
-"""Running totals over streams of worker results."""
+"""Streams of worker results: what has arrived first, and running totals over it.
+
+Each stream keeps its state in Parquet tables below a path in shared storage: a micro-batch is
+reduced to the first result of each key (by arrival), keys that are known already go, and the rest
+is appended under the batch's number, so a batch that runs again replaces what it wrote. Memory
+doesn't grow with the stream; totals are read from the tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
+
+
+def first_rows(rows: DataFrame, keys: list[str], arrival: str = "arrival") -> DataFrame:
+    """The row of each key that arrived first; equal arrivals are told apart by the other columns."""
+    others = [c for c in rows.columns if c not in (*keys, arrival)]
+    return rows.groupBy(*keys).agg(F.min(F.struct(arrival, *others)).alias("_e")).select(*keys, "_e.*").select(*rows.columns)
+
+
+def stored(spark: SparkSession, path: str, schema: StructType, keys: list[str], arrival: str = "arrival") -> DataFrame:
+    """The first row of each key that a stream has brought below ``path`` so far."""
+    return first_rows(_appended(spark, path, schema), keys, arrival)
+
+
+def _appended(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def append_first(stream: DataFrame, path: str, checkpoint: str, keys: list[str], arrival: str = "arrival") -> StreamingQuery:
+    """Start a query that appends the first row of each key to the table below ``path``; it ends when all that is there has been read.
+
+    A row is only appended if its key is new or has come with a later arrival so far.
+    """
+    schema = stream.schema
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = first_rows(batch, keys, arrival)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            # A batch that runs again doesn't count what it wrote before.
+            others = _appended(spark, path, schema).filter(~F.col("_metadata.file_path").contains(f"/batch={number}/"))
+            known = others.groupBy(*keys).agg(F.min(arrival).alias("_known"))
+            fresh = fresh.join(known, keys, "left").filter(F.col("_known").isNull() | (F.col(arrival) < F.col("_known"))).select(*schema.names)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def region_totals(results: DataFrame) -> DataFrame:
-    """Totals over ``results(id, rtime, bound)``: the first result of an id counts, a negative bound is a failure."""
+    """n_done, n_failed, bound, rtime over first ``results(id, rtime, bound)``: a negative bound is a failure and its id is done."""
     ok = F.col("bound") >= 0
-    return results.dropDuplicates(["id"]).agg(
-        F.count("*").alias("n_done"), F.count_if(~ok).alias("n_failed"), F.sum(F.when(ok, F.col("bound")).otherwise(0.0)).alias("bound"), F.sum("rtime").alias("rtime")
-    )
+    return results.agg(F.count("*").alias("n_done"), F.count_if(~ok).alias("n_failed"), F.sum(F.when(ok, F.col("bound")).otherwise(0.0)).alias("bound"), F.sum("rtime").alias("rtime"))
 
 
-def segment_gains(results: DataFrame, segments: DataFrame) -> DataFrame:
-    """Sum of improvements over ``results(id, newlen)`` of the segments that got shorter."""
-    joined = results.dropDuplicates(["id"]).join(segments.select(F.col("seg_id").alias("id"), "origlen"), "id")
+def remaining(results: DataFrame, regions: DataFrame) -> DataFrame:
+    """part_id of the regions without a result."""
+    return regions.select("part_id").join(results.select(F.col("id").alias("part_id")), "part_id", "left_anti")
+
+
+def segment_gains(results: DataFrame, segments: DataFrame, tour_length: int = 0) -> DataFrame:
+    """n_done, gain and the tour's length less that, over first ``results(id, newlen)``; a segment that isn't shorter gains nothing."""
+    joined = results.join(segments.select(F.col("seg_id").alias("id"), "origlen"), "id")
     gain = F.greatest(F.col("origlen") - F.col("newlen"), F.lit(0))
-    return joined.agg(F.count("*").alias("n_done"), F.sum(gain).alias("gain"))
+    return joined.agg(F.count("*").alias("n_done"), F.coalesce(F.sum(gain), F.lit(0)).alias("gain")).select("n_done", "gain", (F.lit(tour_length) - F.col("gain")).alias("len"))
 
 
 def incumbent(tours: DataFrame) -> DataFrame:
-    """The shortest of ``tours(arrival, len)``; the first to arrive wins ties."""
+    """The shortest of ``tours(arrival, len)``, a stream or a table; the first to arrive wins ties."""
     return tours.agg(F.min(F.struct("len", "arrival")).alias("best")).select("best.len", "best.arrival")
 
 
-def new_cuts(cuts: DataFrame) -> DataFrame:
-    """Arriving ``cuts(sense, rhs, key)``, each once."""
-    return cuts.dropDuplicates(["sense", "rhs", "key"])
+def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a streaming aggregate over all that is there; its last state as a table of this session."""
+    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def pool_cuts(stream: DataFrame, path: str, checkpoint: str, key: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """Append arriving ``cuts(sense, rhs, key, arrival)`` to the pool below ``path``, each content once."""
+    return append_first(key(stream), path, checkpoint, ["sense", "rhs", "key"])
