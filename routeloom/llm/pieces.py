@@ -126,10 +126,14 @@ class PieceModel:
                 found = width, text[at : at + width]
             units += [(found[1][k : k + 1], at) for k in range(len(found[1]))]
             at += found[0]
+        end = len(text)
         if self.squeeze:
-            while units and units[0][0] == b" ":
-                units.pop(0)
-            units = [u for k, u in enumerate(units) if u[0] != b" " or k + 1 < len(units) and units[k + 1][0] != b" "]
+            # Of neighbouring spaces the first stays; none at the start, none at the end.
+            kept: list[tuple[bytes, int]] = []
+            kept += (u for u in units if u[0] != b" " or kept and kept[-1][0] != b" ")
+            if kept and kept[-1][0] == b" ":
+                end = kept.pop()[1]
+            units = kept
         if self.prefix and units:
             units.insert(0, (b" ", units[0][1]))
         out, source = [], []
@@ -137,7 +141,7 @@ class PieceModel:
             byte = _MARK if byte == b" " and self.escape else byte
             out.append(byte)
             source += [place] * len(byte)
-        return b"".join(out), np.array([*source, len(text)], np.int64)
+        return b"".join(out), np.array([*source, end], np.int64)
 
     def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of the original bytes that each piece covers."""

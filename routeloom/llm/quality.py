@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..jobs.session import materialize
 from ..operators.ranking import ranked
+from .common import named, row_key
 
 BUCKETS = 1 << 16
 
@@ -118,7 +119,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are."""
-    kept = quality_scores(docs, labels, id_col, text_col, **options).filter("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_did"), F.col("rid").alias("_rid")).distinct()
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_did"), F.xxhash64(F.col(text_col)).alias("_rid")]
-    return docs.select("*", *key).join(kept, ["_did", "_rid"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the rules keep (see :func:`quality_scores`), all columns as they are, whatever their names.
+
+    Rows with a null or empty text go; rows that repeat an id and a text stay or go together.
+    """
+    kept = quality_scores(docs, labels, id_col, text_col, **options).filter("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), "rid").distinct()
+    source, back = named(docs)
+    rows = source.select("*", *row_key(back[id_col], back[text_col]))
+    return rows.join(kept, ["did", "rid"], "left_semi").select(*[F.col(c).alias(name) for name, c in back.items()])

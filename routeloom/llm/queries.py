@@ -24,45 +24,55 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` that strings of 400 bytes with another copy cover, and (n_repeated) those that strings of 200 bytes with an earlier copy cover; null texts are empty."""
     return suffix_array_dedup(load_table(spark, sf_dir, "documents"), 400, keep="none", report=200, texts=False)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each text of ``documents`` and what they decode to, as digests; null texts are empty."""
     return encode_pieces(load_table(spark, sf_dir, "documents"), PIECES, digests=True)
 
 
 def op3_url_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of each url of ``pages``; null urls have no host and no path."""
     return judge_urls(load_table(spark, sf_dir, "pages"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in each text of ``documents``; null texts have no words."""
     return scan_licenses(load_table(spark, sf_dir, "documents"))
 
 
 def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` left without windows of 20 words that stood earlier; null texts have no words."""
     return substring_dedup(load_table(spark, sf_dir, "documents"), window=20, texts=False)
 
 
 def op6_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of each text of ``documents``, and the component that links of two bits reach; null texts have fingerprint zero."""
     return simhash_components(load_table(spark, sf_dir, "documents"), words=3, radius=2).select("doc_id", "fingerprint", "component_id")
 
 
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where texts of ``documents`` hold items of ``benchmark``, a fifth of an item's words being edited at most; null texts hold none."""
     return leaks(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark")).drop("rid")
 
 
 def op8_likelihood_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules, score and verdict of each text of ``documents``, against those that ``labels`` trust; null texts fail."""
     found = quality_scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` written to Re-Pair shards in the order of ids, and read back: place, length and checksum of each; null texts have the end id alone."""
     path = shared_path(spark, "token-shards")
     write_token_shards(load_table(spark, sf_dir, "documents"), path, WORDS, end_id=2)
     return read_token_shards(spark, path, with_ids=False)
 
 
 def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in eight shards of the smallest largest size, equal texts together; null texts have size one."""
     return shard_documents(load_table(spark, sf_dir, "documents"), 8)
 
 

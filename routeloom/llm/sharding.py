@@ -17,36 +17,26 @@ from ..jobs.session import materialize
 _TRIED = 63
 
 
-def running_sum(df: DataFrame, order: list[str], value: Column, name: str, within: tuple[str, ...] = (), blocks: int = 256) -> DataFrame:
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Add the sum of ``value`` over the rows before each row in ``order``, without one task for all.
 
-    Rows are dealt to ``blocks`` ranges of the first order column (by its approximate
-    quantiles, so the ranges are about even); sums run inside each range, and the ranges'
-    totals are added, of which there are ``blocks`` at most for each value of ``within``.
+    Rows are dealt by ranges of ``within`` and ``order``, as many as the session shuffles to; sums
+    run inside each range, and the ranges' totals are added.
     """
-    key, within = order[0], list(within)
-    edges = df.select(F.percentile_approx(key, [k / blocks for k in range(1, blocks)], 10000).alias("e")).first()["e"]
-    parts = materialize(df.withColumn("_v", value).withColumn("_block", _block(sorted(set(edges or [])), F.col(key))), "blocks")
-    inner = Window.partitionBy(*within, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy(*within, "_block").agg(F.sum("_v").alias("_t"))
+    within = list(within)
+    dealt = materialize(df.withColumn("_v", value).repartitionByRange(*within, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy(*within, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*within, "_range").agg(F.sum("_v").alias("_t"))
     base = totals.withColumn("_base", F.coalesce(F.sum("_t").over(outer), F.lit(0))).drop("_t")
     return (
-        parts.withColumn("_inner", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-        .join(F.broadcast(base), [*within, "_block"])  # as many rows as there are blocks
+        dealt.withColumn("_inner", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
+        .join(F.broadcast(base), [*within, "_range"])  # a row for each range, and one more for each group that begins in it
         .withColumn(name, (F.col("_base") + F.col("_inner")).cast("long"))
-        .drop("_v", "_block", "_inner", "_base")
+        .drop("_v", "_range", "_inner", "_base")
     )
 
 
-def _block(edges: list[int], key: Column) -> Column:
-    """How many of the sorted edges are smaller than ``key``, by comparing in halves."""
-    if not edges:
-        return F.lit(0)
-    mid = len(edges) // 2
-    return F.when(key > F.lit(edges[mid]), F.lit(mid + 1) + _block(edges[mid + 1 :], key)).otherwise(_block(edges[:mid], key))
-
-
 def smallest_capacity(groups: DataFrame, shards: int, before: str = "before", size: str = "size") -> tuple[int, list[int]]:
     """The smallest capacity at which ``shards`` contiguous shards hold all groups, and the cuts.
 

@@ -7,6 +7,10 @@ Hamming distance), and a search follows only the edges whose distance lies withi
 the one to the node at hand. A shard that is too large for a tree is dealt out again by the
 parts of the bits that its key leaves open; that ends, as fewer open bits hold fewer
 fingerprints. Copies share a fingerprint, which stands once in any tree.
+
+Shard trees aren't broadcast: there are as many fingerprints as different texts, so together the
+trees grow with the corpus. A shard's fingerprints and those that may match them come to one task
+instead, which builds the tree and searches it.
 """
 
 from __future__ import annotations

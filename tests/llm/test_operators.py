@@ -152,6 +152,43 @@ def test_character_map():
     assert m.longest(b"ac", 0) == (1, b"x") and m.longest(b"zab", 1) == (2, b"yz") and m.longest(b"q", 0) is None
 
 
+def test_offsets_through_a_character_map(tmp_path):
+    """Normalised texts and their source offsets are the library's, with a map, and with extra spaces removed."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    from routeloom.llm.pieces import PieceModel
+
+    units, leaf = [0] * 1024, 1 << 8
+    units[0] = (0 ^ 256) << 10
+    a = 256 ^ ord("a")
+    units[a] = ord("a") | leaf | (a ^ 512) << 10
+    units[512] = 0x80000000
+    b = 512 ^ ord("b")
+    units[b] = ord("b") | leaf | (b ^ 768) << 10
+    units[768] = 0x80000000 | 2
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(PIECES, "rb") as file:
+        proto.ParseFromString(file.read())
+    rng = random.Random(23)
+    texts = ["", "a", "  ", "ab ac  zab", "  é ab", "ñab  "] + ["".join(rng.choice("abz é  ñ") for _ in range(rng.randrange(1, 12))) for _ in range(200)]
+    for squeeze in (False, True):
+        proto.normalizer_spec.precompiled_charsmap = struct.pack("<I", 4096) + struct.pack("<1024I", *units) + b"x\0yz\0"
+        proto.normalizer_spec.remove_extra_whitespaces = squeeze
+        (tmp_path / f"m{squeeze}").write_bytes(proto.SerializeToString())
+        model = PieceModel(str(tmp_path / f"m{squeeze}"))
+        for text in texts:
+            want, offsets = model.processor.normalize(text, with_offsets=True)
+            got, source = model.normalize(text.encode())
+            assert got.decode() == want
+            if want:
+                places = np.cumsum([0, *(len(c.encode()) for c in want)])
+                assert [len(text.encode()[:k].decode()) for k in source[places].tolist()] == offsets
+            ids = model.encode([text])[0]
+            if len(ids):
+                starts, ends = model.spans(text.encode(), ids)
+                assert (starts[1:] >= starts[:-1]).all() and (ends >= starts).all()
+
+
 def test_urls(spark):
     from routeloom.llm.urls import judge_urls
 
@@ -516,6 +553,8 @@ def test_quality(spark, docs, empty):
         count = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
         covered = {k + d for k in range(len(words) - 4) if count[tuple(words[k : k + 5])] > 1 for d in range(5)}
         assert (found[i]["n_words"], found[i]["n_repeat_words"], found[i]["word_chars"]) == (len(words), len(covered), sum(map(len, words)))
+        lines = [x for x in (t or "").split("\n") if SPACE.search(x)]
+        assert (found[i]["n_symbols"], found[i]["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
         assert found[i]["base_failed"] == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
     kept = keep_good(docs, labels)
     assert kept.columns == docs.columns and not {3, 4, 8, 9} & {r["doc_id"] for r in kept.collect()}
@@ -640,3 +679,35 @@ def test_sql_agrees(spark):
         columns = sorted(df.columns)
         assert columns == sorted(found.columns)
         assert sorted(map(tuple, df.select(*columns).collect())) == sorted(found.select(*columns).fetchall())
+
+
+def test_names_that_clash(spark):
+    """Columns may have the names of helper columns, and every row and column comes back."""
+    from routeloom.llm.decontaminate import drop_leaks
+    from routeloom.llm.near_dedup import near_distinct
+    from routeloom.llm.quality import keep_good
+    from routeloom.llm.suffix_dedup import remove_repeats
+
+    names = ["did", "rid", "copies", "listed", "key", "component", "_did", "_rid", "_text", "c0", "c1", "lo", "wish"]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in ROWS]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    labels = spark.createDataFrame([(i, 1) for i, _ in ROWS[:6]], "doc_id long, quality int")
+    benchmark = spark.createDataFrame([(1, prose(6, 300))], "item_id long, text string")
+    for out in (near_distinct(df), remove_repeats(df), drop_leaks(df, benchmark), keep_good(df, labels)):
+        assert out.columns == df.columns
+        found = out.collect()
+        assert found and all(r["wish"] == f"wish{r['doc_id']}" and r["c0"] == f"c0{r['doc_id']}" for r in found)
+
+
+def test_token_shards_of_repeated_rows(spark, tmp_path):
+    """Rows that are equal, and begin several shards, come back once each, with gapless places."""
+    from routeloom.llm.token_shards import read_token_shards, write_token_shards
+
+    rows = [(5, "alpha beta gamma delta")] * 6 + [(None, "x y")] * 3 + [(7, None)]
+    write_token_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "s"), WORDS, 2, shard_ids=5)
+    found = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in read_token_shards(spark, str(tmp_path / "s")).collect())
+    assert len(found) == len(rows) and [r[2] for r in found] == [r[0] for r in sorted(rows, key=lambda r: -1 if r[0] is None else r[0])]
+    at = 0
+    for start, n, _ in found:
+        assert start == at
+        at += n
