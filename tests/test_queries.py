@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the small tables."""
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -23,15 +24,30 @@ def canon(rows):
     return sorted(tuple("nan" if isinstance(v, float) and math.isnan(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """Columns and rows of every query, four at a time: most of them are many small jobs."""
+
+    def ran(name):
+        try:
+            df = queries()[name](spark, SF)
+            columns = sorted(df.columns)
+            return columns, canon(df.select(*columns).collect())
+        except Exception as error:
+            return error
+
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(oracle_sql(), pool.map(ran, oracle_sql())))
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
-def test_agrees_with_sql(spark, db, name):
-    df = queries()[name](spark, SF)
-    columns = sorted(df.columns)
+def test_agrees_with_sql(results, db, name):
+    if isinstance(results[name], Exception):
+        raise results[name]
+    columns, got = results[name]
     found = db.sql(oracle_sql()[name])
     assert columns == sorted(found.columns)
-    got = canon(df.select(*columns).collect())
-    want = canon(found.select(*columns).fetchall())
-    assert len(got) > 0 and got == want
+    assert len(got) > 0 and got == canon(found.select(*columns).fetchall())
 
 
 def test_spanning_tree_and_fragments(spark):

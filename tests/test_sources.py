@@ -64,18 +64,64 @@ def test_tours_and_components(spark):
 
 
 def test_streams(spark, tmp_path):
-    from routeloom.streaming.results import incumbent, region_totals, segment_gains
+    from routeloom.streaming.results import append_first, incumbent, region_totals, remaining, run_to_table, segment_gains, stored
 
-    rows = spark.createDataFrame([(1, 2.0, 10.0), (2, 1.0, -1.0), (1, 9.0, 99.0)], "id long, rtime double, bound double")
-    rows.limit(2).coalesce(1).write.parquet(str(tmp_path / "s"))
-    rows.filter("rtime = 9").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    rows = spark.createDataFrame([(1, 2.0, 10.0, 5), (2, 1.0, -1.0, 6), (1, 9.0, 99.0, 7), (3, 1.0, 4.0, 9), (3, 2.0, 5.0, 8)], "id long, rtime double, bound double, arrival long")
+    # The latest arrivals come in the first files.
+    for low, high in ((8, 9), (7, 7), (5, 6)):
+        rows.filter(f"arrival between {low} and {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
-    q = region_totals(stream).writeStream.outputMode("complete").format("memory").queryName("totals").start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.table("totals").first()
-    assert got["n_done"] == 2 and got["n_failed"] == 1
+    for _ in range(2):  # what has been read isn't read again
+        append_first(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["id"]).awaitTermination()
+    first = stored(spark, str(tmp_path / "t"), rows.schema, ["id"])
+    assert {r["id"]: (r["bound"], r["arrival"]) for r in first.collect()} == {1: (10.0, 5), 2: (-1.0, 6), 3: (5.0, 8)}
+    assert tuple(region_totals(first).first()) == (3, 1, 15.0, 5.0)
+    assert [r["part_id"] for r in remaining(first, spark.createDataFrame([(2,), (4,)], "part_id long")).collect()] == [4]
     segments = spark.createDataFrame([(1, 100), (2, 50)], "seg_id long, origlen long")
-    new = spark.createDataFrame([(1, 90), (2, 60), (1, 10)], "id long, newlen long").limit(2)
-    assert tuple(segment_gains(new, segments).first()) == (2, 10)
+    new = spark.createDataFrame([(1, 90), (2, 60)], "id long, newlen long")
+    assert tuple(segment_gains(new, segments, 1000).first()) == (2, 10, 990)
     assert tuple(incumbent(spark.createDataFrame([(1, 9), (2, 7), (3, 7)], "arrival long, len long")).first()) == (7, 2)
+    best = run_to_table(incumbent(stream.select("arrival", (10 * (10 - stream.arrival)).alias("len"))), "best_of_test")
+    assert tuple(best.first()) == (10, 9)
+
+
+def test_more_files(spark, tmp_path):
+    from routeloom.sources.text import read_cuts, read_rhvectors, read_tour_edges, read_tour_tsplib, write_cuts, write_tour, write_tsplib
+
+    (tmp_path / "t").write_text("NAME: a\nTYPE : TOUR\nDIMENSION : 4\nTOUR_SECTION\n3 1\n4\n2\n-1\nEOF\n")
+    assert [r["node"] for r in read_tour_tsplib(spark, str(tmp_path / "t"), 4).orderBy("pos").collect()] == [2, 0, 3, 1]
+    with pytest.raises(ValueError):
+        read_tour_tsplib(spark, str(tmp_path / "t"), 5)
+    (tmp_path / "e").write_text("4 4\n0 2 1\n2 1 1\n1 3 1\n3 0 1\n")
+    assert [r["node"] for r in read_tour_edges(spark, str(tmp_path / "e")).orderBy("pos").collect()] == [0, 2, 1, 3]
+    (tmp_path / "bad").write_text("6 6\n0 1 1\n1 2 1\n2 0 1\n3 4 1\n4 5 1\n5 3 1\n")
+    with pytest.raises(ValueError):
+        read_tour_edges(spark, str(tmp_path / "bad"))
+    (tmp_path / "v").write_text("2 4 0 10 4 6 1\n0 a 0120\n1 b 2211\n")
+    vectors, params = read_rhvectors(spark, str(tmp_path / "v"))
+    assert {r["id"]: r["vec"] for r in vectors.collect()} == {0: None, 1: [0, 1, 2, 0], 2: [2, 2, 1, 1]} and params["p1"] == 0.6 and params["d12"] == 6
+    folder = tmp_path / "cuts"
+    folder.mkdir()
+    (folder / "a").write_text("2 2 0 3\n1 5 4\n1 3\n7 8 9 2")
+    (folder / "b").write_text("1\n1 6\n2\n")
+    cuts, links, members = read_cuts(spark, str(folder))
+    assert [tuple(r) for r in cuts.orderBy("cut_id").collect()] == [(0, "G", 4), (1, "G", 2), (2, "G", 2)]
+    assert sorted((r["clique_id"], r["node"]) for r in members.collect()) == [(0, 0), (0, 3), (1, 5), (2, 7), (2, 8), (2, 9), (3, 6)]
+    tour = spark.createDataFrame([(0, k, 9 - k) for k in range(10)], "tour_id long, pos long, node long")
+    write_cuts(cuts.withColumn("branch", (F.col("cut_id") == 1).cast("int")), links, members, str(tmp_path / "w"), tour)
+    again = read_cuts(spark, str(tmp_path / "w"), tour)
+    assert again[0].count() == 2 and sorted(r["node"] for r in again[2].collect()) == [0, 3, 5, 6]
+    with pytest.raises(ValueError):
+        write_tsplib(tour, "CRYSTAL", str(tmp_path / "x"))
+    with pytest.raises(ValueError):
+        write_tour(tour, str(tmp_path / "y"), "other")
+
+
+def test_off_one_machine_a_shared_folder_has_to_be_named():
+    from types import SimpleNamespace
+
+    from routeloom.jobs.session import shared_dir
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(fake)
