@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import expand
+
 
 def _left_to_right(match: np.ndarray) -> np.ndarray:
     """Of overlapping matches (at i and i + 1) every second one from the left."""
@@ -22,15 +24,19 @@ def _frequent(code: np.ndarray, free: np.ndarray, pairs: int, least: int) -> tup
     """Places of about the ``pairs`` most frequent pairs, in the order of the pairs, and where each pair's places begin.
 
     No pair occurs more often than its bucket is hit, so all pairs that occur as often as the
-    fullest ``pairs`` buckets are among these buckets' places, and only those are sorted.
+    fullest ``pairs`` buckets are among these buckets' places, and only those are sorted, by the
+    bits of their hash that a place leaves free. A pair that another one with the same bits tears
+    apart counts as several.
     """
-    bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
+    hashes = code * np.uint64(0x9E3779B97F4A7C15)
+    bucket = (hashes >> np.uint64(64 - _BITS)).astype(np.int32)
+    place = np.uint64((1 << max(1, len(code).bit_length())) - 1)
     hits = np.bincount(bucket[free], minlength=1 << _BITS)
     often = int(np.partition(hits, -pairs)[-pairs])
     while True:
         often = max(often, least)
         at = np.flatnonzero(free & (hits >= often)[bucket])
-        at = at[np.argsort(code[at], kind="stable")]
+        at = (np.sort((hashes[at] & ~place) | at.astype(np.uint64)) & place).astype(np.int64)
         edges = np.flatnonzero(np.concatenate(([True], code[at][1:] != code[at][:-1]))) if len(at) else at
         counts = np.diff(np.append(edges, len(at)))
         if (counts >= often).any() or often == least:
@@ -39,7 +45,7 @@ def _frequent(code: np.ndarray, free: np.ndarray, pairs: int, least: int) -> tup
         often //= 2
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, pairs: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, pairs: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Replace frequent pairs by new symbols, round by round.
 
     ``ends``: True at the last id of each document; no pair reaches over it. Each round gives
@@ -85,8 +91,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_symbol: int, pairs: int =
     return seq, np.concatenate([np.zeros((0, 2), np.uint32), *rules]), sizes[first_symbol:].astype(np.uint32)
 
 
-def decompress(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
-    """The ids that ``seq`` stands for."""
+def _unfold(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
+    """Replace symbols by their pairs until only ids are left."""
     seq = seq.astype(np.uint32)
     while len(seq) and len(rules):
         open_ = seq >= first_symbol
@@ -101,6 +107,21 @@ def decompress(seq: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndar
     return seq
 
 
+def decompress(seq: np.ndarray, rules: np.ndarray, first_symbol: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The ids that ``seq`` stands for; with the rules' ``sizes`` each rule is unfolded once, if that is less than the sequence."""
+    if sizes is None or not len(rules) or int(sizes.sum(dtype=np.int64)) > 2 * len(seq):
+        return _unfold(seq, rules, first_symbol)
+    flat = _unfold(np.arange(first_symbol, first_symbol + len(rules)), rules, first_symbol)
+    seq = seq.astype(np.int64)
+    open_ = seq >= first_symbol
+    counts = np.ones(len(seq), np.int64)
+    counts[open_] = sizes[seq[open_] - first_symbol]
+    # Ids stand before the unfolded rules in one table.
+    starts = seq.copy()
+    starts[open_] = first_symbol + (np.cumsum(sizes, dtype=np.int64) - sizes)[seq[open_] - first_symbol]
+    return np.concatenate((np.arange(first_symbol, dtype=np.uint32), flat))[expand(starts, counts)]
+
+
 def decode_range(seq: np.ndarray, rules: np.ndarray, sizes: np.ndarray, first_symbol: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start .. stop - 1``; only the symbols that reach into that range are expanded."""
     own = np.ones(len(seq), np.int64)

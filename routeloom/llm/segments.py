@@ -19,9 +19,9 @@ class SegmentEncoder(dict):
     ``encode`` takes a list of strings and returns a list of id lists.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], max_segments: int = MAX_SEGMENTS, max_ids: int = MAX_IDS):
         super().__init__()
-        self._encode = encode
+        self._encode, self._most = encode, (max_segments, max_ids)
         self._reset()
 
     def _reset(self) -> None:
@@ -43,7 +43,7 @@ class SegmentEncoder(dict):
 
     def ids(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each segment has."""
-        if len(self) > MAX_SEGMENTS or len(self._ids) > MAX_IDS:
+        if len(self) > self._most[0] or len(self._ids) > self._most[1]:
             self._reset()
         codes = np.fromiter(map(self.__getitem__, segments), np.int64, len(segments))
         if self._new:

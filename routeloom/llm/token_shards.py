@@ -7,6 +7,7 @@ document is read back by expanding only its shard, or only the symbols that it t
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
@@ -42,37 +43,30 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._load_rules(path)
+        self._load_model(path)
         self.tails = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("", ".", ",")}
-        self.memory = SegmentEncoder(self._encode)
+        self.memory = SegmentEncoder(self._encode, 1_500_000, 10_000_000)
+
+    def _load_model(self, path: str) -> None:
+        """The vocabulary's own model, for words that the normaliser and pre-tokenizer leave as they are."""
+        from tokenizers import models, pre_tokenizers
 
-    def _load_rules(self, path: str) -> None:
-        """Which ids end a word, if words of letters are encoded apart from their neighbours."""
         with open(path) as file:
             spec = json.load(file)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
-        self.ends_word = None
-        if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and spec["model"]["type"] == "BPE" and (suffix := spec["model"]["end_of_word_suffix"]):
-            self.ends_word = np.zeros(self.size, bool)
-            self.ends_word[[k for token, k in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.model = None
+        if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and spec["model"]["type"] == "BPE":
+            merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in spec["model"]["merges"]]
+            self.model = models.BPE(vocab=spec["model"]["vocab"], merges=merges, end_of_word_suffix=spec["model"]["end_of_word_suffix"], cache_capacity=0)
+            alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+            own = [c for c in alphabet if ord(c) < 256]
+            rest = iter(c for c in alphabet if ord(c) >= 256)  # stand, in order, for the bytes that have no character
+            self.letters = {b: chr(b) if chr(b) in own else next(rest) for b in range(256)}
 
     @staticmethod
     def _one_word(x: str) -> bool:
         return x.isalpha() and (x.isascii() or (x == x.lower() and unicodedata.is_normalized("NFC", x)))
 
-    def _apart(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of letters, many in one call; each word's last id is one that ends a word."""
-        out: list[list[int]] = []
-        for k in range(0, len(words), 1000):
-            part = words[k : k + 1000]
-            ids = self._apart([" ".join(part)])[0]
-            cuts = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
-            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(part) + 1 and cuts[-1] == len(ids) else self._apart(part)
-        return out
-
     def _encode(self, segments: list[str]) -> list[list[int]]:
         """Ids of new segments. ASCII case doesn't matter, and a full stop or comma after a letter is a token of its own."""
         parts, bases = [], {}
@@ -83,11 +77,10 @@ class WordTokenizer:
             parts.append((base, tail))
             if base not in bases:
                 bases[base] = self.memory.known(base)
+        if self.model:
+            bases |= {x: [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.letters))] for x, found in bases.items() if found is None and self._one_word(x)}
         new = [x for x, found in bases.items() if found is None]
-        plain = [x for x in new if self._one_word(x)] if self.ends_word is not None else []
-        bases |= zip(plain, self._words(plain))
-        rest = [x for x in new if bases[x] is None]
-        bases |= zip(rest, self._apart(rest))
+        bases |= {x: e.ids for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
         return [[*bases[base], *self.tails[tail]] for base, tail in parts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -131,6 +124,7 @@ def _shard_rows(path: str, end_id: int, shard_ids: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
+        gc.disable()  # millions of small lists, none in a cycle
         first_symbol = max(tokenizer.size, end_id + 1)
         held, size, no = [], 0, 0
         for batch in steps(batches, limit=STEP_BYTES // 2):
@@ -180,8 +174,8 @@ def _document_rows(with_ids: bool):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                seq, rules, _ = _opened(row)
-                ids = decompress(seq, rules, row["first_symbol"]).astype("<u4")
+                seq, rules, rule_sizes = _opened(row)
+                ids = decompress(seq, rules, row["first_symbol"], rule_sizes).astype("<u4")
                 sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
                 ends = np.cumsum(sizes)
                 if len(ids) != row["n_tokens"] or ends[-1] != len(ids):

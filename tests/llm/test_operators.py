@@ -633,7 +633,18 @@ def test_grammar():
     ends = np.zeros(len(ids), bool)
     ends[[99, 100, len(ids) - 1]] = True
     seq, rules, sizes = compress(ids, ends, 20)
-    assert len(seq) < len(ids) and (decompress(seq, rules, 20) == ids).all()
+    assert len(seq) < len(ids) and (decompress(seq, rules, 20) == ids).all() and (decompress(seq, rules, 20, sizes) == ids).all()
+    for n in (500, 20_000):  # with skewed ids, and pairs left that occur less often than is asked for
+        more = np.minimum(rng.geometric(0.15, n), 60).astype(np.uint32)
+        stops = rng.random(n) < 0.01
+        stops[-1] = True
+        packed, made, lengths = compress(more, stops, 100, pairs=16)
+        assert (decompress(packed, made, 100, lengths) == more).all() and (decompress(packed, made, 100) == more).all()
+        edges = np.flatnonzero(stops)
+        own = np.where(packed < 100, 1, lengths[np.maximum(packed.astype(int) - 100, 0)] if len(lengths) else 1)
+        assert set(edges + 1) <= set(np.cumsum(own).tolist())  # no symbol reaches over a document's end
+        pairs = Counter(zip(packed[:-1].tolist(), packed[1:].tolist()))
+        assert n < 1000 or len(packed) < 0.8 * n and max(pairs.values()) < 400
     for a, b in ((0, 0), (3, 9), (98, 103), (1990, 2000), (0, 2000)):
         assert (decode_range(seq, rules, sizes, 20, a, b) == ids[a:b]).all()
 
