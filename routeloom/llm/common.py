@@ -50,7 +50,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered while there are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

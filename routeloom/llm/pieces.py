@@ -79,7 +79,7 @@ class PieceModel:
         plain = not self.map and self.prefix and self.escape and not self.squeeze and proto.trainer_spec.model_type == 2
         self.by_word = plain and 4 not in kinds and not any("▁" in p.piece.lstrip("▁") for p in proto.pieces)
         self.mark_id = self.processor.piece_to_id("▁")
-        self.memory = SegmentEncoder(self._encode)
+        self.memory = SegmentEncoder(self._encode, 300_000, 3_000_000)
 
     def _encode(self, segments: list[str]) -> list[list[int]]:
         return [x or [self.mark_id] for x in self.processor.encode(segments, num_threads=1)]

@@ -39,7 +39,7 @@ _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: A longer text is looked at in pieces that overlap by one window.
 _PIECE = 1 << 22
 #: Bytes for one suffix array; a group of classes larger than this has an array of its own.
-_ARRAY_BYTES = 1 << 19
+_ARRAY_BYTES = 1 << 18
 
 _RUN = "did long, rid long, lo long, n int, size int, key long, content long, content2 long"
 _HIT = "did long, rid long, lo long, n int, wish int"
@@ -308,7 +308,7 @@ def _window_rows(wishes: list[Wish]):
     return rows
 
 
-def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_group: int = 1 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_group: int = 1 << 19) -> DataFrame:
     """Stretches ``lo .. lo + n - 1`` of starts of repeated strings, for ``docs`` from :func:`keyed`; ``wish``: of which wish."""
     if not wishes or any(keep not in ("first", "none") or n < 1 for n, keep in wishes):
         raise ValueError(f"wishes are lengths from 1 on with first or none, not {wishes!r}")
