@@ -24,8 +24,8 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of ``documents`` that strings of 400 bytes with another copy cover, and (n_repeated) those that strings of 200 bytes with an earlier copy cover; null texts are empty."""
-    return suffix_array_dedup(load_table(spark, sf_dir, "documents"), 400, keep="none", report=200, texts=False)
+    """Bytes of ``documents`` that strings of 400 bytes with another copy cover, and (n_repeated) those that strings of 250 bytes with an earlier copy cover; null texts are empty."""
+    return suffix_array_dedup(load_table(spark, sf_dir, "documents"), 400, keep="none", report=250, texts=False)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

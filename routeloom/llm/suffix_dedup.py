@@ -139,32 +139,39 @@ def _order(high: np.ndarray, low: np.ndarray | None, top: int) -> np.ndarray:
     return (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def prefix_ranks(symbols: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """(length, ranks) at growing lengths up to ``depth``: the rank of each suffix's first symbols (prefix doubling).
+def prefix_ranks(symbols: np.ndarray, depth: int, starts: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(length, ranks) at growing lengths up to ``depth``: the rank of a suffix's first symbols (prefix doubling).
 
     Equal prefixes have equal ranks, and ranks are in lexicographic order. Symbols are 0 to 256;
-    past the end zeros follow.
+    past the end zeros follow. The last ranks are those of the ``starts``; a level ranks only the
+    places that the next one is made of, the others are zero.
     """
-    n, have = len(symbols), min(5, depth)
+    n, lengths = len(symbols), [min(5, depth)]
+    while lengths[-1] < depth:
+        lengths.append(min(2 * lengths[-1], depth))
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
+    places = [np.flatnonzero(wanted)]
+    for step in (b - a for a, b in zip(lengths[-2::-1], lengths[::-1])):
+        wanted[step:] |= wanted[:-step].copy()
+        places.insert(0, np.flatnonzero(wanted))
     first = np.zeros(n, np.uint64)
-    padded = np.concatenate((symbols, np.zeros(have, symbols.dtype))).astype(np.uint64)
-    for k in range(have):
+    padded = np.concatenate((symbols, np.zeros(lengths[0], symbols.dtype))).astype(np.uint64)
+    for k in range(lengths[0]):
         first = first * np.uint64(257) + padded[k : k + n]
     levels: list[tuple[int, np.ndarray]] = []
-    high, low, top = first, None, 257**have
-    while True:
+    high, low, top = first[places[0]], None, 257 ** lengths[0]
+    for k, (length, at) in enumerate(zip(lengths, places)):
         order = _order(high, low, top)
         fresh = high[order][1:] != high[order][:-1]
         if low is not None:
             fresh |= low[order][1:] != low[order][:-1]
-        rank = np.empty(n, np.uint32)
-        rank[order] = np.concatenate(([0], np.cumsum(fresh, dtype=np.uint32)))
-        levels.append((have, rank))
-        if have >= depth:
-            return levels
-        step = min(have, depth - have)
-        high, low, top = rank, np.concatenate((rank[step:], np.zeros(min(step, n), np.uint32)))[:n], n
-        have += step
+        rank = np.zeros(n + depth, np.uint32)
+        rank[at[order]] = np.concatenate(([0], np.cumsum(fresh, dtype=np.uint32)))
+        levels.append((length, rank))
+        if k + 1 < len(lengths):
+            high, low, top = rank[places[k + 1]], rank[places[k + 1] + lengths[k + 1] - length], n
+    return levels
 
 
 def common_prefixes(levels: list[tuple[int, np.ndarray]], symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,7 +181,8 @@ def common_prefixes(levels: list[tuple[int, np.ndarray]], symbols: np.ndarray, a
     open_ = np.flatnonzero(out == 0)
     p, q, length = a[open_], b[open_], np.zeros(len(open_), np.int64)
     for size, rank in levels[-2::-1]:
-        ok = (p + length < n) & (q + length < n)
+        # Were the sum not below the depth, the prefixes would be equal up to there.
+        ok = (p + length < n) & (q + length < n) & (length + size < depth)
         ok[ok] = rank[(p + length)[ok]] == rank[(q + length)[ok]]
         length += np.where(ok, size, 0)
     for _ in range(min(5, depth)):  # what is left is shorter than the first level
@@ -221,10 +229,10 @@ def longest_factors(pieces: list[bytes], counts: np.ndarray, corpus_order: np.nd
     begin = np.cumsum(sizes) - sizes
     symbols = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint16) + 1
     symbols[begin + sizes - 1] = 0
-    levels = prefix_ranks(symbols, depth)
     piece = np.repeat(np.arange(len(pieces)), counts)
     inner = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = begin[piece] + inner
+    levels = prefix_ranks(symbols, depth, start)
     # Corpus positions, and the suffix array of the places (ties in the order of the corpus).
     rank_in_corpus = np.empty(len(piece), np.int64)
     rank_in_corpus[np.lexsort((inner, corpus_order[piece]))] = np.arange(len(piece))
