@@ -151,17 +151,18 @@ def prefix_ranks(symbols: np.ndarray, depth: int, starts: np.ndarray) -> list[tu
         lengths.append(min(2 * lengths[-1], depth))
     wanted = np.zeros(n, bool)
     wanted[starts] = True
-    places = [np.flatnonzero(wanted)]
+    masks = [wanted.copy()]
     for step in (b - a for a, b in zip(lengths[-2::-1], lengths[::-1])):
         wanted[step:] |= wanted[:-step].copy()
-        places.insert(0, np.flatnonzero(wanted))
-    first = np.zeros(n, np.uint64)
-    padded = np.concatenate((symbols, np.zeros(lengths[0], symbols.dtype))).astype(np.uint64)
+        masks.append(wanted.copy())
+    padded = np.concatenate((symbols, np.zeros(lengths[0], symbols.dtype)))
+    at = np.flatnonzero(masks.pop())
+    high = np.zeros(len(at), np.uint64)
     for k in range(lengths[0]):
-        first = first * np.uint64(257) + padded[k : k + n]
+        high = high * np.uint64(257) + padded[at + k]
     levels: list[tuple[int, np.ndarray]] = []
-    high, low, top = first[places[0]], None, 257 ** lengths[0]
-    for k, (length, at) in enumerate(zip(lengths, places)):
+    low, top = None, 257 ** lengths[0]
+    for k, length in enumerate(lengths):
         order = _order(high, low, top)
         fresh = high[order][1:] != high[order][:-1]
         if low is not None:
@@ -169,8 +170,9 @@ def prefix_ranks(symbols: np.ndarray, depth: int, starts: np.ndarray) -> list[tu
         rank = np.zeros(n + depth, np.uint32)
         rank[at[order]] = np.concatenate(([0], np.cumsum(fresh, dtype=np.uint32)))
         levels.append((length, rank))
-        if k + 1 < len(lengths):
-            high, low, top = rank[places[k + 1]], rank[places[k + 1] + lengths[k + 1] - length], n
+        if masks:
+            at = np.flatnonzero(masks.pop())
+            high, low, top = rank[at], rank[at + lengths[k + 1] - length], n
     return levels
 
 
@@ -316,7 +318,7 @@ def _window_rows(wishes: list[Wish]):
     return rows
 
 
-def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_group: int = 1 << 19) -> DataFrame:
+def repeated_windows(docs: DataFrame, wishes: list[Wish], gram: int = 32, max_group: int = 1 << 22) -> DataFrame:
     """Stretches ``lo .. lo + n - 1`` of starts of repeated strings, for ``docs`` from :func:`keyed`; ``wish``: of which wish."""
     if not wishes or any(keep not in ("first", "none") or n < 1 for n, keep in wishes):
         raise ValueError(f"wishes are lengths from 1 on with first or none, not {wishes!r}")
