@@ -9,18 +9,22 @@ on, so the trees are sharded by MinHash bands of the word shingles instead:
 2. Only shards that still hold several components go on. In a shard the texts' fingerprints form
    a BK-tree; a search follows only edges within the radius, and only texts of other components
    are verified, so a shard makes fewer links than it has components.
-3. A shard that is too large for one tree is first freed of the texts that no other component
-   can reach (by the triangle inequality of the Jaccard distance, from its leader), then dealt to
-   blocks: each block's tree is searched by each block's texts, as tasks of their own.
+3. A shard that is too large for one tree is split by an exact prefix filter: two sets that reach
+   the similarity share a shingle among the rarest ones of both, so only texts that are linked by
+   shared prefix shingles stay together, and a text without such a partner leaves. Texts that
+   have no more than a common block in common part here, at one row a shingle.
+4. What is still too large is freed of the texts that no other component can reach (by the
+   triangle inequality of the Jaccard distance, from a leader), then dealt to blocks: each
+   block's tree is searched by each block's texts, as tasks of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..jobs.session import materialize, release
@@ -32,6 +36,8 @@ BANDS, ROWS = 16, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
 _SLICE = 1 << 14
+#: What products of a similarity and a size may be off.
+_ROUNDING = 1e-9
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -78,14 +84,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 _SIGNED = "rid long, fp long, size long, keys array<long>"
 
 
-def _signature_rows(words: int):
+def simhash_signature(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """Fingerprint and band keys of a set of shingle hashes."""
+    return simhash(hashes), band_keys(hashes)
+
+
+def _signature_rows(words: int, sign: Callable[[np.ndarray], tuple[int, np.ndarray]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for rid, text in zip(batch.column("rid").to_pylist(), text_bytes(batch.column("text"))):
                 hashes = shingle_hashes(text, words)
                 if len(hashes):
-                    found.append((rid, simhash(hashes), 8 * len(hashes), band_keys(hashes)))
+                    fp, keys = sign(hashes)
+                    found.append((rid, fp, 8 * len(hashes), keys))
             rids, prints, sizes, keys = ([x[k] for x in found] for k in range(4))
             columns = [pa.array(rids, pa.int64()), np.array(prints, np.uint64).view(np.int64), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["rid", "fp", "size", "keys"])
@@ -145,7 +157,7 @@ def tree_links(key: int, points: list[Point], searching: int, radius: int, simil
             shared = np.add.reduceat(held[codes], starts, dtype=np.int64)[found]
             held[mine] = False
             first = np.argmax(bands[found] == bands[n], axis=1) == band
-            for k in np.flatnonzero(first & (shared >= similarity * (sizes[found] + sizes[n] - shared))).tolist():
+            for k in np.flatnonzero(first & (shared + _ROUNDING >= similarity * (sizes[found] + sizes[n] - shared))).tolist():
                 a, b = root(component), root(points[found[k]][0])
                 if a != b:
                     parent[max(a, b)] = min(a, b)
@@ -168,19 +180,26 @@ def tree_links(key: int, points: list[Point], searching: int, radius: int, simil
 
 _LINK = "i long, j long"
 _MEMBER = ("component", "fp", "keys", "shingles")
+_SHARD = ("key", "part", "a", "b")
+#: Finds the links of one shard: its key, its points, and how many of the last ones only search.
+Finder = Callable[[int, list[Point], int], list[tuple[int, int]]]
+
 
+def tree_finder(radius: int, similarity: float) -> Finder:
+    return lambda key, points, searching: tree_links(key, points, searching, radius, similarity)
 
-def _tree_rows(radius: int, similarity: float):
-    """Rows of a shard (key, a, b) stand together; ``side`` 0 makes the tree, side 1 searches it."""
+
+def _link_rows(finder: Finder):
+    """Rows of a shard (key, part, a, b) stand together; ``side`` 0 makes its index, side 1 searches it."""
 
     def links(shard: list, points: list[Point], searching: int) -> pa.RecordBatch:
-        found = tree_links(shard[0], points, searching, radius, similarity)
+        found = finder(shard[0], points, searching)
         return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["i", "j"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, points, searching = None, [], 0
         for batch in batches:
-            for *now, side, component, fp, keys, raw in zip(*(batch.column(x).to_pylist() for x in ("key", "a", "b", "side", *_MEMBER))):
+            for *now, side, component, fp, keys, raw in zip(*(batch.column(x).to_pylist() for x in (*_SHARD, "side", *_MEMBER))):
                 if now != shard:
                     if shard:
                         yield links(shard, points, searching)
@@ -220,15 +239,28 @@ def _roots(parents: DataFrame) -> DataFrame:
             return now
 
 
-def near_components(texts: DataFrame, words: int, similarity: float, radius: int, max_tree: int = 1000, max_bytes: int = 1 << 25) -> DataFrame:
+def near_components(
+    texts: DataFrame,
+    words: int,
+    similarity: float,
+    radius: int,
+    max_tree: int = 200,
+    max_bytes: int = 1 << 25,
+    max_block: int | None = None,
+    sign: Callable[[np.ndarray], tuple[int, np.ndarray]] = simhash_signature,
+    finder: Finder | None = None,
+) -> DataFrame:
     """rid, component for the texts (``texts``: rid, text) that have near-duplicates.
 
-    A tree takes up to ``max_tree`` texts with ``max_bytes`` of shingle hashes, or two texts.
+    ``sign`` gives a set of shingle hashes its fingerprint and band keys, ``finder`` links the
+    texts of a shard (a BK-tree of the ``radius``, if none is given). Shards of up to ``max_tree``
+    texts with ``max_bytes`` of shingle hashes, or two texts, go to one task as they are; blocks
+    of larger ones hold ``max_block`` texts (five times as many).
     """
-    signed = materialize(texts.mapInArrow(_signature_rows(words), _SIGNED), "signatures")
+    max_block, finder = max_block or 5 * max_tree, finder or tree_finder(radius, similarity)
+    signed = materialize(texts.mapInArrow(_signature_rows(words, sign), _SIGNED), "signatures")
     shards = signed.select("rid", "size", F.explode("keys").alias("key")).distinct()
-    load = F.greatest(F.ceil(F.count("*") / max_tree), F.ceil(F.sum("size") / max_bytes)).cast("int")
-    busy = materialize(shards.groupBy("key").agg(F.count("*").alias("n"), load.alias("blocks"), F.min("rid").alias("lead")).filter("n > 1"), "busy")
+    busy = materialize(shards.groupBy("key").agg(F.count("*").alias("n"), _load(max_tree, max_bytes).alias("blocks"), F.min("rid").alias("lead")).filter("n > 1"), "busy")
     level = materialize(shards.join(busy, "key").select("key", "rid", "lead", "blocks", "size"), "shards")
     wanted = materialize(level.groupBy("rid").agg(F.min("lead").alias("lead")).withColumn("key", F.lit(0).cast("long")), "leaders")
     # One row of each text that shares a band; only these texts' shingles are kept.
@@ -239,15 +271,15 @@ def near_components(texts: DataFrame, words: int, similarity: float, radius: int
     linked = _with_leaders(wanted.filter("rid != lead"), known).filter(F.col("similarity") >= similarity)
     roots = _roots(linked)
 
-    placed = materialize(level.join(roots, "rid", "left").select("key", "rid", "lead", "blocks", "size", F.coalesce("component", "rid").alias("component")), "placed")
+    placed = materialize(level.join(roots, "rid", "left").select("key", "rid", "blocks", "size", F.coalesce("component", "rid").alias("component")), "placed")
     open_ = materialize(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key"), "open")
     left = materialize(placed.join(open_, "key"), "open-shards")
-    zero = [F.lit(0).alias(c) for c in ("a", "b", "side")]
-    small = left.filter("blocks = 1").select("key", *zero, "rid", "component")
-    large = _blocks(left.filter("blocks > 1"), known, similarity, max_tree, max_bytes)
-    rows = materialize(small.unionByName(large), "members").join(known, "rid")
-    dealt = rows.select("key", "a", "b", "side", *_MEMBER, "rid").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side", "rid")
-    links = materialize(dealt.drop("rid").mapInArrow(_tree_rows(radius, similarity), _LINK), "tree-links")
+    zero = [F.lit(0).cast("long").alias("part"), *[F.lit(0).alias(c) for c in ("a", "b", "side")]]
+    small, large = left.filter("blocks = 1").select("key", *zero, "rid", "component"), left.filter("blocks > 1")
+    members = small.unionByName(_blocks(_parts(large, known, similarity), known, similarity, max_block, max_bytes)) if large.take(1) else small
+    rows = materialize(members, "members").join(known, "rid")
+    dealt = rows.select(*_SHARD, "side", *_MEMBER, "rid").repartition(*_SHARD).sortWithinPartitions(*_SHARD, "side", "rid")
+    links = materialize(dealt.drop("rid").mapInArrow(_link_rows(finder), _LINK), "tree-links")
     merged = materialize(component_labels(links), "merged")
     release(level, wanted, known, placed, open_, left, links)
     heads = roots.select("component").unionByName(merged.select(F.col("node").alias("component"))).distinct()
@@ -256,23 +288,64 @@ def near_components(texts: DataFrame, words: int, similarity: float, radius: int
     return every.join(moved, "component", "left").select("rid", F.coalesce("_to", "component").alias("component"))
 
 
-def _blocks(shards: DataFrame, known: DataFrame, similarity: float, max_tree: int, max_bytes: int) -> DataFrame:
-    """key, a, b, side, rid, component: large shards (key, rid, lead, component, size) as pairs of blocks.
+def _load(most: int, max_bytes: int):
+    """Into how many blocks a group of texts goes, by its rows and its sum of sizes."""
+    return F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / max_bytes)).cast("int")
+
+
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle: rid, n (shingles of its text), shingle."""
+    for batch in (b.slice(k, 50) for b in batches for k in range(0, b.num_rows, 50)):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        rids = batch.column("rid").to_numpy(zero_copy_only=False)
+        yield pa.record_batch([np.repeat(rids, sizes), np.repeat(sizes, sizes), np.concatenate(sets)], names=["rid", "n", "shingle"])
+
+
+def _parts(shards: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """key, part, rid, component, size: large shards split into the texts that prefix shingles connect.
+
+    Shingles are ordered by how many of these texts hold them, the rarest first. Texts of n shingles
+    that reach the similarity share one of the first n - ceil(similarity * n) + 1 of both. Those
+    that stand in one text only come first and can't be shared, so they leave no row.
+    """
+    own = known.join(shards.select("rid").distinct(), "rid", "left_semi").select("rid", "shingles")
+    rows = materialize(own.mapInArrow(_shingles_of, "rid long, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = rows.join(often, "shingle")
+    order, whole = Window.partitionBy("rid").orderBy("often", "shingle"), Window.partitionBy("rid")
+    placed = shared.withColumn("place", F.row_number().over(order)).withColumn("held", F.count("*").over(whole))
+    prefix = materialize(placed.filter(F.col("place") <= F.col("held") - F.ceil(similarity * F.col("n") - _ROUNDING) + 1).select("rid", "shingle"), "prefixes")
+    first = prefix.groupBy("shingle").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).filter("first != last")
+    edges = prefix.join(first, "shingle").select("rid", "first").filter("rid != first").distinct()
+    parts = materialize(component_labels(edges, "rid", "first").select(F.col("node").alias("rid"), F.col("component").alias("part")), "parts")
+    split = shards.join(parts, "rid").select("key", "part", "rid", "component", "size")
+    open_ = split.groupBy("key", "part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key", "part")
+    found = materialize(split.join(open_, ["key", "part"]), "split-shards")
+    release(rows, prefix)
+    return found
+
+
+def _blocks(shards: DataFrame, known: DataFrame, similarity: float, most: int, max_bytes: int) -> DataFrame:
+    """key, part, a, b, side, rid, component: shards (key, part, rid, component, size) as pairs of blocks; those of one block have no other.
 
     A text stays out if it is too near the leader to be linked to a text of another component
     than the leader's, all of which are further away.
     """
-    near = _with_leaders(shards, known).select("key", "rid", "similarity")
-    own = shards.filter("rid = lead").select("key", F.col("component").alias("first"))
-    judged = shards.select("key", "rid", "component", "size").join(near, ["key", "rid"]).join(own, "key").withColumn("other", F.col("component") != F.col("first"))
-    nearest = judged.groupBy("key").agg(F.max(F.when(F.col("other"), F.col("similarity"))).alias("nearest"))
-    judged = materialize(judged.join(nearest, "key").filter(F.col("other") | (F.col("similarity") <= F.col("nearest") + (1 - similarity + 1e-9))), "reached")
-    load = F.greatest(F.ceil(F.count("*") / max_tree), F.ceil(F.sum("size") / max_bytes)).cast("int")
-    counts = materialize(judged.groupBy("key").agg(load.alias("blocks")), "blocks")
-    dealt = judged.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    at = ["key", "part"]
+    sizes = materialize(shards.groupBy(*at).agg(_load(most, max_bytes).alias("blocks"), F.min(F.struct("rid", "component")).alias("lead")), "part-sizes")
+    level = materialize(shards.join(sizes.select(*at, "blocks", F.col("lead.rid").alias("lead"), F.col("lead.component").alias("first")), at), "sized")
+    large = level.filter("blocks > 1")
+    near = _with_leaders(large.select(F.col("part").alias("key"), "rid", "lead").distinct(), known).select("rid", "lead", "similarity")
+    judged = large.join(near, ["rid", "lead"]).withColumn("other", F.col("component") != F.col("first"))
+    nearest = judged.groupBy(*at).agg(F.max(F.when(F.col("other"), F.col("similarity"))).alias("nearest"))
+    judged = judged.join(nearest, at).filter(F.col("other") | (F.col("similarity") <= F.col("nearest") + (1 - similarity + _ROUNDING)))
+    judged = materialize(level.filter("blocks = 1").select(*at, "rid", "component", "size").unionByName(judged.select(*at, "rid", "component", "size")), "reached")
+    counts = materialize(judged.groupBy(*at).agg(_load(most, max_bytes).alias("blocks")), "blocks")
+    dealt = judged.join(counts, at).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = dealt.select("key", "rid", "component", "block", others.alias("opposite"))
-    return pairs.select("key", F.least("block", "opposite").alias("a"), F.greatest("block", "opposite").alias("b"), (F.col("block") > F.col("opposite")).cast("int").alias("side"), "rid", "component")
+    pairs = dealt.select(*at, "rid", "component", "block", others.alias("opposite"))
+    return pairs.select(*at, F.least("block", "opposite").alias("a"), F.greatest("block", "opposite").alias("b"), (F.col("block") > F.col("opposite")).cast("int").alias("side"), "rid", "component")
 
 
 def near_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
