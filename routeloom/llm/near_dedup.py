@@ -9,10 +9,11 @@ on, so the trees are sharded by MinHash bands of the word shingles instead:
 2. Only shards that still hold several components go on. In a shard the texts' fingerprints form
    a BK-tree; a search follows only edges within the radius, and only texts of other components
    are verified, so a shard makes fewer links than it has components.
-3. A shard that is too large for one tree is split by an exact prefix filter: two sets that reach
-   the similarity share a shingle among the rarest ones of both, so only texts that are linked by
-   shared prefix shingles stay together, and a text without such a partner leaves. Texts that
-   have no more than a common block in common part here, at one row a shingle.
+3. The texts of all shards that are too large for one tree are dealt again by an exact prefix
+   filter: two sets that reach the similarity share a shingle among the rarest ones of both, so
+   only texts that are linked by shared prefix shingles stay together, and a text without such a
+   partner leaves. Texts that have no more than a common block in common part here, at one row a
+   shingle; a text stands in one part, however many bands it came from.
 4. What is still too large is freed of the texts that no other component can reach (by the
    triangle inequality of the Jaccard distance, from a leader), then dealt to blocks: each
    block's tree is searched by each block's texts, as tasks of their own.
@@ -117,6 +118,15 @@ def _shingle_rows(words: int):
 Point = tuple[int, int, list[int], bytes]
 
 
+def first_band(key: int, points: list[Point]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which points share no band before that of the shard's ``key`` with a point; all, if the shard is no band's."""
+    bands = np.array([p[2] for p in points], np.int64)
+    own = np.flatnonzero(bands[0] == key)
+    if not len(own):
+        return lambda n, others: np.ones(len(others), bool)
+    return lambda n, others: np.argmax(bands[others] == bands[n], axis=1) == own[0]
+
+
 def tree_links(key: int, points: list[Point], searching: int, radius: int, similarity: float) -> list[tuple[int, int]]:
     """Verified links between components, of the (component, fingerprint, band keys, shingles) points of one shard.
 
@@ -127,8 +137,7 @@ def tree_links(key: int, points: list[Point], searching: int, radius: int, simil
     sizes = np.array([len(p[3]) // 8 for p in points], np.int64)
     codes = np.unique(np.frombuffer(b"".join(p[3] for p in points), np.uint64), return_inverse=True)[1]
     starts, held = np.cumsum(sizes) - sizes, np.zeros(int(codes.max()) + 1, bool)
-    bands = np.array([p[2] for p in points], np.int64)
-    band = int(np.flatnonzero(bands[0] == key)[0])
+    earlier = first_band(key, points)
     at: dict[int, list[int]] = {}
     children: dict[int, dict[int, int]] = {}
     parent = {p[0]: p[0] for p in points}
@@ -156,8 +165,7 @@ def tree_links(key: int, points: list[Point], searching: int, radius: int, simil
             held[mine] = True
             shared = np.add.reduceat(held[codes], starts, dtype=np.int64)[found]
             held[mine] = False
-            first = np.argmax(bands[found] == bands[n], axis=1) == band
-            for k in np.flatnonzero(first & (shared + _ROUNDING >= similarity * (sizes[found] + sizes[n] - shared))).tolist():
+            for k in np.flatnonzero(earlier(n, np.array(found)) & (shared + _ROUNDING >= similarity * (sizes[found] + sizes[n] - shared))).tolist():
                 a, b = root(component), root(points[found[k]][0])
                 if a != b:
                     parent[max(a, b)] = min(a, b)
@@ -303,13 +311,14 @@ def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(shards: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """key, part, rid, component, size: large shards split into the texts that prefix shingles connect.
+    """part, rid, component, size: the texts of large shards, by what prefix shingles connect.
 
     Shingles are ordered by how many of these texts hold them, the rarest first. Texts of n shingles
     that reach the similarity share one of the first n - ceil(similarity * n) + 1 of both. Those
     that stand in one text only come first and can't be shared, so they leave no row.
     """
-    own = known.join(shards.select("rid").distinct(), "rid", "left_semi").select("rid", "shingles")
+    texts = shards.select("rid", "component", "size").distinct()
+    own = known.join(texts, "rid", "left_semi").select("rid", "shingles")
     rows = materialize(own.mapInArrow(_shingles_of, "rid long, n long, shingle long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     shared = rows.join(often, "shingle")
@@ -319,33 +328,33 @@ def _parts(shards: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     first = prefix.groupBy("shingle").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).filter("first != last")
     edges = prefix.join(first, "shingle").select("rid", "first").filter("rid != first").distinct()
     parts = materialize(component_labels(edges, "rid", "first").select(F.col("node").alias("rid"), F.col("component").alias("part")), "parts")
-    split = shards.join(parts, "rid").select("key", "part", "rid", "component", "size")
-    open_ = split.groupBy("key", "part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key", "part")
-    found = materialize(split.join(open_, ["key", "part"]), "split-shards")
+    split = texts.join(parts, "rid").select("part", "rid", "component", "size")
+    open_ = split.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("part")
+    found = materialize(split.join(open_, "part"), "split-shards")
     release(rows, prefix)
     return found
 
 
-def _blocks(shards: DataFrame, known: DataFrame, similarity: float, most: int, max_bytes: int) -> DataFrame:
-    """key, part, a, b, side, rid, component: shards (key, part, rid, component, size) as pairs of blocks; those of one block have no other.
+def _blocks(parts: DataFrame, known: DataFrame, similarity: float, most: int, max_bytes: int) -> DataFrame:
+    """key (0: no band's), part, a, b, side, rid, component: ``parts`` (part, rid, component, size) as pairs of blocks; those of one block have no other.
 
-    A text stays out if it is too near the leader to be linked to a text of another component
-    than the leader's, all of which are further away.
+    A text stays out of a part of several blocks if it is too near the leader to be linked to a
+    text of another component than the leader's, all of which are further away.
     """
-    at = ["key", "part"]
-    sizes = materialize(shards.groupBy(*at).agg(_load(most, max_bytes).alias("blocks"), F.min(F.struct("rid", "component")).alias("lead")), "part-sizes")
-    level = materialize(shards.join(sizes.select(*at, "blocks", F.col("lead.rid").alias("lead"), F.col("lead.component").alias("first")), at), "sized")
+    sizes = materialize(parts.groupBy("part").agg(_load(most, max_bytes).alias("blocks"), F.min(F.struct("rid", "component")).alias("lead")), "part-sizes")
+    level = materialize(parts.join(sizes.select("part", "blocks", F.col("lead.rid").alias("lead"), F.col("lead.component").alias("first")), "part"), "sized")
     large = level.filter("blocks > 1")
-    near = _with_leaders(large.select(F.col("part").alias("key"), "rid", "lead").distinct(), known).select("rid", "lead", "similarity")
-    judged = large.join(near, ["rid", "lead"]).withColumn("other", F.col("component") != F.col("first"))
-    nearest = judged.groupBy(*at).agg(F.max(F.when(F.col("other"), F.col("similarity"))).alias("nearest"))
-    judged = judged.join(nearest, at).filter(F.col("other") | (F.col("similarity") <= F.col("nearest") + (1 - similarity + _ROUNDING)))
-    judged = materialize(level.filter("blocks = 1").select(*at, "rid", "component", "size").unionByName(judged.select(*at, "rid", "component", "size")), "reached")
-    counts = materialize(judged.groupBy(*at).agg(_load(most, max_bytes).alias("blocks")), "blocks")
-    dealt = judged.join(counts, at).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    near = _with_leaders(large.select(F.col("part").alias("key"), "rid", "lead"), known).select("rid", "similarity")
+    judged = large.join(near, "rid").withColumn("other", F.col("component") != F.col("first"))
+    nearest = judged.groupBy("part").agg(F.max(F.when(F.col("other"), F.col("similarity"))).alias("nearest"))
+    judged = judged.join(nearest, "part").filter(F.col("other") | (F.col("similarity") <= F.col("nearest") + (1 - similarity + _ROUNDING)))
+    columns = ["part", "rid", "component", "size"]
+    judged = materialize(level.filter("blocks = 1").select(*columns).unionByName(judged.select(*columns)), "reached")
+    counts = materialize(judged.groupBy("part").agg(_load(most, max_bytes).alias("blocks")), "blocks")
+    dealt = judged.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = dealt.select(*at, "rid", "component", "block", others.alias("opposite"))
-    return pairs.select(*at, F.least("block", "opposite").alias("a"), F.greatest("block", "opposite").alias("b"), (F.col("block") > F.col("opposite")).cast("int").alias("side"), "rid", "component")
+    pairs = dealt.select("part", "rid", "component", "block", others.alias("opposite"))
+    return pairs.select(F.lit(0).cast("long").alias("key"), "part", F.least("block", "opposite").alias("a"), F.greatest("block", "opposite").alias("b"), (F.col("block") > F.col("opposite")).cast("int").alias("side"), "rid", "component")
 
 
 def near_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
