@@ -18,11 +18,13 @@ Inside a block phrases are told apart by exact symbol numbers, between blocks by
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,73 +36,56 @@ _UPPER = bytes(range(65, 91))
 #: Lower-cases A-Z; the signs that end a piece become line feeds.
 _TABLE = bytes.maketrans(_UPPER + b".,;:!?\x0b\x0c\r", _UPPER.lower() + b"\n" * 9)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Words of a block: what one task counts at a time.
-_BLOCK = 1 << 19
-_ROWS = "lang string, phrase string, n long, h long"
+#: Ends a piece; no word holds the sign.
+_END = b" . "
+#: Bytes of a block: what one task counts at a time.
+_BLOCK = 1 << 22
+_ROWS, _HASHED = "lang string, phrase string, n long, h long", "h long, n long"
 
 
-class _Ids(dict):
-    """Symbol numbers of the words of one language; new words get the next number of the block."""
-
-    def __init__(self, block: "_Block", lang: str):
-        self.block, self.lang = block, lang
-        self.seed = xxhash.xxh3_64_intdigest(lang.encode())
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self.block.words)
-        self.block.words.append(word)
-        self.block.langs.append(self.lang)
-        self.block.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
-        return k
-
-
-@dataclass
 class _Block:
-    """Words of some texts as symbol numbers, and how many words are left in the piece from each one on."""
-
-    words: list[bytes] = field(default_factory=list)
-    langs: list[str] = field(default_factory=list)
-    hashes: list[int] = field(default_factory=list)
-    ids: dict[str, _Ids] = field(default_factory=dict)
-    flat: list[int] = field(default_factory=list)
-    lengths: list[int] = field(default_factory=list)
-
-    def add(self, lang: str, text: bytes) -> None:
-        number = (self.ids.get(lang) or self.ids.setdefault(lang, _Ids(self, lang))).__getitem__
-        for piece in text.translate(_TABLE).split(b"\n"):
-            if found := piece.split():
-                self.flat += map(number, found)
-                self.lengths.append(len(found))
-
-    def phrase(self, at: int, n: int) -> str:
-        return b" ".join([self.words[k] for k in self.flat[at : at + n]]).decode("utf-8", "replace")
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbol of each word, words left in its piece, hash of each symbol."""
-        lengths = np.array(self.lengths, np.int64)
-        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(self.flat))
-        return np.array(self.flat, np.int64), left, np.array(self.hashes, np.uint64)
+    """Words of some texts of one language as symbol numbers; a sign that ends a piece is the symbol of ``.``."""
+
+    def __init__(self, lang: str, parts: list[bytes]):
+        self.lang = lang
+        flat = pa.compute.ascii_split_whitespace(pa.array([_END.join(parts).strip()], pa.string())).flatten()
+        coded = flat.filter(pa.compute.not_equal(flat, "")).dictionary_encode()
+        self.words, self.symbols = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        seed = xxhash.xxh3_64_intdigest(lang.encode())
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words.cast(pa.binary()).to_pylist()], np.uint64)
+        self.end = self.words.index(".").as_py()
+        ends = np.append(np.flatnonzero(self.symbols == self.end), len(self.symbols))
+        places = np.arange(len(self.symbols))
+        #: How many words are left in the piece from each one on; none at a sign.
+        self.left = ends[np.searchsorted(ends, places)] - places
+
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """The phrases of ``n`` words that begin at the places ``at``."""
+        return pa.compute.binary_join_element_wise(*[self.words.take(pa.array(self.symbols[at + k])) for k in range(n)], " ")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
-    """Blocks of about ``_BLOCK`` words; a text that is longer is cut after a piece."""
-    block = _Block()
+    """Blocks of about ``_BLOCK`` bytes; a text that is longer is cut at the end of a piece."""
+    held: dict[str, list[bytes]] = defaultdict(list)
+    sizes: dict[str, int] = defaultdict(int)
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            for part in _cut(text or b""):
-                block.add(lang, part)
-                if len(block.flat) >= _BLOCK:
-                    yield block
-                    block = _Block()
-    if block.flat:
-        yield block
-
-
-def _cut(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
-    """Parts of about ``size`` bytes that end at line feeds; a longer line stays whole."""
+            for part in _cut((text or b"").translate(_TABLE)):
+                held[lang].append(part.replace(b"\n", _END))
+                sizes[lang] += len(part)
+                full = [lang] if sizes[lang] >= _BLOCK else list(held) if sum(sizes.values()) >= 4 * _BLOCK else []
+                for one in full:
+                    del sizes[one]
+                    yield _Block(one, held.pop(one))
+    for lang, parts in held.items():
+        yield _Block(lang, parts)
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """Parts of about ``_BLOCK`` bytes that end at line feeds; a longer piece stays whole."""
     start = 0
-    while len(text) - start > size:
-        end = text.find(b"\n", start + size)
+    while len(text) - start > _BLOCK:
+        end = text.find(b"\n", start + _BLOCK)
         if end < 0:
             break
         yield text[start:end]
@@ -108,21 +93,18 @@ def _cut(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _rows(block: _Block, k: int, first: np.ndarray, counts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    at = first.tolist()
-    langs = pa.array([block.langs[block.flat[x]] for x in at], pa.string())
-    return _batch(langs, pa.array([block.phrase(x, k) for x in at], pa.string()), counts, hashes)
-
-
-def _batch(langs: pa.Array, phrases: pa.Array, counts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([langs, phrases, counts.astype(np.int64), hashes.view(np.int64)], names=["lang", "phrase", "n", "h"])
+def _batch(lang: str, phrases: pa.Array | None, counts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_ROWS``, or of ``_HASHED`` if there are no phrases."""
+    counts, hashes = counts.astype(np.int64), hashes.view(np.int64)
+    if phrases is None:
+        return pa.record_batch([hashes, counts], names=["h", "n"])
+    return pa.record_batch([pa.array([lang] * len(counts), pa.string()), phrases, counts, hashes], names=["lang", "phrase", "n", "h"])
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
-        symbols, _, hashes = block.arrays()
-        phrases = pa.array([w.decode("utf-8", "replace") for w in block.words], pa.string())
-        yield _batch(pa.array(block.langs, pa.string()), phrases, np.bincount(symbols, minlength=len(hashes)), hashes)
+        own = np.flatnonzero(np.arange(len(block.hashes)) != block.end)
+        yield _batch(block.lang, block.words.take(pa.array(own)), np.bincount(block.symbols, minlength=len(block.hashes))[own], block.hashes[own])
 
 
 def _passes(bits: bytes, hashes: np.ndarray) -> np.ndarray:
@@ -163,60 +145,64 @@ def _step(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(hashes * _GOLDEN + words)
 
 
-def _pair_rows(k: int, ranks: list, filters, side: int):
-    """Counts of phrases of ``k`` words; ``ranks`` of words and of phrases of k - 1 words, ``filters`` of all shorter ones."""
-    heads = [{(lang, phrase.encode()): n for n, (lang, phrase, _) in enumerate(found)} for found in ranks]
+def _pair_rows(k: int, ranks: list, filters, side: int, hashed: bool):
+    """Counts of phrases of ``k`` words; ``ranks`` of words and of phrases of k - 1 words, ``filters`` of all shorter ones, and of these if there is one.
 
-    def rank_of(block: _Block, place: int, n: int, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Ranks (-1: none) of symbols that stand at ``first``; hashes only spare the look-ups."""
+    If ``hashed``, only the phrases' hashes leave a task.
+    """
+    heads = [{(lang, phrase): n for n, (lang, phrase, _) in enumerate(found)} for found in ranks]
+    known = [np.array([h for _, _, h in found], np.int64).view(np.uint64) for found in ranks]
+
+    def rank_of(block: _Block, which: int, n: int, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Ranks (-1: none) of the symbols that stand at ``first``; hashes only spare the look-ups."""
         out = np.full(len(first), -1, np.int64)
-        known = np.array([h for _, _, h in ranks[place]], np.int64).view(np.uint64)
-        for x in np.flatnonzero(np.isin(hashes, known)).tolist():
-            at = int(first[x])
-            out[x] = heads[place].get((block.langs[block.flat[at]], block.phrase(at, n).encode()), -1)
+        some = np.flatnonzero(np.isin(hashes, known[which]))
+        out[some] = [heads[which].get((block.lang, phrase), -1) for phrase in block.phrases(first[some], n).to_pylist()]
         return out
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, tiles = filters.value, _Tiles(side)
         for block in _blocks(batches):
-            symbols, left, word_hashes = block.arrays()
-            frequent, hashes_at = _passes(bits[0], word_hashes), word_hashes[symbols]
+            symbols, hashes_at = block.symbols, block.hashes[block.symbols]
+            frequent = _passes(bits[0], block.hashes)
+            if block.end is not None:
+                frequent[block.end] = False
             place, sym, hashes = np.flatnonzero(frequent[symbols]), symbols, hashes_at
             # place: where phrases of j words stand that may be frequent; sym, hashes: of the phrase at each word
             for j in range(2, k + 1):
                 here = np.zeros(len(symbols) + 1, bool)
                 here[place] = True
-                place = place[(left[place] >= j) & here[place + 1]]
-                words = symbols[place + j - 1]
+                place = place[(block.left[place] >= j) & here[place + 1]]
+                step = _step(hashes[place], hashes_at[place + j - 1])
                 if j < k:
-                    _, unique = np.unique(sym[place] << 32 | words, return_inverse=True)
-                    step = _step(hashes[place], hashes_at[place + j - 1])
+                    _, unique = np.unique(sym[place] << 32 | symbols[place + j - 1], return_inverse=True)
                     sym, hashes = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.uint64)
                     sym[place], hashes[place] = unique, step
+                if len(bits) >= j:
                     place = place[_passes(bits[j - 1], step)]
             if not len(place):
                 continue
-            first = np.zeros(len(word_hashes), np.int64)
+            first = np.zeros(len(block.hashes), np.int64)
             first[symbols[::-1]] = np.arange(len(symbols))[::-1]
-            word_rank = rank_of(block, 0, 1, first, word_hashes)
+            word_rank = rank_of(block, 0, 1, first, block.hashes)
             lefts, first, inverse = np.unique(sym[place], return_index=True, return_inverse=True)
             left_rank = word_rank[lefts] if k == 2 else rank_of(block, 1, k - 1, place[first], hashes[place[first]])
-            a, b = left_rank[inverse], word_rank[words]
+            a, b = left_rank[inverse], word_rank[symbols[place + k - 1]]
             ranked = np.flatnonzero((a >= 0) & (b >= 0))
             sparse = np.ones(len(place), bool)
             sparse[ranked[tiles.add(a[ranked], b[ranked])]] = False
-            place, words = place[sparse], words[sparse]
-            _, first, counts = np.unique(sym[place] << 32 | words, return_index=True, return_counts=True)
+            place = place[sparse]
+            _, first, counts = np.unique(sym[place] << 32 | symbols[place + k - 1], return_index=True, return_counts=True)
             at = place[first]
             for x in range(0, len(at), 1 << 16):
-                cut = slice(x, x + (1 << 16))
-                yield _rows(block, k, at[cut], counts[cut], _step(hashes[at[cut]], hashes_at[at[cut] + k - 1]))
-        lefts = ranks[-1]
+                now = at[x : x + (1 << 16)]
+                yield _batch(block.lang, None if hashed else block.phrases(now, k), counts[x : x + (1 << 16)], _step(hashes[now], hashes_at[now + k - 1]))
         for a, b, counts in tiles.rows():
-            langs = pa.array([lefts[x][0] for x in a.tolist()], pa.string())
-            phrases = pa.array([f"{lefts[x][1]} {ranks[0][y][1]}" for x, y in zip(a.tolist(), b.tolist())], pa.string())
-            ends = [np.array([h for _, _, h in found], np.int64).view(np.uint64) for found in (lefts, ranks[0])]
-            yield _batch(langs, phrases, counts, _step(ends[0][a], ends[1][b]))
+            langs = np.array([ranks[-1][x][0] for x in a.tolist()], object)
+            for lang in sorted(set(langs)):
+                own = np.flatnonzero(langs == lang)
+                phrases = None if hashed else pa.array([f"{ranks[-1][x][1]} {ranks[0][y][1]}" for x, y in zip(a[own].tolist(), b[own].tolist())], pa.string())
+                yield _batch(lang, phrases, counts[own], _step(known[-1][a[own]], known[0][b[own]]))
 
     return rows
 
@@ -232,7 +218,12 @@ def _bitmap(frequent: DataFrame, bits: int) -> bytes:
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int, dense: int = 2048, side: int = 512, filter_bits: int = 24) -> tuple[DataFrame, list[DataFrame]]:
-    """All words' counts (lang, phrase, n), and by length the phrases (lang, phrase, n, h) that occur ``least`` times; ``docs``: lang, text."""
+    """All words' counts (lang, phrase, n), and by length the phrases (lang, phrase, n, h) that occur ``least`` times; ``docs``: lang, text.
+
+    Where over a quarter of all words begins a phrase that a round may add a word to, the round first
+    adds up the pairs' hashes alone, whose sums are no less than the pairs' own, and then counts
+    the pairs of which the hash is frequent. The result is the same.
+    """
     spark = docs.sparkSession
 
     def added(rows) -> DataFrame:
@@ -241,15 +232,23 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, dense: int = 2048,
     def top(found: DataFrame) -> list:
         return [tuple(r) for r in found.orderBy(F.desc("n"), "lang", "phrase").limit(dense).select("lang", "phrase", "h").collect()]
 
+    def total(found: DataFrame) -> int:
+        return found.agg(F.sum("n")).first()[0] or 0
+
     words = materialize(added(_word_rows), "words")
     frequent = [words.filter(F.col("n") >= least)]
-    first, bits = top(frequent[0]), [_bitmap(frequent[0], filter_bits)]
+    first, bits, all_ = top(frequent[0]), [_bitmap(frequent[0], filter_bits)], total(words)
     latest = first
     for k in range(2, longest + 1):
-        ranks = [first] if k == 2 else [first, latest]
-        filters = spark.sparkContext.broadcast(bits)
-        frequent.append(materialize(added(_pair_rows(k, ranks, filters, side)).filter(F.col("n") >= least), "phrases"))
-        filters.unpersist()
+        ranks, own = [first] if k == 2 else [first, latest], bits
+        if 4 * total(frequent[-1]) > all_:
+            held = spark.sparkContext.broadcast(bits)
+            sums = docs.mapInArrow(_pair_rows(k, ranks, held, side, True), _HASHED).groupBy("h").agg(F.sum("n").alias("n"))
+            own = [*bits, _bitmap(materialize(sums.filter(F.col("n") >= least), "hashes"), filter_bits)]
+            held.unpersist()
+        held = spark.sparkContext.broadcast(own)
+        frequent.append(materialize(added(_pair_rows(k, ranks, held, side, False)).filter(F.col("n") >= least), "phrases"))
+        held.unpersist()
         latest = top(frequent[-1])
         if not latest:
             break
