@@ -509,6 +509,16 @@ def pricing_candidates_complete(spark, d):
     return pricing.pricing_candidates_complete(nodes, nodes.select("id", (F.col("id") % 9 * 10.0).alias("est")), "EUC_2D")
 
 
+#: One dual that reaches all nodes, and a few uneven ones.
+_UNEVEN = "CASE WHEN id = 0 THEN 30000.0 WHEN id % 97 = 5 THEN 700.0 ELSE (id % 9) * 10.0 - 20.0 END"
+
+
+@query("pricing_candidates_uneven", f"{sql('customers')}, c AS (SELECT *, {_UNEVEN} AS est FROM customers) SELECT a.id AS i, b.id AS j, {euc('a', 'b')} AS len FROM c a JOIN c b ON a.id < b.id WHERE {euc('a', 'b')} - a.est - b.est < 0.0001")
+def pricing_candidates_uneven(spark, d):
+    nodes = fixture(spark, d, "customers")
+    return pricing.pricing_candidates_complete(nodes, nodes.select("id", F.expr(_UNEVEN).cast("double").alias("est")), "EUC_2D")
+
+
 @query("negative_edges", f"{_LENGTHS} SELECT i, j, len, rc FROM p WHERE (i + j) % 2 = 1 AND rc < -0.00001 ORDER BY rc, i, j LIMIT 20000")
 def negative_edges(spark, d):
     rows = priced(spark, d).drop("x")

@@ -1,7 +1,7 @@
 """Trees and tours grown on edge tables in rounds, each a few joins whatever the table's size.
 
 Rounds shrink what is open; once that is at most ``LOCAL_EDGES`` edges or ``LOCAL_ENDS`` nodes, one
-task finishes by the sequential rule, which has the same result in fewer steps.
+task finishes by the same rule, which has the same result in fewer steps.
 """
 
 from __future__ import annotations
@@ -85,13 +85,25 @@ def _fragments(taken: DataFrame) -> tuple[DataFrame, DataFrame]:
     return degrees, component_labels(taken)
 
 
+def _sure(todo: DataFrame) -> DataFrame:
+    """Of open edges (key, i, j, len, fi, fj) those that the scan by (key, i, j) takes whatever it takes before.
+
+    Such an edge is the smallest one at both of its nodes, so both still have room, and the smallest
+    one of all that leave one of the fragments ``fi``, ``fj``, which is therefore still as it is now:
+    the edge can't close a cycle.
+    """
+    at = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")) for kind, c in (("node", "i"), ("node", "j"), ("path", "fi"), ("path", "fj"))]))
+    least = todo.select(at.alias("at"), F.struct("key", "i", "j", "len").alias("e")).groupBy("at").agg(F.min("e").alias("e"))
+    votes = least.groupBy("e").agg(F.count_if(F.col("at.kind") == "node").alias("nodes"), F.count_if(F.col("at.kind") == "path").alias("paths"))
+    return votes.filter("nodes = 2 and paths > 0").select("e.i", "e.j", "e.len")
+
+
 def greedy_fragments(edges: DataFrame, key: Column | None = None, taken: DataFrame | None = None, local: int = LOCAL_EDGES) -> DataFrame:
     """i, j, len taken by the scan in (len, i, j) order that keeps degrees below three and makes no cycle.
 
     ``key``: what to scan by in place of the length. ``taken``: edges (i, j, len) that are already
-    in; they aren't returned. An edge that is the smallest open one at both of its ends is taken
-    in the same round as the scan would take it; edges at nodes of degree two or inside one
-    fragment close.
+    in; they aren't returned. Each round takes the edges that the scan is sure to take; edges at
+    nodes of degree two or inside one fragment close.
     """
     key = F.col("len") if key is None else key
     todo = materialize(edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("len").cast("long").alias("len"), key.alias("key")).filter("i != j").distinct(), "open")
@@ -106,8 +118,7 @@ def greedy_fragments(edges: DataFrame, key: Column | None = None, taken: DataFra
         todo = materialize(todo.filter("di < 2 and dj < 2 and fi != fj"), "open")
         if (n := todo.count()) <= local:
             return new.unionByName(materialize(todo.groupBy(F.lit("all")).applyInPandas(_fragment_tail, new.schema), "fragments")) if n else new
-        ends = todo.select(F.explode(F.array("i", "j")).alias("node"), F.struct("key", "i", "j", "len").alias("e")).groupBy("node").agg(F.min("e").alias("e"))
-        both = materialize(ends.groupBy("e").agg(F.count("*").alias("n")).filter("n = 2").select("e.i", "e.j", "e.len"), "taken")
+        both = materialize(_sure(todo), "taken")
         new, all_ = new.unionByName(both), all_.unionByName(both)
         todo = todo.select("i", "j", "len", "key").join(both.select("i", "j"), ["i", "j"], "left_anti")
 
@@ -119,87 +130,161 @@ def _free(nodes: DataFrame, taken: DataFrame) -> DataFrame:
     return materialize(rows.select("id", "x", "y", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("part_id", "id").alias("part_id")).filter("degree < 2"), "free")
 
 
-def _link_tail(norm: str, rule: str):
-    """Links between the free ends of fragments, and the closing edge."""
+class _Ends:
+    """The free ends of paths in one task; a path's other end is its ``tail``."""
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, rows: pd.DataFrame, norm: str):
         rows = rows.sort_values("id").reset_index(drop=True)
-        ids, x, y = (rows[c].to_numpy() for c in ("id", "x", "y"))
-        degree, n = rows["degree"].to_numpy().copy(), len(rows)
-        tail = np.arange(n)  # the other end of a node's fragment
+        self.ids, self.x, self.y = (rows[c].to_numpy() for c in ("id", "x", "y"))
+        self.norm, self.degree, self.tail = norm, rows["degree"].to_numpy().copy(), np.arange(len(rows))
         for _, group in rows[rows["degree"] == 1].groupby("part_id"):
             a, b = group.index
-            tail[a], tail[b] = b, a
-        out: list[tuple[int, int]] = []
-
-        def lengths(k: int) -> np.ndarray:
-            return ARRAY_NORMS[norm](x - x[k], y - y[k])
-
-        def legal(k: int) -> np.ndarray:
-            ok = degree < 2
-            ok[[k, tail[k]]] = False
-            return ok
-
-        def link(a: int, b: int) -> int:
-            out.append((min(a, b), max(a, b)))
-            degree[a] += 1
-            degree[b] += 1
-            ends = tail[a], tail[b]
-            tail[ends[0]], tail[ends[1]] = ends[1], ends[0]
-            return ends[1]
-
-        def fragments() -> int:
-            return int(((degree < 2) & (tail >= np.arange(n))).sum())
-
-        now = 0
-        while fragments() > 1:
-            if rule == "rounds":
-                open_ = np.flatnonzero(degree < 2)
-                proposals = set()
-                for k in open_.tolist():
-                    d = np.where(legal(k), lengths(k), np.inf)
-                    to = int(d.argmin())
-                    proposals.add((d[to], min(k, to), max(k, to)))
-                for _, a, b in sorted(proposals):
-                    if degree[a] < 2 and degree[b] < 2 and tail[a] != b:
-                        link(a, b)
-                continue
-            if rule == "lowest":
-                now = int(np.flatnonzero(degree < 2)[0])
-                link(now, int(np.flatnonzero(legal(now))[0]))
-                continue
-            if degree[now] > 1:
-                now = int(np.flatnonzero(degree < 2)[0])
-            now = link(now, int(np.where(legal(now), lengths(now), np.inf).argmin()))
-        ends = np.flatnonzero(degree < 2).tolist()
+            self.tail[a], self.tail[b] = b, a
+        self.out: list[tuple[int, int]] = []
+
+    def lengths(self, a, b) -> np.ndarray:
+        return ARRAY_NORMS[self.norm](self.x[a] - self.x[b], self.y[a] - self.y[b])
+
+    def link(self, a: int, b: int) -> bool:
+        """Link two ends, if neither is used up and they are of two paths."""
+        if self.degree[a] > 1 or self.degree[b] > 1 or self.tail[a] == b or a == b:
+            return False
+        self.out.append((min(a, b), max(a, b)))
+        self.degree[[a, b]] += 1
+        ends = self.tail[a], self.tail[b]
+        self.tail[ends[0]], self.tail[ends[1]] = ends[1], ends[0]
+        return True
+
+    def paths(self) -> int:
+        return int(((self.degree < 2) & (self.tail >= np.arange(len(self.ids)))).sum())
+
+    def closed(self) -> pd.DataFrame:
+        """All links, with the one that closes the tour."""
+        ends = np.flatnonzero(self.degree < 2).tolist()
         if len(ends) == 2:
-            out.append((ends[0], ends[1]))
-        a, b = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
-        return pd.DataFrame({"i": ids[a], "j": ids[b], "len": ARRAY_NORMS[norm](x[a] - x[b], y[a] - y[b]).astype(np.int64)})
+            self.out.append((ends[0], ends[1]))
+        a, b = (np.array([p[k] for p in self.out], np.int64) for k in (0, 1))
+        return pd.DataFrame({"i": self.ids[a], "j": self.ids[b], "len": self.lengths(a, b).astype(np.int64)})
+
+
+def _shortest_tail(norm: str):
+    """The scan over all pairs of ends, by (len, i, j)."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        ends = _Ends(rows, norm)
+        a, b = np.triu_indices(len(rows), 1)
+        for k in np.lexsort((b, a, ends.lengths(a, b))).tolist():
+            ends.link(int(a[k]), int(b[k]))
+        return ends.closed()
 
     return links
 
 
+def _rounds_tail(norm: str):
+    """Rounds of proposals, as with many ends."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        ends = _Ends(rows, norm)
+        every = np.arange(len(rows))
+        while ends.paths() > 1:
+            proposals = set()
+            for k in np.flatnonzero(ends.degree < 2).tolist():
+                legal = ends.degree < 2
+                legal[[k, ends.tail[k]]] = False
+                d = np.where(legal, ends.lengths(every, k), np.inf)
+                to = int(d.argmin())
+                proposals.add((d[to], min(k, to), max(k, to)))
+            for _, a, b in sorted(proposals):
+                ends.link(a, b)
+        return ends.closed()
+
+    return links
+
+
+def _lowest_links(free: DataFrame) -> DataFrame:
+    """i, j: the links and the closing edge of the scan that links the lowest free end to the next one of another path, as one plan.
+
+    Ends are paired by rank, (0, 1), (2, 3) and so on; a node without an edge is two ends of its
+    path. That is what the scan does but where a pair's ends are those of one path by then, which
+    are the last pairs of the cycles that all pairs and paths make. Of neighbouring such pairs p, ..., q - 1
+    and the pair q after them the scan links the first end of p to that of p + 1, each second
+    end to the first one of the pair after the next, and at last the second ends of q - 1 and q. The
+    last pair of all closes the tour.
+    """
+    both = free.select("id", "part_id", F.explode(F.when(F.col("degree") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    ends = materialize(ranked(both, ["id", "copy"], name="rank"), "ends")
+    pair = F.floor(F.col("rank") / 2)
+    pairs = materialize(ends.groupBy(pair.alias("p")).agg(F.min("part_id").alias("a"), F.max("part_id").alias("b")), "pairs")
+    labels = component_labels(pairs, "a", "b").withColumnRenamed("node", "a")
+    ringed = pairs.join(labels, "a", "left").select("p", F.coalesce("component", "a").alias("ring"))
+    last = materialize(ringed.groupBy("ring").agg(F.max("p").alias("p")).select("p"), "last-pairs")
+    # Neighbouring ones have the same difference of pair and rank.
+    runs = ranked(last, ["p"], name="at").withColumn("run", F.col("p") - F.col("at"))
+    end = pairs.agg(F.max("p").alias("end"))  # one row
+    bounds = runs.groupBy("run").agg(F.min("p").alias("first"), F.max("p").alias("to")).join(F.broadcast(end)).select("run", "first", F.least(F.col("to") + 1, "end").alias("q"))
+    runs = materialize(runs.join(bounds, "run").select("p", "first", "q"), "runs")
+
+    def link(when, a, b):
+        return runs.filter(when).select(a.alias("ra"), b.alias("rb"))
+
+    p = F.col("p")
+    special = (
+        link((p == F.col("first")) & (p < F.col("q")), 2 * p, 2 * p + 2)
+        .unionByName(link(p <= F.col("q") - 2, 2 * p + 1, 2 * p + 4))
+        .unionByName(link(p == F.col("q") - 1, 2 * p + 1, 2 * p + 3))
+        .unionByName(link((p == F.col("first")) & (p == F.col("q")), 2 * p, 2 * p + 1))
+    )
+    changed = runs.select("p").unionByName(runs.select(F.col("q").alias("p"))).distinct()
+    plain = pairs.select("p").join(changed, "p", "left_anti").select((2 * p).alias("ra"), (2 * p + 1).alias("rb"))
+    rows = special.unionByName(plain)
+    for side in ("a", "b"):
+        rows = rows.join(ends.select(F.col("rank").alias(f"r{side}"), F.col("id").alias(side)), f"r{side}")
+    return rows.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).filter("i != j")
+
+
+def _with_lengths(pairs: DataFrame, nodes: DataFrame, norm: str) -> DataFrame:
+    for end in ("i", "j"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(end), F.struct("x", "y").alias(f"p{end}")), end)
+    return pairs.select("i", "j", length_col(norm, F.col("pi"), F.col("pj")).alias("len"))
+
+
 def link_fragments(nodes: DataFrame, taken: DataFrame, norm: str, rule: str = "nearest", local: int = LOCAL_ENDS) -> DataFrame:
     """i, j, len of the edges that make one tour of all ``nodes(id, x, y)`` from the paths ``taken(i, j, len)``.
 
-    Rounds: every free end proposes its nearest node of another path, and the proposals are taken
-    greedily. The last ``local`` ends are linked by the ``rule``: ``nearest`` goes from the lowest
-    free end to the nearest one and on from the far end of that path; ``lowest`` links the lowest
-    end to the next one that it may be linked to; ``rounds`` goes on with rounds.
+    ``rule``, each the same at any size:
+
+    * ``nearest``: the shortest edge between free ends of two paths is taken again and again, ties by
+      (i, j). A round takes all edges that are sure to be taken, from every end's nearest one.
+    * ``lowest``: the lowest free end is linked to the next one that is of another path.
+    * ``rounds``: each free end proposes its nearest one of another path; proposals are taken in the
+      order of lengths, then come new ones.
+
+    At last the ends of the one path are linked. Of ``nearest`` and ``rounds``, ``local`` ends or
+    fewer are finished in one task by the same rule. Points in a row with ever larger gaps take
+    ``nearest`` a round for each link before that.
     """
     if norm not in ARRAY_NORMS:
         raise ValueError(f"norm {norm!r} isn't one of {sorted(ARRAY_NORMS)}")
+    if rule not in ("nearest", "lowest", "rounds"):
+        raise ValueError(f"no rule {rule!r}")
     new = taken.select("i", "j", F.col("len").cast("long").alias("len")).limit(0)
+    if rule == "lowest":
+        return materialize(_with_lengths(_lowest_links(_free(nodes, taken)), nodes, norm), "links")
+    tail = _shortest_tail(norm) if rule == "nearest" else _rounds_tail(norm)
     while True:
         free = _free(nodes, taken.select("i", "j").unionByName(new.select("i", "j")))
         n = free.count()
         if n <= max(local, 2):
-            if n < 2:
-                return new
-            return new.unionByName(materialize(free.groupBy(F.lit("all")).applyInPandas(_link_tail(norm, rule), new.schema), "links"))
+            return new.unionByName(materialize(free.groupBy(F.lit("all")).applyInPandas(tail, new.schema), "links")) if n > 1 else new
         near = nearest_outside_group(free, norm).select(F.col("id").alias("i"), F.col("nbr").alias("j"), "len")
-        new = new.unionByName(greedy_fragments(near, taken=taken.select("i", "j", "len").unionByName(new)))
+        if rule == "rounds":
+            new = new.unionByName(greedy_fragments(near, taken=taken.select("i", "j", "len").unionByName(new)))
+            continue
+        open_ = near.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("len").cast("long").alias("len")).distinct().withColumn("key", F.col("len"))
+        for end in ("i", "j"):
+            open_ = open_.join(free.select(F.col("id").alias(end), F.col("part_id").alias(f"f{end}")), end)
+        # Each end's nearest one is all it takes: what isn't in the table is longer than what is.
+        new = new.unionByName(materialize(_sure(open_).select(*new.columns), "links"))
 
 
 def _closed(nodes: DataFrame, taken: DataFrame, norm: str, rule: str) -> DataFrame:

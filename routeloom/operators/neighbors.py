@@ -30,6 +30,8 @@ _LOWER: dict[str, Callable[[Column], Column]] = {
 }
 #: Deepest level of cells.
 _DEEPEST = 40
+#: Norms of the plane and of space, with how much further apart in a coordinate than their length (and one more) points can be.
+NORM_CELLS = {n: math.sqrt(10) if n == "ATT" else 1.0 for n in _LOWER if n not in ("GEO", "GEOM", "TOROIDAL")}
 
 
 class _Cells:
@@ -236,9 +238,9 @@ def quadrant_knn(nodes: DataFrame, k: int, norm: str = "EUC_2D") -> DataFrame:
 
 def fixed_radius(nodes: DataFrame, r: float, norm: str = "EUC_2D", weights: DataFrame | None = None) -> DataFrame:
     """i, j, len of all pairs with a length, both ends' ``weights`` (none negative) added, strictly below ``r``."""
-    if norm not in _LOWER or norm in ("GEO", "GEOM", "TOROIDAL"):
+    if norm not in NORM_CELLS:
         raise ValueError(f"{norm} has no grid bound")
-    side = (r + 1) * (10**0.5 if norm == "ATT" else 1)
+    side = (r + 1) * NORM_CELLS[norm]
     weighted = nodes.withColumn("w", F.lit(0.0)) if weights is None else nodes.join(weights.select("id", "w"), "id")
     if weights is not None and (weights.agg(F.min("w")).first()[0] or 0.0) < -1e-8:
         raise ValueError("a weight is negative")

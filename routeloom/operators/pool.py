@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..jobs.session import materialize
+from .blocks import edge_blocks
 from .components import component_labels
 from .cuts import clique_sizes
+from .segments import all_segment_cuts, interval_deltas, segment_cuts  # noqa: F401  (intervals are cuts too)
 
 #: x values that count as zero and as one, and a violation that counts.
 ZERO, ONE, MARGIN = 1e-6, 0.999999, 0.01
@@ -147,45 +148,6 @@ def pure_combs(roles: DataFrame, members: DataFrame) -> DataFrame:
     return good.join(single, "cut_id").join(teeth_disjoint(roles.filter("not handle"), members), "cut_id")
 
 
-def interval_deltas(xedges: DataFrame, length: int) -> DataFrame:
-    """a, b, delta of all intervals of 2 to ``length`` consecutive nodes: the x of edges with one end in [a, b].
-
-    The delta is the sum of the nodes' degrees less twice the x inside. An edge lies inside of at
-    most ``length`` left ends' intervals, so rows grow with the edges, and each left end's window has
-    ``length`` rows.
-    """
-    e = xedges.filter("i != j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "x")
-    degree = e.select(F.explode(F.array("i", "j")).alias("v"), "x").groupBy("v").agg(F.sum("x").alias("d"))
-    bounds = degree.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
-    low, high = (bounds[0] or 0), (-1 if bounds[1] is None else bounds[1])
-    # A node counts for the left ends up to length - 1 before it, as an edge does for its right end.
-    own = degree.select(F.col("v").alias("b"), F.explode(F.sequence(F.greatest(F.col("v") - length + 1, F.lit(low)), F.col("v"))).alias("a"), F.col("d").alias("w"))
-    inner = e.filter(F.col("j") - F.col("i") < length).select(F.col("j").alias("b"), F.explode(F.sequence(F.greatest(F.col("j") - length + 1, F.lit(low)), F.col("i"))).alias("a"), (-2 * F.col("x")).alias("w"))
-    grid = xedges.sparkSession.range(low, high + 1).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id"), F.least(F.col("id") + length - 1, F.lit(high)))).alias("b"), F.lit(0.0).alias("w"))
-    steps = own.unionByName(inner).unionByName(grid).groupBy("a", "b").agg(F.sum("w").alias("w"))
-    run = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("a", "b", F.sum("w").over(run).alias("delta")).filter("b > a")
-
-
-def all_segment_cuts(xedges: DataFrame, length: int, limit: float) -> DataFrame:
-    """a, b, delta of the intervals with a delta of at most ``limit``."""
-    return interval_deltas(xedges, length).filter(F.col("delta") <= limit)
-
-
-def segment_cuts(xedges: DataFrame, length: int, below: float = 2 - 1e-4, one: float = 0.999999) -> DataFrame:
-    """a, b, delta: for each left end the interval of least delta (the smallest b of equal ones), if it's less than ``below``.
-
-    A node with two edges of x of ``one`` or more starts or ends no interval.
-    """
-    tied = xedges.filter(F.col("x") >= one).select(F.explode(F.array("i", "j")).alias("v")).groupBy("v").agg(F.count("*").alias("n")).filter("n >= 2").select("v")
-    rows = interval_deltas(xedges, length)
-    for end in ("a", "b"):
-        rows = rows.join(tied.withColumnRenamed("v", end), end, "left_anti")
-    # Sums differ in their last bits with the order of the rows; nine digits are compared.
-    best = rows.groupBy("a").agg(F.min(F.struct(F.round("delta", 9).alias("delta"), "b")).alias("e"))
-    return best.select("a", "e.b", "e.delta").filter(F.col("delta") < below)
-
-
 def comb_sizes(cut_cliques: DataFrame, members: DataFrame) -> DataFrame:
     """cut_id, n_cliques, smallest, largest: the sizes of each cut's cliques."""
     return cut_cliques.join(clique_sizes(members), "clique_id").groupBy("cut_id").agg(F.count("*").alias("n_cliques"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
@@ -296,57 +258,9 @@ def classify_cuts(cuts: DataFrame, cut_cliques: DataFrame, members: DataFrame, n
     return shape.join(comb, "cut_id", "left").select("cut_id", F.when(subtour, "subtour").when(F.col("comb"), "comb").otherwise("other").alias("kind"))
 
 
-def _block_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of one component's edges by low points, without recursion."""
-    near: dict[int, list[tuple[int, int]]] = {}
-    for e, (i, j) in enumerate(zip(rows["i"], rows["j"])):
-        near.setdefault(i, []).append((j, e))
-        near.setdefault(j, []).append((i, e))
-    place, low, out, open_edges, blocks = {}, {}, [], [], 0
-    for start in sorted(near):
-        if start in place:
-            continue
-        place[start] = low[start] = len(place)
-        todo = [(start, -1, iter(near[start]))]
-        while todo:
-            node, via, rest = todo[-1]
-            for other, e in rest:
-                if e == via:
-                    continue
-                if other not in place:
-                    open_edges.append((node, other, e))
-                    place[other] = low[other] = len(place)
-                    todo.append((other, e, iter(near[other])))
-                    break
-                if place[other] < place[node]:
-                    open_edges.append((node, other, e))
-                    low[node] = min(low[node], place[other])
-            else:
-                todo.pop()
-                if todo:
-                    above = todo[-1][0]
-                    low[above] = min(low[above], low[node])
-                    if low[node] >= place[above]:  # what was opened since the edge to this node is a block
-                        cut = next(k for k in range(len(open_edges) - 1, -1, -1) if open_edges[k][2] == via)
-                        own = open_edges[cut:]
-                        del open_edges[cut:]
-                        first = min(min(a, b) for a, b, _ in own)
-                        out += [(first, blocks, min(a, b), max(a, b)) for a, b, _ in own]
-                        blocks += 1
-    found = pd.DataFrame(out, columns=["low", "block", "i", "j"])
-    found["component"] = rows["component"].iloc[0]
-    return found[["component", "block", "i", "j"]]
-
-
-def blocks(xedges: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """The two-connected components of the edges with 0 < x < 1: (component, block, i, j), and cut nodes (node, n_blocks).
-
-    Components come from Spark; one task then works on each, which may have ``most`` edges.
-    """
+def blocks(xedges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two-connected components of the edges with 0 < x < 1: (component, block, i, j), and cut nodes (node, n_blocks); see :func:`edge_blocks`."""
     edges = xedges.filter((F.col("x") > ZERO) & (F.col("x") < ONE) & (F.col("i") != F.col("j"))).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
-    rows = materialize(edges.join(component_labels(edges).withColumnRenamed("node", "i"), "i").select("component", "i", "j"), "fractional")
-    if large := rows.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most).take(1):
-        raise ValueError(f"the component of node {large[0]['component']} has {large[0]['n']} edges, over {most}")
-    found = materialize(rows.groupBy("component").applyInPandas(_block_rows, "component long, block long, i long, j long"), "blocks")
+    found = materialize(edge_blocks(materialize(edges, "fractional")), "blocks")
     nodes = found.select("component", "block", F.explode(F.array("i", "j")).alias("node")).distinct()
     return found, nodes.groupBy("node").agg(F.count("*").alias("n_blocks")).filter("n_blocks > 1")

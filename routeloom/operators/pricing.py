@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.norms import length_col
 from ..jobs.session import materialize
 from .components import component_labels
-from .neighbors import fixed_radius
+from .neighbors import NORM_CELLS
 
 
 def clique_duals(cut_pi: DataFrame, cut_cliques: DataFrame) -> DataFrame:
@@ -49,10 +50,47 @@ def pricing_candidates(edges: DataFrame, duals: DataFrame, eps: float = 1e-4) ->
     return edges.join(a, "i").join(b, "j").filter(F.col("len") - F.col("ei") - F.col("ej") < eps).select(*edges.columns)
 
 
+#: Estimates up to this are one class; lengths are integers.
+_LEAST_CLASS = 1.0
+
+
+def near_enough_pairs(nodes: DataFrame, duals: DataFrame, norm: str, eps: float = 1e-4) -> DataFrame:
+    """i, j, pi, pj (structs of the points), ei, ej of the pairs of ``nodes(id, x, y)`` that a layered grid brings together.
+
+    Nodes are in classes by their estimate, each twice as high as the one before. Two classes meet
+    on cells as wide as both heights together allow a candidate to be long, so a node of a large
+    estimate reaches far without making the others do so. Pairs come once each; of the classes in
+    use (64 at most) a node takes part in the grid of every one with its own.
+    """
+    params = NORM_CELLS.get(norm)
+    if params is None:
+        raise ValueError(f"{norm} has no grid bound")
+    level = F.ceil(F.log2(F.greatest("est", F.lit(_LEAST_CLASS)))).cast("int")
+    rows = nodes.join(duals.select("id", "est"), "id").withColumn("level", level)
+    used = sorted(r[0] for r in rows.select("level").distinct().collect())  # as many as powers of two at most
+    levels = F.array(*[F.lit(v) for v in used])
+    side = (F.pow(F.lit(2.0), "high") + F.pow(F.lit(2.0), "low") + eps + 1) * params
+    dims = "xyz" if norm == "EUC_3D" else "xy"
+    cell = [F.floor(F.col(c) / side).alias(f"_{c}") for c in dims]
+    point = F.struct(*dims)
+    upper = rows.select(F.col("id").alias("a"), point.alias("pa"), F.col("est").alias("ea"), F.col("level").alias("high"), F.explode(levels).alias("low"), *dims).filter("low <= high").withColumns({f"_{c}": F.floor(F.col(c) / side) for c in dims})
+    for c in dims:
+        upper = upper.withColumn(f"_{c}", F.explode(F.array(*[F.col(f"_{c}") + k for k in (-1, 0, 1)])))
+    lower = rows.select(F.col("id").alias("b"), point.alias("pb"), F.col("est").alias("eb"), F.col("level").alias("low"), F.explode(levels).alias("high"), *dims).filter("low <= high").select("b", "pb", "eb", "low", "high", *cell)
+    pairs = upper.drop(*dims).join(lower, ["high", "low", *[f"_{c}" for c in dims]]).filter("high > low or a < b").filter("a != b")
+    swap = F.col("a") > F.col("b")
+    ends = {"i": ("a", "b"), "j": ("b", "a"), "pi": ("pa", "pb"), "pj": ("pb", "pa"), "ei": ("ea", "eb"), "ej": ("eb", "ea")}
+    return pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name) for name, (x, y) in ends.items()])
+
+
 def pricing_candidates_complete(nodes: DataFrame, duals: DataFrame, norm: str, eps: float = 1e-4) -> DataFrame:
-    """As :func:`pricing_candidates` over all pairs of ``nodes(id, x, y)``, from a grid: no candidate is longer than twice the largest estimate."""
-    reach = 2 * (duals.agg(F.max("est")).first()[0] or 0.0) + eps
-    return pricing_candidates(fixed_radius(nodes, max(reach, 0.0), norm), duals, eps)
+    """As :func:`pricing_candidates` over all pairs of ``nodes(id, x, y)``, from :func:`near_enough_pairs`.
+
+    The work follows the candidates that each node's own estimate allows, however uneven the
+    estimates are. Nodes without an estimate have no candidate.
+    """
+    pairs = near_enough_pairs(nodes, duals, norm, eps).withColumn("len", length_col(norm, F.col("pi"), F.col("pj")))
+    return pairs.filter(F.col("len") - F.col("ei") - F.col("ej") < eps).select("i", "j", "len")
 
 
 def _scaled(c: Column) -> Column:

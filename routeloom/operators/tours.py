@@ -108,6 +108,8 @@ def _walked(rows: pd.DataFrame) -> pd.DataFrame:
     while now != start:
         path.append(now)
         last, now = now, next((v for v in near[now] if v != last), start)
+    if len(path) != len(near) or len(path) > 2 and any(len(v) != 2 for v in near.values()):
+        raise ValueError(f"tour {rows['tour_id'].iloc[0]}: {len(near)} nodes, of which {len(path)} are on the cycle of node {start}")
     return pd.DataFrame({"tour_id": rows["tour_id"].iloc[0], "pos": range(len(path)), "node": path})
 
 
@@ -117,23 +119,29 @@ def edges_to_tour(edges: DataFrame) -> DataFrame:
     A tour starts at its smallest node, towards the smaller neighbour. Each undirected edge is two
     arcs; an arc's follower leaves the node it enters by the other edge. The arc that would return
     to the start has none, and the distance to it is found by doubling the followers' reach, in
-    log2(n) joins; tours of up to ``LOCAL_TOUR`` edges are walked, each in one task. Where a tour's edges are several cycles, only the first node's cycle comes back.
+    log2(n) joins; tours of up to ``LOCAL_TOUR`` edges are walked, each in one task. Where a tour's
+    edges are several cycles, or a node hasn't two of them, it is an error.
     """
     e = edges if "tour_id" in edges.columns else edges.withColumn("tour_id", F.lit(0).cast("long"))
     both = e.select("tour_id", F.col("i").alias("u"), F.col("j").alias("v")).unionByName(e.select("tour_id", F.col("j").alias("u"), F.col("i").alias("v"))).filter("u != v").distinct()
     both = materialize(both.select(F.col("tour_id").cast("long").alias("tour_id"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "ends")
-    longest = both.groupBy("tour_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if longest <= 2 * LOCAL_TOUR:
-        return both.groupBy("tour_id").applyInPandas(_walked, "tour_id long, pos long, node long")
+    sizes = materialize(both.groupBy("tour_id").agg(F.count_distinct("u").alias("n"), (F.count("*") <= max(2 * LOCAL_TOUR, 2)).alias("short")), "tour-sizes")
+    walked = both.join(sizes.filter("short").select("tour_id"), "tour_id").groupBy("tour_id").applyInPandas(_walked, "tour_id long, pos long, node long")
+    longest = sizes.filter("not short").agg(F.max("n")).first()[0]
+    if longest is None:
+        return walked
+    both = both.join(sizes.filter("not short").select("tour_id"), "tour_id")
     start = both.groupBy("tour_id").agg(F.min(F.struct("u", "v")).alias("s"))
     on = both.select("tour_id", F.col("u").alias("v"), F.col("v").alias("w"))
     arcs = both.join(on, ["tour_id", "v"]).filter("u != w").join(start, "tour_id")
     ends = (F.col("v") == F.col("s.u")) & (F.col("w") == F.col("s.v"))
     now = materialize(arcs.select("tour_id", "u", "v", F.when(~ends, F.struct(F.col("v").alias("u"), F.col("w").alias("v"))).alias("next"), F.when(ends, 0).otherwise(1).cast("long").alias("far")), "arcs")
-    for _ in range(max(longest // 2, 1).bit_length()):
+    for _ in range(longest.bit_length()):
         ahead = now.select("tour_id", F.struct("u", "v").alias("next"), F.col("next").alias("_next"), F.col("far").alias("_far"))
         open_ = now.filter("next is not null").join(ahead, ["tour_id", "next"]).select("tour_id", "u", "v", F.col("_next").alias("next"), (F.col("far") + F.col("_far")).alias("far"))
         now = materialize(now.filter("next is null").unionByName(open_), "arcs")
     chain = now.filter("next is null")
     last = chain.groupBy("tour_id").agg(F.max("far").alias("last"))
-    return chain.join(last, "tour_id").select("tour_id", (F.col("last") - F.col("far")).alias("pos"), F.col("u").alias("node"))
+    if off := sizes.filter("not short").join(last, "tour_id", "left").filter("last is null or last + 1 != n").take(1):
+        raise ValueError(f"the edges of tour {off[0]['tour_id']} aren't one cycle of its {off[0]['n']} nodes")
+    return walked.unionByName(chain.join(last, "tour_id").select("tour_id", (F.col("last") - F.col("far")).alias("pos"), F.col("u").alias("node")))
