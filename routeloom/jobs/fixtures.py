@@ -22,6 +22,8 @@ SQL = {
     "set_cuts": "SELECT CAST(n_regionkey AS BIGINT) AS cut_id, CAST(n_nationkey AS BIGINT) AS clique_id FROM nation UNION ALL SELECT r_regionkey, 100 + r_regionkey FROM region",
     "chain": "SELECT CAST(c_custkey AS BIGINT) AS i, CAST(c_custkey + 1 + c_nationkey % 5 AS BIGINT) AS j, CAST((1 + c_custkey % 4) / 4.0 AS DOUBLE) AS x FROM customer",
     "ladder": "SELECT CAST(c_custkey AS BIGINT) AS i, CAST(c_custkey + k AS BIGINT) AS j, CASE WHEN c_custkey % 10 + k < 10 THEN 0.6::DOUBLE ELSE 0.9::DOUBLE END AS x FROM customer, (SELECT unnest([1, 2, 3]) AS k) WHERE c_custkey % 10 + k < 10 OR k = 1",
+    "loops": "SELECT CAST(s_suppkey AS BIGINT) AS i, CAST(s_suppkey + k AS BIGINT) AS j, CASE WHEN s_suppkey % 3 = 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS x FROM supplier, (SELECT unnest([1, 3, 9]) AS k) WHERE (k = 1 AND s_suppkey % 13 <> 12) OR (k = 3 AND s_suppkey % 7 = 2) OR (k = 9 AND s_suppkey % 26 = 20)",
+    "short_paths": "SELECT CAST(s_suppkey AS BIGINT) AS i, CAST(s_suppkey + 1 AS BIGINT) AS j FROM supplier WHERE s_suppkey % 5 IN (0, 3) AND s_suppkey + 1 < (SELECT count(*) FROM supplier)",
     "space": "SELECT s_suppkey AS id, CAST(round(s_acctbal) AS DOUBLE) AS x, CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS y, CAST((s_suppkey * 104729) % 9973 AS DOUBLE) AS z FROM supplier",
     "node_pi": "SELECT id, CAST(id % 7 AS DOUBLE) AS pi FROM (SELECT i AS id FROM xedges UNION SELECT j FROM xedges)",
 }
@@ -61,6 +63,14 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         inside = F.col("c_custkey") % 10 + F.col("k") < 10
         rows = load("customer").select("c_custkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).filter(inside | (F.col("k") == 1))
         return rows.select(F.col("c_custkey").cast("long").alias("i"), (F.col("c_custkey") + F.col("k")).cast("long").alias("j"), F.when(inside, 0.6).otherwise(0.9).alias("x"))
+    if name == "loops":
+        k, near = F.col("k"), F.col("s_suppkey")
+        rows = load("supplier").select("s_suppkey", F.explode(F.array(F.lit(1), F.lit(3), F.lit(9))).alias("k"))
+        rows = rows.filter(((k == 1) & (near % 13 != 12)) | ((k == 3) & (near % 7 == 2)) | ((k == 9) & (near % 26 == 20)))
+        return rows.select(near.cast("long").alias("i"), (near + k).cast("long").alias("j"), F.when(near % 3 == 0, 0.25).otherwise(0.5).alias("x"))
+    if name == "short_paths":
+        n = load("supplier").count()
+        return load("supplier").filter((F.col("s_suppkey") % 5).isin(0, 3) & (F.col("s_suppkey") + 1 < n)).select(F.col("s_suppkey").cast("long").alias("i"), (F.col("s_suppkey") + 1).cast("long").alias("j"))
     if name == "space":
         return fixture(spark, sf_dir, "suppliers").withColumn("z", ((F.col("id") * 104729) % 9973).cast("double"))
     if name == "cut_pi":

@@ -195,6 +195,31 @@ def boruvka_tour(spark, d):
     return _permutation(construct.boruvka_tour(fixture(spark, d, "suppliers"), "EUC_2D"))
 
 
+#: Free ends of the short paths, in the order of ids; a node without an edge is two ends of its path.
+_ENDS = f"WITH RECURSIVE {sql('suppliers', 'short_paths')[5:]}, f AS (SELECT s.id, x, y, coalesce(p.i, q.i, s.id) AS f, CASE WHEN p.i IS NULL AND q.i IS NULL THEN [0, 1] ELSE [0] END AS copies FROM suppliers s LEFT JOIN short_paths p ON p.i = s.id LEFT JOIN short_paths q ON q.j = s.id), ends AS (SELECT list({{'id': id, 'x': x, 'y': y, 'f': f}} ORDER BY id) AS l FROM (SELECT *, unnest(copies) FROM f))"
+#: What is left after entries p and q (p < q) are linked.
+_MERGED = "list_transform(l[1 : p - 1] || l[p + 1 : q - 1] || l[q + 1 :], lambda e: {'id': e.id, 'x': e.x, 'y': e.y, 'f': CASE WHEN e.f = l[q].f THEN l[p].f ELSE e.f END})"
+_LINKED = f"SELECT i, j, {euc('a', 'b')} AS len FROM (SELECT i, j FROM steps WHERE i IS NOT NULL UNION ALL SELECT l[1].id, l[2].id FROM steps WHERE len(l) = 2 AND l[1].id <> l[2].id) JOIN suppliers a ON a.id = i JOIN suppliers b ON b.id = j"
+
+
+def _links(spark: SparkSession, d: str, rule: str, local: int) -> DataFrame:
+    taken = fixture(spark, d, "short_paths").withColumn("len", F.lit(0).cast("long"))
+    return construct.link_fragments(fixture(spark, d, "suppliers"), taken, "EUC_2D", rule, local)
+
+
+@query("lowest_links", f"{_ENDS}, steps AS (SELECT l, NULL::BIGINT AS i, NULL::BIGINT AS j FROM ends UNION ALL SELECT {_MERGED}, l[p].id, l[q].id FROM (SELECT l, 1 AS p, list_position(list_transform(l, lambda e: e.f <> l[1].f), true) AS q FROM steps WHERE len(l) > 2)) {_LINKED}")
+def lowest_links(spark, d):
+    return _links(spark, d, "lowest", 0)
+
+
+@query(
+    "shortest_links",
+    f"{_ENDS}, steps AS (SELECT l, NULL::BIGINT AS i, NULL::BIGINT AS j FROM ends UNION ALL SELECT {_MERGED}, l[p].id, l[q].id FROM (SELECT l, list_position(list_transform(l, lambda e: e.id), m.i) AS p, list_position(list_transform(l, lambda e: e.id), m.j) AS q FROM (SELECT l, list_min(flatten(list_transform(l, lambda a: list_transform(list_filter(l, lambda b: b.id > a.id AND b.f <> a.f), lambda b: {{'len': {euc('a', 'b')}, 'i': a.id, 'j': b.id}})))) AS m FROM steps WHERE len(l) > 2))) {_LINKED}",
+)
+def shortest_links(spark, d):
+    return _links(spark, d, "nearest", 16)
+
+
 @query("improve_segments", f"{sql('tours')} SELECT tour_id, count(*) AS n, count(*) AS n_nodes, true AS no_longer FROM tours GROUP BY tour_id")
 def improve_segments(spark, d):
     tour, nodes = fixture(spark, d, "tours"), fixture(spark, d, "points")
@@ -486,6 +511,32 @@ def blocks(spark, d):
     return pool.blocks(fixture(spark, d, "chain"))[1]
 
 
+#: Two edges at a node are of one block if their other ends are connected without it.
+@query(
+    "blocks_of_loops",
+    f"WITH RECURSIVE {sql('loops')[5:]}, both_ AS (SELECT i AS u, j AS v, i, j FROM loops UNION ALL SELECT j, i, i, j FROM loops), reach AS (SELECT u AS gone, v AS start, v AS node FROM both_ UNION SELECT r.gone, r.start, b.v FROM reach r JOIN both_ b ON b.u = r.node AND b.v <> r.gone), "
+    "near AS (SELECT a.i, a.j, b.i AS i2, b.j AS j2 FROM reach r JOIN both_ a ON a.u = r.gone AND a.v = r.start JOIN both_ b ON b.u = r.gone AND b.v = r.node), same AS (SELECT * FROM near UNION SELECT s.i, s.j, n.i2, n.j2 FROM same s JOIN near n ON n.i = s.i2 AND n.j = s.j2) "
+    "SELECT i, j, min((i2, j2))[1] AS block_i, min((i2, j2))[2] AS block_j FROM same GROUP BY i, j",
+)
+def blocks_of_loops(spark, d):
+    found = pool.blocks(fixture(spark, d, "loops"))[0]
+    first = found.groupBy("component", "block").agg(F.min(F.struct("i", "j")).alias("e")).select("component", "block", F.col("e.i").alias("block_i"), F.col("e.j").alias("block_j"))
+    return found.join(first, ["component", "block"]).select("i", "j", "block_i", "block_j")
+
+
+_SPANS = f"{sql('loops')}, v AS (SELECT i AS v FROM loops UNION SELECT j FROM loops), d AS (SELECT a.v AS a, b.v AS b, coalesce(sum(x), 0) AS delta FROM v a JOIN v b ON b.v > a.v LEFT JOIN loops ON (i BETWEEN a.v AND b.v) <> (j BETWEEN a.v AND b.v) GROUP BY a.v, b.v)"
+
+
+@query("all_segment_cuts_unbounded", f"{_SPANS} SELECT a, b, round(delta, 6) AS delta FROM d WHERE delta <= 1")
+def all_segment_cuts_unbounded(spark, d):
+    return pool.all_segment_cuts(fixture(spark, d, "loops"), None, 1.0).withColumn("delta", F.round("delta", 6))
+
+
+@query("segment_cuts_unbounded", f"{_SPANS} SELECT * FROM (SELECT a, arg_min(b, (round(delta, 9), b)) AS b, round(min(delta), 9) AS delta FROM d GROUP BY a) WHERE delta < 1.9999")
+def segment_cuts_unbounded(spark, d):
+    return pool.segment_cuts(fixture(spark, d, "loops"))
+
+
 # --- pricing
 
 _LENGTHS = f"{sql('xedges', 'node_pi')}, p AS (SELECT i, j, x, len % 20 AS len, CAST(len % 20 - 2 * a.pi - b.pi AS DOUBLE) AS rc FROM xedges JOIN node_pi a ON a.id = i JOIN node_pi b ON b.id = j)"
@@ -598,6 +649,23 @@ def stream_region_totals(spark, d):
     return streams.region_totals(_first(spark, _results(spark, d), ["id"]))
 
 
+@query("stream_running_totals", f"{_RESULTS} SELECT CAST(count(*) AS DOUBLE) AS n_done, CAST(count(*) FILTER (WHERE bound < 0) AS DOUBLE) AS n_failed, sum(CASE WHEN bound >= 0 THEN bound ELSE 0 END) AS bound, sum(rtime) AS rtime FROM f")
+def stream_running_totals(spark, d):
+    """Totals kept by the state store, batch after batch."""
+    path, checkpoint = shared_path(spark, "totals"), shared_path(spark, "stream")
+    changes = streams.first_changes(streams.region_values(_stream(spark, _results(spark, d))), ["id"], ["n_done", "n_failed", "bound", "rtime"])
+    streams.keep_totals(changes, path, checkpoint).awaitTermination()
+    return streams.running_totals(spark, path)
+
+
+@query("stream_new_keys", "SELECT DISTINCT CAST(event_id % 300 AS BIGINT) AS id, CAST(event_id % 300 % 7 AS BIGINT) AS kind FROM events")
+def stream_new_keys(spark, d):
+    rows = _results(spark, d).select("id", (F.col("id") % 7).alias("kind"), "arrival")
+    path, checkpoint = shared_path(spark, "keys"), shared_path(spark, "stream")
+    streams.new_keys(_stream(spark, rows).select("id", "kind"), path, checkpoint, ["id", "kind"]).awaitTermination()
+    return spark.read.parquet(path)
+
+
 @query("stream_segment_gains", f"{_RESULTS}, s AS (SELECT id AS seg_id, 40 + id % 9 AS origlen FROM f), g AS (SELECT greatest(origlen - CAST(bound AS BIGINT), 0) AS g FROM f JOIN s ON seg_id = id) SELECT count(*) AS n_done, CAST(sum(g) AS BIGINT) AS gain, CAST(100000 - sum(g) AS BIGINT) AS len FROM g")
 def stream_segment_gains(spark, d):
     rows = _first(spark, _results(spark, d), ["id"]).select("id", F.col("bound").cast("long").alias("newlen"))

@@ -14,6 +14,7 @@ from ..jobs.session import materialize
 from .blocks import edge_blocks
 from .components import component_labels
 from .cuts import clique_sizes
+from .equality import equal_classes
 from .segments import all_segment_cuts, interval_deltas, segment_cuts  # noqa: F401  (intervals are cuts too)
 
 #: x values that count as zero and as one, and a violation that counts.
@@ -32,9 +33,23 @@ def cut_keys(cuts: DataFrame, cut_cliques: DataFrame, members: DataFrame) -> Dat
     return cuts.join(keys, "cut_id").select("cut_id", "sense", "rhs", "key")
 
 
+def clique_classes(members: DataFrame) -> DataFrame:
+    """clique_id, first: the smallest clique of the same nodes; cliques of equal keys are compared node by node."""
+    rows = members.select("clique_id", "node").distinct()
+    keys = clique_key(rows).withColumnRenamed("clique_id", "item")
+    return equal_classes(keys, rows.select(F.col("clique_id").alias("item"), F.col("node").alias("part"))).select(F.col("item").alias("clique_id"), "first")
+
+
+def cut_classes(cuts: DataFrame, cut_cliques: DataFrame, members: DataFrame) -> DataFrame:
+    """cut_id, first: the smallest cut of the same sense, right-hand side and cliques, repeats included; compared clique by clique and node by node."""
+    keys = cut_keys(cuts, cut_cliques, members).select(F.col("cut_id").alias("item"), F.struct("sense", "rhs", "key").alias("key"))
+    parts = cut_cliques.join(clique_classes(members), "clique_id").select(F.col("cut_id").alias("item"), F.col("first").alias("part"))
+    return equal_classes(keys, parts).select(F.col("item").alias("cut_id"), "first")
+
+
 def distinct_cuts(cuts: DataFrame, cut_cliques: DataFrame, members: DataFrame) -> DataFrame:
     """cut_id, n_equal: the first of the cuts with the same sense, right-hand side and cliques."""
-    return cut_keys(cuts, cut_cliques, members).groupBy("sense", "rhs", "key").agg(F.min("cut_id").alias("cut_id"), F.count("*").alias("n_equal")).select("cut_id", "n_equal")
+    return cut_classes(cuts, cut_cliques, members).groupBy(F.col("first").alias("cut_id")).agg(F.count("*").alias("n_equal"))
 
 
 def pool_merge(pools: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,8 +67,7 @@ def pool_merge(pools: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[Dat
     links = reduce(DataFrame.unionByName, [tagged(p[1].select("cut_id", "clique_id"), k, ["cut_id", "clique_id"]) for k, p in enumerate(pools)])
     members = reduce(DataFrame.unionByName, [tagged(p[2].select("clique_id", "node"), k, ["clique_id"]) for k, p in enumerate(pools)])
     kept = cuts.join(distinct_cuts(cuts, links, members).select("cut_id"), "cut_id")
-    keys = clique_key(members)
-    shared = keys.join(keys.groupBy("key").agg(F.min("clique_id").alias("first")), "key").select("clique_id", "first")
+    shared = clique_classes(members)
     links = links.join(kept.select("cut_id"), "cut_id").join(shared, "clique_id").select("cut_id", F.col("first").alias("clique_id"))
     return kept, links, members.distinct().join(links.select("clique_id").distinct(), "clique_id")
 
