@@ -6,14 +6,15 @@ on, so the trees are sharded by MinHash bands of the word shingles instead:
 1. Every text tries one leader, the smallest text hash that shares a band with it, and is linked
    to it if the exact Jaccard similarity of their shingle sets is reached. A group of copies of
    any size collapses to one component in this step, at one row a text.
-2. Only shards that still hold several components go on. In a shard the texts' fingerprints form
-   a BK-tree; a search follows only edges within the radius, and only texts of other components
-   are verified, so a shard makes fewer links than it has components.
-3. The texts of all shards that are too large for one tree are dealt again by an exact prefix
-   filter: two sets that reach the similarity share a shingle among the rarest ones of both, so
-   only texts that are linked by shared prefix shingles stay together, and a text without such a
+2. Only bands that still hold several components go on. Texts that such bands connect are one
+   shard, in which a text stands once, however many bands brought it there. A shard's
+   fingerprints form a BK-tree; a search follows only edges within the radius, and only texts of
+   other components are verified, so a shard makes fewer links than it has components.
+3. The texts of shards that are too large for one tree are dealt again by an exact prefix filter:
+   two sets that reach the similarity share a shingle among the rarest ones of both, so only
+   texts that are linked by shared prefix shingles stay together, and a text without such a
    partner leaves. Texts that have no more than a common block in common part here, at one row a
-   shingle; a text stands in one part, however many bands it came from.
+   shingle.
 4. What is still too large is freed of the texts that no other component can reach (by the
    triangle inequality of the Jaccard distance, from a leader), then dealt to blocks: each
    block's tree is searched by each block's texts, as tasks of their own.
@@ -110,34 +111,24 @@ def _shingle_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingle_hashes(x, words).tobytes() for x in text_bytes(batch.column("text"))], pa.binary())
-            yield pa.record_batch([batch.column("rid"), batch.column("fp"), batch.column("keys"), sets], names=["rid", "fp", "keys", "shingles"])
+            yield pa.record_batch([batch.column("rid"), batch.column("fp"), sets], names=["rid", "fp", "shingles"])
 
     return rows
 
 
-Point = tuple[int, int, list[int], bytes]
+Point = tuple[int, int, bytes]
 
 
-def first_band(key: int, points: list[Point]) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Which points share no band before that of the shard's ``key`` with a point; all, if the shard is no band's."""
-    bands = np.array([p[2] for p in points], np.int64)
-    own = np.flatnonzero(bands[0] == key)
-    if not len(own):
-        return lambda n, others: np.ones(len(others), bool)
-    return lambda n, others: np.argmax(bands[others] == bands[n], axis=1) == own[0]
-
-
-def tree_links(key: int, points: list[Point], searching: int, radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Verified links between components, of the (component, fingerprint, band keys, shingles) points of one shard.
+def tree_links(points: list[Point], searching: int, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Verified links between components, of the (component, fingerprint, shingles) points of one shard.
 
     The points enter a BK-tree one by one, each being searched before it is added; the last
     ``searching`` ones are only searched. Of a search's finds those are verified that aren't of the
-    same component by then and don't share an earlier band, in whose shard they are verified.
+    same component by then.
     """
-    sizes = np.array([len(p[3]) // 8 for p in points], np.int64)
-    codes = np.unique(np.frombuffer(b"".join(p[3] for p in points), np.uint64), return_inverse=True)[1]
+    sizes = np.array([len(p[2]) // 8 for p in points], np.int64)
+    codes = np.unique(np.frombuffer(b"".join(p[2] for p in points), np.uint64), return_inverse=True)[1]
     starts, held = np.cumsum(sizes) - sizes, np.zeros(int(codes.max()) + 1, bool)
-    earlier = first_band(key, points)
     at: dict[int, list[int]] = {}
     children: dict[int, dict[int, int]] = {}
     parent = {p[0]: p[0] for p in points}
@@ -149,7 +140,7 @@ def tree_links(key: int, points: list[Point], searching: int, radius: int, simil
         return x
 
     top: list[int] = []
-    for n, (component, fp, _, _) in enumerate(points):
+    for n, (component, fp, _) in enumerate(points):
         fp &= 0xFFFFFFFFFFFFFFFF
         todo, found = [*top], []
         while todo:
@@ -165,7 +156,7 @@ def tree_links(key: int, points: list[Point], searching: int, radius: int, simil
             held[mine] = True
             shared = np.add.reduceat(held[codes], starts, dtype=np.int64)[found]
             held[mine] = False
-            for k in np.flatnonzero(earlier(n, np.array(found)) & (shared + _ROUNDING >= similarity * (sizes[found] + sizes[n] - shared))).tolist():
+            for k in np.flatnonzero(shared + _ROUNDING >= similarity * (sizes[found] + sizes[n] - shared)).tolist():
                 a, b = root(component), root(points[found[k]][0])
                 if a != b:
                     parent[max(a, b)] = min(a, b)
@@ -187,35 +178,35 @@ def tree_links(key: int, points: list[Point], searching: int, radius: int, simil
 
 
 _LINK = "i long, j long"
-_MEMBER = ("component", "fp", "keys", "shingles")
-_SHARD = ("key", "part", "a", "b")
-#: Finds the links of one shard: its key, its points, and how many of the last ones only search.
-Finder = Callable[[int, list[Point], int], list[tuple[int, int]]]
+_MEMBER = ("component", "fp", "shingles")
+_SHARD = ("part", "a", "b")
+#: Finds the links of one shard: its points, and how many of the last ones only search.
+Finder = Callable[[list[Point], int], list[tuple[int, int]]]
 
 
 def tree_finder(radius: int, similarity: float) -> Finder:
-    return lambda key, points, searching: tree_links(key, points, searching, radius, similarity)
+    return lambda points, searching: tree_links(points, searching, radius, similarity)
 
 
 def _link_rows(finder: Finder):
-    """Rows of a shard (key, part, a, b) stand together; ``side`` 0 makes its index, side 1 searches it."""
+    """Rows of a shard (part, a, b) stand together; ``side`` 0 makes its index, side 1 searches it."""
 
-    def links(shard: list, points: list[Point], searching: int) -> pa.RecordBatch:
-        found = finder(shard[0], points, searching)
+    def links(points: list[Point], searching: int) -> pa.RecordBatch:
+        found = finder(points, searching)
         return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["i", "j"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, points, searching = None, [], 0
         for batch in batches:
-            for *now, side, component, fp, keys, raw in zip(*(batch.column(x).to_pylist() for x in (*_SHARD, "side", *_MEMBER))):
+            for *now, side, component, fp, raw in zip(*(batch.column(x).to_pylist() for x in (*_SHARD, "side", *_MEMBER))):
                 if now != shard:
                     if shard:
-                        yield links(shard, points, searching)
+                        yield links(points, searching)
                     shard, points, searching = now, [], 0
-                points.append((component, fp, keys, raw))
+                points.append((component, fp, raw))
                 searching += side
         if shard:
-            yield links(shard, points, searching)
+            yield links(points, searching)
 
     return rows
 
@@ -233,7 +224,9 @@ def _with_leaders(rows: DataFrame, known: DataFrame) -> DataFrame:
     rows = materialize(rows.select("key", "rid", "lead"), "tries")
     own = materialize(rows.join(known.select("rid", "shingles"), "rid"), "tries")
     both = own.join(known.select(F.col("rid").alias("lead"), F.col("shingles").alias("lead_shingles")), "lead")
-    return materialize(both.select("key", "rid", "lead", "shingles", "lead_shingles").mapInArrow(_compared_rows, "key long, rid long, lead long, similarity double"), "compared")
+    found = materialize(both.select("key", "rid", "lead", "shingles", "lead_shingles").mapInArrow(_compared_rows, "key long, rid long, lead long, similarity double"), "compared")
+    release(rows, own)
+    return found
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -262,34 +255,38 @@ def near_components(
 
     ``sign`` gives a set of shingle hashes its fingerprint and band keys, ``finder`` links the
     texts of a shard (a BK-tree of the ``radius``, if none is given). Shards of up to ``max_tree``
-    texts with ``max_bytes`` of shingle hashes, or two texts, go to one task as they are; blocks
+    texts and ``max_bytes`` of shingle hashes go to one task as they are; blocks
     of larger ones hold ``max_block`` texts (five times as many).
     """
     max_block, finder = max_block or 5 * max_tree, finder or tree_finder(radius, similarity)
     signed = materialize(texts.mapInArrow(_signature_rows(words, sign), _SIGNED), "signatures")
     shards = signed.select("rid", "size", F.explode("keys").alias("key")).distinct()
-    busy = materialize(shards.groupBy("key").agg(F.count("*").alias("n"), _load(max_tree, max_bytes).alias("blocks"), F.min("rid").alias("lead")).filter("n > 1"), "busy")
-    level = materialize(shards.join(busy, "key").select("key", "rid", "lead", "blocks", "size"), "shards")
+    busy = materialize(shards.groupBy("key").agg(F.count("*").alias("n"), F.min("rid").alias("lead")).filter("n > 1"), "busy")
+    level = materialize(shards.join(busy, "key").select("key", "rid", "lead", "size"), "shards")
     wanted = materialize(level.groupBy("rid").agg(F.min("lead").alias("lead")).withColumn("key", F.lit(0).cast("long")), "leaders")
     # One row of each text that shares a band; only these texts' shingles are kept.
-    prints = materialize(signed.join(wanted.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first(F.struct("fp", "keys")).alias("s")).select("rid", "s.*"), "fingerprints")
+    prints = materialize(signed.join(wanted.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first("fp").alias("fp")), "fingerprints")
     first = materialize(texts.join(prints.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text")), "shared-texts")
-    known = materialize(first.join(prints, "rid").mapInArrow(_shingle_rows(words), "rid long, fp long, keys array<long>, shingles binary"), "shingle-sets")
+    known = materialize(first.join(prints, "rid").mapInArrow(_shingle_rows(words), "rid long, fp long, shingles binary"), "shingle-sets")
     release(signed, busy, first, prints)
     linked = _with_leaders(wanted.filter("rid != lead"), known).filter(F.col("similarity") >= similarity)
     roots = _roots(linked)
 
-    placed = materialize(level.join(roots, "rid", "left").select("key", "rid", "blocks", "size", F.coalesce("component", "rid").alias("component")), "placed")
-    open_ = materialize(placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key"), "open")
-    left = materialize(placed.join(open_, "key"), "open-shards")
-    zero = [F.lit(0).cast("long").alias("part"), *[F.lit(0).alias(c) for c in ("a", "b", "side")]]
-    small, large = left.filter("blocks = 1").select("key", *zero, "rid", "component"), left.filter("blocks > 1")
+    placed = materialize(level.join(roots, "rid", "left").select("key", "rid", "size", F.coalesce("component", "rid").alias("component")), "placed")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rid").alias("lead")).filter("low != high").select("key", "lead")
+    left = materialize(placed.join(open_, "key").select("rid", "component", "size", "lead"), "open-shards")
+    # Texts that open bands connect are one shard.
+    parts = component_labels(left.filter("rid != lead"), "rid", "lead").select(F.col("node").alias("rid"), F.col("component").alias("part"))
+    sharded = left.select("rid", "component", "size").distinct().join(parts, "rid")
+    sizes = materialize(sharded.groupBy("part").agg(_load(max_tree, max_bytes).alias("blocks")), "shard-sizes")
+    sharded = materialize(sharded.join(sizes, "part"), "sharded")
+    small, large = sharded.filter("blocks = 1").select("part", *[F.lit(0).alias(c) for c in ("a", "b", "side")], "rid", "component"), sharded.filter("blocks > 1")
     members = small.unionByName(_blocks(_parts(large, known, similarity), known, similarity, max_block, max_bytes)) if large.take(1) else small
     rows = materialize(members, "members").join(known, "rid")
     dealt = rows.select(*_SHARD, "side", *_MEMBER, "rid").repartition(*_SHARD).sortWithinPartitions(*_SHARD, "side", "rid")
     links = materialize(dealt.drop("rid").mapInArrow(_link_rows(finder), _LINK), "tree-links")
     merged = materialize(component_labels(links), "merged")
-    release(level, wanted, known, placed, open_, left, links)
+    release(level, wanted, known, placed, left, sharded, links)
     heads = roots.select("component").unionByName(merged.select(F.col("node").alias("component"))).distinct()
     every = roots.unionByName(heads.select(F.col("component").alias("rid"), "component"))
     moved = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
@@ -317,7 +314,7 @@ def _parts(shards: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     that reach the similarity share one of the first n - ceil(similarity * n) + 1 of both. Those
     that stand in one text only come first and can't be shared, so they leave no row.
     """
-    texts = shards.select("rid", "component", "size").distinct()
+    texts = shards.select("rid", "component", "size")
     own = known.join(texts, "rid", "left_semi").select("rid", "shingles")
     rows = materialize(own.mapInArrow(_shingles_of, "rid long, n long, shingle long"), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
@@ -336,7 +333,7 @@ def _parts(shards: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
 
 
 def _blocks(parts: DataFrame, known: DataFrame, similarity: float, most: int, max_bytes: int) -> DataFrame:
-    """key (0: no band's), part, a, b, side, rid, component: ``parts`` (part, rid, component, size) as pairs of blocks; those of one block have no other.
+    """part, a, b, side, rid, component: ``parts`` (part, rid, component, size) as pairs of blocks; those of one block have no other.
 
     A text stays out of a part of several blocks if it is too near the leader to be linked to a
     text of another component than the leader's, all of which are further away.
@@ -354,7 +351,7 @@ def _blocks(parts: DataFrame, known: DataFrame, similarity: float, most: int, ma
     dealt = judged.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = dealt.select("part", "rid", "component", "block", others.alias("opposite"))
-    return pairs.select(F.lit(0).cast("long").alias("key"), "part", F.least("block", "opposite").alias("a"), F.greatest("block", "opposite").alias("b"), (F.col("block") > F.col("opposite")).cast("int").alias("side"), "rid", "component")
+    return pairs.select("part", F.least("block", "opposite").alias("a"), F.greatest("block", "opposite").alias("b"), (F.col("block") > F.col("opposite")).cast("int").alias("side"), "rid", "component")
 
 
 def near_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
