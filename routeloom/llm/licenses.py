@@ -1,8 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block (any window of as many words as the template has, over line ends too) meets a template
-when it holds at least ``threshold`` of the template's distinct words, and all words that name the
-license and its version. Words are ordered by how many documents hold them, rarest first. A text
+when it holds at least ``threshold`` of the template's distinct words; all of them are found. It
+gets the template's label if it also holds the words that name the license and its version, which
+tell a license from another one whose notice differs in these words alone. Words are ordered by how many documents hold them, rarest first. A text
 that misses all of a template's first ``size - needed + 1`` words can't have such a block (prefix
 filter), nor can one with fewer words than needed (length filter), nor one whose first shared word
 stands so late in both orders that too few words follow (positional filter). In the texts that are
@@ -63,12 +64,12 @@ class Templates:
                 self.prefix.setdefault(r, []).append((k, place))
         self.rare = frozenset(w for w, r in self.rank.items() if r in self.prefix)
 
-    def matches(self, words: list[bytes]) -> dict[int, float]:
-        """The largest containment in a window of ``words`` of each template that a window meets."""
+    def meets(self, words: list[bytes]) -> dict[int, tuple[float, float]]:
+        """For each template that a window of ``words`` meets the largest containment, and that of the windows with the template's names (0: none meets it)."""
         ranks = [self.rank.get(w, -1) for w in words]
         held = frozenset(ranks)
         own = sorted(held - {-1})
-        found: dict[int, float] = {}
+        found: dict[int, tuple[float, float]] = {}
         seen: set[int] = set()
         for j, r in enumerate(own):
             for k, place in self.prefix.get(r, ()):
@@ -78,18 +79,22 @@ class Templates:
                 size, needed = len(self.sets[k]), self.needed[k]
                 if len(own) < needed or 1 + min(size - place - 1, len(own) - j - 1) < needed:
                     continue
-                if self.names[k] <= held and len(held.intersection(self.sets[k])) >= needed:
-                    shared = self._most(ranks, k)
-                    if shared >= needed:
-                        found[k] = shared / size
+                if len(held.intersection(self.sets[k])) >= needed:
+                    most, named = self._most(ranks, k)
+                    if most >= needed:
+                        found[k] = most / size, named / size if named >= needed else 0.0
         return found
 
-    def _most(self, ranks: list[int], k: int) -> int:
-        """Most distinct words of template ``k`` in one window that has its names, 0 without such a window."""
+    def matches(self, words: list[bytes]) -> dict[int, float]:
+        """The largest containment in a window with the names of each template that such a window meets."""
+        return {k: named for k, (_, named) in self.meets(words).items() if named}
+
+    def _most(self, ranks: list[int], k: int) -> tuple[int, int]:
+        """Most distinct words of template ``k`` in one window, and in one that has its names (0: there is none)."""
         template, names, length = frozenset(self.sets[k]), self.names[k], self.lengths[k]
         places = [(at, r) for at, r in enumerate(ranks) if r in template]
         inside: dict[int, int] = {}
-        best = first = 0
+        best = named = first = 0
         for at, r in places:
             inside[r] = inside.get(r, 0) + 1
             while places[first][0] <= at - length:
@@ -99,9 +104,20 @@ class Templates:
                     del inside[gone]
                 else:
                     inside[gone] -= 1
-            if len(inside) > best and names <= inside.keys():
-                best = len(inside)
-        return best
+            best = max(best, len(inside))
+            if len(inside) > named and names <= inside.keys():
+                named = len(inside)
+        return best, named
+
+
+def template_rows(templates, most: int = 10_000) -> list[tuple]:
+    """Templates as rows of label, text and names: given so, or as a table (label, text, names, which may be null) of ``most`` rows at most, as all tasks get them."""
+    if not isinstance(templates, DataFrame):
+        return list(templates)
+    rows = templates.select("label", "text", F.coalesce("names", F.lit("")).alias("names")).filter("label is not null and text is not null").distinct().orderBy("label", "text", "names").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} templates")
+    return [tuple(r) for r in rows if words_of(r["text"].encode())]
 
 
 def _count_rows(vocabulary: frozenset[bytes]):
@@ -140,16 +156,17 @@ def _scan_rows(templates: Templates, phrases):
             for text in text_bytes(batch.column("text")):
                 words = words_of(text)
                 if marks.isdisjoint(words):
-                    out.append((len(words), 0, None, None, "", "", 0.0))
+                    out.append((len(words), 0, None, None, "", "", 0.0, ""))
                     continue
                 places = [(at, label) for p, label in split for at in _places(words, p)]
                 base = {label for _, label in places}
-                met = {} if templates.rare.isdisjoint(words) else templates.matches(words)
-                labels = base | {templates.labels[k] for k in met}
+                met = {} if templates.rare.isdisjoint(words) else templates.meets(words)
+                labels = base | {templates.labels[k] for k, (_, named) in met.items() if named}
+                near = {templates.labels[k] for k in met}
                 starts = [at for at, _ in places]
-                out.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), max(met.values(), default=0.0)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
-            names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+                out.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), max((most for most, _ in met.values()), default=0.0), ",".join(sorted(near))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
+            names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "near_labels"]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", *names])
 
     return rows
@@ -159,16 +176,19 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
     """License labels of each text.
 
     Returns doc_id, n_words, n_base (places of the phrases), first_word and last_word (smallest
-    and largest of them, null if none), base_labels, labels (of phrases and templates; sorted,
-    comma-joined) and score (the largest containment of a template that a window meets, else 0).
-    ``templates``: label, words and, optionally, the words among them that a window has to hold.
+    and largest of them, null if none), base_labels, labels (of phrases and of templates that a
+    window meets and names; sorted, comma-joined), score (the largest containment of a template
+    that a window meets, else 0) and near_labels (of all templates that a window meets).
+    ``templates``: label, words and, optionally, the words among them that name the license, as
+    rows or as a table (see :func:`template_rows`).
     The number of documents that hold each template word is counted over all documents first;
     that table is as large as the templates' vocabulary. Null texts count as empty; null ids
     and repeated rows come back as they are; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    templates = template_rows(templates)
     vocabulary = frozenset(w for t in templates for w in words_of(t[1].encode()))
     counted = rows.select("text").mapInArrow(_count_rows(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = {r["word"].encode(): r["n"] for r in counted.collect()}  # a row for each template word
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, near_labels string"
     return rows.mapInArrow(_scan_rows(Templates(templates, counts, threshold), phrases), schema)

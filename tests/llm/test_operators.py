@@ -256,6 +256,22 @@ Public License, v. 2.0. If a copy of the MPL was not distributed"""
     assert [found[k]["labels"] for k in range(len(cases))] == [label for _, label in cases]
 
 
+def test_blocks_over_the_threshold_are_found_without_names(spark):
+    from routeloom.llm.licenses import TEMPLATES, scan_licenses
+
+    texts = {1: "this work is licensed under the new general public license version 3", 2: "Licensed under the Apache License, Version 2", 3: "nothing of the kind", 4: None}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = spark.createDataFrame([(t[0], t[1], " ".join(t[2:]) or None) for t in TEMPLATES] + [("x", None, None), (None, "y", None), ("empty", " .", None)], "label string, text string, names string")
+    for templates in (TEMPLATES, table):
+        found = by_id(scan_licenses(rows, templates))
+        assert [(found[k]["labels"], found[k]["near_labels"]) for k in texts] == [("", "gpl-3"), ("apache-2", "apache-2"), ("", ""), ("", "")]
+        assert abs(found[1]["score"] - 11 / 12) < 1e-9 and found[2]["score"] == 7 / 8 and found[3]["score"] == found[4]["score"] == 0.0
+    from routeloom.llm.licenses import template_rows
+
+    with pytest.raises(ValueError):
+        template_rows(table, 5)
+
+
 def test_license_windows_by_brute_force():
     from routeloom.llm.licenses import Templates, words_of
 
@@ -271,6 +287,9 @@ def test_license_windows_by_brute_force():
             best = max((len(w) for w in windows if {x.encode() for x in names} <= w), default=0)
             if best >= 0.8 * len(own):
                 want[k] = best / len(own)
+            every = max((len(w) for w in windows), default=0)
+            found = Templates(rows, {}, 0.8).meets(words).get(k, (0.0, 0.0))[0]
+            assert found == (every / len(own) if every >= 0.8 * len(own) else 0.0)
         assert Templates(rows, {w: rng.randrange(9) for w in map(str.encode, "abcdefgh")}, 0.8).matches(words) == want
 
 
