@@ -1,7 +1,9 @@
 """URL filter: list rules, and logistic regression on hashed character n-grams of host and path.
 
-The model is trained from a small table of labelled urls; by default these are urls that the
-rules decide, up to a bound, so that what the lists know carries over to urls they don't name.
+The model is trained from a small table of labelled urls. The one that comes with the library is put
+together from words of sites that a corpus of prose has no use for (gambling, adult, pills, loans,
+pirated software) and of sites that it wants, and of invented names; the rules have no part in it,
+so the model says something of urls that they don't name. Another table can be given.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def features(host: str, path: str) -> np.ndarray:
     return np.unique(np.array(found, np.int64))
 
 
-def train(rows: list[tuple[str, str, bool]], rounds: int = 300, rate: float = 2.0, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[str, str, bool]], rounds: int = 300, rate: float = 20.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression that predicts blocking; full-batch gradient steps."""
     weights, bias = np.zeros(FEATURES), 0.0
     if not rows or len({x[2] for x in rows}) < 2:
@@ -67,26 +69,45 @@ def train(rows: list[tuple[str, str, bool]], rounds: int = 300, rate: float = 2.
     return weights, float(bias)
 
 
-def labelled_urls(pages: DataFrame, rules=RULES, limit: int = TRAINED) -> DataFrame:
-    """host, path, blocked of up to ``limit`` distinct urls that the rules decide, chosen by a hash."""
-    verdicts = F.create_map(*[F.lit(x) for r, v in rules for x in (r, v == "block")])
-    known = pages.filter("rule is not null").select("host", "path", verdicts[F.col("rule")].alias("blocked")).distinct()
-    return known.orderBy(F.xxhash64("host", "path"), "host", "path").limit(limit)
+#: What names of sites are made of: words of unwanted ones, of wanted ones, and syllables of invented names.
+UNWANTED = ("adult", "bet", "bonus", "cam", "casino", "cheap", "crack", "dating", "escort", "gamble", "jackpot", "keygen", "loan", "nude", "payday", "pills", "poker", "porn", "replica", "roulette", "sex", "slots", "torrent", "viagra", "warez", "xxx")
+WANTED = ("archive", "art", "blog", "books", "city", "docs", "film", "forum", "garden", "health", "history", "journal", "library", "museum", "music", "news", "notes", "recipes", "school", "science", "sports", "story", "travel", "university", "weather", "wiki")
+SYLLABLES = ("an", "ber", "con", "er", "ing", "ka", "lo", "mi", "on", "ra", "sh", "st", "ter", "th", "tion", "ve")
+ENDINGS = ("24", "4u", "best", "club", "free", "hub", "live", "now", "online", "shop", "win", "x")
+
+
+def labelled_table(rows: int = TRAINED) -> list[tuple[str, str, bool]]:
+    """host, path, blocked of ``rows`` made-up urls, a third of each kind; a row follows from its number."""
+    found = []
+    for k in range(rows):
+        seed = xxhash.xxh64_intdigest(b"%d" % k)
+
+        def pick(words: tuple[str, ...], n: int) -> str:
+            return words[xxhash.xxh32_intdigest(b"%d" % seed, n) % len(words)]
+
+        kind = k % 3
+        words = (UNWANTED, WANTED, SYLLABLES)[kind]
+        name = pick(words, 1) + (pick(("-", ""), 2) + pick(ENDINGS if kind == 0 or seed % 5 == 0 else words, 3) if kind < 2 else pick(words, 4) + pick(words, 5) * (seed % 2))
+        host = f"{pick(('', '', 'www.', 'm.', 'blog.', 'shop.'), 6)}{name}.{pick(('com', 'net', 'org', 'info', 'example.com', 'example.net', 'example.org', 'co.uk', 'de'), 7)}"
+        path = f"/{pick(('en', 'de', 'fr', 'es', 'page', 'article', ''), 8)}/{seed % 10_000}{pick(('', '/', '.html'), 9)}"
+        found.append((host, path, kind == 0))
+    return found
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Verdict on every url: the longest fitting rule's, else the model's.
 
     ``labelled`` (host, path, blocked): the training table, of which at most ``TRAINED`` rows
-    are used; by default :func:`labelled_urls`. Returns page_id, host, path, rule, verdict and
-    block_probability. A null url, or one without ``://``, has an empty host and path and is
-    judged by the model. Without two kinds of labels the model allows, unless all are blocked.
+    are used; by default :func:`labelled_table`. Returns page_id, host, path, rule, verdict and
+    block_probability. A null url, or one without ``://``, has an empty host and path; there is
+    nothing to judge, so it is allowed, with a probability of 0. Without two kinds of labels the
+    model allows, unless all are blocked.
     Repeated rows and null ids come back as they are; other columns are ignored.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
-    sample = (labelled_urls(rows, rules) if labelled is None else labelled.orderBy(F.xxhash64("host", "path"), "host", "path").limit(TRAINED)).collect()
-    weights, bias = train([(r["host"], r["path"], r["blocked"]) for r in sample])
+    sample = labelled_table() if labelled is None else [tuple(r) for r in labelled.select("host", "path", "blocked").orderBy(F.xxhash64("host", "path"), "host", "path").limit(TRAINED).collect()]
+    weights, bias = train(sample)
 
     @F.pandas_udf("double")
     def probability(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -95,5 +116,6 @@ def judge_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES,
             yield pd.Series([1 / (1 + np.exp(-(weights[x].sum() / np.sqrt(max(1, len(x))) + bias))) for x in found], dtype=float)
 
     blocked = F.create_map(*[F.lit(x) for r in rules for x in r])
-    scored = rows.withColumn("block_probability", probability("host", "path"))
+    named = (F.col("host") != "") | (F.col("path") != "")
+    scored = rows.withColumn("block_probability", F.when(named, probability("host", "path")).otherwise(0.0))
     return scored.select("page_id", "host", "path", "rule", F.coalesce(blocked[F.col("rule")], F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")).alias("verdict"), "block_probability")

@@ -202,6 +202,24 @@ def test_urls(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_model_of_the_labelled_table(spark):
+    """Trained without a fifth of its own table, it judges that fifth; what has nothing to judge is allowed."""
+    from routeloom.llm.urls import judge_urls, labelled_table
+
+    rows = labelled_table(2000)
+    assert rows == labelled_table(2000) and {b for _, _, b in rows} == {True, False}
+    labelled = spark.createDataFrame([x for k, x in enumerate(rows) if k % 5], "host string, path string, blocked boolean")
+    held = [x for k, x in enumerate(rows) if k % 5 == 0]
+    pages = spark.createDataFrame([(k, f"http://{h}{p}") for k, (h, p, _) in enumerate(held)] + [(-1, None), (-2, "no scheme"), (-3, "://")], "page_id long, url string")
+    found = {r["page_id"]: r for r in judge_urls(pages, labelled, rules=(("none.example/", "block"),)).collect()}
+    assert sum((found[k]["verdict"] == "block") == b for k, (_, _, b) in enumerate(held)) >= 0.95 * len(held)
+    assert all((found[k]["verdict"], found[k]["block_probability"], found[k]["rule"]) == ("allow", 0.0, None) for k in (-1, -2, -3))
+    # One kind of labels alone decides; hosts that no label is like are allowed.
+    assert {r["verdict"] for r in judge_urls(pages.filter("page_id >= 0"), labelled.filter("blocked"), rules=(("none.example/", "block"),)).collect()} == {"block"}
+    plain = spark.createDataFrame([(1, "http://xnet/"), (2, "https://www.lomiter.example.org/en/1"), (3, "https://www.casino-live.example.com/en/1")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in judge_urls(plain).collect()} == {1: "allow", 2: "allow", 3: "block"}
+
+
 def test_url_model_on_held_out_urls(spark):
     from routeloom.llm.urls import judge_urls
 
