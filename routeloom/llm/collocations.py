@@ -13,7 +13,9 @@ which both parts may be frequent: that is told by bitmaps of the frequent phrase
 err to one side, so no frequent phrase is missed; what they let pass in vain the threshold drops.
 
 What goes to all tasks is bounded: ``dense`` ranked phrases and ``2 ** filter_bits`` bits a round.
-Inside a block phrases are told apart by exact symbol numbers, between blocks by their strings.
+Inside a block phrases are told apart by symbol numbers, between blocks by the 64-bit hashes of
+their words; all words' hashes are compared first, and salted anew if two words share one, so
+they stand for the words exactly.
 """
 
 from __future__ import annotations
@@ -40,18 +42,18 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _END = b" . "
 #: Bytes of a block: what one task counts at a time.
 _BLOCK = 1 << 22
-_ROWS, _HASHED = "lang string, phrase string, n long, h long", "h long, n long"
+_ROWS = "lang string, phrase string, n long, h long"
 
 
 class _Block:
     """Words of some texts of one language as symbol numbers; a sign that ends a piece is the symbol of ``.``."""
 
-    def __init__(self, lang: str, parts: list[bytes]):
+    def __init__(self, lang: str, parts: list[bytes], salt: int):
         self.lang = lang
         flat = pa.compute.ascii_split_whitespace(pa.array([_END.join(parts).strip()], pa.string())).flatten()
         coded = flat.filter(pa.compute.not_equal(flat, "")).dictionary_encode()
         self.words, self.symbols = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        seed = xxhash.xxh3_64_intdigest(lang.encode())
+        seed = xxhash.xxh3_64_intdigest(lang.encode(), salt)
         self.hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in self.words.cast(pa.binary()).to_pylist()], np.uint64)
         self.end = self.words.index(".").as_py()
         ends = np.append(np.flatnonzero(self.symbols == self.end), len(self.symbols))
@@ -59,12 +61,8 @@ class _Block:
         #: How many words are left in the piece from each one on; none at a sign.
         self.left = ends[np.searchsorted(ends, places)] - places
 
-    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
-        """The phrases of ``n`` words that begin at the places ``at``."""
-        return pa.compute.binary_join_element_wise(*[self.words.take(pa.array(self.symbols[at + k])) for k in range(n)], " ")
 
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[_Block]:
     """Blocks of about ``_BLOCK`` bytes; a text that is longer is cut at the end of a piece."""
     held: dict[str, list[bytes]] = defaultdict(list)
     sizes: dict[str, int] = defaultdict(int)
@@ -76,9 +74,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
                 full = [lang] if sizes[lang] >= _BLOCK else list(held) if sum(sizes.values()) >= 4 * _BLOCK else []
                 for one in full:
                     del sizes[one]
-                    yield _Block(one, held.pop(one))
+                    yield _Block(one, held.pop(one), salt)
     for lang, parts in held.items():
-        yield _Block(lang, parts)
+        yield _Block(lang, parts, salt)
 
 
 def _cut(text: bytes) -> Iterator[bytes]:
@@ -93,18 +91,24 @@ def _cut(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _batch(lang: str, phrases: pa.Array | None, counts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-    """Rows of ``_ROWS``, or of ``_HASHED`` if there are no phrases."""
-    counts, hashes = counts.astype(np.int64), hashes.view(np.int64)
-    if phrases is None:
-        return pa.record_batch([hashes, counts], names=["h", "n"])
-    return pa.record_batch([pa.array([lang] * len(counts), pa.string()), phrases, counts, hashes], names=["lang", "phrase", "n", "h"])
+def _word_rows(salt: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, salt):
+            own = np.flatnonzero(np.arange(len(block.hashes)) != block.end)
+            counts = np.bincount(block.symbols, minlength=len(block.hashes))[own]
+            columns = [pa.array([block.lang] * len(own), pa.string()), block.words.take(pa.array(own)), pa.array(counts, pa.int64()), block.hashes[own].view(np.int64)]
+            yield pa.record_batch(columns, names=["lang", "phrase", "n", "h"])
+
+    return rows
+
+
+def _names(k: int) -> list[str]:
+    return [f"w{j}" for j in range(1, k + 1)]
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        own = np.flatnonzero(np.arange(len(block.hashes)) != block.end)
-        yield _batch(block.lang, block.words.take(pa.array(own)), np.bincount(block.symbols, minlength=len(block.hashes))[own], block.hashes[own])
+def _phrase_batch(words: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+    """Counts of phrases given by the hashes of their words."""
+    return pa.record_batch([*(w.view(np.int64) for w in words), counts.astype(np.int64)], names=[*_names(len(words)), "n"])
 
 
 def _passes(bits: bytes, hashes: np.ndarray) -> np.ndarray:
@@ -145,24 +149,39 @@ def _step(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(hashes * _GOLDEN + words)
 
 
-def _pair_rows(k: int, ranks: list, filters, side: int, hashed: bool):
-    """Counts of phrases of ``k`` words; ``ranks`` of words and of phrases of k - 1 words, ``filters`` of all shorter ones, and of these if there is one.
+def _phrase_hash(words: list[np.ndarray]) -> np.ndarray:
+    out = words[0]
+    for w in words[1:]:
+        out = _step(out, w)
+    return out
 
-    If ``hashed``, only the phrases' hashes leave a task.
-    """
-    heads = [{(lang, phrase): n for n, (lang, phrase, _) in enumerate(found)} for found in ranks]
-    known = [np.array([h for _, _, h in found], np.int64).view(np.uint64) for found in ranks]
-
-    def rank_of(block: _Block, which: int, n: int, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Ranks (-1: none) of the symbols that stand at ``first``; hashes only spare the look-ups."""
-        out = np.full(len(first), -1, np.int64)
-        some = np.flatnonzero(np.isin(hashes, known[which]))
-        out[some] = [heads[which].get((block.lang, phrase), -1) for phrase in block.phrases(first[some], n).to_pylist()]
+
+def _with_hash(k: int):
+    """Adds ``h``, the hash of phrases of ``k`` words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in _names(k)]
+            yield batch.append_column("h", pa.array(_phrase_hash(words).view(np.int64)))
+
+    return rows
+
+
+def _pair_rows(k: int, ranks: list[np.ndarray], filters, side: int, salt: int):
+    """Counts of phrases of ``k`` words; ``ranks``: the hashes of the words of frequent words and of frequent phrases of k - 1 words, a row for each rank; ``filters``: of all shorter phrases."""
+    hashes_of = [_phrase_hash(list(found.T)) for found in ranks]
+    rank = [{tuple(row): n for n, row in enumerate(found.tolist())} for found in ranks]
+
+    def rank_of(which: int, words: list[np.ndarray]) -> np.ndarray:
+        """Ranks (-1: none) of symbols given by their words' hashes."""
+        out = np.full(len(words[0]), -1, np.int64)
+        some = np.flatnonzero(np.isin(_phrase_hash(words), hashes_of[which]))
+        out[some] = [rank[which].get(x, -1) for x in zip(*(w[some].tolist() for w in words))]
         return out
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, tiles = filters.value, _Tiles(side)
-        for block in _blocks(batches):
+        for block in _blocks(batches, salt):
             symbols, hashes_at = block.symbols, block.hashes[block.symbols]
             frequent = _passes(bits[0], block.hashes)
             if block.end is not None:
@@ -173,21 +192,17 @@ def _pair_rows(k: int, ranks: list, filters, side: int, hashed: bool):
                 here = np.zeros(len(symbols) + 1, bool)
                 here[place] = True
                 place = place[(block.left[place] >= j) & here[place + 1]]
-                step = _step(hashes[place], hashes_at[place + j - 1])
                 if j < k:
                     _, unique = np.unique(sym[place] << 32 | symbols[place + j - 1], return_inverse=True)
+                    step = _step(hashes[place], hashes_at[place + j - 1])
                     sym, hashes = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), np.uint64)
                     sym[place], hashes[place] = unique, step
-                if len(bits) >= j:
                     place = place[_passes(bits[j - 1], step)]
             if not len(place):
                 continue
-            first = np.zeros(len(block.hashes), np.int64)
-            first[symbols[::-1]] = np.arange(len(symbols))[::-1]
-            word_rank = rank_of(block, 0, 1, first, block.hashes)
             lefts, first, inverse = np.unique(sym[place], return_index=True, return_inverse=True)
-            left_rank = word_rank[lefts] if k == 2 else rank_of(block, 1, k - 1, place[first], hashes[place[first]])
-            a, b = left_rank[inverse], word_rank[symbols[place + k - 1]]
+            a = rank_of(len(ranks) - 1, [hashes_at[place[first] + j] for j in range(k - 1)])[inverse]
+            b = rank_of(0, [block.hashes])[symbols[place + k - 1]]
             ranked = np.flatnonzero((a >= 0) & (b >= 0))
             sparse = np.ones(len(place), bool)
             sparse[ranked[tiles.add(a[ranked], b[ranked])]] = False
@@ -195,14 +210,9 @@ def _pair_rows(k: int, ranks: list, filters, side: int, hashed: bool):
             _, first, counts = np.unique(sym[place] << 32 | symbols[place + k - 1], return_index=True, return_counts=True)
             at = place[first]
             for x in range(0, len(at), 1 << 16):
-                now = at[x : x + (1 << 16)]
-                yield _batch(block.lang, None if hashed else block.phrases(now, k), counts[x : x + (1 << 16)], _step(hashes[now], hashes_at[now + k - 1]))
+                yield _phrase_batch([hashes_at[at[x : x + (1 << 16)] + j] for j in range(k)], counts[x : x + (1 << 16)])
         for a, b, counts in tiles.rows():
-            langs = np.array([ranks[-1][x][0] for x in a.tolist()], object)
-            for lang in sorted(set(langs)):
-                own = np.flatnonzero(langs == lang)
-                phrases = None if hashed else pa.array([f"{ranks[-1][x][1]} {ranks[0][y][1]}" for x, y in zip(a[own].tolist(), b[own].tolist())], pa.string())
-                yield _batch(lang, phrases, counts[own], _step(known[-1][a[own]], known[0][b[own]]))
+            yield _phrase_batch([*ranks[-1][a].T, ranks[0][b, 0]], counts)
 
     return rows
 
@@ -218,42 +228,42 @@ def _bitmap(frequent: DataFrame, bits: int) -> bytes:
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int, dense: int = 2048, side: int = 512, filter_bits: int = 24) -> tuple[DataFrame, list[DataFrame]]:
-    """All words' counts (lang, phrase, n), and by length the phrases (lang, phrase, n, h) that occur ``least`` times; ``docs``: lang, text.
-
-    Where over a quarter of all words begins a phrase that a round may add a word to, the round first
-    adds up the pairs' hashes alone, whose sums are no less than the pairs' own, and then counts
-    the pairs of which the hash is frequent. The result is the same.
-    """
+    """All words' counts (lang, phrase, n, h), and by length the phrases (lang, phrase, n) that occur ``least`` times; ``docs``: lang, text."""
     spark = docs.sparkSession
-
-    def added(rows) -> DataFrame:
-        return docs.mapInArrow(rows, _ROWS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("h").alias("h"))
-
-    def top(found: DataFrame) -> list:
-        return [tuple(r) for r in found.orderBy(F.desc("n"), "lang", "phrase").limit(dense).select("lang", "phrase", "h").collect()]
-
-    def total(found: DataFrame) -> int:
-        return found.agg(F.sum("n")).first()[0] or 0
-
-    words = materialize(added(_word_rows), "words")
-    frequent = [words.filter(F.col("n") >= least)]
-    first, bits, all_ = top(frequent[0]), [_bitmap(frequent[0], filter_bits)], total(words)
-    latest = first
+    salt = 0
+    while True:
+        words = docs.mapInArrow(_word_rows(salt), _ROWS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("h").alias("h"))
+        words = materialize(words, "words")
+        if not words.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").take(1):
+            break
+        salt += 1
+    kept = materialize(words.filter(F.col("n") >= least), "frequent-words")
+    names = {c: kept.select(F.col("h").alias(c), "lang", F.col("phrase").alias(f"_{c}")) for c in _names(longest)}
+
+    def top(found: DataFrame, k: int) -> np.ndarray:
+        """The words' hashes of the ``dense`` most frequent phrases."""
+        rows = found.orderBy(F.desc("n"), *_names(k)).limit(dense).select(*_names(k)).collect()
+        return np.array([tuple(r) for r in rows], np.int64).reshape(-1, k).view(np.uint64)
+
+    level = kept.select(F.col("h").alias("w1"), "n")
+    first = latest = top(level, 1)
+    bits, frequent = [_bitmap(kept, filter_bits)], [kept.select("lang", "phrase", "n")]
     for k in range(2, longest + 1):
-        ranks, own = [first] if k == 2 else [first, latest], bits
-        if 4 * total(frequent[-1]) > all_:
-            held = spark.sparkContext.broadcast(bits)
-            sums = docs.mapInArrow(_pair_rows(k, ranks, held, side, True), _HASHED).groupBy("h").agg(F.sum("n").alias("n"))
-            own = [*bits, _bitmap(materialize(sums.filter(F.col("n") >= least), "hashes"), filter_bits)]
-            held.unpersist()
-        held = spark.sparkContext.broadcast(own)
-        frequent.append(materialize(added(_pair_rows(k, ranks, held, side, False)).filter(F.col("n") >= least), "phrases"))
+        held = spark.sparkContext.broadcast(bits)
+        rows = docs.mapInArrow(_pair_rows(k, [first] if k == 2 else [first, latest], held, side, salt), ", ".join(f"{c} long" for c in [*_names(k), "n"]))
+        level = materialize(rows.groupBy(*_names(k)).agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
         held.unpersist()
-        latest = top(frequent[-1])
-        if not latest:
+        named_ = level
+        for c in _names(k):
+            # A word's hash tells its language too.
+            named_ = named_.join(names[c] if c == "w1" else names[c].drop("lang"), c)
+        frequent.append(materialize(named_.select("lang", F.concat_ws(" ", *[f"_{c}" for c in _names(k)]).alias("phrase"), "n"), "phrases"))
+        latest = top(level, k)
+        if not len(latest):
             break
-        bits = [*bits, _bitmap(frequent[-1], filter_bits)]
-    return words.select("lang", "phrase", "n"), frequent
+        hashed = level.select(*_names(k)).mapInArrow(_with_hash(k), ", ".join(f"{c} long" for c in [*_names(k), "h"]))
+        bits = [*bits, _bitmap(hashed, filter_bits)]
+    return words, frequent
 
 
 def collocations(
@@ -274,7 +284,7 @@ def collocations(
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     counts = frequent[0].select("lang", "phrase", F.lit(1).alias("words"), "n")
     for k, more in enumerate(frequent[1:], 2):
-        counts = counts.unionByName(more.select("lang", "phrase", F.lit(k).alias("words"), "n"))
+        counts = counts.unionByName(more.withColumn("words", F.lit(k)))
     candidates = counts.filter("words > 1").withColumnRenamed("n", "a").withColumn("list", F.split("phrase", " "))
 
     def span(start, n) -> F.Column:
