@@ -108,11 +108,16 @@ def _walked(rows: pd.DataFrame) -> pd.DataFrame:
     while now != start:
         path.append(now)
         last, now = now, next((v for v in near[now] if v != last), start)
-    if len(path) != len(near) or len(path) > 2 and any(len(v) != 2 for v in near.values()):
-        raise ValueError(f"tour {rows['tour_id'].iloc[0]}: {len(near)} nodes, of which {len(path)} are on the cycle of node {start}")
     return pd.DataFrame({"tour_id": rows["tour_id"].iloc[0], "pos": range(len(path)), "node": path})
 
 
+def _check_whole(sizes: DataFrame, tours: DataFrame) -> None:
+    """Raise an error if a tour hasn't the ``n`` nodes that its edges have."""
+    found = tours.groupBy("tour_id").agg(F.count("*").alias("found"))
+    if off := sizes.join(found, "tour_id", "left").filter("found is null or found != n").take(1):
+        raise ValueError(f"the edges of tour {off[0]['tour_id']} aren't one cycle of its {off[0]['n']} nodes")
+
+
 def edges_to_tour(edges: DataFrame) -> DataFrame:
     """tour_id, pos, node of tours given as edges (i, j, and tour_id if there are several).
 
@@ -125,8 +130,14 @@ def edges_to_tour(edges: DataFrame) -> DataFrame:
     e = edges if "tour_id" in edges.columns else edges.withColumn("tour_id", F.lit(0).cast("long"))
     both = e.select("tour_id", F.col("i").alias("u"), F.col("j").alias("v")).unionByName(e.select("tour_id", F.col("j").alias("u"), F.col("i").alias("v"))).filter("u != v").distinct()
     both = materialize(both.select(F.col("tour_id").cast("long").alias("tour_id"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "ends")
-    sizes = materialize(both.groupBy("tour_id").agg(F.count_distinct("u").alias("n"), (F.count("*") <= max(2 * LOCAL_TOUR, 2)).alias("short")), "tour-sizes")
+    degrees = both.groupBy("tour_id", "u").agg(F.count("*").alias("d"))
+    sizes = degrees.groupBy("tour_id").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+    sizes = materialize(sizes.withColumn("short", F.col("n") <= max(LOCAL_TOUR, 2)), "tour-sizes")
+    if off := sizes.filter("n > 2 and (low != 2 or high != 2)").take(1):
+        raise ValueError(f"the edges of tour {off[0]['tour_id']} aren't one cycle: a node has {off[0]['low']} and one {off[0]['high']} of them")
     walked = both.join(sizes.filter("short").select("tour_id"), "tour_id").groupBy("tour_id").applyInPandas(_walked, "tour_id long, pos long, node long")
+    walked = materialize(walked, "walked")
+    _check_whole(sizes.filter("short"), walked)
     longest = sizes.filter("not short").agg(F.max("n")).first()[0]
     if longest is None:
         return walked
@@ -142,6 +153,6 @@ def edges_to_tour(edges: DataFrame) -> DataFrame:
         now = materialize(now.filter("next is null").unionByName(open_), "arcs")
     chain = now.filter("next is null")
     last = chain.groupBy("tour_id").agg(F.max("far").alias("last"))
-    if off := sizes.filter("not short").join(last, "tour_id", "left").filter("last is null or last + 1 != n").take(1):
-        raise ValueError(f"the edges of tour {off[0]['tour_id']} aren't one cycle of its {off[0]['n']} nodes")
-    return walked.unionByName(chain.join(last, "tour_id").select("tour_id", (F.col("last") - F.col("far")).alias("pos"), F.col("u").alias("node")))
+    found = materialize(chain.join(last, "tour_id").select("tour_id", (F.col("last") - F.col("far")).alias("pos"), F.col("u").alias("node")), "placed")
+    _check_whole(sizes.filter("not short"), found)
+    return walked.unionByName(found)

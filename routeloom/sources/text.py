@@ -305,8 +305,11 @@ def _cut_records(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file, text in zip(part["file"], part["value"]):
             tokens, out, cut = iter(map(int, text.split())), [], 0
             for n_cliques in tokens:
-                cliques = [[next(tokens) for _ in range(next(tokens))] for _ in range(n_cliques)]
-                rhs = next(tokens)
+                try:
+                    cliques = [[next(tokens) for _ in range(next(tokens))] for _ in range(n_cliques)]
+                    rhs = next(tokens)
+                except (StopIteration, RuntimeError):
+                    raise ValueError(f"{file}: the last cut isn't complete") from None
                 out += [(file, cut, rhs, k, node) for k, nodes in enumerate(cliques) for node in nodes]
                 cut += 1
                 if len(out) > 100_000:
@@ -315,15 +318,79 @@ def _cut_records(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=names)
 
 
-def read_cuts(spark: SparkSession, path: str, tour: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _reached(start: DataFrame, follow: DataFrame, carried: list[str], within: Column | None = None) -> DataFrame:
+    """file, k and the ``carried`` columns of all that ``start`` leads to by ``follow`` (file, k, to), itself included.
+
+    Each round adds what the steps so far lead to from all that is known, and doubles the steps.
+    """
+    known, steps = materialize(start.select("file", "k", *carried), "reached"), materialize(follow, "steps")
+    count = known.count()
+    while True:
+        more = known.join(steps, ["file", "k"]).select("file", F.col("to").alias("k"), *carried)
+        known = materialize(known.unionByName(more if within is None else more.filter(within)).distinct(), "reached")
+        before, count = count, known.count()
+        if count == before:
+            return known
+        steps = materialize(_after(steps, steps), "steps")
+
+
+def _after(first: DataFrame, then: DataFrame) -> DataFrame:
+    """file, k, to: both steps, one after the other."""
+    return first.withColumnRenamed("to", "_via").join(then.withColumnsRenamed({"k": "_via", "to": "to"}), ["file", "_via"]).select("file", "k", "to")
+
+
+def _long_cut_records(lines: DataFrame) -> DataFrame:
+    """As :func:`_cut_records`, of files given as ``lines`` (file, value, file_block_start, at) that many tasks read.
+
+    Every number is taken for the size of a clique, whose end is then known, and for the number of a
+    cut's cliques, which is as many such steps, put together from doubled ones. The records are what
+    the first number of a file leads to.
+    """
+    words = lines.select("file", "file_block_start", "at", F.posexplode(F.split("value", r"\s+")).alias("place", "t"))
+    tokens = materialize(ranked(words, ["file_block_start", "at", "place"], ["file"], "k").select("file", "k", F.col("t").cast("long").alias("v")), "tokens")
+    ends = tokens.groupBy("file").agg(F.max("k").alias("last"))
+    inside = tokens.join(ends, "file")
+    clique = materialize(inside.filter((F.col("v") >= 0) & (F.col("k") + F.col("v") + 1 <= F.col("last"))).select("file", "k", (F.col("k") + F.col("v") + 1).alias("to")), "clique-steps")
+    # Where the cliques of a cut that begins at k end: its right-hand side.
+    open_, steps, done = inside.filter((F.col("v") >= 0) & (F.col("k") < F.col("last"))).select("file", "k", F.col("v").alias("left"), (F.col("k") + 1).alias("to")), clique, None
+    while True:
+        odd = open_.filter("left % 2 = 1").withColumnRenamed("to", "_at").join(steps.withColumnRenamed("k", "_at"), ["file", "_at"]).drop("_at")
+        open_ = materialize(open_.filter("left % 2 = 0").unionByName(odd.select("file", "k", "left", "to")).withColumn("left", F.floor(F.col("left") / 2)), "cut-steps")
+        part = open_.filter("left = 0").select("file", "k", "to")
+        done = part if done is None else done.unionByName(part)
+        open_ = open_.filter("left > 0")
+        if not open_.take(1):
+            break
+        steps = materialize(_after(steps, steps), "clique-steps")
+    rhs = materialize(done.withColumnRenamed("to", "rhs_at"), "cut-ends")
+    following = rhs.join(ends, "file").filter("rhs_at < last").select("file", "k", (F.col("rhs_at") + 1).alias("to"))
+    starts = _reached(ends.select("file", F.lit(0).cast("long").alias("k")), following, [])
+    cuts = materialize(ranked(starts.join(rhs, ["file", "k"], "left").select("file", "k", "rhs_at"), ["k"], ["file"], "cut"), "cut-starts")
+    torn = cuts.groupBy("file").agg(F.max("rhs_at").alias("end"), F.count_if(F.col("rhs_at").isNull()).alias("open")).join(ends, "file").filter("open > 0 or end != last").take(1)
+    if torn:
+        raise ValueError(f"{torn[0]['file']}: the last cut isn't complete")
+    values = tokens.select("file", F.col("k").alias("rhs_at"), F.col("v").cast("int").alias("rhs"))
+    named = cuts.join(values, ["file", "rhs_at"]).select("file", (F.col("k") + 1).alias("k"), "cut", "rhs", "rhs_at")
+    cliques = _reached(named.filter("k < rhs_at"), clique, ["cut", "rhs", "rhs_at"], F.col("k") < F.col("rhs_at"))
+    placed = ranked(cliques, ["k"], ["file", "cut"], "clique").join(clique, ["file", "k"])
+    members = placed.filter("to > k + 1").select("file", "cut", "rhs", "clique", F.explode(F.sequence(F.col("k") + 1, F.col("to") - 1)).alias("k"))
+    return members.join(tokens, ["file", "k"]).select("file", "cut", "rhs", "clique", F.col("v").alias("node"))
+
+
+def read_cuts(spark: SparkSession, path: str, tour: DataFrame | None = None, whole_bytes: int = 1 << 24) -> tuple[DataFrame, DataFrame, DataFrame]:
     """cuts(cut_id, sense, rhs), cut_cliques(cut_id, clique_id) and members(clique_id, node) of cut files.
 
     For each cut a file has the number of its cliques, for each clique its size and nodes, then the
-    right-hand side; the sense is G. With a ``tour`` nodes are replaced by their positions in it. A
-    file is read in one task, as records have no marks; many files are read side by side.
+    right-hand side; the sense is G. With a ``tour`` nodes are replaced by their positions in it.
+    Records have no marks: a file of up to ``whole_bytes`` is read in one task, as others are side by
+    side with it, and a longer one in many (see :func:`_long_cut_records`). An incomplete last cut
+    is an error. Cuts and cliques without a node don't come back.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    rows = materialize(files.mapInPandas(_cut_records, "file string, cut long, rhs int, clique long, node long"), "cut-records")
+    sized = F.col("_metadata.file_size")
+    files = spark.read.text(path, wholetext=True).filter(sized <= whole_bytes).select(F.col("_metadata.file_path").alias("file"), "value")
+    short = files.mapInPandas(_cut_records, "file string, cut long, rhs int, clique long, node long")
+    lines = spark.read.text(path).filter(sized > whole_bytes).select(F.col("_metadata.file_path").alias("file"), F.btrim("value", F.lit(" \t\r")).alias("value"), "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).filter("value != ''")
+    rows = materialize(short.unionByName(_long_cut_records(materialize(lines, "cut-lines"))) if lines.take(1) else short, "cut-records")
     numbered = materialize(ranked(rows.select("file", "cut", "rhs").distinct(), ["file", "cut"], name="cut_id"), "cuts")
     links = materialize(ranked(rows.select("file", "cut", "clique").distinct().join(numbered.select("file", "cut", "cut_id"), ["file", "cut"]), ["cut_id", "clique"], name="clique_id"), "cut-cliques")
     members = rows.join(links, ["file", "cut", "clique"]).select("clique_id", "node")

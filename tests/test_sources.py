@@ -117,6 +117,34 @@ def test_more_files(spark, tmp_path):
         write_tour(tour, str(tmp_path / "y"), "other")
 
 
+def test_long_cut_files(spark, tmp_path):
+    """A file that many tasks read is the same table as when one task reads it, whatever its lines are."""
+    import random
+
+    from routeloom.sources.text import read_cuts
+
+    rng = random.Random(7)
+    folder = tmp_path / "cuts"
+    folder.mkdir()
+    for name in "ab":
+        tokens = []
+        for _ in range(40):
+            cliques = [[rng.randrange(1, 6) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 6))]  # small numbers look like sizes
+            tokens += [len(cliques), *[x for c in cliques for x in (len(c), *c)], 2 * len(cliques)]
+        text = "".join(str(x) + rng.choice([" ", " ", "\n", "\n\n", "\t"]) for x in tokens)
+        (folder / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400b")
+    try:
+        found = [[sorted(map(tuple, t.collect())) for t in read_cuts(spark, str(folder), None, size)] for size in (1 << 24, 0)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and len(found[0][0]) == 80
+    (tmp_path / "torn").write_text("1 2 3 4 2\n2 1 5\n3 1")
+    for size in (1 << 24, 0):
+        with pytest.raises(Exception, match="isn't complete"):
+            read_cuts(spark, str(tmp_path / "torn"), None, size)[0].collect()
+
+
 def test_off_one_machine_a_shared_folder_has_to_be_named():
     from types import SimpleNamespace
 
