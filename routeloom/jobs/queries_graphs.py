@@ -220,6 +220,14 @@ def shortest_links(spark, d):
     return _links(spark, d, "nearest", 16)
 
 
+@query("segments_without_shorter_turns", f"{sql('tours')} SELECT tour_id, CAST(0 AS BIGINT) AS n_turns FROM tours GROUP BY tour_id")
+def segments_without_shorter_turns(spark, d):
+    """What 2-opt moves over all pairs of edges are left in the improved segments: none."""
+    tour, nodes = fixture(spark, d, "tours"), fixture(spark, d, "points")
+    better = materialize(partition.improve_segments(tour, nodes, "EUC_2D", 16, near=40), "better")
+    return partition.shortening_turns(better, nodes, "EUC_2D").groupBy("tour_id").agg(F.sum("n_turns").alias("n_turns"))
+
+
 @query("improve_segments", f"{sql('tours')} SELECT tour_id, count(*) AS n, count(*) AS n_nodes, true AS no_longer FROM tours GROUP BY tour_id")
 def improve_segments(spark, d):
     tour, nodes = fixture(spark, d, "tours"), fixture(spark, d, "points")

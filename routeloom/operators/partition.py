@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.norms import ARRAY_NORMS, length_col
 from ..jobs.session import materialize
+from .improve import shorter_path
 from .neighbors import nearest_of_group
 from .ranking import ranked
 from .tours import edges_to_tour, path_length, steps, tour_segments
@@ -204,48 +204,29 @@ def stitch_tours(tours: DataFrame, order: DataFrame, nodes: DataFrame, norm: str
     return edges_to_tour(materialize(kept.unionByName(made), "stitched"))
 
 
-def _two_opt(norm: str):
+def _shorter(norm: str, near: int):
     """A segment's nodes in a better order, the first and the last fixed."""
 
     def improved(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos").reset_index(drop=True)
-        n = len(rows)
-        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
-        d = ARRAY_NORMS[norm](x[:, None] - x[None, :], y[:, None] - y[None, :])
-        at = np.arange(n)
-        better = n > 3
-        while better:
-            better = False
-            for i in range(1, n - 2):
-                j = np.arange(i + 1, n - 1)  # reverse at[i..j]
-                gain = d[at[i - 1], at[i]] + d[at[j], at[j + 1]] - d[at[i - 1], at[j]] - d[at[i], at[j + 1]]
-                if len(j) and gain.max() > 0:
-                    k = int(j[gain.argmax()])
-                    at[i : k + 1] = at[i : k + 1][::-1].copy()
-                    better = True
-            for i in range(1, n - 1):  # move one node to another place
-                rest = np.delete(at, i)
-                away = d[at[i - 1], at[i]] + d[at[i], at[i + 1]] - d[at[i - 1], at[i + 1]]
-                into = d[rest[:-1], at[i]] + d[at[i], rest[1:]] - d[rest[:-1], rest[1:]]
-                if away - into.min() > 0:
-                    at = np.insert(rest, int(into.argmin()) + 1, at[i])
-                    better = True
-        rows["node"] = rows["node"].to_numpy()[at]
+        rows["node"] = rows["node"].to_numpy()[shorter_path(rows["x"].to_numpy(), rows["y"].to_numpy(), norm, near)]
         return rows[["tour_id", "seg_id", "pos", "node"]]
 
     return improved
 
 
-def improve_segments(tour: DataFrame, nodes: DataFrame, norm: str, bucket: int = 1000, first: int | None = None) -> DataFrame:
-    """tour_id, seg_id, pos, node: each segment of ``bucket`` nodes improved by 2-opt moves and moves of single nodes, both ends fixed.
+def improve_segments(tour: DataFrame, nodes: DataFrame, norm: str, bucket: int = 1000, first: int | None = None, near: int = 10) -> DataFrame:
+    """tour_id, seg_id, pos, node: each segment of ``bucket`` nodes improved by 2-opt and 2.5-opt moves, both ends fixed.
 
-    A segment is never longer than before; :func:`concat_segments` joins them again.
+    Moves make an edge between a node and one of its ``near`` nearest in the segment; at the end none
+    of them makes it shorter. A segment's task holds memory for its nodes and their lists alone. A
+    segment is never longer than before; :func:`concat_segments` joins them again.
     """
     if norm not in ARRAY_NORMS:
         raise ValueError(f"norm {norm!r} isn't one of {sorted(ARRAY_NORMS)}")
     rows = tour_segments(tour, bucket, first).join(nodes.select(F.col("id").alias("node"), "x", "y"), "node")
     rows = rows.select("tour_id", "seg_id", F.col("pos").cast("long").alias("pos"), F.col("node").cast("long").alias("node"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy("tour_id", "seg_id").applyInPandas(_two_opt(norm), rows.select("tour_id", "seg_id", "pos", "node").schema)
+    return rows.groupBy("tour_id", "seg_id").applyInPandas(_shorter(norm, near), rows.select("tour_id", "seg_id", "pos", "node").schema)
 
 
 def segment_index(tour: DataFrame, nodes: DataFrame, norm: str, bucket: int, first: int | None = None) -> DataFrame:
@@ -258,6 +239,20 @@ def segment_index(tour: DataFrame, nodes: DataFrame, norm: str, bucket: int, fir
     return begins.join(paths.select("tour_id.*", F.col("len").alias("origlen")), ["tour_id", "seg_id"]).select("tour_id", "seg_id", "cnt", "start", "origlen")
 
 
+def shortening_turns(segments: DataFrame, nodes: DataFrame, norm: str) -> DataFrame:
+    """tour_id, seg_id, n_turns: how many pairs of edges of each of ``segments(tour_id, seg_id, pos, node)`` could be replaced to make it shorter by turning what is between them."""
+    point = nodes.select(F.col("id").alias("node"), F.struct("x", "y").alias("p"))
+    rows = segments.join(point, "node").select("tour_id", "seg_id", "pos", "p")
+    after = rows.select("tour_id", "seg_id", (F.col("pos") - 1).alias("pos"), F.col("p").alias("q"))
+    edges = rows.join(after, ["tour_id", "seg_id", "pos"])
+    a = edges.select("tour_id", "seg_id", F.col("pos").alias("a"), F.col("p").alias("p1"), F.col("q").alias("q1"))
+    b = edges.select("tour_id", "seg_id", F.col("pos").alias("b"), F.col("p").alias("p2"), F.col("q").alias("q2"))
+    cost = lambda s, t: length_col(norm, F.col(s), F.col(t))
+    gain = cost("p1", "q1") + cost("p2", "q2") - cost("p1", "p2") - cost("q1", "q2")
+    found = a.join(b, ["tour_id", "seg_id"]).filter("b > a + 1").groupBy("tour_id", "seg_id").agg(F.count_if(gain > 0).alias("n_turns"))
+    return segments.select("tour_id", "seg_id").distinct().join(found, ["tour_id", "seg_id"], "left").select("tour_id", "seg_id", F.coalesce("n_turns", F.lit(0)).alias("n_turns"))
+
+
 def concat_segments(segments: DataFrame) -> DataFrame:
     """tour_id, pos, node of ``segments(tour_id, seg_id, pos, node)``: positions run on from one segment to the next."""
     sizes = segments.groupBy("tour_id", "seg_id").agg(F.count("*").alias("n"), F.min("pos").alias("low"))

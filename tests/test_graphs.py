@@ -92,6 +92,30 @@ def test_segments_never_get_longer(spark):
     assert whole.select("node").distinct().count() == 60 == whole.count() and tour_length(whole, nodes, "EUC_2D").first()["len"] > 0
 
 
+@pytest.mark.parametrize("norm", ["EUC_2D", "MAN_2D", "CEIL_2D"])
+def test_shorter_paths(norm):
+    import numpy as np
+
+    from routeloom.functions.norms import ARRAY_NORMS
+    from routeloom.operators.improve import nearest_lists, shorter_path
+
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 4, 5, 60, 300):
+        x, y = (rng.integers(0, 200, n).astype(float) for _ in range(2))
+        x[n // 2 :: 7] = x[0]
+        if n == 300:
+            x[5], y[5] = 1e6, 1e6
+        d = ARRAY_NORMS[norm](x[:, None] - x[None, :], y[:, None] - y[None, :])
+        for k in (4, n):
+            wanted = [[b for b in np.lexsort((np.arange(n), d[a])).tolist() if b != a][:k] for a in range(n)]
+            assert [[d[a, b] for b in row] for a, row in enumerate(nearest_lists(x, y, k, norm))] == [[d[a, b] for b in row] for a, row in enumerate(wanted)]
+            at = shorter_path(x, y, norm, k)
+            assert sorted(at.tolist()) == list(range(n)) and at[0] == 0 and at[-1] == n - 1
+            assert d[at[:-1], at[1:]].sum() <= d[np.arange(n - 1), np.arange(1, n)].sum()
+        left = [(i, j) for i in range(n - 1) for j in range(i + 2, n - 1) if d[at[i], at[i + 1]] + d[at[j], at[j + 1]] > d[at[i], at[j]] + d[at[i + 1], at[j + 1]]]
+        assert not left  # with all nodes as neighbours no 2-opt move is left
+
+
 def test_blossoms_and_classes(spark):
     from routeloom.operators.cuts import cut_slack
     from routeloom.operators.pool import classify_cuts, fast_blossoms, gh_blossoms
