@@ -207,12 +207,26 @@ def read_token_shards(spark: SparkSession, path: str, with_ids: bool = True) ->
 
 
 def read_tokens(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """The ids of one document; of its shard only the symbols that it touches are expanded."""
-    shards = spark.read.schema(SHARD).parquet(path).filter(F.col("first_did") <= doc_id).orderBy(F.desc("part"), F.desc("no")).limit(1)
-    for row in (r.asDict() for r in shards.collect()):
+    """The ids of one document; of its shard only the symbols that it touches are expanded.
+
+    The shards that may hold it are found by their narrow columns: the last one that begins with a
+    smaller id, and those that begin with this one. ``KeyError`` if no document has the id,
+    ``ValueError`` if several have.
+    """
+    shards = spark.read.schema(SHARD).parquet(path)
+    order = [F.desc("part"), F.desc("no")]
+    below = shards.filter(F.col("first_did") < doc_id).select("part", "no").orderBy(*order).limit(1).collect()
+    same = shards.filter(F.col("first_did") == doc_id).select("part", "no").orderBy(*order).limit(2).collect()
+    found: list[list[int]] = []
+    for part, no in (tuple(r) for r in [*below, *same]):
+        row = shards.filter((F.col("part") == part) & (F.col("no") == no)).first().asDict()
         dids = np.frombuffer(row["dids"], "<i8")
-        at = int(np.searchsorted(dids, doc_id))
-        if at < len(dids) and dids[at] == doc_id:
-            ends = np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64))
-            return decode_range(*_opened(row), row["first_symbol"], int(ends[at - 1]) if at else 0, int(ends[at])).tolist()
-    raise KeyError(doc_id)
+        ends = np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64))
+        first, last = np.searchsorted(dids, doc_id), np.searchsorted(dids, doc_id, side="right")
+        for at in range(int(first), min(int(last), int(first) + 2)):
+            found.append(decode_range(*_opened(row), row["first_symbol"], int(ends[at - 1]) if at else 0, int(ends[at])).tolist())
+    if not found:
+        raise KeyError(doc_id)
+    if len(found) > 1:
+        raise ValueError(f"several documents have the id {doc_id}")
+    return found[0]

@@ -656,6 +656,15 @@ def test_token_shards(spark, docs, empty, tmp_path):
         start += len(ids)
         if i:
             assert read_tokens(spark, path, i) == ids
+    with pytest.raises(KeyError):
+        read_tokens(spark, path, 99)
+    # Equal ids in several shards, and in one: which of the documents is meant can't be told.
+    twice = spark.createDataFrame([(k // 2 if k < 8 else k, f"text {k} of some words") for k in range(12)], "doc_id long, text string")
+    for shard_ids in (4, 1 << 20):
+        write_token_shards(twice, str(tmp_path / f"twice{shard_ids}"), WORDS, 2, shard_ids=shard_ids)
+        assert len(read_tokens(spark, str(tmp_path / f"twice{shard_ids}"), 9)) > 4
+        with pytest.raises(ValueError):
+            read_tokens(spark, str(tmp_path / f"twice{shard_ids}"), 2)
     write_token_shards(empty, str(tmp_path / "none"), WORDS, 2)
     assert read_token_shards(spark, str(tmp_path / "none")).count() == 0
 
