@@ -3,9 +3,9 @@
 The index is a set of immutable runs, each a Parquet table sorted by fingerprint. A fingerprint
 is the hash of an anchor (see :mod:`.anchors`) of the windows that were seen, with the hash of
 the words of its stretch of windows and where it stood first. A new batch is merge-joined with
-all runs by fingerprint. Equal stretches are settled at once; where stretches differ, their
-windows are taken from the texts and compared by digests of their words, so nothing is removed
-on a fingerprint alone. An index that outlives a job keeps the texts of its batches beside its runs
+all runs by fingerprint. Stretches of equal fingerprint and equal hash of all their words, 128 bits
+together, count as equal and are settled at once; where the hashes differ, their windows are taken
+from the texts and compared by digests of their words. An index that outlives a job keeps the texts of its batches beside its runs
 for that. The batch itself is a run, sorted where it was read; it joins the index once it has been
 compared. Once there are many, runs are compacted to one, in which equal stretches are one row.
 """
