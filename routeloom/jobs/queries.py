@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.norms import length_col
@@ -339,6 +342,18 @@ def segment_cuts(spark, d):
     return pool.segment_cuts(fixture(spark, d, "chain"), 8)
 
 
+def _by_rounds(spark, d, k: int, run) -> DataFrame:
+    return run(neighbors.knn_graph(fixture(spark, d, "suppliers"), k))
+
+
+#: Queries of which nothing is left to one task, with the SQL of those that leave small rests to one.
+for _name, _k, _run in (
+    ("components_knn1", 1, lambda e: component_labels(e, local=0)),
+    ("minimum_spanning_tree", 8, lambda e: construct.minimum_spanning_tree(e, local=0)),
+    ("greedy_fragments", 5, lambda e: construct.greedy_fragments(e, local=0)),
+):
+    ALL[f"{_name}_by_rounds"] = (partial(_by_rounds, k=_k, run=_run), ALL[_name][1])
+
 from . import queries_files, queries_graphs  # noqa: E402, F401  (they register their queries)
 
 

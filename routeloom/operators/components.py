@@ -50,15 +50,16 @@ def _label_rows(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": list(parent), "component": [root(x) for x in list(parent)]})
 
 
-def component_labels(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
+def component_labels(edges: DataFrame, a: str = "i", b: str = "j", local: int | None = None) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node that has an edge to another one.
 
-    Nulls and loops are ignored. Up to ``LOCAL_EDGES`` edges between integers are labelled in one task.
+    Nulls and loops are ignored. Up to ``local`` (else ``LOCAL_EDGES``) edges between integers are labelled in one task.
     """
+    local = LOCAL_EDGES if local is None else local
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(f"{a} is not null and {b} is not null and {a} != {b}").distinct()
     now = materialize(start, "edges")
     state = _state(now)
-    if state[0] <= LOCAL_EDGES and isinstance(now.schema["u"].dataType, T.LongType):
+    if state[0] <= local and isinstance(now.schema["u"].dataType, T.LongType):
         return now.groupBy(F.lit("all")).applyInPandas(_label_rows, "node long, component long")
     while True:
         now = materialize(_small_star(materialize(_large_star(now), "large-star")), "small-star")
