@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..jobs.session import materialize, release
@@ -298,37 +298,60 @@ def _load(most: int, max_bytes: int):
     return F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / max_bytes)).cast("int")
 
 
-def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle: rid, n (shingles of its text), shingle."""
+#: Counters of the shingles' frequencies: what is collected of them is no more than that.
+_COUNTERS = 1 << 20
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
     for batch in (b.slice(k, 50) for b in batches for k in range(0, b.num_rows, 50)):
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        rids = batch.column("rid").to_numpy(zero_copy_only=False)
-        yield pa.record_batch([np.repeat(rids, sizes), np.repeat(sizes, sizes), np.concatenate(sets)], names=["rid", "n", "shingle"])
+        yield from zip(batch.column("rid").to_pylist(), (np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()))
+
+
+def _counter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often a task's shingles fall to each counter."""
+    counts = np.zeros(_COUNTERS, np.int64)
+    for _, hashes in _sets(batches):
+        np.add.at(counts, (hashes % np.uint64(_COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(counts)
+    yield pa.record_batch([at, counts[at]], names=["counter", "n"])
+
+
+def _prefix_rows(counts: np.ndarray, similarity: float):
+    """rid, shingle: the first shingles of each text in the order of (counter, hash); not those that stand in no other text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, hashes in _sets(batches):
+            often = counts[(hashes % np.uint64(_COUNTERS)).astype(np.int64)]
+            first = np.lexsort((hashes, often))[: len(hashes) - int(np.ceil(similarity * len(hashes) - _ROUNDING)) + 1]
+            first = first[often[first] > 1]
+            yield pa.record_batch([np.full(len(first), rid, np.int64), hashes[first].view(np.int64)], names=["rid", "shingle"])
+
+    return rows
 
 
 def _parts(shards: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """part, rid, component, size: the texts of large shards, by what prefix shingles connect.
 
-    Shingles are ordered by how many of these texts hold them, the rarest first. Texts of n shingles
-    that reach the similarity share one of the first n - ceil(similarity * n) + 1 of both. Those
-    that stand in one text only come first and can't be shared, so they leave no row.
+    Two sets of m and n shingles that reach the similarity share one of the first m - ceil(similarity *
+    m) + 1 and n - ceil(similarity * n) + 1 in any common order. Here those come first that few of
+    these texts hold, as a table of counters says: a counter is no less than the count of any of its
+    shingles, so common shingles are last, and one with a counter of one is in one text only.
     """
     texts = shards.select("rid", "component", "size")
-    own = known.join(texts, "rid", "left_semi").select("rid", "shingles")
-    rows = materialize(own.mapInArrow(_shingles_of, "rid long, n long, shingle long"), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = rows.join(often, "shingle")
-    order, whole = Window.partitionBy("rid").orderBy("often", "shingle"), Window.partitionBy("rid")
-    placed = shared.withColumn("place", F.row_number().over(order)).withColumn("held", F.count("*").over(whole))
-    prefix = materialize(placed.filter(F.col("place") <= F.col("held") - F.ceil(similarity * F.col("n") - _ROUNDING) + 1).select("rid", "shingle"), "prefixes")
+    own = materialize(known.join(texts, "rid", "left_semi").select("rid", "shingles"), "large-sets")
+    counts = np.zeros(_COUNTERS, np.int64)
+    for counter, n in own.mapInArrow(_counter_rows, "counter long, n long").groupBy("counter").agg(F.sum("n")).collect():  # a row for each counter at most
+        counts[counter] = n
+    held = own.sparkSession.sparkContext.broadcast(counts)
+    prefix = materialize(own.mapInArrow(lambda batches: _prefix_rows(held.value, similarity)(batches), "rid long, shingle long"), "prefixes")
+    held.unpersist()
     first = prefix.groupBy("shingle").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).filter("first != last")
     edges = prefix.join(first, "shingle").select("rid", "first").filter("rid != first").distinct()
     parts = materialize(component_labels(edges, "rid", "first").select(F.col("node").alias("rid"), F.col("component").alias("part")), "parts")
     split = texts.join(parts, "rid").select("part", "rid", "component", "size")
     open_ = split.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("part")
     found = materialize(split.join(open_, "part"), "split-shards")
-    release(rows, prefix)
+    release(own, prefix)
     return found
 
 
