@@ -329,7 +329,8 @@ def crossing_pairs(spark, d):
     return cuts.crossing_pairs(fixture(spark, d, "sets"))
 
 
-_INTERVALS = "v AS (SELECT i AS v FROM chain UNION SELECT j FROM chain), w AS (SELECT unnest(range((SELECT min(v) FROM v), (SELECT max(v) FROM v) + 1)) AS v), ab AS (SELECT p.v AS a, q.v AS b FROM w p JOIN w q ON q.v > p.v AND q.v <= p.v + 7), d AS (SELECT a, b, sum(CASE WHEN (i >= a) <> (j <= b) THEN x ELSE 0 END) AS delta FROM (SELECT a, b, i, j, x FROM ab JOIN chain ON i BETWEEN a AND b UNION ALL SELECT a, b, i, j, x FROM ab JOIN chain ON j BETWEEN a AND b AND i < a) GROUP BY a, b)"
+#: Intervals of 2 to 8 consecutive nodes; ids that no edge has are no nodes.
+_INTERVALS = "v AS (SELECT i AS v FROM chain UNION SELECT j FROM chain), w AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM v), ab AS (SELECT p.v AS a, q.v AS b FROM w p JOIN (SELECT unnest(range(1, 8)) AS more) ON true JOIN w q ON q.k = p.k + more), d AS (SELECT a, b, sum(CASE WHEN (i >= a) <> (j <= b) THEN x ELSE 0 END) AS delta FROM (SELECT a, b, i, j, x FROM ab JOIN chain ON i BETWEEN a AND b UNION ALL SELECT a, b, i, j, x FROM ab JOIN chain ON j BETWEEN a AND b AND i < a) GROUP BY a, b)"
 
 
 @_query("all_segment_cuts", f"{sql('chain')}, {_INTERVALS} SELECT a, b, round(delta, 6) AS delta FROM d WHERE delta <= 1.5")
@@ -352,7 +353,7 @@ for _name, _k, _run in (
     ("minimum_spanning_tree", 8, lambda e: construct.minimum_spanning_tree(e, local=0)),
     ("greedy_fragments", 5, lambda e: construct.greedy_fragments(e, local=0)),
 ):
-    ALL[f"{_name}_by_rounds"] = (partial(_by_rounds, k=_k, run=_run), ALL[_name][1])
+    _query(f"{_name}_by_rounds", ALL[_name][1])(partial(_by_rounds, k=_k, run=_run))
 
 from . import queries_files, queries_graphs  # noqa: E402, F401  (they register their queries)
 
