@@ -3,16 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import materialize, small_tasks
+
 Query = Callable[[SparkSession, str], DataFrame]
 ALL: dict[str, tuple[Query, str | None]] = {}
 
 
-def query(name: str, oracle: str | None):
+def shuffled(fn: Query, write: bool = True) -> Query:
+    """``fn`` without Spark's own broadcasts, which would grow with the tables and pass through the driver.
+
+    A result that is still to be joined is written under the same setting, but for those
+    (``write``: false) that are too long for it and say how they join.
+    """
+
+    @wraps(fn)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        with small_tasks(spark):
+            found = fn(spark, d)
+            joins = write and "Join" in found._jdf.queryExecution().analyzed().toString()
+            return materialize(found, "result") if joins else found
+
+    return run
+
+
+def query(name: str, oracle: str | None, write: bool = True):
     def add(fn: Query) -> Query:
-        ALL[name] = (fn, oracle)
+        ALL[name] = (shuffled(fn, write), oracle)
         return fn
 
     return add

@@ -14,3 +14,15 @@ def test_segment_cuts_sql_with_gaps_between_ids(spark, tmp_path):
     for name in ("all_segment_cuts", "segment_cuts"):
         df, found = queries()[name](spark, str(tmp_path)), c.sql(oracle_sql()[name])
         assert sorted(map(tuple, df.select("a", "b", "delta").collect())) == sorted(found.select("a", "b", "delta").fetchall())
+
+
+def test_no_broadcasts_by_size(spark):
+    seen = []
+
+    def joined(spark, d):
+        seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+        return spark.range(3).join(spark.range(2), "id")
+
+    found = registry.shuffled(joined)(spark, "")
+    assert seen == ["-1"] and found.inputFiles() and sorted(r["id"] for r in found.collect()) == [0, 1]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
