@@ -102,8 +102,14 @@ def complete_graph(edges: DataFrame, n: int, default: int = 0) -> DataFrame:
     """i, j, len of all pairs of 0..n-1: the given length (the shortest of repeats) or the default; n is the caller's bound."""
     default = default if default > 0 else default_length(edges, n)
     given = oriented(edges.select("i", "j", "len")).groupBy("i", "j").agg(F.min("len").alias("len"))
-    pairs = edges.sparkSession.range(0, max(n - 1, 0)).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("long"))).alias("j"))
-    return pairs.join(given, ["i", "j"], "left").select("i", "j", F.coalesce("len", F.lit(default)).cast("long").alias("len"))
+    given = given.filter((F.col("i") >= 0) & (F.col("j") < n)).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", F.col("len").cast("long").alias("len")))).alias("e"))
+    # Only the given edges are dealt; a node's other pairs are the stretches between its edges, made where it is.
+    tasks = max(1, min(2000, n * n // 2_000_000))
+    nodes = edges.sparkSession.range(0, max(n - 1, 0)).withColumnRenamed("id", "i").repartition(tasks, "i").join(given.repartition(tasks, "i").hint("merge"), "i", "left")
+    ends = F.concat(F.array(F.col("i")), F.coalesce(F.transform("e", lambda e: e["j"]), F.array().cast("array<long>")), F.array(F.lit(n).cast("long")))
+    stretch = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), lambda a, b: F.struct((a + 1).alias("lo"), (b - 1).alias("hi")))
+    free = nodes.select("i", F.explode(stretch).alias("s")).filter("s.lo <= s.hi").select("i", F.explode(F.sequence("s.lo", "s.hi")).alias("j"))
+    return free.select("i", "j", F.lit(default).cast("long").alias("len")).unionByName(nodes.select("i", F.explode("e").alias("e")).select("i", "e.j", "e.len"))
 
 
 def contract_ones(xedges: DataFrame, eps: float = 1e-6) -> tuple[DataFrame, DataFrame]:

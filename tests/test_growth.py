@@ -63,3 +63,25 @@ def test_vector_neighbours_of_any_number(spark):
     want = {a: [(b, d) for x, d, b in every if x == a][:3] for a, _ in rows}
     found = sorted((r["id"], r["rank"], r["nbr"], r["len"]) for r in neighbors.knn_all_pairs(points, 3, "RH5", most=10).collect())
     assert found == [(a, k + 1, *want[a][k]) for a in sorted(want) for k in range(3)]
+
+
+def test_complete_graph_deals_only_given_edges(spark):
+    from routeloom.operators.edges import complete_graph
+
+    given = spark.createDataFrame([(3, 1, 9), (1, 3, 7), (0, 4, 5), (2, 2, 1), (0, 1, 3)], "i long, j long, len long")
+    found = complete_graph(given, 5, 40)
+    lens = {(1, 3): 7, (0, 4): 5, (0, 1): 3}
+    assert sorted(map(tuple, found.select("i", "j", "len").collect())) == [(i, j, lens.get((i, j), 40)) for i in range(5) for j in range(i + 1, 5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" in plan[: plan.index("Join")]  # pairs are made after the join
+
+
+def test_segments_that_span_batches():
+    from routeloom.operators.partition import _shorter
+
+    rows = pd.DataFrame([(t, s, 20 * s + p, 1000 * t + 20 * s + p, float(p * 37 % 11), float(p * 23 % 13)) for t in range(3) for s in range(2) for p in range(20)], columns=["tour_id", "seg_id", "pos", "node", "x", "y"])
+    run = lambda sizes: pd.concat(_shorter("EUC_2D", 5)(iter(sizes)))
+    whole = run([g for _, g in rows.groupby(["tour_id", "seg_id"])])
+    for n in (1, 7, 20, 33, 120):
+        parts = run([rows.iloc[k : k + n] for k in range(0, len(rows), n)])
+        assert parts.reset_index(drop=True).equals(whole.reset_index(drop=True)) and set(parts["node"]) == set(rows["node"])
