@@ -120,6 +120,9 @@ def _intervals(nodes: DataFrame, edges: DataFrame, length: int | None, limit: in
         least = range_best(values, gaps.withColumn("g", F.lit(0)), ["g"], {"least": F.least})
         cells = cells.unionByName(least.select("block", F.lit(False).alias("own"), "lo", "hi", F.col("least.h").alias("h"), F.col("least.pos").alias("at"), F.lit(0).cast("long").alias("before"), F.lit(False).alias("ends")))
     cells = cells.selectExpr(*[f"CAST({c.split(' ')[0]} AS {c.split(' ')[1]}) AS {c.split(' ')[0]}" for c in _CELLS.split(", ")])
+    # Blocks are few bytes and much work: by bytes a task would get many.
+    tasks = max(1, min(2000, (nodes.agg(F.max("pos")).first()[0] or 0) // (4 * BLOCK) + 1))
+    crossing, cells = crossing.repartition(tasks, "block"), cells.repartition(tasks, "block")
     return materialize(crossing.groupBy("block").cogroup(cells.groupBy("block")).applyInPandas(_block_rows(length, limit, best), _FOUND), "intervals")
 
 
