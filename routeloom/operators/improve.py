@@ -13,6 +13,8 @@ from ..functions.norms import ARRAY_NORMS
 
 #: Nodes whose neighbours are searched at a time.
 _CHUNK = 2048
+#: Nodes of which all pairs are compared at once.
+_ALL = 64
 
 
 def nearest_lists(x: np.ndarray, y: np.ndarray, k: int, norm: str) -> list[list[int]]:
@@ -21,6 +23,10 @@ def nearest_lists(x: np.ndarray, y: np.ndarray, k: int, norm: str) -> list[list[
     k = min(k, n - 1)
     if k < 1:
         return [[] for _ in range(n)]
+    if n <= _ALL:
+        d = ARRAY_NORMS[norm](x[:, None] - x, y[:, None] - y).astype(np.float64)
+        np.fill_diagonal(d, np.inf)
+        return np.argsort(d, axis=1, kind="stable")[:, :k].tolist()
     side = max(float(np.ptp(x)), float(np.ptp(y)), 1e-9) / max(1.0, np.sqrt(n / (k + 1)))
     cx, cy = ((v - v.min()) // side for v in (x, y))
     wide = int(cy.max()) + 1

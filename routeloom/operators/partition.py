@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,12 +208,28 @@ def stitch_tours(tours: DataFrame, order: DataFrame, nodes: DataFrame, norm: str
 
 
 def _shorter(norm: str, near: int):
-    """A segment's nodes in a better order, the first and the last fixed."""
-
-    def improved(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        rows["node"] = rows["node"].to_numpy()[shorter_path(rows["x"].to_numpy(), rows["y"].to_numpy(), norm, near)]
-        return rows[["tour_id", "seg_id", "pos", "node"]]
+    """Each segment's nodes in a better order, the first and the last fixed; rows come in the order of segments and positions."""
+
+    def improved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # parts of a segment that may go on
+
+        def better(rows: pd.DataFrame) -> pd.DataFrame:
+            tour, seg, node, x, y = (rows[c].to_numpy() for c in ("tour_id", "seg_id", "node", "x", "y"))
+            starts = np.flatnonzero((tour[1:] != tour[:-1]) | (seg[1:] != seg[:-1])) + 1
+            order = [lo + shorter_path(x[lo:hi], y[lo:hi], norm, near) for lo, hi in zip([0, *starts.tolist()], [*starts.tolist(), len(rows)])]
+            return rows[["tour_id", "seg_id", "pos"]].assign(node=node[np.concatenate(order)])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch[["tour_id", "seg_id"]].iloc[-1]
+            open_ = ((batch["tour_id"] == last["tour_id"]) & (batch["seg_id"] == last["seg_id"])).to_numpy()
+            if not open_.all() or held and (held[-1][["tour_id", "seg_id"]].iloc[-1] != last).any():
+                yield better(pd.concat([*held, batch[~open_]]))
+                held = []
+            held.append(batch[open_])
+        if held:
+            yield better(pd.concat(held))
 
     return improved
 
@@ -226,7 +245,9 @@ def improve_segments(tour: DataFrame, nodes: DataFrame, norm: str, bucket: int =
         raise ValueError(f"norm {norm!r} isn't one of {sorted(ARRAY_NORMS)}")
     rows = tour_segments(tour, bucket, first).join(nodes.select(F.col("id").alias("node"), "x", "y"), "node")
     rows = rows.select("tour_id", "seg_id", F.col("pos").cast("long").alias("pos"), F.col("node").cast("long").alias("node"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy("tour_id", "seg_id").applyInPandas(_shorter(norm, near), rows.select("tour_id", "seg_id", "pos", "node").schema)
+    # Segments are many and small: a task takes its own one after the other, not a call of Python for each.
+    dealt = rows.repartition("tour_id", "seg_id").sortWithinPartitions("tour_id", "seg_id", "pos")
+    return dealt.mapInPandas(_shorter(norm, near), rows.select("tour_id", "seg_id", "pos", "node").schema)
 
 
 def segment_index(tour: DataFrame, nodes: DataFrame, norm: str, bucket: int, first: int | None = None) -> DataFrame:
