@@ -181,3 +181,22 @@ def test_sketch_coordinates_agree_as_sets_do():
             a, b = np.unique(pool[:n]), np.unique(pool[n // 4 :])
             apart.append((sketch(a) == sketch(b)).mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b)))
         assert len(sketch(a)) == BINS and abs(np.mean(apart)) < 0.03 and np.std(apart) < 0.06
+
+
+def test_counters_leave_out_what_a_task_meets_once():
+    """Rows of the shingles' counters don't grow with the rare shingles of many near copies; prefixes keep one order without them."""
+    import pyarrow as pa
+
+    from routeloom.llm.near_dedup import _COUNTERS, _counter_rows, _prefix_rows
+
+    shared, sets = np.arange(10, 30, dtype=np.uint64), []
+    for k in range(40):
+        sets.append(np.sort(np.append(shared, np.arange(100 + 5 * k, 105 + 5 * k, dtype=np.uint64))))
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rid", "shingles"])
+    found = pa.Table.from_batches(list(_counter_rows(iter([batch])))).to_pydict()
+    assert found == {"counter": shared.tolist(), "n": [40] * 20}
+    counts = np.zeros(_COUNTERS, np.int64)
+    counts[found["counter"]] = found["n"]
+    rows = pa.Table.from_batches(list(_prefix_rows(counts, 0.8)(iter([batch])))).to_pydict()
+    assert Counter(rows["rid"]) == dict.fromkeys(range(40), 6)  # 25 - 20 + 1: one more than the rare ones
+    assert rows["shingle"].count(10) == 40
