@@ -86,11 +86,7 @@ def file_tsplib(spark, d):
 
 @query("file_tsplib_matrix", f"{sql('suppliers')} SELECT a.id AS i, b.id AS j, {euc('a', 'b')} AS len FROM suppliers a JOIN suppliers b ON a.id < b.id")
 def file_tsplib_matrix(spark, d):
-    n = fixture(spark, d, "suppliers").select("id", F.struct("x", "y").alias("p"))
-    rows = n.alias("a").join(n.alias("b"), F.col("a.id") >= F.col("b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), length_col("EUC_2D", F.col("a.p"), F.col("b.p")).alias("len"))
-    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("j", "len"))), lambda e: e["len"].cast("string")), " ")
-    head = ["TYPE: TSP", f"DIMENSION: {n.count()}", "EDGE_WEIGHT_TYPE: EXPLICIT", "EDGE_WEIGHT_FORMAT: LOWER_DIAG_ROW", "EDGE_WEIGHT_SECTION"]
-    text._write_lines(spark, path := _path(spark, "matrix"), head, rows.groupBy("i").agg(line.alias("value")).select("value", "i"))
+    text.write_tsplib_matrix(fixture(spark, d, "suppliers"), "EUC_2D", path := _path(spark, "matrix"))
     return text.read_tsplib_matrix(spark, path)
 
 

@@ -27,6 +27,19 @@ def ranked(df: DataFrame, order: list[str], group: list[str] | None = None, name
     return rows.select(*df.columns, (F.col("_place") + F.col("_before")).cast("long").alias(name))
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each one by ``order``, which has to tell rows apart.
+
+    As in :func:`ranked` ranges are summed up apart, so no task holds more than one of them.
+    """
+    dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_range").agg(F.sum(value).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("_place", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(offsets, "_range")
+    return rows.select(*df.columns, (F.col("_place") + F.col("_before")).cast("long").alias(name))
+
+
 def range_best(values: DataFrame, ranges: DataFrame, group: list[str], best: dict[str, Callable]) -> DataFrame:
     """``ranges`` (group, lo, hi and other columns) with the best of each column of ``best`` over the positions lo to hi.
 

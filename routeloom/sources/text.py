@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.norms import length_col
 from ..jobs.session import materialize
-from ..operators.ranking import ranked
+from ..operators.ranking import ranked, running_sum
 from ..operators.tours import edges_to_tour, tour_edges
 
 
@@ -24,10 +25,23 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return materialize(ranked(placed.filter("value != ''"), order, name="line").select("value", "line"), "lines")
 
 
+def _words() -> Column:
+    return F.split("value", r"\s+")
+
+
+def _token_starts(lines: DataFrame) -> DataFrame:
+    """value, n, start: ``lines`` (value, line) with how many words each has and how many are before it, written once."""
+    sizes = lines.select("line", F.size(_words()).cast("long").alias("n"))
+    return materialize(lines.join(running_sum(sizes, ["line"], "n", "start"), "line").select("value", "n", "start"), "token-starts")
+
+
+def _tokens(starts: DataFrame) -> DataFrame:
+    return starts.select("start", F.posexplode(_words()).alias("at", "t")).select("t", (F.col("start") + F.col("at")).alias("k"))
+
+
 def numbered_tokens(lines: DataFrame) -> DataFrame:
-    """t, k: the words of ``lines`` (value, line) in their order."""
-    words = lines.select("line", F.posexplode(F.split("value", r"\s+")).alias("at", "t"))
-    return ranked(words, ["line", "at"], name="k").select("t", "k")
+    """t, k: the words of ``lines`` (value, line) in their order; only lines are shuffled, not words."""
+    return _tokens(_token_starts(lines))
 
 
 def _header(lines: DataFrame, start: int) -> dict[str, str]:
@@ -153,8 +167,10 @@ def read_tsplib_matrix(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path}: layout {layout}")
     stop = lines.filter((F.col("line") > start) & F.col("value").rlike("^[A-Z]")).agg(F.min("line")).first()[0]
     body = lines.filter((F.col("line") > start) & (F.col("line") < (2**62 if stop is None else stop)))
-    stream = materialize(numbered_tokens(body), "matrix")
-    _counted(stream, MATRIX_LAYOUTS[layout](n), path)
+    starts = _token_starts(body)
+    if (found := starts.agg(F.sum("n")).first()[0] or 0) != (want := MATRIX_LAYOUTS[layout](n)):
+        raise ValueError(f"{path}: {want} rows stated, {found} found")
+    stream = _tokens(starts)
     row, column = (x.cast("long") for x in _matrix_place(layout, F.col("k"), n))
     kept = row < column if layout == "FULL_MATRIX" else row != column
     return stream.select(row.alias("r"), column.alias("c"), F.col("t").cast("double").cast("long").alias("len"), kept.alias("kept")).filter("kept").select(F.least("r", "c").alias("i"), F.greatest("r", "c").alias("j"), "len")
@@ -242,6 +258,26 @@ def write_tsplib(nodes: DataFrame, norm: str, path: str, name: str = "nodes") ->
     _write_lines(nodes.sparkSession, path, head, body, nodes.sparkSession.range(1).select(F.lit("EOF").alias("value"), "id"))
 
 
+def write_tsplib_matrix(nodes: DataFrame, norm: str, path: str, chunk: int = 2000) -> None:
+    """An instance with the lengths between ``nodes`` (id, x, y) as lower rows with the diagonal, in the order of ids.
+
+    A line has ``chunk`` numbers of a row at most. Nodes go to the tasks of their blocks of ``chunk`` rows and columns; a
+    length is made where it is written.
+    """
+    placed = materialize(ranked(nodes, ["id"], name="at").select("at", F.struct("x", "y").alias("p"), F.floor(F.col("at") / chunk).alias("block")), "matrix-nodes")
+    n = placed.count()
+    blocks = max(1, -(-n // chunk))
+    tasks = min(2000, blocks * (blocks + 1) // 2)
+    rows = placed.select("at", "p", "block", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("chunk")).repartition(tasks, "block", "chunk")
+    held = placed.groupBy(F.col("block").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("columns"))
+    held = held.withColumn("block", F.explode(F.sequence("chunk", F.lit(blocks - 1).cast("long")))).repartition(tasks, "block", "chunk")
+    ends = F.filter("columns", lambda e: e["at"] <= F.col("at"))
+    line = F.array_join(F.transform(ends, lambda e: length_col(norm, F.col("p"), e["p"]).cast("string")), " ")
+    lines = materialize(rows.join(held, ["block", "chunk"]).select(line.alias("value"), "at", "chunk"), "matrix-lines")
+    head = ["TYPE: TSP", f"DIMENSION: {n}", "EDGE_WEIGHT_TYPE: EXPLICIT", "EDGE_WEIGHT_FORMAT: LOWER_DIAG_ROW", "EDGE_WEIGHT_SECTION"]
+    _write_lines(nodes.sparkSession, path, head, lines)
+
+
 def write_weights(weights: DataFrame, path: str) -> None:
     """``n``, then a weight per line, in the order of ids."""
     _write_lines(weights.sparkSession, path, [str(weights.count())], weights.select(F.col("w").cast("string").alias("value"), "id"))

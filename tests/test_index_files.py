@@ -52,3 +52,15 @@ def test_parts_are_read_in_order(spark, tmp_path):
     put(folder / "part-0", "4\n0 0\n")
     put(folder / "part-1", "1 1\n2 2\n3.00000000000000000 3.0000000000000000000\n")
     assert sorted(map(tuple, text.read_points2d(spark, str(folder)).collect())) == [(k, float(k), float(k)) for k in range(4)]
+
+
+def test_matrix_is_written_in_pieces_of_rows(spark, tmp_path):
+    """A row's numbers stand in lines of a bounded length, and reading shuffles lines, not numbers."""
+    points = [(7 * k - 20, float(k * k % 17), float(k % 5)) for k in range(11)]
+    text.write_tsplib_matrix(spark.createDataFrame(points, "id long, x double, y double"), "EUC_2D", path := str(tmp_path / "m"), chunk=4)
+    lines = [r[0] for r in text.numbered_lines(spark, path).orderBy("line").collect()]
+    assert max(len(x.split()) for x in lines[5:]) == 4 and len(lines) == 5 + 4 * 1 + 4 * 2 + 3 * 3
+    want = [(i, j, int(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 + 0.5)) for i, a in enumerate(points) for j, b in enumerate(points) if i < j]
+    found = text.read_tsplib_matrix(spark, path)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
