@@ -22,7 +22,7 @@ def shuffled(fn: Query, write: bool = True) -> Query:
 
     @wraps(fn)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        with small_tasks(spark):
+        with small_tasks(spark, d):
             found = fn(spark, d)
             joins = write and "Join" in found._jdf.queryExecution().analyzed().toString()
             return materialize(found, "result") if joins else found

@@ -106,3 +106,16 @@ def test_radius_meets_each_pair_once(spark):
         length = length_col(norm, point("a"), point("b"))
         every = pairs.select("a.id", "b.id", (length if w is None else length + F.col("a.w") + F.col("b.w")).alias("len")).filter("len < 12")
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_partitions_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    from routeloom.jobs import session
+
+    parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(parts, None)
+    (tmp_path / "a.parquet").write_bytes(b"x" * 1000)
+    seen = []
+    for size in (session._PART_BYTES, 100):
+        monkeypatch.setattr(session, "_PART_BYTES", size)
+        registry.shuffled(lambda s, d: (seen.append(s.conf.get(parts)), s.range(1))[1])(spark, str(tmp_path))
+    assert seen == [spark.conf.get("spark.sql.shuffle.partitions"), "10"] and spark.conf.get(parts, None) == before
