@@ -79,23 +79,35 @@ def _fragment_tail(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.loc[kept, ["i", "j", "len"]]
 
 
+def _degrees(taken: DataFrame) -> DataFrame:
+    return taken.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").cast("int").alias("degree"))
+
+
 def _fragments(taken: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node, degree and node, component of the edges taken so far."""
-    degrees = taken.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").cast("int").alias("degree"))
-    return degrees, component_labels(taken)
+    return _degrees(taken), component_labels(taken)
+
+
+def _after(todo: DataFrame, degrees: DataFrame, labels: DataFrame) -> DataFrame:
+    """Open edges (i, j, len, key, di, dj, fi, fj) after edges were taken that add ``degrees`` (node, degree) to nodes and put fragments together by ``labels`` (node, component)."""
+    for end in "ij":
+        todo = todo.join(degrees.select(F.col("node").alias(end), F.col("degree").alias(f"_d{end}")), end, "left")
+        todo = todo.join(labels.select(F.col("node").alias(f"f{end}"), F.col("component").alias(f"_f{end}")), f"f{end}", "left")
+    more = [(F.col(f"d{e}") + F.coalesce(f"_d{e}", F.lit(0))).alias(f"d{e}") for e in "ij"]
+    return todo.select("i", "j", "len", "key", *more, *[F.coalesce(f"_f{e}", f"f{e}").alias(f"f{e}") for e in "ij"])
 
 
 def _sure(todo: DataFrame) -> DataFrame:
-    """Of open edges (key, i, j, len, fi, fj) those that the scan by (key, i, j) takes whatever it takes before.
+    """i, j, len, fi, fj: of open edges (key, i, j, len, fi, fj) those that the scan by (key, i, j) takes whatever it takes before.
 
     Such an edge is the smallest one at both of its nodes, so both still have room, and the smallest
     one of all that leave one of the fragments ``fi``, ``fj``, which is therefore still as it is now:
     the edge can't close a cycle.
     """
     at = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")) for kind, c in (("node", "i"), ("node", "j"), ("path", "fi"), ("path", "fj"))]))
-    least = todo.select(at.alias("at"), F.struct("key", "i", "j", "len").alias("e")).groupBy("at").agg(F.min("e").alias("e"))
+    least = todo.select(at.alias("at"), F.struct("key", "i", "j", "len", "fi", "fj").alias("e")).groupBy("at").agg(F.min("e").alias("e"))
     votes = least.groupBy("e").agg(F.count_if(F.col("at.kind") == "node").alias("nodes"), F.count_if(F.col("at.kind") == "path").alias("paths"))
-    return votes.filter("nodes = 2 and paths > 0").select("e.i", "e.j", "e.len")
+    return votes.filter("nodes = 2 and paths > 0").select("e.i", "e.j", "e.len", "e.fi", "e.fj")
 
 
 def greedy_fragments(edges: DataFrame, key: Column | None = None, taken: DataFrame | None = None, local: int = LOCAL_EDGES) -> DataFrame:
@@ -103,24 +115,22 @@ def greedy_fragments(edges: DataFrame, key: Column | None = None, taken: DataFra
 
     ``key``: what to scan by in place of the length. ``taken``: edges (i, j, len) that are already
     in; they aren't returned. Each round takes the edges that the scan is sure to take; edges at
-    nodes of degree two or inside one fragment close.
+    nodes of degree two or inside one fragment close. Degrees and fragments go on from those of the
+    round before, so a round's work goes with its own edges, not with all that are taken.
     """
     key = F.col("len") if key is None else key
     todo = materialize(edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("len").cast("long").alias("len"), key.alias("key")).filter("i != j").distinct(), "open")
     new = todo.select("i", "j", "len").limit(0)
-    all_ = new if taken is None else taken.select("i", "j", F.col("len").cast("long").alias("len"))
+    todo = todo.select("*", *[F.lit(0).cast("long").alias(f"d{e}") for e in "ij"], *[F.col(e).alias(f"f{e}") for e in "ij"])
+    if taken is not None:
+        todo = _after(todo, *_fragments(taken))
     while True:
-        degrees, labels = _fragments(all_)
-        for end in ("i", "j"):
-            todo = todo.join(degrees.select(F.col("node").alias(end), F.col("degree").alias(f"d{end}")), end, "left")
-            todo = todo.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"f{end}")), end, "left")
-        todo = todo.select("i", "j", "len", "key", *[F.coalesce(f"d{e}", F.lit(0)).alias(f"d{e}") for e in "ij"], *[F.coalesce(f"f{e}", e).alias(f"f{e}") for e in "ij"])
         todo = materialize(todo.filter("di < 2 and dj < 2 and fi != fj"), "open")
         if (n := todo.count()) <= local:
             return new.unionByName(materialize(todo.groupBy(F.lit("all")).applyInPandas(_fragment_tail, new.schema), "fragments")) if n else new
         both = materialize(_sure(todo), "taken")
-        new, all_ = new.unionByName(both), all_.unionByName(both)
-        todo = todo.select("i", "j", "len", "key").join(both.select("i", "j"), ["i", "j"], "left_anti")
+        new = new.unionByName(both.select(*new.columns))
+        todo = _after(todo.join(both.select("i", "j"), ["i", "j"], "left_anti"), _degrees(both), component_labels(both, "fi", "fj"))
 
 
 def _free(nodes: DataFrame, taken: DataFrame) -> DataFrame:

@@ -119,3 +119,22 @@ def test_partitions_grow_with_the_tables(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(session, "_PART_BYTES", size)
         registry.shuffled(lambda s, d: (seen.append(s.conf.get(parts)), s.range(1))[1])(spark, str(tmp_path))
     assert seen == [spark.conf.get("spark.sql.shuffle.partitions"), "10"] and spark.conf.get(parts, None) == before
+
+
+def test_fragments_go_on_from_the_round_before(spark, monkeypatch):
+    from routeloom.operators import construct
+
+    rows = sorted({(a, b, (a * 31 + b * 17) % 97) for a in range(60) for b in ((a * 7 + 3) % 60, (a * 11 + 5) % 60, (a + 1) % 60) if a < b})
+    edges, labelled, label = spark.createDataFrame(rows, "i long, j long, len long"), [], construct.component_labels
+
+    def counted(e, *ends):
+        labelled.append(e.count())
+        return label(e, *ends)
+
+    want = {tuple(r) for r in construct.greedy_fragments(edges, local=10_000).collect()}
+    taken = spark.createDataFrame([(0, 1, 1), (1, 2, 1)], "i long, j long, len long")
+    more = {tuple(r) for r in construct.greedy_fragments(edges, taken=taken, local=10_000).collect()}
+    monkeypatch.setattr(construct, "component_labels", counted)
+    assert {tuple(r) for r in construct.greedy_fragments(edges, local=0).collect()} == want
+    assert len(labelled) > 2 and sum(labelled) == len(want)  # each taken edge is labelled once
+    assert {tuple(r) for r in construct.greedy_fragments(edges, taken=taken, local=0).collect()} == more
