@@ -138,3 +138,21 @@ def test_fragments_go_on_from_the_round_before(spark, monkeypatch):
     assert {tuple(r) for r in construct.greedy_fragments(edges, local=0).collect()} == want
     assert len(labelled) > 2 and sum(labelled) == len(want)  # each taken edge is labelled once
     assert {tuple(r) for r in construct.greedy_fragments(edges, taken=taken, local=0).collect()} == more
+
+
+def test_a_scan_takes_little_of_a_file(spark, tmp_path):
+    from routeloom.jobs import session
+
+    path = str(tmp_path / "long.parquet")
+    spark.range(0, 1_600_000, 1, 1).select(F.xxhash64("id").alias("h"), F.xxhash64("id", "id").alias("g")).write.option("parquet.block.size", 1 << 20).parquet(path)
+    keys = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        with session.small_tasks(spark):
+            counts = spark.read.parquet(path).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    # The file has 26 MB; what a scan's task reads and aggregates is 8 MB of it.
+    assert sum(r["n"] for r in counts) == 1_600_000 and len(counts) > 2 and max(r["n"] for r in counts) < 650_000
