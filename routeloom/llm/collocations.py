@@ -5,7 +5,9 @@ words, word after it) is counted as a cell of a table of ranks x ranks that is c
 
 * Ranks below ``dense`` have direct addresses. A tile of them in which many pairs of a block of
   text fall is an array that ``numpy.bincount`` adds to; it leaves a task once, at its end.
-* All other pairs are sparse: sorted coordinates and their counts, one list for each block.
+* All other pairs are sparse: sorted coordinates and their counts, one list for each block. Phrases
+  of three words and more, whose parts are frequent, come back in most blocks: their lists are
+  added up over a task's blocks before they leave it.
 
 Partial counts are added up by Spark. Pairs that reach the threshold are ranked again and are the
 symbols of the next round, whose pairs are phrases of one word more. A round only counts pairs of
@@ -42,6 +44,10 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _END = b" . "
 #: Bytes of a block: what one task counts at a time.
 _BLOCK = 1 << 22
+#: Rows of counts that a task holds to add them up.
+_HELD = 1 << 19
+#: Where the bits of a hash begin that place it in a bitmap.
+_PROBES = 0, 32
 _ROWS = "lang string, phrase string, n long, h long"
 
 
@@ -112,9 +118,46 @@ def _phrase_batch(words: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch
 
 
 def _passes(bits: bytes, hashes: np.ndarray) -> np.ndarray:
-    """Which of the hashes a bitmap holds."""
-    at = hashes & np.uint64(8 * len(bits) - 1)
-    return (np.frombuffer(bits, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    """Which of the hashes a bitmap holds: both of their bits are set."""
+    held, out = np.frombuffer(bits, np.uint8), np.ones(len(hashes), bool)
+    for shift in _PROBES:
+        at = hashes >> np.uint64(shift) & np.uint64(8 * len(bits) - 1)
+        out &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return out
+
+
+class _Sums:
+    """Counts of phrases over the blocks of a task, at most about ``least`` + a block's rows at a time."""
+
+    def __init__(self, least: int):
+        self.least, self.held, self.n = least, [], 0
+
+    def add(self, words: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append([*words, counts.astype(np.int64)])
+        self.n += len(counts)
+        if self.n >= self.least:
+            self._merge()
+            if 2 * self.n >= self.least:
+                yield from self.rows()
+
+    def _merge(self) -> None:
+        *words, counts = (np.concatenate(c) for c in zip(*self.held))
+        order = np.argsort(_phrase_hash(words), kind="stable")
+        words, counts = [w[order] for w in words], counts[order]
+        # Phrases are told apart by all words: two of one hash stay two, at worst in more rows.
+        new = np.ones(len(counts), bool)
+        new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
+        first = np.flatnonzero(new)
+        self.held, self.n = [[*(w[first] for w in words), np.add.reduceat(counts, first)]], len(first)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """All that is held, and nothing is any more."""
+        if self.n:
+            self._merge()
+            *words, counts = self.held[0]
+            self.held, self.n = [], 0
+            for x in range(0, len(counts), 1 << 16):
+                yield _phrase_batch([w[x : x + (1 << 16)] for w in words], counts[x : x + (1 << 16)])
 
 
 @dataclass
@@ -180,7 +223,7 @@ def _pair_rows(k: int, ranks: list[np.ndarray], filters, side: int, salt: int):
         return out
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, tiles = filters.value, _Tiles(side)
+        bits, tiles, sums = filters.value, _Tiles(side), _Sums(_HELD)
         for block in _blocks(batches, salt):
             symbols, hashes_at = block.symbols, block.hashes[block.symbols]
             frequent = _passes(bits[0], block.hashes)
@@ -209,19 +252,28 @@ def _pair_rows(k: int, ranks: list[np.ndarray], filters, side: int, salt: int):
             place = place[sparse]
             _, first, counts = np.unique(sym[place] << 32 | symbols[place + k - 1], return_index=True, return_counts=True)
             at = place[first]
-            for x in range(0, len(at), 1 << 16):
-                yield _phrase_batch([hashes_at[at[x : x + (1 << 16)] + j] for j in range(k)], counts[x : x + (1 << 16)])
+            if k == 2:  # pairs of words seldom come back in another block
+                for x in range(0, len(at), 1 << 16):
+                    yield _phrase_batch([hashes_at[at[x : x + (1 << 16)] + j] for j in range(k)], counts[x : x + (1 << 16)])
+            elif len(at):
+                yield from sums.add([hashes_at[at + j] for j in range(k)], counts)
         for a, b, counts in tiles.rows():
-            yield _phrase_batch([*ranks[-1][a].T, ranks[0][b, 0]], counts)
+            words = [*ranks[-1][a].T, ranks[0][b, 0]]
+            if k == 2:
+                yield _phrase_batch(words, counts)
+            elif len(a):
+                yield from sums.add(words, counts)
+        yield from sums.rows()
 
     return rows
 
 
 def _bitmap(frequent: DataFrame, bits: int) -> bytes:
-    """A bit for each of 2 ** ``bits`` hash values that a frequent phrase has; made in pieces of 4 KiB by Spark."""
+    """2 ** ``bits`` bits, of which each frequent phrase's hash sets two; made in pieces of 4 KiB by Spark."""
     out = np.zeros(1 << (bits - 3), np.uint8)
-    at = F.col("h").bitwiseAND((1 << bits) - 1)
-    pieces = frequent.groupBy(F.shiftright(at, 15).alias("piece")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << 15) - 1)).alias("bits"))
+    at = F.col("at")
+    both = frequent.select(F.explode(F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND((1 << bits) - 1) for shift in _PROBES])).alias("at"))
+    pieces = both.groupBy(F.shiftright(at, 15).alias("piece")).agg(F.bitmap_construct_agg(at.bitwiseAND((1 << 15) - 1)).alias("bits"))
     for piece, held in pieces.collect():  # 2 ** (bits - 15) rows at most
         out[piece << 12 : (piece << 12) + len(held)] = np.frombuffer(held, np.uint8)
     return out.tobytes()

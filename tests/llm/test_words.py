@@ -200,3 +200,40 @@ def test_counters_leave_out_what_a_task_meets_once():
     rows = pa.Table.from_batches(list(_prefix_rows(counts, 0.8)(iter([batch])))).to_pydict()
     assert Counter(rows["rid"]) == dict.fromkeys(range(40), 6)  # 25 - 20 + 1: one more than the rare ones
     assert rows["shingle"].count(10) == 40
+
+
+def test_phrase_counts_of_a_task_are_added_up():
+    from routeloom.llm import collocations
+
+    rng = np.random.default_rng(1)
+    for least in (1, 500, 1 << 20):
+        sums, want, out, made = collocations._Sums(least), {}, {}, 0
+        for _ in range(40):
+            words = [rng.integers(0, 6, 50).astype(np.uint64) for _ in range(3)]
+            counts = rng.integers(1, 9, 50)
+            for *key, n in zip(*words, counts):
+                want[tuple(key)] = want.get(tuple(key), 0) + int(n)
+            batches = [*sums.add(words, counts)]
+            made += sum(b.num_rows for b in batches)
+            for row in (r for b in batches for r in zip(*b.to_pydict().values())):
+                out[row[:3]] = out.get(row[:3], 0) + row[3]
+        rest = [*sums.rows()]
+        assert not [*sums.rows()]
+        for row in (r for b in rest for r in zip(*b.to_pydict().values())):
+            out[row[:3]] = out.get(row[:3], 0) + row[3]
+        assert out == want
+        # Of 2,000 rows a task that may hold them all gives one for each phrase.
+        assert least < 1 << 20 or made + sum(b.num_rows for b in rest) == len(want) <= 216
+
+
+def test_bitmaps_of_frequent_phrases_let_little_else_pass(spark):
+    from pyspark.sql import functions as F
+
+    from routeloom.llm import collocations
+
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("h"))
+    hashes = np.array([r["h"] for r in rows.collect()], np.int64).view(np.uint64)
+    held, other = hashes[:4_000], hashes[4_000:]
+    bits = collocations._bitmap(spark.createDataFrame([(int(h),) for h in held.view(np.int64)], "h long"), 17)
+    assert len(bits) == 1 << 14 and collocations._passes(bits, held).all()
+    assert collocations._passes(bits, other).mean() < 0.01  # by one bit alone: 0.03
