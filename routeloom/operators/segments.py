@@ -6,7 +6,7 @@ X steps up only where an edge that crosses the gap before a ends; between two su
 least H counts. So nodes are cut into blocks: a block's task has the edges that cross a gap of
 it, its own nodes one by one, and of all later nodes only the least H of each stretch between two
 of these edges' ends, which is a best over a range. Listing all intervals up to a limit goes
-down a tree of least H from the stretches whose least interval is within it.
+over the nodes of the stretches whose least interval is within it.
 
 Weights are integers of 2^-32, so sums don't depend on their order. Intervals start and end at
 nodes that have an edge to another one.
@@ -14,8 +14,11 @@ nodes that have an edge to another one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,12 @@ BLOCK = 512
 _CLOSE = 1e-8
 #: Stands for no weight: larger than any.
 _NONE = 1 << 62
-#: Children of a node of the tree of least weights: 2 ** this.
+#: Right ends of a part of the intervals that are listed, and left ends of one at least; left ends are of so many groups at most.
+_ENDS, _LEFT, _GROUPS = 1 << 17, 1 << 10, 64
+#: Left ends that are listed together go over a part's right ends in so many strides: 2 ** this.
 _FAN = 5
+#: How many left ends that are, and rows that are made at once.
+_HITS, _ROWS = 32, 1 << 16
 
 
 def _placed(xedges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -133,21 +140,70 @@ def _named(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select(F.col("na").alias("a"), F.col("nb").alias("b"), (F.col("delta") / F.lit(_UNIT)).alias("delta"))
 
 
+def _end_rows(limit: int, stride: int):
+    """a, b, delta of the intervals of hits (``kind`` 1) with the ends of their part (``kind`` 0), which stand before them.
+
+    Hits of a few left ends go over the ends together, ``stride`` positions at a time: rows that follow each other
+    repeat the same ends, which Parquet files keep in little space.
+    """
+
+    def listed(ends: list[np.ndarray], names: np.ndarray, lo: np.ndarray, hi: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        v, pos, h = ends
+        strides = np.arange(pos[0], pos[-1] + stride + 1, stride)
+        for some in (slice(k, k + _HITS) for k in range(0, len(names), _HITS)):
+            within = {t: np.flatnonzero(h <= limit - t) for t in set(more[some].tolist())}
+            found = [within[t] for t in more[some].tolist()]
+            cuts = [np.searchsorted(pos[x], np.clip(strides, first, last + 1)) for x, first, last in zip(found, lo[some].tolist(), hi[some].tolist())]
+            parts, of = [], []
+            for n in range(len(strides) - 1):
+                for k, (x, cut) in enumerate(zip(found, cuts)):
+                    if cut[n] < cut[n + 1]:
+                        parts.append(x[cut[n] : cut[n + 1]])
+                        of.append(k)
+                if parts and (n == len(strides) - 2 or sum(map(len, parts)) >= _ROWS):
+                    at, hit = np.concatenate(parts), np.repeat(of, [len(x) for x in parts])
+                    yield pa.record_batch([names[some][hit], v[at], (h[at] + more[some][hit]) / _UNIT], names=["a", "b", "delta"])
+                    parts, of = [], []
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ends = None, []
+        for batch in batches:
+            parts, kinds, *columns = (batch.column(c).to_numpy() for c in ("part", "kind", "v", "lo", "hi", "more"))
+            starts = np.flatnonzero(np.diff(parts, prepend=-1) | np.diff(kinds, prepend=-1)).tolist() if len(parts) else []
+            for start, stop in zip(starts, [*starts[1:], len(parts)]):
+                if parts[start] != part:
+                    part, ends = parts[start], []
+                v, lo, hi, more = (c[start:stop] for c in columns)
+                if kinds[start] == 0:
+                    ends.append((v, lo, more))
+                    continue
+                ends = [tuple(map(np.concatenate, zip(*ends)))]
+                yield from listed(ends[0], v, lo, hi, more)
+
+    return rows
+
+
 def _enumerated(hits: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """a, b, delta of all intervals of ``hits`` (a, lo, hi, at, delta: the least one) that end in lo..hi and are within the limit."""
+    """a, b, delta of all intervals of ``hits`` (a, lo, hi, at, delta: the least one) that end in lo..hi and are within the limit.
+
+    There may be as many as pairs of nodes, so they are made where they are read: what is shuffled are the hits
+    of a group of left ends and the right ends of a block of nodes, once for each block and group.
+    """
     n = nodes.agg(F.max("pos")).first()[0] or 0
-    levels = [materialize(nodes.select(F.col("pos").alias("node"), "h"), "least-weights")]
-    while n >> (_FAN * (len(levels) - 1)):
-        levels.append(materialize(levels[-1].groupBy(F.shiftright("node", _FAN).alias("node")).agg(F.min("h").alias("h")), "least-weights"))
+    groups = min(n // _LEFT + 1, _GROUPS)
+    group = F.floor(F.col("a") * groups / (n + 1))
     # What is added to H is the same for all ends in lo..hi.
     base = nodes.select(F.col("pos").alias("at"), F.col("h").alias("ha"))
-    now = hits.join(base, "at").select("a", "lo", "hi", (F.col("delta") - F.col("ha")).alias("more"), F.lit(0).cast("long").alias("node"))
-    for k in range(len(levels) - 2, -1, -1):
-        low = F.greatest(F.shiftleft("node", _FAN), F.shiftright("lo", _FAN * k))
-        high = F.least(F.shiftleft("node", _FAN) + ((1 << _FAN) - 1), F.shiftright("hi", _FAN * k))
-        children = now.filter(low <= high).select("a", "lo", "hi", "more", F.explode(F.sequence(low, high)).alias("node"))
-        now = materialize(children.join(levels[k], "node").filter(F.col("h") + F.col("more") <= limit), "descent")
-    return now.select("a", F.col("node").alias("b"), (F.col("h") + F.col("more")).alias("delta"))
+    named = nodes.select(F.col("pos").alias("a"), "v")
+    hits = materialize(hits.join(base, "at").join(named, "a").select(group.alias("group"), "v", "lo", "hi", (F.col("delta") - F.col("ha")).alias("more")), "hits")
+    block = lambda c: F.floor(F.col(c) / _ENDS)
+    lefts = hits.select("group", F.explode(F.sequence(block("lo"), block("hi"))).alias("block"), F.lit(1).alias("kind"), "v", "lo", "hi", "more")
+    used = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.floor(((block("pos") + 1) * _ENDS) * groups / (n + 1)), F.lit(groups - 1))))
+    rights = nodes.select(used.alias("group"), block("pos").alias("block"), F.lit(0).alias("kind"), "v", F.col("pos").alias("lo"), F.col("pos").alias("hi"), F.col("h").alias("more"))
+    dealt = lefts.unionByName(rights).withColumn("part", F.col("block") * groups + F.col("group")).drop("block", "group")
+    parts = groups * (n // _ENDS + 1)
+    dealt = dealt.repartition(min(2000, parts), "part").sortWithinPartitions("part", "kind", "lo", "v")
+    return dealt.mapInArrow(_end_rows(limit, max(1, _ENDS >> _FAN)), "a long, b long, delta double")
 
 
 def interval_deltas(xedges: DataFrame, length: int) -> DataFrame:
@@ -163,8 +219,8 @@ def all_segment_cuts(xedges: DataFrame, length: int | None, limit: float) -> Dat
         return _named(nodes.select(F.col("pos").alias("a"), F.col("pos").alias("b"), F.col("h").alias("delta")), nodes)
     most = int((limit + _CLOSE) * _UNIT)
     found = _intervals(nodes, edges, length, most, False)
-    alone = found.filter("lo = hi").select("a", F.col("at").alias("b"), "delta")
-    return _named(alone.unionByName(_enumerated(found.filter("lo != hi"), nodes, most)), nodes)
+    alone = materialize(_named(found.filter("lo = hi").select("a", F.col("at").alias("b"), "delta"), nodes), "intervals-of-blocks")
+    return alone if length is not None else alone.unionByName(_enumerated(found.filter("lo != hi"), nodes, most))
 
 
 def segment_cuts(xedges: DataFrame, length: int | None = None, below: float = 2 - 1e-4, one: float = 0.999999) -> DataFrame:
