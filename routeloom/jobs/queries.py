@@ -329,13 +329,13 @@ def crossing_pairs(spark, d):
     return cuts.crossing_pairs(fixture(spark, d, "sets"))
 
 
-#: Intervals of 2 to 8 consecutive nodes; ids that no edge has are no nodes.
-_INTERVALS = "v AS (SELECT i AS v FROM chain UNION SELECT j FROM chain), w AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM v), ab AS (SELECT p.v AS a, q.v AS b FROM w p JOIN (SELECT unnest(range(1, 8)) AS more) ON true JOIN w q ON q.k = p.k + more), d AS (SELECT a, b, sum(CASE WHEN (i >= a) <> (j <= b) THEN x ELSE 0 END) AS delta FROM (SELECT a, b, i, j, x FROM ab JOIN chain ON i BETWEEN a AND b UNION ALL SELECT a, b, i, j, x FROM ab JOIN chain ON j BETWEEN a AND b AND i < a) GROUP BY a, b)"
+#: Intervals of two consecutive nodes or more; ids that no edge has are no nodes.
+_INTERVALS = "v AS (SELECT i AS v FROM chain UNION SELECT j FROM chain), w AS (SELECT v, row_number() OVER (ORDER BY v) AS k FROM v), ab AS (SELECT p.v AS a, q.v AS b FROM w p JOIN w q ON q.k > p.k), d AS (SELECT a, b, sum(CASE WHEN (i >= a) <> (j <= b) THEN x ELSE 0 END) AS delta FROM (SELECT a, b, i, j, x FROM ab JOIN chain ON i BETWEEN a AND b UNION ALL SELECT a, b, i, j, x FROM ab JOIN chain ON j BETWEEN a AND b AND i < a) GROUP BY a, b)"
 
 
 @_query("all_segment_cuts", f"{sql('chain')}, {_INTERVALS} SELECT a, b, round(delta, 6) AS delta FROM d WHERE delta <= 1.5")
 def all_segment_cuts(spark, d):
-    return pool.all_segment_cuts(fixture(spark, d, "chain"), 8, 1.5).withColumn("delta", F.round("delta", 6))
+    return pool.all_segment_cuts(fixture(spark, d, "chain"), None, 1.5).withColumn("delta", F.round("delta", 6))
 
 
 @_query("segment_cuts", f"{sql('chain')}, {_INTERVALS}, t AS (SELECT v FROM (SELECT i AS v FROM chain WHERE x >= 0.999999 UNION ALL SELECT j FROM chain WHERE x >= 0.999999) GROUP BY v HAVING count(*) > 1) SELECT * FROM (SELECT a, arg_min(b, (round(delta, 9), b)) AS b, round(min(delta), 9) AS delta FROM d WHERE a NOT IN (FROM t) AND b NOT IN (FROM t) GROUP BY a) WHERE delta < 1.9999")

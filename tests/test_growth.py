@@ -156,3 +156,23 @@ def test_a_scan_takes_little_of_a_file(spark, tmp_path):
             spark.conf.unset(key)
     # The file has 26 MB; what a scan's task reads and aggregates is 8 MB of it.
     assert sum(r["n"] for r in counts) == 1_600_000 and len(counts) > 2 and max(r["n"] for r in counts) < 650_000
+
+
+def test_segment_cuts_of_any_length(spark, tmp_path, monkeypatch):
+    from routeloom.operators import segments
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE customer AS SELECT k AS c_custkey, CAST(0 AS INT) AS c_nationkey FROM range(40) t(k)")
+    c.execute(f"COPY customer TO '{tmp_path}/customer.parquet'")
+    # A path of weights of 0.25 to 1: an interval of any length is left by the two edges at its ends.
+    for ends, left, groups, rows in ((1 << 17, 1 << 10, 64, 1 << 16), (8, 4, 5, 16)):
+        for name, value in (("BLOCK", 4), ("_ENDS", ends), ("_LEFT", left), ("_GROUPS", groups), ("_ROWS", rows)):
+            monkeypatch.setattr(segments, name, value)
+        result = queries()["all_segment_cuts"](spark, str(tmp_path))
+        found = sorted(map(tuple, result.select("a", "b", "delta").collect()))
+        w = lambda k: (1 + k % 4) / 4 if 0 <= k < 40 else 0.0
+        assert found == [(a, b, w(a - 1) + w(b)) for a in range(41) for b in range(a + 1, 41) if w(a - 1) + w(b) <= 1.5]
+        assert max(b - a for a, b, _ in found) > 8
+    # The intervals are made where they are read: only what is dealt to their tasks is shuffled, and nothing after it.
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and not any("/result-" in f for f in result.inputFiles())
