@@ -340,7 +340,7 @@ def all_segment_cuts(spark, d):
 
 @_query("segment_cuts", f"{sql('chain')}, {_INTERVALS}, t AS (SELECT v FROM (SELECT i AS v FROM chain WHERE x >= 0.999999 UNION ALL SELECT j FROM chain WHERE x >= 0.999999) GROUP BY v HAVING count(*) > 1) SELECT * FROM (SELECT a, arg_min(b, (round(delta, 9), b)) AS b, round(min(delta), 9) AS delta FROM d WHERE a NOT IN (FROM t) AND b NOT IN (FROM t) GROUP BY a) WHERE delta < 1.9999")
 def segment_cuts(spark, d):
-    return pool.segment_cuts(fixture(spark, d, "chain"), 8)
+    return pool.segment_cuts(fixture(spark, d, "chain"))
 
 
 def _by_rounds(spark, d, k: int, run) -> DataFrame:

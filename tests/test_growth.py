@@ -176,3 +176,5 @@ def test_segment_cuts_of_any_length(spark, tmp_path, monkeypatch):
     # The intervals are made where they are read: only what is dealt to their tasks is shuffled, and nothing after it.
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and not any("/result-" in f for f in result.inputFiles())
+    best = {r["a"]: (r["b"], r["delta"]) for r in queries()["segment_cuts"](spark, str(tmp_path)).collect()}
+    assert best[0] == (40, 0.0) and max(b - a for a, (b, _) in best.items()) > 8
