@@ -1,6 +1,7 @@
 """What lets queries grow with their tables: no broadcasts by file size, bounded tasks, SQL of the same rule at any ids."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -178,3 +179,25 @@ def test_segment_cuts_of_any_length(spark, tmp_path, monkeypatch):
     assert "Exchange" not in plan[: plan.index("MapInArrow")] and not any("/result-" in f for f in result.inputFiles())
     best = {r["a"]: (r["b"], r["delta"]) for r in queries()["segment_cuts"](spark, str(tmp_path)).collect()}
     assert best[0] == (40, 0.0) and max(b - a for a, (b, _) in best.items()) > 8
+
+
+def test_counters_reach_the_driver_as_columns(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from routeloom.llm import near_dedup
+
+    # Texts of ten shingles each: those of a pair share nine, and no others share any.
+    sets = [(k, 0, np.unique(np.arange(10, dtype=np.uint64) + np.uint64(1000 * (k // 2) + k % 2)).tobytes()) for k in range(200)]
+    known = spark.createDataFrame(sets, "rid long, fp long, shingles binary")
+    shards = known.select(F.lit(0).cast("long").alias("part"), "rid", F.col("rid").alias("component"), F.lit(80).cast("long").alias("size"))
+    rows, collect = [], DataFrame.collect
+
+    def counted(self):
+        rows.append(len(found := collect(self)))
+        return found
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", counted)
+        found = near_dedup._parts(shards, known, 0.8)
+    assert sorted((r["part"], r["rid"]) for r in found.collect()) == [(k - k % 2, k) for k in range(200)]
+    assert max(rows, default=0) <= 1  # 900 counters are met twice
