@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.norms import length_col
-from ..jobs.session import materialize
+from ..jobs.session import materialize, release
 from ..operators.ranking import ranked, running_sum
 from ..operators.tours import edges_to_tour, tour_edges
 
@@ -35,6 +37,51 @@ def _token_starts(lines: DataFrame) -> DataFrame:
     return materialize(lines.join(running_sum(sizes, ["line"], "n", "start"), "line").select("value", "n", "start"), "token-starts")
 
 
+_SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+
+
+def _word_counts(values: pa.Array) -> np.ndarray:
+    """How many parts ``split`` at white space has for each of ``values``, none of which is empty."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    space = _SPACES[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+    at = ends - ends[0]
+    first = space.copy()  # of a run of white space, which doesn't go on from line to line
+    first[1:] &= ~space[:-1]
+    first[at[:-1]] = space[at[:-1]]
+    return np.diff(np.concatenate([[0], np.cumsum(first)])[at]) + 1
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``n``, the words of a line, and ``before``, those of the lines before it in its split (path, block), whose lines stand together."""
+    split, total = None, 0
+    for batch in (b for b in batches if b.num_rows):
+        n = _word_counts(batch.column("value"))
+        before = np.cumsum(n) - n
+        for k, now in enumerate(zip(batch.column("path").to_pylist(), batch.column("block").to_pylist())):
+            if now != split:
+                # What the rows before this one have doesn't count.
+                split, total = now, -int(before[k])
+            before[k] += total
+        total = int(before[-1] + n[-1])
+        yield pa.record_batch([*batch.columns, n, before], names=[*batch.schema.names, "n", "before"])
+
+
+def _placed_words(spark: SparkSession, path: str) -> DataFrame:
+    """value, n, start of the non-empty lines: how many words each has and how many are before it in the file.
+
+    Lines aren't shuffled: they are counted where they are, and each split's first place is the sum of those before it.
+    """
+    split = ["path", "block"]
+    lines = spark.read.text(path).select(F.btrim("value", F.lit(" \t\r")).alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    placed = materialize(lines.filter("value != ''").mapInArrow(_counted_words, "value string, path string, block long, n long, before long"), "placed-lines", compression="zstd")
+    # A row for each split of the files.
+    offsets = placed.groupBy(*split).agg(F.sum("n").alias("all")).select(*split, F.coalesce(F.sum("all").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    starts = materialize(placed.join(F.broadcast(offsets), split).select("value", "n", (F.col("offset") + F.col("before")).alias("start")), "token-starts", compression="zstd")
+    release(placed)
+    return starts
+
+
 def _tokens(starts: DataFrame) -> DataFrame:
     return starts.select("start", F.posexplode(_words()).alias("at", "t")).select("t", (F.col("start") + F.col("at")).alias("k"))
 
@@ -157,19 +204,20 @@ MATRIX_LAYOUTS = {"LOWER_DIAG_ROW": lambda n: n * (n + 1) // 2, "UPPER_ROW": lam
 
 def read_tsplib_matrix(spark: SparkSession, path: str) -> DataFrame:
     """i, j, len with i < j of an explicit matrix, of which the upper triangle counts; numbers may flow across lines."""
-    lines = numbered_lines(spark, path)
-    start = lines.filter(F.col("value").startswith("EDGE_WEIGHT_SECTION")).agg(F.min("line")).first()[0]
+    lines = _placed_words(spark, path)
+    start = lines.filter(F.col("value").startswith("EDGE_WEIGHT_SECTION")).agg(F.min("start")).first()[0]
     if start is None:
         raise ValueError(f"{path}: no matrix")
-    header = _header(lines, start)
+    header = _header(lines.withColumnRenamed("start", "line"), start)
     layout, n = header.get("EDGE_WEIGHT_FORMAT", ""), int(header["DIMENSION"])
     if layout not in MATRIX_LAYOUTS:
         raise ValueError(f"{path}: layout {layout}")
-    stop = lines.filter((F.col("line") > start) & F.col("value").rlike("^[A-Z]")).agg(F.min("line")).first()[0]
-    body = lines.filter((F.col("line") > start) & (F.col("line") < (2**62 if stop is None else stop)))
-    starts = _token_starts(body)
-    if (found := starts.agg(F.sum("n")).first()[0] or 0) != (want := MATRIX_LAYOUTS[layout](n)):
+    stop = lines.filter((F.col("start") > start) & F.col("value").rlike("^[A-Z]")).agg(F.min("start")).first()[0]
+    body = lines.filter((F.col("start") > start) & (F.col("start") < (2**62 if stop is None else stop)))
+    found, first = body.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("start")).first()
+    if found != (want := MATRIX_LAYOUTS[layout](n)):
         raise ValueError(f"{path}: {want} rows stated, {found} found")
+    starts = body.withColumn("start", F.col("start") - F.lit(first or 0))
     stream = _tokens(starts)
     row, column = (x.cast("long") for x in _matrix_place(layout, F.col("k"), n))
     kept = row < column if layout == "FULL_MATRIX" else row != column
@@ -261,21 +309,23 @@ def write_tsplib(nodes: DataFrame, norm: str, path: str, name: str = "nodes") ->
 def write_tsplib_matrix(nodes: DataFrame, norm: str, path: str, chunk: int = 2000) -> None:
     """An instance with the lengths between ``nodes`` (id, x, y) as lower rows with the diagonal, in the order of ids.
 
-    A line has ``chunk`` numbers of a row at most. Nodes go to the tasks of their blocks of ``chunk`` rows and columns; a
-    length is made where it is written.
+    A line has ``chunk`` numbers of a row at most. A task gets the nodes up to the end of its bands of rows, of which
+    there are four to ``chunk`` nodes; bands are dealt in their order, and a length is made where it is written.
     """
-    placed = materialize(ranked(nodes, ["id"], name="at").select("at", F.struct("x", "y").alias("p"), F.floor(F.col("at") / chunk).alias("block")), "matrix-nodes")
+    spark = nodes.sparkSession
+    placed = materialize(ranked(nodes, ["id"], name="at").select("at", F.struct("x", "y").alias("p"), F.floor(F.col("at") / chunk).alias("chunk")), "matrix-nodes")
     n = placed.count()
-    blocks = max(1, -(-n // chunk))
-    tasks = min(2000, blocks * (blocks + 1) // 2)
-    rows = placed.select("at", "p", "block", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("chunk")).repartition(tasks, "block", "chunk")
-    held = placed.groupBy(F.col("block").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("columns"))
-    held = held.withColumn("block", F.explode(F.sequence("chunk", F.lit(blocks - 1).cast("long")))).repartition(tasks, "block", "chunk")
-    ends = F.filter("columns", lambda e: e["at"] <= F.col("at"))
-    line = F.array_join(F.transform(ends, lambda e: length_col(norm, F.col("p"), e["p"]).cast("string")), " ")
-    lines = materialize(rows.join(held, ["block", "chunk"]).select(line.alias("value"), "at", "chunk"), "matrix-lines")
+    last, size = max(0, n - 1) // chunk, -(-chunk // 4)
+    columns = placed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", "p"))).alias("e"))
+    # Later bands have more columns, and get tasks of their own by that.
+    held = columns.select("chunk", "e", F.explode(F.sequence(4 * F.col("chunk"), F.lit(4 * last + 3))).alias("band")).repartitionByRange(min(2000, 4 * last + 4), "band")
+    bands = held.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("chunk", "e"))).alias("columns")).sortWithinPartitions("band")
+    own = F.filter(F.element_at("columns", F.floor(F.col("band") / 4).cast("int") + 1)["e"], lambda e: F.floor(e["at"] % chunk / size) == F.col("band") % 4)
+    rows = bands.select("columns", F.explode(own).alias("row"))
+    number = lambda e: F.when(e["at"] <= F.col("row.at"), length_col(norm, F.col("row.p"), e["p"])).cast("string")
+    line = F.transform(F.filter("columns", lambda c: c["chunk"] * chunk <= F.col("row.at")), lambda c: F.array_join(F.transform(c["e"], number), " "))
     head = ["TYPE: TSP", f"DIMENSION: {n}", "EDGE_WEIGHT_TYPE: EXPLICIT", "EDGE_WEIGHT_FORMAT: LOWER_DIAG_ROW", "EDGE_WEIGHT_SECTION"]
-    _write_lines(nodes.sparkSession, path, head, lines)
+    spark.range(1).coalesce(1).select(F.explode(F.array(*map(F.lit, head))).alias("value")).union(rows.select(F.explode(line).alias("value"))).write.text(path)
 
 
 def write_weights(weights: DataFrame, path: str) -> None:

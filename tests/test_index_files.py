@@ -1,5 +1,6 @@
 """Matrix, weight and index files; files in several parts."""
 
+import pyarrow as pa
 import pytest
 
 from routeloom.sources import text
@@ -64,3 +65,37 @@ def test_matrix_is_written_in_pieces_of_rows(spark, tmp_path):
     found = text.read_tsplib_matrix(spark, path)
     assert sorted(map(tuple, found.collect())) == want
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matrix_lines_are_counted_where_they_are(spark, tmp_path, monkeypatch):
+    """Neither lines nor numbers are shuffled, when written or read, and no more than one copy of the lines is kept beside the file."""
+    import os
+    import re
+
+    from routeloom.sources import text as module
+
+    values = [" a  b", "a\fb\x0b", "c", "\x0bd \t e", "7 8 9"]
+    lines = [x.strip(" \t\r") for x in values]
+    for part in (slice(0, 5), slice(1, 4)):
+        assert module._word_counts(pa.array(lines)[part]).tolist() == [len(re.split(r"[ \t\n\x0b\f\r]+", x)) for x in lines[part]]
+    written, write = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, tag, **options: written.append((tag, df)) or write(df, tag, **options))
+    points = [(k, float(k * k % 17), float(k % 5)) for k in range(23)]
+    text.write_tsplib_matrix(spark.createDataFrame(points, "id long, x double, y double"), "EUC_2D", path := str(tmp_path / "m"), chunk=4)
+    assert [tag for tag, _ in written] == ["matrix-nodes"]
+    raw = "".join(open(f"{path}/{f}").read() for f in sorted(os.listdir(path)) if f.startswith("part-"))
+    length = lambda a, b: int(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 + 0.5)
+    assert raw.split("SECTION\n")[1].split() == [str(length(a, b)) for i, a in enumerate(points) for b in points[: i + 1]]
+    # A file in parts, of which some end within a row, and with lines of one word.
+    numbers = raw.split("SECTION\n")[1].split()
+    (tmp_path / "parts").mkdir()
+    for k, some in enumerate(numbers[j : j + 40] for j in range(0, len(numbers), 40)):
+        (tmp_path / "parts" / f"part-{k}").write_text((raw.split("\n0\n")[0] + "\n") * (k == 0) + "\n".join(some[:5]) + "\n\n" + "  ".join(some[5:]) + "\nEOF\n" * (k == 6))
+    want = [(a[0], b[0], length(a, b)) for a in points for b in points if a[0] < b[0]]
+    for where in (path, str(tmp_path / "parts")):
+        written.clear()
+        found = text.read_tsplib_matrix(spark, where)
+        assert sorted(map(tuple, found.collect())) == want
+        assert [tag for tag, _ in written] == ["placed-lines", "token-starts"]
+        plan = written[1][1]._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
