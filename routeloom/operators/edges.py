@@ -98,18 +98,39 @@ def default_length(edges: DataFrame, n: int) -> int:
     return (2**31 - 1) // 256 if 256 * value > 2**31 - 1 else value
 
 
+#: All pairs are dealt by so many rows and columns; so many rows together go over so many columns at a time.
+_HIGH, _WIDE, _ROWS, _STRIDE = 512, 1 << 14, 64, 1 << 9
+
+
 def complete_graph(edges: DataFrame, n: int, default: int = 0) -> DataFrame:
-    """i, j, len of all pairs of 0..n-1: the given length (the shortest of repeats) or the default; n is the caller's bound."""
+    """i, j, len of all pairs of 0..n-1: the given length (the shortest of repeats) or the default; n is the caller's bound.
+
+    A few nodes go over the others together, a stride at a time: rows that follow each other repeat the same j, and a task has few
+    different ones, so Parquet files keep them as places in a dictionary that repeat.
+    """
     default = default if default > 0 else default_length(edges, n)
-    given = oriented(edges.select("i", "j", "len")).groupBy("i", "j").agg(F.min("len").alias("len"))
-    given = given.filter((F.col("i") >= 0) & (F.col("j") < n)).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", F.col("len").cast("long").alias("len")))).alias("e"))
-    # Only the given edges are dealt; a node's other pairs are the stretches between its edges, made where it is.
-    tasks = max(1, min(2000, n * n // 2_000_000))
-    nodes = edges.sparkSession.range(0, max(n - 1, 0)).withColumnRenamed("id", "i").repartition(tasks, "i").join(given.repartition(tasks, "i").hint("merge"), "i", "left")
-    ends = F.concat(F.array(F.col("i")), F.coalesce(F.transform("e", lambda e: e["j"]), F.array().cast("array<long>")), F.array(F.lit(n).cast("long")))
-    stretch = F.zip_with(F.slice(ends, 1, F.size(ends) - 1), F.slice(ends, 2, F.size(ends) - 1), lambda a, b: F.struct((a + 1).alias("lo"), (b - 1).alias("hi")))
-    free = nodes.select("i", F.explode(stretch).alias("s")).filter("s.lo <= s.hi").select("i", F.explode(F.sequence("s.lo", "s.hi")).alias("j"))
-    return free.select("i", "j", F.lit(default).cast("long").alias("len")).unionByName(nodes.select("i", F.explode("e").alias("e")).select("i", "e.j", "e.len"))
+    given = oriented(edges.select("i", "j", "len")).groupBy("i", "j").agg(F.min("len").cast("long").alias("len"))
+    given = given.filter((F.col("i") >= 0) & (F.col("j") < n))
+    # Only the given edges are dealt; the other pairs are the stretches between a node's edges, made where they are.
+    high, wide, strides = -(-n // _HIGH), max(1, -(-n // _WIDE)), _WIDE // _STRIDE
+    cell = F.floor(F.col("i") / _HIGH) * wide + F.floor(F.col("j") / _WIDE)
+    bin_ = F.floor(F.col("i") % _HIGH / _ROWS) * strides + F.floor(F.col("j") % _WIDE / _STRIDE)
+    binned = given.select(cell.alias("cell"), bin_.alias("bin"), "i", "j", "len").groupBy("cell", "bin").agg(F.collect_list(F.struct("i", "j", "len")).alias("e"))
+    tasks = max(1, min(8000, high * wide // 2))
+    held = binned.repartition(tasks, "cell").groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("bin", "e"))).alias("bins"))
+    top, left = F.floor(F.col("cell") / wide) * _HIGH, F.col("cell") % wide * _WIDE
+    cells = edges.sparkSession.range(0, high * wide).withColumnRenamed("id", "cell").filter(left + _WIDE - 1 > top).repartition(tasks, "cell").join(held.hint("merge"), "cell", "left")
+    bins = cells.select("bins", top.alias("top"), left.alias("left"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_HIGH // _ROWS * strides - 1).cast("long"))).alias("bin"))
+    bins = bins.select(F.try_element_at("bins", F.col("bin")).alias("e"), (F.col("top") + F.floor(F.col("bin") / strides) * _ROWS).alias("i0"), (F.col("left") + F.col("bin") % strides * _STRIDE).alias("j0"))
+    bins = bins.filter((F.col("i0") < n - 1) & (F.col("j0") < n) & (F.col("j0") + (_STRIDE - 1) > F.col("i0")))
+    rows = bins.select("e", "j0", F.explode(F.sequence("i0", F.least(F.col("i0") + (_ROWS - 1), F.lit(n - 2).cast("long")))).alias("i"))
+    lo, hi = F.greatest(F.col("j0"), F.col("i") + 1), F.least(F.col("j0") + (_STRIDE - 1), F.lit(n - 1).cast("long"))
+    own = F.transform(F.filter("e", lambda e: e["i"] == F.col("i")), lambda e: F.struct(e["j"].alias("lo"), e["j"].alias("hi"), e["len"].alias("len")))
+    own = F.sort_array(F.coalesce(own, F.array().cast("array<struct<lo:long,hi:long,len:long>>")))
+    at = F.transform(own, lambda e: e["lo"])
+    free = F.zip_with(F.concat(F.array(lo - 1), at), F.concat(at, F.array(hi + 1)), lambda a, b: F.struct((a + 1).alias("lo"), (b - 1).alias("hi"), F.lit(default).cast("long").alias("len")))
+    pieces = F.sort_array(F.concat(own, F.filter(free, lambda s: s["lo"] <= s["hi"])))
+    return rows.select("i", F.explode(pieces).alias("s")).select("i", F.explode(F.sequence("s.lo", "s.hi")).alias("j"), F.col("s.len").alias("len"))
 
 
 def contract_ones(xedges: DataFrame, eps: float = 1e-6) -> tuple[DataFrame, DataFrame]:

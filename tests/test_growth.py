@@ -201,3 +201,27 @@ def test_counters_reach_the_driver_as_columns(spark, monkeypatch):
         found = near_dedup._parts(shards, known, 0.8)
     assert sorted((r["part"], r["rid"]) for r in found.collect()) == [(k - k % 2, k) for k in range(200)]
     assert max(rows, default=0) <= 1  # 900 counters are met twice
+
+
+def test_complete_graph_takes_little_space(spark, tmp_path, monkeypatch):
+    from routeloom.operators import edges
+
+    n = 3000
+    given = spark.createDataFrame([(k, (k * 17 + 5) % n, k % 50 + 1) for k in range(n)] + [(7, k, k) for k in range(900, 2100)], "i long, j long, len long")
+    edges.complete_graph(given, n, 77).write.parquet(path := str(tmp_path / "pairs"))
+    rows = n * (n - 1) // 2
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < rows / 2  # less than half a byte a pair
+    found = spark.read.parquet(path)
+    assert found.count() == rows == found.filter("i < j and i >= 0 and j < 3000").select("i", "j").distinct().count()
+    want = {}
+    for i, j, m in given.collect():
+        if i != j:
+            want[min(i, j), max(i, j)] = min(m, want.get((min(i, j), max(i, j)), m))
+    assert {(r["i"], r["j"]): r["len"] for r in found.filter("len <> 77").collect()} == {e: m for e, m in want.items() if m != 77}
+    # Cells, rows and strides that the pairs don't fill.
+    for name, value in (("_HIGH", 6), ("_WIDE", 8), ("_ROWS", 2), ("_STRIDE", 4)):
+        monkeypatch.setattr(edges, name, value)
+    few = spark.createDataFrame([(3, 1, 9), (1, 3, 7), (0, 20, 5), (2, 2, 1), (0, 1, 3), (13, 14, 2), (-1, 3, 1), (4, 21, 1)], "i long, j long, len long")
+    lens = {(1, 3): 7, (0, 20): 5, (0, 1): 3, (13, 14): 2}
+    for n in (0, 1, 2, 21):
+        assert sorted(map(tuple, edges.complete_graph(few, n, 40).collect())) == [(i, j, lens.get((i, j), 40)) for i in range(n) for j in range(i + 1, n)]
